@@ -8,8 +8,9 @@
 3. Classes that share a band key meet in buckets.  No bucket is expanded into
    all its pairs: each round picks a few pivots per bucket and compares the
    other members with them.  The population count of the XOR of two Odd
-   sketches estimates their similarity inside the join, so only promising pairs
-   come out of it; these are confirmed on the full sets.  Confirmed links merge
+   sketches estimates their similarity before a pair leaves the join: one
+   sketch holds the MinHash samples, another, exact as a bound, the whole set.
+   Promising pairs are confirmed on the full sets.  Confirmed links merge
    components; used pivots leave, and a bucket is done once its members lie in
    one component.  Rounds go on until every bucket is done, so no pair of
    different components that a bucket holds goes uncompared.
@@ -24,10 +25,12 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varaka.llm.stage import Tables, components
@@ -36,17 +39,22 @@ from varaka.llm.text import grams, mix, words
 #: a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**36 < 1e-6
 BANDS, ROWS = 36, 5
 SKETCH_LONGS = 4
+#: size of the parity bitmap of a whole set
+SET_LONGS = 16
 #: standard deviations of the estimate left below the threshold before a pair is dismissed unseen
 MARGIN = 5.5
 #: pivots per bucket in the first, second, ... round
-PIVOTS = (1, 16, 128, 1024)
+PIVOTS = (16, 128, 1024)
 
 _rng = np.random.default_rng(20240613)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _SALT = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
-SIGNATURE = "doc_id long, n int, f1 long, f2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+SAMPLE_BITS = [f"s{i}" for i in range(SKETCH_LONGS)]
+SET_BITS = [f"w{i}" for i in range(SET_LONGS)]
+SKETCHES = [*SAMPLE_BITS, *SET_BITS]
+SIGNATURE = "doc_id long, n int, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES)
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -87,26 +95,33 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(flips & 1, axis=1).view(np.int64)
 
 
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of a whole set: each shingle flips one bit."""
+    at = ((shingles * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - (SET_LONGS * 64).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SET_LONGS * 64) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes, marks, samples = [], [], []
+            sizes, marks, samples, parities = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 sizes.append(len(s))
                 marks.append((mix(s).sum(dtype=np.uint64), mix(s * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)))
                 samples.append(minhashes(s))
+                parities.append(parity_bitmap(s))
             sizes, samples = np.array(sizes, np.int32), np.array(samples)
             bands, marks = band_keys(samples), np.array(marks, np.uint64).view(np.int64)
             full = sizes > 0
             at = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(full * BANDS, out=at[1:])
-            sketches = odd_sketches(samples)
+            sketches = np.hstack([odd_sketches(samples), np.array(parities)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(bands[full].reshape(-1).view(np.int64)))]
-                + [pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_LONGS)],
-                names=["doc_id", "n", "f1", "f2", "bands"] + [f"s{i}" for i in range(SKETCH_LONGS)],
+                + [pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(len(SKETCHES))],
+                names=["doc_id", "n", "f1", "f2", "bands", *SKETCHES],
             )
 
     return run
@@ -136,74 +151,105 @@ def most_differing_bits(threshold: float) -> int:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, similar: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for documents linked at Jaccard >= similar[0] / similar[1]."""
-    spark = docs.sparkSession
-    t = Tables(spark, "near")
+    t = Tables(docs.sparkSession, "near")
     p, q = similar
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = t.keep(texts.mapInArrow(_signatures(shingle), SIGNATURE))
 
     same = ["n", "f1", "f2"]
     classes = t.keep(signed.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     heads = signed.where("doc_id is not null and n > 0").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    heads = t.keep(heads.dropDuplicates(["doc_id", *same]).select("doc_id", "n", *sketch, "bands"))
+    heads = t.keep(heads.dropDuplicates(["doc_id", *same]).select("doc_id", "n", *SKETCHES, "bands"))
+    sketches = heads.drop("bands")
 
     rows = heads.select("doc_id", F.explode("bands").alias("key"))
-    busy = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
-    shared = t.keep(rows.join(busy, "key"))
-    active = t.keep(shared.join(heads.drop("bands"), "doc_id").withColumn("comp", F.col("doc_id")))
+    busy = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
+    shared = t.keep(rows.join(busy.drop("last"), "key").where("doc_id <> pivot"))
+
+    # the first round has one pivot a bucket: few pairs, which fetch their sketches
+    pairs = shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    side = lambda c, pre: sketches.select(F.col("doc_id").alias(c), *(F.col(x).alias(pre + x) for x in ["n", *SKETCHES]))
+    pairs = pairs.join(side("b", ""), "b").join(side("a", "p_"), "a").where(_promising(p, q))
+    pairs = t.keep(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    tested, maps = [pairs], [components(t, _confirmed(texts, pairs, shingle, p, q))]
+
+    placed = t.keep(_moved(shared.select("key", F.col("doc_id").alias("comp"), "doc_id"), maps[0]))
     t.drop(shared)
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    active = t.keep(placed.join(open_keys, "key", "left_semi").join(sketches, "doc_id"))
+    t.drop(placed)
 
-    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in sketch[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("p_s0"))))
-    links = tested = roots = None
+    # later rounds have more pivots, and dismiss pairs inside the join
     turn = 0
-    while not active.isEmpty():
+    while True:
         slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
-        first = active.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "comp", *sketch)).alias("p"))
-        pivots = t.keep(first.select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("doc_id", "n", "comp", *sketch))))
-        pairs = (
-            active.join(pivots, "key")
-            .where((F.col("comp") != F.col("p_comp")) & (F.least("n", "p_n") * q >= F.greatest("n", "p_n") * p) & (differ <= most_differing_bits(p / q)))
-            .select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        first = active.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "comp", *SKETCHES)).alias("p"))
+        open_keys = active.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+        first = first.join(open_keys, "key", "left_semi")
+        pivots = t.keep(first.select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("doc_id", "n", "comp", *SKETCHES))))
+        if pivots.isEmpty():
+            break
+        pairs = active.join(pivots, "key").where((F.col("comp") != F.col("p_comp")) & _promising(p, q))
+        ahead = F.col("doc_id") < F.col("p_doc_id")
+        pairs = pairs.select(
+            F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b"),
+            F.when(ahead, F.col("comp")).otherwise(F.col("p_comp")).alias("ca"), F.when(ahead, F.col("p_comp")).otherwise(F.col("comp")).alias("cb"),
+        ).distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = t.keep(pairs)
-        new = t.keep(_confirmed(texts, pairs, shingle, p, q))
-        links = new if links is None else t.keep(links.unionByName(new))
-        tested = pairs if tested is None else t.keep(tested.unionByName(pairs))
-        roots = components(t, links)
-        to = roots.select(F.col("node").alias("doc_id"), F.col("root"))
         used = pivots.select("key", F.col("p_doc_id").alias("doc_id"))
-        left = active.join(used, ["key", "doc_id"], "left_anti").drop("comp").join(to, "doc_id", "left")
-        left = t.keep(left.withColumn("comp", F.coalesce("root", "doc_id")).drop("root"))
-        open_keys = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+        left = active.join(used.select("key").distinct(), "key", "left_semi").join(used, ["key", "doc_id"], "left_anti")
+        if not pairs.isEmpty():
+            tested.append(pairs)
+            maps.append(components(t, _confirmed(texts, pairs, shingle, p, q)))
+            left = _moved(left, maps[-1])
+        left = t.keep(left.select(active.columns))
         t.drop(active, pivots)
-        active = t.keep(left.join(open_keys, "key", "left_semi"))
-        t.drop(left)
+        active = left
         turn += 1
 
-    out = signed.select("doc_id", *same).join(classes, same, "left")
-    if roots is not None:
-        out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
-    root = F.coalesce("root", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), root.alias("component_id"), (F.coalesce(F.col("doc_id") == root, F.lit(False))).alias("kept"))
+    out = signed.select("doc_id", *same).join(classes, same, "left").withColumn("comp", F.coalesce("rep", "doc_id"))
+    for step in maps:
+        out = _moved(out, step)
+    mine = F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(False))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), mine.alias("kept"))
+
+
+def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with their component replaced by its root."""
+    return rows.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+
+
+def _promising(p: int, q: int) -> Column:
+    """What two linked sets must fulfil: sizes, the parity bitmaps of the sets and the Odd sketches of their samples.
+
+    The parity bitmaps differ in at most as many bits as the sets have
+    different shingles, so that test never dismisses a link.
+    """
+    bits = lambda names: reduce(add, (F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in names))
+    n, m = F.col("n").cast("long"), F.col("p_n").cast("long")
+    return (
+        (F.least(n, m) * q >= F.greatest(n, m) * p)
+        & (bits(SET_BITS) * (p + q) <= (n + m) * (q - p))
+        & (bits(SAMPLE_BITS) <= most_differing_bits(p / q))
+    )
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough.
+    """Edges (a, b) between the components of those pairs whose full shingle sets are similar enough.
 
     Both sides bring their text once by doc_id; the set of b then travels to
     a.  Both joins are plain equi-joins, so AQE splits a document with very
     many partners over tasks.
     """
-    sets = lambda side: (
-        texts.join(side, "doc_id").mapInArrow(_sets(shingle), ", ".join(f"{c} long" for c in ["doc_id", *(c for c in side.columns if c != "doc_id")]) + ", shingles array<long>")
-    )
+
+    def sets(side: DataFrame) -> DataFrame:
+        kept = [c for c in side.columns if c != "doc_id"]
+        return texts.join(side, "doc_id").mapInArrow(_sets(shingle), ", ".join(f"{c} long" for c in ["doc_id", *kept]) + ", shingles array<long>")
+
     left = sets(pairs.select(F.col("a").alias("doc_id")).distinct()).select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets(pairs.select(F.col("b").alias("doc_id"), "a")).select("a", F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    right = sets(pairs.select(F.col("b").alias("doc_id"), "a", "ca", "cb")).withColumnRenamed("shingles", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return right.join(left, "a").where((both * q) >= (union * p)).select("a", "b").distinct()
+    return right.join(left, "a").where((both * q) >= (union * p)).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))

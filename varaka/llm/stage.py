@@ -62,28 +62,20 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     splits), so a hub of any degree is spread over tasks.
     """
     edges = tables.keep(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
-    roots = None
+    steps = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = tables.keep(
-            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root"))
-        )
-        if roots is None:
-            merged = step
-        else:
-            to = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            merged = tables.keep(
-                roots.join(to, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-            )
-        left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        smaller = tables.keep(
-            edges.join(left, "a").join(right, "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        old, roots = roots, merged
-        tables.drop(edges, *([old] if old is not None else []), *([step] if merged is not step else []))
-        edges = smaller
-    if roots is None:
+        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root"))
+        steps.append(tables.keep(step))
+        left = steps[-1].select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        right = steps[-1].select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        smaller = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        old, edges = edges, tables.keep(smaller)
+        tables.drop(old)
+    if not steps:
         return tables.spark.createDataFrame([], "node long, root long")
-    return roots
+    roots = steps[0]
+    for step in steps[1:]:
+        further = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        roots = roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return tables.keep(roots) if len(steps) > 1 else roots
