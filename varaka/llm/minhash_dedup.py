@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, similar: tuple[int, int]
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = t.keep(pairs)
         used = pivots.select("key", F.col("p_doc_id").alias("doc_id"))
-        left = active.join(used.select("key").distinct(), "key", "left_semi").join(used, ["key", "doc_id"], "left_anti")
+        left = active.join(used, ["key", "doc_id"], "left_anti")
         if not pairs.isEmpty():
             tested.append(pairs)
             maps.append(components(t, _confirmed(texts, pairs, shingle, p, q)))
