@@ -27,8 +27,30 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.bpe import encode_decode
+
+    found = encode_decode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.substring_dedup import repeated_windows
+
+    found = repeated_windows(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op3_exact_dedup)
+    f.__name__: f for f in (op1_minhash_dedup, op3_exact_dedup, op5_bpe, op6_toxicity, op7_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

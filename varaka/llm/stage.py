@@ -32,6 +32,8 @@ class Tables:
         self.spark = spark
         self.at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        # shuffle files go when a step's table is written, not when the driver happens to collect garbage
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """Write ``df`` and read it back."""
