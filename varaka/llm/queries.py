@@ -20,6 +20,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similar=(4, 5))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varaka.llm.exact_dedup import exact_duplicates
 
@@ -49,8 +55,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op3_exact_dedup, op5_bpe, op6_toxicity, op7_substring_dedup)
+    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {
