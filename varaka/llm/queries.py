@@ -33,6 +33,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varaka.llm.bpe import encode_decode
 
@@ -61,8 +70,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the sources, their sections the languages."""
+    from varaka.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.html_text import extract
+
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "text", F.length("text").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate)
+    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
