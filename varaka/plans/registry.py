@@ -1,4 +1,360 @@
-"""Registered jobs: name to query, and name to SQL."""
+"""Registered jobs: name to query over the test tables, and name to SQL for the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Stand-ins: ``documents`` are chunks (pos = doc_id, unit = lang, document =
+source) and letters, ``benchmark`` holds the questions, ``embeddings`` the
+vectors, ``conversations`` the chat rows, ``nation`` and ``region`` the topics
+and their units, ``orders`` the strata.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from varaka.functions import text as T
+from varaka.operators import evaluate as E
+from varaka.operators import letters as L
+from varaka.operators import retrieve as R
+from varaka.operators import splits as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """Tables of a folder as attributes."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+
+def job(name: str, sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def texts(name: str, sql: str | None, **columns) -> None:
+    """A job of one expression for each column over ``documents``; ``sql`` lists the same expressions."""
+    job(name, f"SELECT doc_id, {sql} FROM documents" if sql else None)(lambda t: t.documents.select("doc_id", *(f(F.col("text")).alias(c) for c, f in columns.items())))
+
+
+TR = "lower(translate(text, 'Iİ', 'ıi'))"
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def tokens_sql(x: str) -> str:
+    low = f"lower(translate({x}, 'Iİ', 'ıi'))"
+    kept = f"list_filter(regexp_extract_all({low}, '{T.TOKEN}'), lambda t: regexp_matches(t, '^[0-9]') OR length(t) >= 3)"
+    cropped = f"list_transform({kept}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN t ELSE substr(t, 1, 6) END)"
+    return f"list_filter({cropped}, lambda t: t NOT IN ({STOP}))"
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------
+
+texts("P1_tr_lower", f"{TR} AS lowered", lowered=T.tr_lower)
+texts("P2_tokenize", f"len({tokens_sql('text')}) AS n_tokens, array_to_string({tokens_sql('text')}, ' ') AS tokens", n_tokens=lambda c: F.size(T.tokenize(c)).cast("long"), tokens=lambda c: F.array_join(T.tokenize(c), " "))
+texts("P3_word_count", "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n_words", n_words=lambda c: T.word_count(c).cast("long"))
+texts(
+    "P4_clean_markdown",
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\*{1,3}(.*?)\\*{1,3}', '\\1', 'g'), '_{1,3}(.*?)_{1,3}', '\\1', 'g'),"
+    " '(?m)^#+\\s*', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '`{1,3}(.*?)`{1,3}', '\\1', 'g'), '(?m)^\\s*[-*_]{3,}\\s*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS cleaned",
+    cleaned=T.clean_markdown,
+)
+texts("P5_length_bucket", "CASE WHEN length(text) BETWEEN 500 AND 999 THEN 'short' WHEN length(text) BETWEEN 1000 AND 2999 THEN 'medium' WHEN length(text) BETWEEN 3000 AND 6000 THEN 'long' END AS bucket", bucket=T.length_bucket)
+texts(
+    "P6_strip_numbers",
+    "array_to_string(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda t: NOT regexp_matches(t, '^[0-9]+$')), ' ') AS no_tokens, trim(regexp_replace(regexp_replace(text, '\\b[0-9]{3,5}\\b', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS no_numbers",
+    no_tokens=T.drop_numeric_tokens, no_numbers=T.drop_numbers,
+)
+texts("P8_district", "trim(split_part(trim(list_last(string_split(text, '/'))), ',', 1)) AS district", district=T.district)
+texts("P14_record_uid", "concat_ws('_', 'documents', doc_id::VARCHAR, substr(sha1(text), 1, 10)) AS uid", uid=lambda c: T.record_uid(F.lit("documents"), F.col("doc_id"), c))
+texts(
+    "F1_citation_query",
+    "regexp_matches(text, '(?i)\\bmadde(si|sinin|de|den)?\\s*[0-9]+') AS cites",
+    cites=T.is_citation_query,
+)
+texts(
+    "F7_check_closing",
+    "(lower(text) LIKE '%rica ederim%' OR lower(text) LIKE '%rica ederiz%') AND NOT (lower(text) LIKE '%arz ederim%' OR lower(text) LIKE '%arz ederiz%') AS citizen, (lower(text) LIKE '%arz ve rica ederim%' OR lower(text) LIKE '%arz ve rica ederiz%') AS office",
+    citizen=lambda c: T.check_closing(c, F.lit("VATANDAS")), office=lambda c: T.check_closing(c, F.lit("KAMU_KURUMU")),
+)
+texts("F9_min_words", "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 180 AS long_enough", long_enough=lambda c: T.word_count(c) >= 180)
+texts("F4_classify_scope", None, reason=lambda c: T.classify_scope(c, 2025))
+texts("F6_validate_draft", None, problems=lambda c: F.array_join(T.draft_problems(c, F.lit("VATANDAS"), F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8'))")), "; "))
+texts("L2_strip_attachments", None, letter=L.strip_attachments)
+texts(
+    "F14_line_class",
+    "len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*$'))) AS blank_lines, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '!$'))) AS loud_lines",
+    blank_lines=lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^\s*$"))).cast("long"), loud_lines=lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike("!$"))).cast("long"),
+)
+
+job("P7_humanize", "SELECT o_orderkey, array_to_string(list_transform(string_split(lower(replace(o_orderpriority, '-', ' ')), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name FROM orders")(
+    lambda t: t.orders.select("o_orderkey", F.initcap(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" ")))).alias("name"))
+)
+job("P15_parse_json", "SELECT event_id, CASE WHEN json_valid(props) THEN (props->>'$.k') END AS k FROM events")(
+    lambda t: t.events.select("event_id", F.get_json_object(T.json_text(F.col("props")), "$.k").alias("k"))
+)
+job("P16_repair_json", "SELECT event_id, (props->>'$.k') AS k FROM events")(
+    lambda t: t.events.select("event_id", F.get_json_object(T.repaired_json(F.expr("substring(props, 1, length(props) - 1)")), "$.k").alias("k"))
+)
+job("F10_is_complete", "SELECT event_id, coalesce(json_valid(props) AND (props->>'$.k') <> '', false) AS complete FROM events")(
+    lambda t: t.events.select("event_id", F.coalesce(F.get_json_object(T.json_text(F.col("props")), "$.k") != "", F.lit(False)).alias("complete"))
+)
+job("P18_closing", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Bilgilerinizi rica ederim.' WHEN 'system' THEN 'Gereğini bilgilerinize arz ve rica ederim.' ELSE 'Gereğini saygılarımla arz ederim.' END AS closing FROM conversations")(
+    lambda t: t.conversations.select("conv_id", "turn", T.closing(F.when(F.col("role") == "user", "VATANDAS").when(F.col("role") == "system", "KAMU_KURUMU")).alias("closing"))
+)
+
+
+def chats(t: Tables) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return t.conversations.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+LAST = "(SELECT max_by(text, turn) FROM conversations c WHERE c.conv_id = k.conv_id AND role = '{}')"
+
+
+@job("P11_by_role", f"SELECT conv_id, {LAST.format('system')} AS system, {LAST.format('user')} AS \"user\", {LAST.format('assistant')} AS assistant FROM (SELECT DISTINCT conv_id FROM conversations) k")
+def by_role(t: Tables) -> DataFrame:
+    return chats(t).select("conv_id", *(L.content_of(F.col("messages"), r).alias(r) for r in ("system", "user", "assistant")))
+
+
+@job("P13_set_system_prompt", "SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'Resmî yazı yaz.' ELSE text END AS content FROM conversations")
+def system_prompt(t: Tables) -> DataFrame:
+    one = F.array(F.struct("role", F.col("text").alias("content")))
+    return t.conversations.select("conv_id", "turn", F.explode(L.set_system_prompt(one, "Resmî yazı yaz.")).alias("m")).select("conv_id", "turn", "m.role", "m.content")
+
+
+@job("P10_to_messages", "SELECT doc_id, 3::BIGINT AS n_messages, text AS user_content, '{\"quality\":' || quality || ',\"toxic\":' || toxic || '}' AS answer FROM documents JOIN labels USING (doc_id)")
+def to_messages(t: Tables) -> DataFrame:
+    rows = t.documents.join(t.labels, "doc_id").withColumn("m", L.to_messages(F.lit("Belgeyi çözümle."), F.col("text"), F.struct("quality", "toxic")))
+    return rows.select("doc_id", F.size("m").cast("long").alias("n_messages"), F.col("m")[1]["content"].alias("user_content"), F.col("m")[2]["content"].alias("answer"))
+
+
+# --- joins ------------------------------------------------------------------------------------------------------
+
+
+def with_default(t: Tables) -> DataFrame:
+    topics = t.nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    routes = topics.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_nationkey", F.col("r_name").alias("unit"))
+    return t.customer.join(F.broadcast(routes), "c_nationkey", "left").select("c_custkey", F.coalesce("unit", F.lit("Yazı İşleri Müdürlüğü")).alias("unit"))
+
+
+job("J1_route_unit", "SELECT c_custkey, coalesce(r_name, 'Yazı İşleri Müdürlüğü') AS unit FROM customer LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0) ON c_nationkey = n_nationkey")(with_default)
+job("J2_topic_query", "SELECT c_custkey, lower(n_name) || ' mevzuatı' AS phrase FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(
+    lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.concat(F.lower("n_name"), F.lit(" mevzuatı")).alias("phrase"))
+)
+job("J3_shared_units", "SELECT c_custkey, u.r_name AS unit FROM customer JOIN nation ON c_nationkey = n_nationkey, region u WHERE u.r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5)")(
+    lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.explode(F.array(F.col("n_regionkey"), F.pmod(F.col("n_regionkey") + 1, F.lit(5)))).alias("r_regionkey")).join(F.broadcast(t.region), "r_regionkey").select("c_custkey", F.col("r_name").alias("unit"))
+)
+job("J4_taxonomy_check", "SELECT r_name AS unit, n_name AS topic, CASE WHEN n_name IS NULL THEN 'unit_without_topic' ELSE 'topic_without_unit' END AS problem FROM (SELECT * FROM region WHERE r_regionkey <> 1) FULL JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_regionkey = r_regionkey WHERE n_name IS NULL OR r_name IS NULL")(
+    lambda t: t.region.where("r_regionkey <> 1").join(t.nation.where("n_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"), "full").where("n_name is null or r_name is null").select(F.col("r_name").alias("unit"), F.col("n_name").alias("topic"), F.when(F.col("n_name").isNull(), "unit_without_topic").otherwise("topic_without_unit").alias("problem"))
+)
+PRED = "SELECT d.doc_id, l.quality AS gold, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars > 600 THEN 1 ELSE 0 END AS pred FROM labels l LEFT JOIN documents d USING (doc_id)"
+
+
+@job("J9_pred_gold_join", PRED)
+def predictions(t: Tables) -> DataFrame:
+    pred = F.when(F.col("n_chars") % 7 == 0, None).when(F.col("n_chars") > 600, 1).otherwise(0)
+    return t.labels.join(t.documents.select("doc_id", pred.alias("pred")), "doc_id", "left").select("doc_id", F.col("quality").alias("gold"), "pred")
+
+
+def refresh(t: Tables) -> tuple[DataFrame, DataFrame]:
+    base = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise("regenerated").alias("status"), F.col("o_orderpriority").alias("draft"))
+    return base, t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("T:"), "o_orderpriority").alias("draft"))
+
+
+job("J10_resume_cached", "SELECT o_orderkey, o_orderkey % 2 = 0 AS cached, CASE WHEN o_orderkey % 2 = 0 THEN 'T:' || o_orderpriority END AS cached_draft FROM orders")(
+    lambda t: L.resume_cached(*refresh(t), uid="o_orderkey")[0].select("o_orderkey", "cached", "cached_draft")
+)
+job("J11_update_failed_only", "SELECT o_orderkey, CASE WHEN o_orderkey % 14 = 0 THEN 'T:' || o_orderpriority ELSE o_orderpriority END AS draft FROM orders")(
+    lambda t: L.update_failed_only(*refresh(t), "o_orderkey", "draft").select("o_orderkey", "draft")
+)
+job("J12_compare_runs", "SELECT coalesce(a.lang, b.lang) AS metric, round(b.v - a.v, 6) AS difference FROM (SELECT lang, avg(n_chars) v FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT lang, avg(n_chars) v FROM documents WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY 1) b ON a.lang = b.lang")(
+    lambda t: t.documents.where("doc_id % 2 = 0").groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("a")).join(t.documents.where("doc_id % 2 = 1 and lang <> 'es'").groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("b")), "metric", "full").select("metric", F.round(F.col("b") - F.col("a"), 6).alias("difference"))
+)
+job("J13_off_taxonomy", "SELECT DISTINCT source AS value FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 15)")(
+    lambda t: E.off_vocabulary(t.documents.select(F.col("source").alias("value")).distinct(), "value", t.documents.where("doc_id % 20 < 15"), "source")
+)
+job("J14_snap_to_label")(lambda t: E.snap_to_label(t.nation.select(F.substring("n_name", 2, 30).alias("value")), "value", t.nation, "n_name"))
+job("J16_legislation_pool", "SELECT o_orderkey, coalesce(law, 'DEFAULT') AS law FROM orders LEFT JOIN (VALUES ('1-URGENT', '3194'), ('2-HIGH', '5393')) p(topic, law) ON o_orderpriority = topic")(
+    lambda t: t.orders.join(F.broadcast(t._spark.createDataFrame([("1-URGENT", "3194"), ("2-HIGH", "5393")], "o_orderpriority string, law string")), "o_orderpriority", "left").select("o_orderkey", F.coalesce("law", F.lit("DEFAULT")).alias("law"))
+)
+job("J17_expand_scenarios", "SELECT c_custkey, s AS status FROM customer, (VALUES ('OLUMLU'), ('OLUMSUZ'), ('INCELEMEDE')) v(s) WHERE NOT (c_acctbal < 0 AND s = 'OLUMLU')")(
+    lambda t: t.customer.select("c_custkey", "c_acctbal", F.explode(F.array(*map(F.lit, ("OLUMLU", "OLUMSUZ", "INCELEMEDE")))).alias("status")).where("not (c_acctbal < 0 and status = 'OLUMLU')").select("c_custkey", "status")
+)
+
+# --- aggregations -----------------------------------------------------------------------------------------------
+
+job("A1_bm25_stats", f"WITH x AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents), d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM x GROUP BY 1), i AS (SELECT *, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM d) SELECT term, df, tf, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END, 6) AS idf FROM i")(
+    lambda t: R.term_statistics(t.documents.select(F.col("doc_id").alias("pos"), "text")).groupBy("term", "df").agg(F.sum("tf").alias("tf"), F.round(F.max("idf"), 6).alias("idf"))
+)
+job("A3_response_distribution", "SELECT role, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM conversations GROUP BY role")(
+    lambda t: t.conversations.groupBy("role").agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+)
+job("A4_status_counts", "SELECT o_orderpriority AS file, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1, 2")(
+    lambda t: t.orders.groupBy(F.col("o_orderpriority").alias("file"), F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise(F.col("o_orderstatus")).alias("status")).agg(F.count("*").alias("n"))
+)
+job("A5_analysis_report", f"SELECT count(*) AS n_rows, round(avg(CASE WHEN pred IS NOT NULL THEN 1 ELSE 0 END) * 100, 2) AS valid, round(avg(CASE WHEN pred = gold THEN 1 ELSE 0 END) * 100, 2) AS exact FROM ({PRED})")(
+    lambda t: predictions(t).agg(F.count("*").alias("n_rows"), E.rate(F.col("pred").isNotNull(), "valid"), E.rate(F.col("pred") == F.col("gold"), "exact"))
+)
+FLAGS = {"json_valid": "n_chars % 11 <> 0", "complete": "n_chars % 5 <> 0", "target_unit": "lang = 'en'", "response_type": "n_chars > 900", "process_status": "n_chars > 500", "closing": "text LIKE '%.'", "citation": "contains(text, '1')", "min_words": "n_chars > 1200"}
+RATES = {k: f"round(avg(CASE WHEN {v} THEN 1 ELSE 0 END) * 100, 2)" for k, v in FLAGS.items()}
+job("A6_writer_report", "SELECT *, round(" + " + ".join(f"{k} * {w}::DOUBLE" for k, w in E.WEIGHTS.items()) + ", 2) AS overall FROM (SELECT count(*) AS n_rows, " + ", ".join(f"{v} AS {k}" for k, v in RATES.items()) + " FROM documents)")(
+    lambda t: E.writer_report(t.documents.select(*(F.expr(v).alias(k) for k, v in FLAGS.items())))
+)
+job("A7_off_taxonomy_counts", "SELECT 'source' AS field, source AS value, count(*) AS n FROM documents WHERE source NOT IN ('src0', 'src1') GROUP BY 2")(
+    lambda t: t.documents.where(~F.col("source").isin("src0", "src1")).groupBy(F.lit("source").alias("field"), F.col("source").alias("value")).agg(F.count("*").alias("n"))
+)
+job("A8_label_vocabulary", "SELECT DISTINCT lang AS label FROM documents UNION SELECT DISTINCT role FROM conversations")(
+    lambda t: t.documents.select(F.col("lang").alias("label")).union(t.conversations.select("role")).distinct()
+)
+job("A10_ocr_summary", "SELECT coalesce(lang, 'ALL') AS grp, count(*) AS n, round(avg(n_chars / 1000.0), 6) AS mean_error, round(sum(n_chars % 10)::DOUBLE / sum(n_chars), 8) AS pooled FROM documents GROUP BY ROLLUP (lang)")(
+    lambda t: t.documents.rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.col("n_chars") / 1000.0), 6).alias("mean_error"), F.round(F.sum(F.col("n_chars") % 10) / F.sum("n_chars"), 8).alias("pooled")).withColumn("grp", F.coalesce("lang", F.lit("ALL"))).drop("lang")
+)
+job("A11_split_group_matrix", "SELECT coalesce(o_orderstatus, 'ALL') AS split, coalesce(o_orderpriority, 'ALL') AS grp, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")(
+    lambda t: t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).select(F.coalesce("o_orderstatus", F.lit("ALL")).alias("split"), F.coalesce("o_orderpriority", F.lit("ALL")).alias("grp"), "n")
+)
+job("A12_group_breakdown", "SELECT o_orderpriority AS grp, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")(
+    lambda t: t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"))
+)
+job("A15_fuse_scores", "SELECT o_custkey AS chunk, max(o_totalprice) AS best, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS sources FROM orders GROUP BY 1")(
+    lambda t: t.orders.groupBy(F.col("o_custkey").alias("chunk")).agg(F.max("o_totalprice").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), ",").alias("sources"))
+)
+job("A16_scope_reasons", "SELECT o_custkey AS request, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'multiple_out_of_scope_reasons' END AS reason FROM orders GROUP BY 1")(
+    lambda t: t.orders.groupBy(F.col("o_custkey").alias("request")).agg(F.when(F.count_distinct("o_orderstatus") == 1, F.min("o_orderstatus")).otherwise("multiple_out_of_scope_reasons").alias("reason"))
+)
+job("A17_topic_shortfall", "SELECT n_name AS topic, coalesce(n, 0) AS n, greatest(100 - coalesce(n, 0), 0) AS missing FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON n_nationkey = c_nationkey")(
+    lambda t: t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "right").select(F.col("n_name").alias("topic"), F.coalesce("n", F.lit(0)).alias("n"), F.greatest(100 - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
+)
+job("A18_agent_board", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stages, count(*) AS n_rows, bool_or(event_type = 'purchase') AS ready FROM events GROUP BY 1")(
+    lambda t: t.events.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stages"), F.count("*").alias("n_rows"), F.bool_or(F.col("event_type") == "purchase").alias("ready"))
+)
+
+# --- retrieval --------------------------------------------------------------------------------------------------
+
+
+def questions(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def chunks(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("pos"), "text")
+
+
+BM25 = f"""WITH x AS (SELECT doc_id AS pos, {tokens_sql('text')} AS toks FROM documents),
+  p AS (SELECT pos, len(toks) AS dl, unnest(toks) AS term FROM x), tf AS (SELECT pos, dl, term, count(*) AS tf FROM p GROUP BY ALL),
+  s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM x), d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, s), e AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
+  q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark),
+  sc AS (SELECT query_id, pos, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN e USING (term) JOIN tf USING (term), s GROUP BY 1, 2),
+  bm AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sc)"""
+DENSE = """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+  ds AS (SELECT a.vec_id AS query_id, b.vec_id AS pos, round(list_inner_product(a.e, b.e), 6) AS score, a.label = b.label AS same FROM v a, v b WHERE a.vec_id < 20 AND b.vec_id >= 20),
+  dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM ds)"""
+
+
+def dense(t: Tables, pool: int = R.POOL) -> DataFrame:
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    return R.dense_topk(v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), v.where("vec_id >= 20").withColumnRenamed("vec_id", "pos"), pool)
+
+
+def same_label(t: Tables) -> DataFrame:
+    a, b = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label"), t.embeddings.where("vec_id >= 20").select(F.col("vec_id").alias("pos"), "label")
+    return a.join(b, "label").select("query_id", "pos")
+
+
+def sparse(t: Tables, pool: int = R.POOL) -> DataFrame:
+    return R.bm25_topk(chunks(t), questions(t), pool).select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def by_overlap(t: Tables) -> DataFrame:
+    """A second ranking: shared terms by the root of the length, exact and cheap."""
+    posted = R.postings(chunks(t))
+    asked = questions(t).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
+    scored = asked.join(posted, "term").groupBy("query_id", "pos").agg(F.round(F.count("*") / F.sqrt(F.max("dl")), 9).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= R.POOL)
+
+
+OVERLAP = """, qd AS (SELECT DISTINCT query_id, term FROM q), os AS (SELECT query_id, pos, round(count(*) / sqrt(max(dl)), 9) AS score FROM qd JOIN tf USING (term) GROUP BY 1, 2),
+  ov AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM os)"""
+FUSED = """, r AS (SELECT query_id, pos, 0 AS l, rank, 1.0::DOUBLE / (60 + rank) AS w FROM bm WHERE rank <= 50 UNION ALL SELECT query_id, pos, 1, rank, {}::DOUBLE / (60 + rank) FROM ov WHERE rank <= 50),
+  f AS (SELECT query_id, pos, round(sum(w), 12) AS score, min(l * 1000000 + rank) AS seen FROM r GROUP BY 1, 2), fr AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM f)"""
+
+job("W2_bm25_topk", BM25 + " SELECT * FROM bm WHERE rank <= 8")(lambda t: sparse(t, 8))
+job("W1_dense_topk", "WITH z AS (SELECT 1)" + DENSE + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense(t).withColumn("rank", F.col("rank").cast("long")))
+job("W3_rrf_fuse", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr")(lambda t: R.rrf_fuse([(sparse(t), 1.0), (by_overlap(t), 1.0)]).withColumn("rank", F.col("rank").cast("long")))
+job("W4_candidates", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr WHERE rank <= 20")(lambda t: R.candidates(sparse(t), by_overlap(t)).withColumn("rank", F.col("rank").cast("long")))
+job("W5_blend", BM25 + OVERLAP + FUSED.format("0.25") + " SELECT * FROM fr")(lambda t: R.rrf_fuse([(sparse(t), 1.0), (by_overlap(t), 0.25)]).withColumn("rank", F.col("rank").cast("long")))
+job("W8_unit_boost", BM25 + " SELECT query_id, pos, round(CASE WHEN lang = 'en' THEN score * 1.15::DOUBLE ELSE score END, 6) AS boosted FROM bm JOIN documents ON pos = doc_id WHERE rank <= 20")(
+    lambda t: sparse(t, 20).join(t.documents.select(F.col("doc_id").alias("pos"), F.array("lang").alias("units")), "pos").select("query_id", "pos", F.round(R.unit_boost(F.col("score"), F.col("units"), "en"), 6).alias("boosted"))
+)
+job("W10_article_dedup", BM25 + " SELECT query_id, pos, source FROM (SELECT query_id, pos, source, row_number() OVER (PARTITION BY query_id, source, lang ORDER BY rank) AS c FROM bm JOIN documents ON pos = doc_id WHERE rank <= 50) WHERE c = 1")(
+    lambda t: sparse(t).join(t.documents.select(F.col("doc_id").alias("pos"), "source", "lang"), "pos").withColumn("c", F.row_number().over(Window.partitionBy("query_id", "source", "lang").orderBy("rank"))).where("c = 1").select("query_id", "pos", "source")
+)
+
+
+@job("W12_select_topk", BM25 + """, a AS (SELECT query_id, pos, score, source, row_number() OVER (PARTITION BY query_id, source, lang ORDER BY rank) AS c, rank FROM bm JOIN documents ON pos = doc_id WHERE rank <= 50),
+  b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM a WHERE c = 1), s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN k <= 2 THEN 1 ELSE 2 END, rank) AS take FROM b)
+  SELECT query_id AS request_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s2 WHERE take <= 8""")
+def selection(t: Tables) -> DataFrame:
+    rows = sparse(t).join(t.documents.select(F.col("doc_id").alias("pos"), F.col("source").alias("doc_id"), F.col("lang").alias("article_label")), "pos")
+    rows = rows.select(F.col("query_id").alias("request_id"), "pos", "doc_id", "article_label", "score", F.lit(None).cast("int").alias("forced"))
+    return R.select_topk(rows, 8, 1, 2).select("request_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
+
+
+job("W14_decide", BM25 + " SELECT a.query_id AS request_id, a.score >= 10 AS answerable, CASE WHEN a.score < 10 THEN 'low_reranker_score' ELSE 'retrieved' END AS reason, a.score AS top_score, round(a.score - b.score, 6) AS margin FROM bm a LEFT JOIN bm b ON a.query_id = b.query_id AND b.rank = 2 WHERE a.rank = 1")(
+    lambda t: R.decide(sparse(t, 8).select(F.col("query_id").alias("request_id"), "pos", F.col("score").alias("display"), F.col("score").alias("raw")), 10.0).withColumn("margin", F.round("margin", 6))
+)
+job("A13_retrieval_metrics", "WITH z AS (SELECT 1)" + DENSE + ", m AS (SELECT query_id, min(rank) FILTER (WHERE same AND rank <= 10) AS f FROM dn GROUP BY 1) SELECT count(*) AS n_queries, " + ", ".join(f"avg(CASE WHEN f <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) AS mrr, sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END)::BIGINT AS misses FROM m")(
+    lambda t: R.retrieval_metrics(dense(t, 10), same_label(t)).withColumn("mrr", F.round("mrr", 9))
+)
+
+# --- splits, quotas, windows ------------------------------------------------------------------------------------
+
+RANKED = "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders"
+SPLIT = f"SELECT o_orderkey, o_orderpriority, CASE WHEN r <= v THEN 'val' WHEN r <= v + s THEN 'test' ELSE 'train' END AS split FROM (SELECT *, greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS v, greatest(1, round_even(n * 0.09999999999999998::DOUBLE, 0)) AS s FROM ({RANKED}))"
+
+
+def split(t: Tables) -> DataFrame:
+    return S.stratified_split(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+
+
+job("W17_stratified_split", SPLIT)(split)
+job("W18_trunc_split", f"SELECT o_orderkey, o_orderpriority, CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM ({RANKED})")(
+    lambda t: S.trunc_split(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+)
+job("A2_split_stats", f"SELECT coalesce(o_orderpriority, 'TOTAL') AS stratum, count(*) AS total, " + ", ".join(f"sum(CASE WHEN split = '{s}' THEN 1 ELSE 0 END)::BIGINT AS {s}" for s in ("train", "val", "test")) + f" FROM ({SPLIT}) GROUP BY ROLLUP (o_orderpriority)")(lambda t: S.split_stats(split(t), "o_orderpriority"))
+job("W15_quota_fill", "SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_orderpriority = '1-URGENT' THEN 50 ELSE 20 END")(
+    lambda t: S.quota_fill(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", 50).otherwise(20))
+)
+job("W16_recent_summaries", "SELECT event_id, coalesce(array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), ','), '') AS recent FROM events")(
+    lambda t: S.recent_values(t.events, "user_id", ["ts", "event_id"], "event_type").select("event_id", F.array_join("recent", ",").alias("recent"))
+)
+job("W19_worst_k", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")(lambda t: L.worst_k(t.documents.select("doc_id", "n_chars"), "n_chars", 5, "doc_id"))
+job("W20_first_errors", f"SELECT p.doc_id, substr(text, 1, 500) AS preview FROM ({PRED}) p JOIN documents USING (doc_id) WHERE pred IS NULL OR pred <> gold ORDER BY p.doc_id LIMIT 5")(
+    lambda t: predictions(t).where("pred is null or pred <> gold").join(t.documents, "doc_id").orderBy("doc_id").limit(5).select("doc_id", F.substring("text", 1, 500).alias("preview"))
+)
+job("W21_balanced_groups")(lambda t: S.balanced_groups(t.documents, T.length_bucket(F.col("text")), "doc_id", 4, 25))
+job("W22_drop_adjacent_duplicates")(lambda t: t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("n_before"), F.size(L.drop_adjacent_duplicates(F.split("text", "\n"))).alias("n_after")))
+job("W23_assign_scenarios", "SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)) - 1) % 4 AS scenario FROM orders")(
+    lambda t: L.round_robin(t.orders, "o_orderpriority", ["o_orderkey"], 4).select("o_orderkey", F.col("scenario").cast("long").alias("scenario"))
+)
+job("W24_best_per_request", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 2 END")(
+    lambda t: t.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where(F.col("r") <= F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(2)).select("o_custkey", "o_orderkey")
+)
+job("R2_split_queries", "SELECT doc_id, CASE WHEN trim(u) = '' THEN NULL ELSE trim(u) END AS query FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents) WHERE trim(u) <> ''")(
+    lambda t: t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("q")).select("doc_id", F.trim("q").alias("query")).where("query <> ''")
+)
+job("G4_char_error", "SELECT p_partkey, round(levenshtein(p_brand, p_type)::DOUBLE / length(p_brand), 8) AS error FROM part")(lambda t: t.part.select("p_partkey", F.round(E.char_error(F.col("p_brand"), F.col("p_type")), 8).alias("error")))
+job("G5_turkish_char_error")(lambda t: t.part.select("p_partkey", E.turkish_char_errors(F.col("p_type"), F.col("p_brand")).alias("e")).select("p_partkey", "e.total", "e.errors"))
