@@ -87,8 +87,13 @@ def record_uid(file: Column, index: Column, content: Column) -> Column:
     return F.concat_ws("_", file, index.cast("string"), F.substring(F.sha1(content), 1, 10))
 
 
+def stripped(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")
+
+
 def unfenced(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(s), r"^```(json)?", "")), r"```$", ""))
+    return stripped(F.regexp_replace(stripped(F.regexp_replace(stripped(s), r"^```(json)?", "")), r"```\z", ""))
 
 
 def _object(s: Column) -> Column:
@@ -104,7 +109,7 @@ def json_text(s: Column) -> Column:
 
 def repaired_json(s: Column) -> Column:
     """``json_text``, and for cut-off answers the open string, arrays and objects are closed."""
-    t = F.trim(F.regexp_replace(F.trim(s), r"(?m)^```(json)?|```$", ""))
+    t = stripped(F.regexp_replace(stripped(s), r"(?m)^```(json)?|```$", ""))
     c = F.when(t.contains("{"), F.substr(t, F.instr(t, "{"))).otherwise(t)
     count = lambda x, ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
     c = F.when(count(c, '"') % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
