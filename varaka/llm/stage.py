@@ -39,7 +39,7 @@ class Tables:
         """Write ``df`` and read it back."""
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.kept_at = path
         return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: bytes handled at once; bounds the memory of a task, never the text
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True

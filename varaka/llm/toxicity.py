@@ -34,6 +34,8 @@ from varaka.llm.text import BREAKS, words
 TABLE_BITS, DIM, WIDTHS, FILTERS = 15, 12, (1, 2, 3), 8
 PREFIXES = (4, 5)
 MAX_SAMPLE = 2000
+#: a small sample is gone through more often
+LEAST_STEPS = 240
 EPOCHS, BATCH, RATE, DECAY = 8, 48, 0.01, 1e-4
 PAD = 1 << TABLE_BITS
 
@@ -122,9 +124,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     step, b_first, b_second = 0, 0.0, 0.0
     total = len(docs)
     average: dict[str, np.ndarray] | None = None
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, LEAST_STEPS // -(-total // BATCH))
+    for epoch in range(epochs):
         order = rng.permutation(total)
-        rate = RATE * (1 - epoch / EPOCHS) + RATE / 10
+        rate = RATE * (1 - epoch / epochs) + RATE / 10
         for i in range(0, total, BATCH):
             pick = order[i : i + BATCH]
             rows, offsets = np.concatenate([docs[j] for j in pick]), np.zeros(len(pick) + 1, np.int64)
@@ -173,7 +176,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             gi = float(d.sum())
             b_first, b_second = 0.9 * b_first + 0.1 * gi, 0.999 * b_second + 0.001 * gi * gi
             model.intercept -= rate * (b_first / (1 - 0.9**step)) / ((b_second / (1 - 0.999**step)) ** 0.5 + 1e-8)
-            if epoch == EPOCHS - 1:
+            if epoch == epochs - 1:
                 now = params | {"intercept": np.float64(model.intercept)}
                 average = {k: v.copy() for k, v in now.items()} if average is None else {k: average[k] + v for k, v in now.items()}
     steps = -(-total // BATCH)
