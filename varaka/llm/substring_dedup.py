@@ -152,10 +152,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True))], names=["doc_id", "n_words", "x", "y"])
 
 
-def _packed(buckets: int, *columns: np.ndarray) -> pa.RecordBatch | None:
+def _packed(buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
     """Rows of 8-byte columns, the first hashed, as one block of bytes for each bucket of it."""
-    if not len(columns[0]):
-        return None
     bucket = ((mix(columns[0]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     rows = np.ascontiguousarray(np.stack([c.view(np.uint64) for c in columns], 1)[order])
@@ -165,6 +163,26 @@ def _packed(buckets: int, *columns: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "rows"])
 
 
+class _Held:
+    """Rows of a task, packed whenever a bounded number has gathered."""
+
+    def __init__(self, buckets: int, width: int, limit: int = 1_500_000):
+        self.buckets, self.limit, self.size = buckets, limit, 0
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(width)]
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for held, new in zip(self.columns, columns, strict=True):
+            held.append(new)
+        self.size += len(columns[0])
+        if self.size >= self.limit:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield _packed(self.buckets, *(np.concatenate(c) for c in self.columns))
+        self.columns, self.size = [[] for _ in self.columns], 0
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> np.ndarray:
     data = b"".join(x for b in batches for x in b.column(1).to_pylist())
     return np.frombuffer(data, np.uint64).reshape(-1, width)
@@ -186,43 +204,58 @@ def _anchor_blocks(buckets: int):
     """Blocks of (anchor, digest of the text), each once for a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(buckets, 2)
         for b in batches:
-            anchor, owner = [], []
             for w in words(b.column(0), lower=False):
                 at, keys = anchors(w)
                 if not len(at):
                     continue
                 doc = w.doc_of_word()[at]
                 change = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))
-                anchor.append(keys[change])
-                owner.append(_text_digest(w, SALTS[0])[doc[change]])
-            if anchor and (out := _packed(buckets, np.concatenate(anchor), np.concatenate(owner))) is not None:
-                yield out
+                yield from held.add(keys[change], _text_digest(w, SALTS[0])[doc[change]])
+        yield from held.out()
 
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of whole buckets: the anchors that different texts have, listed by text."""
-    rows = _unpacked(batches, 2)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    anchor, owner = rows[:, 0], rows[:, 1]
-    fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])) if len(rows) else np.zeros(0, bool)
-    anchor, owner = anchor[fresh], owner[fresh]
-    twice = np.zeros(len(anchor), bool)
-    twice[1:] = anchor[1:] == anchor[:-1]
-    twice[:-1] |= twice[1:]
-    yield from _lists(owner[twice], anchor[twice], ["x", "anchors"])
+def _listed(names: list[str]):
+    """Of whole buckets of (owner, value): the values of each owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(batches, 2)
+        yield from _lists(np.ascontiguousarray(rows[:, 0]), rows[:, 1], names)
+
+    return run
+
+
+def _shared_anchors(buckets: int):
+    """Of whole buckets: blocks of (text, anchor) for the anchors that different texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(batches, 2)
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        anchor, owner = rows[:, 0], rows[:, 1]
+        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
+        anchor, owner = anchor[fresh], owner[fresh]
+        twice = np.zeros(len(anchor), bool)
+        twice[1:] = anchor[1:] == anchor[:-1]
+        twice[:-1] |= twice[1:]
+        if twice.any():
+            yield _packed(buckets, owner[twice], anchor[twice])
+
+    return run
 
 
 def _window_blocks(buckets: int):
     """Blocks of (h, g, doc_id): the windows whose anchor is shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(buckets, 3)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             begin, shared = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            found: list[list[np.ndarray]] = [[], [], []]
             for w in words(b.column(1), lower=False):
                 at, keys = anchors(w)
                 if not len(at):
@@ -235,26 +268,28 @@ def _window_blocks(buckets: int):
                     mine = shared[begin[w.first + k] : begin[w.first + k + 1]]
                     if len(mine) and edges[k + 1] > edges[k]:
                         use[edges[k] : edges[k + 1]] = np.isin(keys[edges[k] : edges[k + 1]], mine)
-                for out, values in zip(found, (h[at[use]], g[at[use]], ids[w.first + doc[use]]), strict=True):
-                    out.append(values)
-            if found[0] and (out := _packed(buckets, *(np.concatenate(f) for f in found))) is not None:
-                yield out
+                yield from held.add(h[at[use]], g[at[use]], ids[w.first + doc[use]])
+        yield from held.out()
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of whole buckets: the windows that a smaller doc_id has too, listed by document."""
-    rows = _unpacked(batches, 3)
-    doc = rows[:, 2].view(np.int64)
-    rows = rows[np.lexsort((doc, rows[:, 1], rows[:, 0]))]
-    h, g, doc = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
-    if len(rows):
+def _repeats(buckets: int):
+    """Of whole buckets: blocks of (document, window) for the windows that a smaller doc_id has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(batches, 3)
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows[:, 2].view(np.int64), rows[:, 1], rows[:, 0]))]
+        h, g, doc = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
         first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
         least = doc[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-        again = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))
-        use = again & (doc > least)
-        yield from _lists(doc[use].view(np.uint64), h[use], ["doc_id", "repeated"])
+        use = (first | np.append(True, doc[1:] != doc[:-1])) & (doc > least)
+        if use.any():
+            yield _packed(buckets, doc[use].view(np.uint64), h[use])
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,15 +333,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     firsts = t.keep(digests.groupBy(*same).agg(F.min("doc_id").alias("doc_id")))
     copies = digests.join(firsts, [*same, "doc_id"], "left_anti").select("doc_id").distinct()
 
-    blocks = known.select("text").mapInArrow(_anchor_blocks(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
-    shared = blocks.mapInArrow(_shared_anchors, "x long, anchors array<long>")
-    shared = t.keep(shared.groupBy("x").agg(F.flatten(F.collect_list("anchors")).alias("anchors")))
-    marked = t.keep(shared.join(firsts.select("x", "doc_id"), "x").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")))
-    t.drop(shared)
+    kind, buckets = "bucket int, rows binary", 4 * parts
+    blocks = known.select("text").mapInArrow(_anchor_blocks(buckets), kind).repartition(parts, "bucket")
+    shared = blocks.mapInArrow(_shared_anchors(buckets), kind).repartition(parts, "bucket").mapInArrow(_listed(["x", "anchors"]), "x long, anchors array<long>")
+    marked = t.keep(shared.join(firsts.select("x", "doc_id"), "x").select("doc_id", "anchors"))
 
-    blocks = known.join(marked, "doc_id").mapInArrow(_window_blocks(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
-    repeats = blocks.mapInArrow(_repeats, "doc_id long, repeated array<long>")
-    repeats = t.keep(repeats.groupBy("doc_id").agg(F.flatten(F.collect_list("repeated")).alias("repeated")))
+    blocks = known.join(marked, "doc_id").mapInArrow(_window_blocks(buckets), kind).repartition(parts, "bucket")
+    repeats = blocks.mapInArrow(_repeats(buckets), kind).repartition(parts, "bucket").mapInArrow(_listed(["doc_id", "repeated"]), "doc_id long, repeated array<long>")
+    repeats = t.keep(repeats)
     t.drop(marked)
 
     found = copies.withColumn("copy", F.lit(True)).join(repeats, "doc_id", "full")
