@@ -335,11 +335,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     kind, buckets = "bucket int, rows binary", 4 * parts
     blocks = known.select("text").mapInArrow(_anchor_blocks(buckets), kind).repartition(parts, "bucket")
-    shared = blocks.mapInArrow(_shared_anchors(buckets), kind).repartition(parts, "bucket").mapInArrow(_listed(["x", "anchors"]), "x long, anchors array<long>")
+    shared = blocks.mapInArrow(_shared_anchors(parts), kind).repartition(parts, "bucket").mapInArrow(_listed(["x", "anchors"]), "x long, anchors array<long>")
     marked = t.keep(shared.join(firsts.select("x", "doc_id"), "x").select("doc_id", "anchors"))
 
     blocks = known.join(marked, "doc_id").mapInArrow(_window_blocks(buckets), kind).repartition(parts, "bucket")
-    repeats = blocks.mapInArrow(_repeats(buckets), kind).repartition(parts, "bucket").mapInArrow(_listed(["doc_id", "repeated"]), "doc_id long, repeated array<long>")
+    repeats = blocks.mapInArrow(_repeats(parts), kind).repartition(parts, "bucket").mapInArrow(_listed(["doc_id", "repeated"]), "doc_id long, repeated array<long>")
     repeats = t.keep(repeats)
     t.drop(marked)
 
