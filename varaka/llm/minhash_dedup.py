@@ -43,6 +43,8 @@ SKETCH_LONGS = 4
 SET_LONGS = 16
 #: standard deviations of the estimate left below the threshold before a pair is dismissed unseen
 MARGIN = 5.5
+#: bits of the filter of candidates; bounds what is broadcast
+FILTER_BITS = 1 << 23
 #: pivots per bucket in the first, second, ... round
 PIVOTS = (16, 128, 1024)
 
@@ -236,14 +238,31 @@ def _promising(p: int, q: int) -> Column:
     )
 
 
+def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of all documents in ``pairs``, and few others: the ids are hashed to a bitmap of ``FILTER_BITS``.
+
+    The bitmap is a table of at most FILTER_BITS / 64 rows, whatever the number
+    of pairs; a full one only lets more texts through.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, place = F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("place")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    bits = ids.select(word, place).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    marked = texts.select("doc_id", "text", word, place).join(F.broadcast(bits), "word")
+    return marked.where(F.getbit("bits", F.col("place")) == 1).select("doc_id", "text")
+
+
 def _confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     """Edges (a, b) between the components of those pairs whose full shingle sets are similar enough.
 
+    Only texts that a bitmap of the pairs' ids lets through are shuffled.
     Both sides bring their text once by doc_id; the set of b then travels to
     a.  Both joins are plain equi-joins, so AQE splits a document with very
     many partners over tasks.
     """
 
+    texts = _candidates(texts, pairs)
+
     def sets(side: DataFrame) -> DataFrame:
         kept = [c for c in side.columns if c != "doc_id"]
         return texts.join(side, "doc_id").mapInArrow(_sets(shingle), ", ".join(f"{c} long" for c in ["doc_id", *kept]) + ", shingles array<long>")
