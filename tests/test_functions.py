@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from varaka.functions import text as T
 from varaka.operators import evaluate as E
 from varaka.operators import letters as L
+from varaka.operators import records as P
 from varaka.operators import retrieve as R
 from varaka.operators import splits as S
 from varaka.sources import io
@@ -108,3 +109,38 @@ def test_readers(spark, tmp_path):
     (tmp_path / "Valid").mkdir()
     (tmp_path / "Valid" / "A_0001.txt").write_text("metin")
     assert [tuple(r) for r in io.read_text_pairs(spark, str(tmp_path)).collect()] == [("valid", "A_0001", "metin")]
+
+
+def test_padding_goes_before_the_salutation(spark):
+    pad = T.pad_to_words(F.col("s"), ["bir iki", "üç"], 6)
+    assert one(spark, pad, s="a b Saygılarımla,") == "a b bir iki\n\nüç\n\nSaygılarımla,"
+    assert one(spark, pad, s="a b c") == "a b c bir iki üç"
+
+
+def test_record_reasons(spark):
+    schema = "s string, labels struct<document_type:string,sender_type:string,primary_topic:string,requested_action:string,key_information:array<struct<type:string,value:string>>,missing_information:array<string>,summary:string>, keys array<string>"
+    good, text = ("BILGI_TALEBI", "VATANDAS", "SU", "su faturasının dökümü", [("PERSON", "A")], [], "dökümü istiyor"), "x" * 40
+    change = lambda i, v: good[:i] + (v,) + good[i + 1 :]
+    cases = [
+        ("x", good, [], "short_text"), (None, good, [], "short_text"), (text, None, [], "no_labels"), (text, good, ["unit"], "forbidden_key"), (text, change(0, "X"), [], "document_type"), (text, change(1, None), [], "sender_type"),
+        (text, change(2, "YOL"), [], "primary_topic"), (text, change(3, "kısa"), [], "short_action"), (text, change(3, " Gereginin yapılması. "), [], "generic_action"), (text, change(4, None), [], "no_key_information"),
+        (text, change(4, [("X", "A")]), [], "key_information_type"), (text, change(4, [("PERSON", " ")]), [], "key_information_value"), (text, change(5, ["adres"]), [], "missing_information"), (text, change(6, "kısa"), [], "short_summary"), (text, good, [], None),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], schema)
+    found = df.select(P.record_problem(F.col("s"), F.col("labels"), F.lit("SU"), ["PERSON"], F.col("keys"), ("unit",)).alias("r")).collect()
+    assert [r[0] for r in found] == [c[3] for c in cases]
+
+
+def test_queries_of_an_analysis(spark):
+    ask = P.build_queries(F.col("p"), F.col("a"))
+    assert one(spark, ask, p="imar mevzuatı 3194", a="ruhsat verilmesi") == ["imar mevzuatı", "ruhsat verilmesi"]
+    assert one(spark, ask, p="imar mevzuatı", a="IMAR MEVZUATI".lower()) == ["imar mevzuatı", "imar mevzuati"]
+    assert one(spark, ask, p="imar mevzuatı", a="Gül mahallesi Lale sokak 5") == ["imar mevzuatı"]
+    assert one(spark, ask, p="", a="kısa") == [P.DEFAULT_PHRASE]
+
+
+def test_article_windows_cover_every_word(spark):
+    text = "giriş\nMadde 1 " + " ".join(map(str, range(1000))) + "\nMadde 2 kısa"
+    rows = P.chunk_articles(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("article", "part").collect()
+    assert [(r["article"], r["part"], r["n_words"]) for r in rows] == [(1, 0, 1), (2, 0, 380), (2, 1, 380), (2, 2, 370), (3, 0, 3)]
+    assert {w for r in rows for w in r["text"].split()} == set(text.split())

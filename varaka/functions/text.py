@@ -233,7 +233,14 @@ def court_header(source: Column) -> Column:
     return F.when(low.contains("danıştay") | low.contains("danistay"), "DANIŞTAY").otherwise("YARGITAY")
 
 
-def pad_to_words(draft: Column, fillers: list[str], least: int = 200, most: int = 12) -> Column:
-    """Rotating filler sentences are appended until the text has enough words."""
-    options = F.array(*map(F.lit, fillers))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), draft, lambda d, i: F.when(word_count(d) < least, F.concat_ws("\n", d, F.get(options, F.pmod(i, F.lit(len(fillers)))))).otherwise(d))
+def pad_to_words(draft: Column, fillers: list[str], least: int = 200, most: int = 12, salutation: str = "Saygılarımla,") -> Column:
+    """Rotating filler sentences go before the salutation, or to the end without one, until the text has enough words."""
+    options, mark = F.array(*map(F.lit, fillers)), F.lit(salutation)
+
+    def step(d: Column, i: Column) -> Column:
+        filler, at = F.get(options, F.pmod(i, F.lit(len(fillers)))), F.instr(d, mark)
+        before = F.concat(F.substr(d, F.lit(1), at - 1), filler, F.lit("\n\n"), F.substr(d, at))
+        longer = F.when(at > 0, before).otherwise(F.concat(d, F.lit(" "), filler))
+        return F.when(word_count(d) < least, longer).otherwise(d)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), draft, step)

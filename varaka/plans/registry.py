@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from varaka.functions import text as T
 from varaka.operators import evaluate as E
 from varaka.operators import letters as L
+from varaka.operators import records as P
 from varaka.operators import retrieve as R
 from varaka.operators import splits as S
 
@@ -358,3 +359,53 @@ job("R2_split_queries", "SELECT doc_id, CASE WHEN trim(u) = '' THEN NULL ELSE tr
 )
 job("G4_char_error", "SELECT p_partkey, round(levenshtein(p_brand, p_type)::DOUBLE / length(p_brand), 8) AS error FROM part")(lambda t: t.part.select("p_partkey", F.round(E.char_error(F.col("p_brand"), F.col("p_type")), 8).alias("error")))
 job("G5_turkish_char_error")(lambda t: t.part.select("p_partkey", E.turkish_char_errors(F.col("p_type"), F.col("p_brand")).alias("e")).select("p_partkey", "e.total", "e.errors"))
+
+# --- records and retrieval inputs -------------------------------------------------------------------------------
+
+BARE = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@job("F5_validate_record", f"""SELECT doc_id, CASE WHEN length({BARE.format('text')}) < 40 THEN 'short_text' WHEN doc_id % 6 = 5 THEN 'document_type' WHEN doc_id % 11 = 0 THEN 'primary_topic'
+  WHEN length({BARE.format('substr(text, 31, 30)')}) < 10 THEN 'short_action' WHEN source = 'src1' THEN 'key_information_type' WHEN n_chars % 7 = 0 THEN 'missing_information' END AS reason FROM documents""")
+def record_reasons(t: Tables) -> DataFrame:
+    kinds = F.array(*map(F.lit, [*P.DOCUMENT_TYPES, "DIGER"]))
+    labels = F.struct(
+        F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("document_type"), F.lit("VATANDAS").alias("sender_type"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("primary_topic"),
+        F.substring("text", 31, 30).alias("requested_action"), F.array(F.struct(F.when(F.col("source") == "src1", "OTHER").otherwise("PERSON").alias("type"), F.col("source").alias("value"))).alias("key_information"),
+        F.when(F.col("n_chars") % 7 == 0, F.array(F.lit("adres"))).otherwise(F.expr("cast(array() as array<string>)")).alias("missing_information"), F.lit("on harften uzun").alias("summary"),
+    )
+    return t.documents.select("doc_id", P.record_problem(F.col("text"), labels, F.col("lang"), ["PERSON"]).alias("reason"))
+
+
+@job("F11_accept_generated", "SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'response_type' WHEN o_orderstatus <> 'F' THEN 'process_status' WHEN o_custkey % 10 = 0 THEN 'incomplete' END AS reason FROM orders")
+def generated_reasons(t: Tables) -> DataFrame:
+    values = {"response_type": F.col("o_orderpriority"), "process_status": F.col("o_orderstatus"), "draft": F.when(F.col("o_custkey") % 10 != 0, "metin")}
+    answer = F.to_json(F.struct(*(values.get(k, F.lit("x")).alias(k) for k in P.LETTER_FIELDS)))
+    return t.orders.select("o_orderkey", P.generated_problem(answer, F.lit("1-URGENT"), F.lit("F")).alias("reason"))
+
+
+NO_NUMBERS = "trim(regexp_replace(regexp_replace({}, '\\b[0-9]{{3,5}}\\b', ' ', 'g'), '\\s{{2,}}', ' ', 'g'))"
+MARKS = " + ".join(f"contains(lower(a), '{m}')::INT" for m in P.ADDRESS_MARKS)
+job("R1_build_queries", f"""WITH x AS (SELECT doc_id, source || ' mevzuatı' AS p, substr(text, 1, 60) AS a FROM documents), y AS (SELECT doc_id, {NO_NUMBERS.format('p')} AS p, CASE WHEN {MARKS} < 2 THEN {NO_NUMBERS.format('trim(a)')} END AS a FROM x)
+  SELECT doc_id, CASE WHEN length(a) >= 8 AND lower(a) <> lower(p) THEN p || '|' || a ELSE p END AS queries FROM y""")(
+    lambda t: t.documents.select("doc_id", F.array_join(P.build_queries(F.concat("source", F.lit(" mevzuatı")), F.substring("text", 1, 60)), "|").alias("queries"))
+)
+CHUNKS = """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), i AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS article FROM x),
+  w AS (SELECT doc_id, article, list_filter(regexp_split_to_array(lines[article], '\\s+'), lambda t: t <> '') AS w FROM i), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),
+  k AS (SELECT *, unnest(range(CASE WHEN n <= 48 THEN 1 ELSE ceil((n - 6) / 32.0)::BIGINT END)) AS part FROM n),
+  c AS (SELECT doc_id, article, part, n < 40 AS short, CASE WHEN n <= 48 THEN w ELSE w[part * 32 + 1 : part * 32 + 38] END AS cut FROM k)"""
+
+
+def line_chunks(t: Tables) -> DataFrame:
+    return P.chunk_articles(t.documents, "\n", 38, 48, 6)
+
+
+job("R3_chunk_articles", CHUNKS + " SELECT doc_id, article, part, len(cut) AS n_words, short, array_to_string(cut, ' ') AS text FROM c")(
+    lambda t: line_chunks(t).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("article", "part", "n_words")), "short", "text")
+)
+job("R4_ingest_report", CHUNKS + " SELECT doc_id, count(*) AS n_chunks, sum((part = 0)::INT)::BIGINT AS n_articles, max(len(cut)) AS longest, sum((part = 0 AND short)::INT)::BIGINT AS n_short FROM c GROUP BY 1")(
+    lambda t: P.ingest_report(line_chunks(t)).withColumn("longest", F.col("longest").cast("long"))
+)
+job("P17_draft_context", "SELECT doc_id, to_json({input: source, decision: {quality: quality, toxic: toxic}})::VARCHAR AS context FROM documents JOIN labels USING (doc_id)")(
+    lambda t: t.documents.join(t.labels, "doc_id").select("doc_id", P.draft_context(F.col("source"), F.struct("quality", "toxic", F.lit("x").alias("draft"))).alias("context"))
+)
