@@ -257,7 +257,8 @@ BM25 = f"""WITH x AS (SELECT doc_id AS pos, {tokens_sql('text')} AS toks FROM do
   s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM x), d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, s), e AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
   q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark),
-  sc AS (SELECT query_id, pos, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN e USING (term) JOIN tf USING (term), s GROUP BY 1, 2),
+  hit AS (SELECT query_id, pos, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN e USING (term) JOIN tf USING (term), s GROUP BY 1, 2),
+  sc AS (SELECT item_id AS query_id, x.pos, coalesce(score, 0) AS score FROM benchmark CROSS JOIN x LEFT JOIN hit ON query_id = item_id AND hit.pos = x.pos),
   bm AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sc)"""
 DENSE = """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
   ds AS (SELECT a.vec_id AS query_id, b.vec_id AS pos, round(list_inner_product(a.e, b.e), 6) AS score, a.label = b.label AS same FROM v a, v b WHERE a.vec_id < 20 AND b.vec_id >= 20),
