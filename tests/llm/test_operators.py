@@ -108,6 +108,38 @@ def test_scores(spark):
     assert lm_score.scores(empty(spark)).count() == 0
 
 
+def test_scores_use_the_ngrams_of_rare_words(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 4000, 4000))) for i in range(100)]
+    learned = [i for i in range(100, 120) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows += [(i, "rare pair here") for i in (*learned[:2], None)]  # seen twice: a share under 2^-17
+    tokens = [(i, [*WORD.findall(t), ""]) for i, t in rows]
+    grams = [Counter(), Counter(), Counter()]
+    for i, ts in tokens:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            for k in range(3):
+                grams[k].update(zip(*(ts[j:] for j in range(k + 1)), strict=False))
+    n, v = sum(grams[0].values()), len(grams[0])
+    arcs = [grams[0], *({g: c for g, c in x.items() if c >= 2} for x in grams[1:])]
+    taken = Counter()
+    for x in arcs[1:]:
+        for g, c in x.items():
+            taken[g[:-1]] += c - lm_score.DISCOUNT
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0][g] + 1) / (n + v + 1)
+        over, m = grams[len(g) - 2][g[:-1]], arcs[len(g) - 1].get(g, 0)
+        rest = 1 - taken[g[:-1]] / over if over else 1
+        return (m - lm_score.DISCOUNT) / over * (m > 0) + rest * p(g[1:]) if over else p(g[1:])
+
+    expected = {i: sum(np.log10(p(tuple(ts[max(0, k - 2) : k + 1]))) for k in range(len(ts))) for i, ts in tokens}
+    found = lm_score.scores(docs(spark, rows)).collect()
+    assert len(found) == len(rows) and n > 2 * 2**17
+    for r in found:
+        assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6 * max(1, abs(expected[r["doc_id"]]))
+
+
 def test_the_automaton_is_a_distribution():
     rng = np.random.default_rng(0)
     u, total, distinct = 6, 1000, 40

@@ -1,20 +1,22 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counting: word counts of the training texts are aggregated for every word.
-Words of relative frequency ``FREQUENT`` or more may stand in longer n-grams;
-bigrams and trigrams of them are counted over all training texts too, and those
-of relative frequency ``KEPT`` or more (and seen at least twice) become arcs.
-Both thresholds are shares of the corpus, so they act alike at every size and
-bound the automaton: at most 1 / FREQUENT words and 1 / KEPT n-grams of either
-order, which is what may be sent to all tasks.  The counts of rarer words are
-unbounded and travel only to the blocks of documents that use them.
+Counting: words, bigrams and trigrams of all training texts are counted by
+64-bit keys.  Every word has its count; bigrams and trigrams seen ``LEAST``
+times or more become arcs, however rare their words are.  Nothing of the model
+is gathered in one place: documents are dealt into blocks of bounded size, a
+block sends its distinct keys with its counts to the buckets of the keys, and a
+bucket answers with the counts over all blocks: first words and bigrams, then
+the trigrams both of whose bigrams are arcs (no other can be seen so often).
+A third exchange of the same kind adds up what each context has given to its
+arcs; of the blocks that use an n-gram one owns it, so it is added once.
 
 Model: interpolated absolute discounting over add-one word probabilities,
 written as an automaton.  A state is a context (none, a word, two words); an arc
 carries log10 of its interpolated probability; the failure arc to the shorter
-context carries log10 of the mass left over.  Scoring walks each text once from
-left to right, in lanes of many texts at a time, and adds up the arcs taken;
-lanes of one long text begin with the two words before them.
+context carries log10 of the mass left over.  A block builds the states and
+arcs its texts can reach and walks each text once from left to right, in lanes
+of many texts at a time, adding up the arcs taken; lanes of one long text begin
+with the two words before them.
 
 Defined cases: a null or word-less text is its end token alone; without
 training tokens N and V are 0 and every token has probability 1 (log 0); rows
@@ -25,7 +27,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varaka.llm.stage import Tables
-from varaka.llm.text import BASE, Words, mix, words
+from varaka.llm.text import Words, mix, words
 
-FREQUENT, KEPT = 2.0**-17, 2.0**-22
+LEAST = 2
 DISCOUNT = 0.75
 LANE = 256
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 2_000_000
+BLOCKS_A_BUCKET = 3
 END = np.uint64(0xE4D0F7E47E4D0F7E)
-COUNTS = "word long, n long"
+ASKED = "block int, bucket int, keys binary, n binary, m binary"
+ANSWERS = "block int, bucket int, n binary, m binary, total long, distinct long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -59,129 +62,212 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if weights is None:
-        return np.unique(keys, return_counts=True)
-    values, back = np.unique(keys, return_inverse=True)
-    return values, np.bincount(back, weights, len(values)).astype(np.int64)
-
-
-class _Sums:
-    """Counts by key, merged whenever they have doubled; handed out in bounded parts."""
-
-    def __init__(self, limit: int = 4_000_000):
-        self.limit, self.parts, self.size = limit, [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(_counted(keys))
-        self.size += len(self.parts[-1][0])
-        if self.size > self.limit:
-            keys, counts = self.merged()
-            self.parts, self.size = [(keys, counts)], len(keys)
-            if self.size > self.limit // 2:
-                yield from self.out()
-
-    def merged(self):
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return _counted(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
-
-    def out(self) -> Iterator[pa.RecordBatch]:
-        keys, counts = self.merged()
-        self.parts, self.size = [], 0
-        for i in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], names=["word", "n"])
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = _Sums()
-    for b in batches:
-        for w in words(b.column(0)):
-            yield from sums.add(tokens(w)[0])
-    yield from sums.out()
-
-
-def numbered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """1 + place in the sorted ``frequent`` words, 0 for the others."""
-    at = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
-    return np.where(frequent[at] == hashes, at + 1, 0).astype(np.int64) if len(frequent) else np.zeros(len(hashes), np.int64)
-
-
-def _grams(frequent, order: int):
-    """Counts of the n-grams of frequent words, keyed by their packed numbers (21 bits each)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = frequent.value, _Sums()
-        for b in batches:
-            for w in words(b.column(0)):
-                hashes, at = tokens(w)
-                ids = numbered(hashes, table)
-                key, ok = ids.copy(), ids > 0
-                for k in range(1, order):
-                    key[:-k] = (key[:-k] << 21) | ids[k:] if len(ids) > k else 0
-                    ok[:-k] &= ids[k:] > 0
-                    ok[-k:] = False
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                if len(ids) >= order:
-                    ok[: len(ids) - order + 1] &= doc[: len(ids) - order + 1] == doc[order - 1 :]
-                yield from sums.add(key[ok].view(np.uint64))
-        yield from sums.out()
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, lowest bytes first: the planes of small numbers are zeros, which compress."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: list[bytes]) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for x in data]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _key(order: int, *hashes: np.ndarray) -> np.ndarray:
+    """Keys of n-grams; the two lowest bits hold the order."""
+    key = hashes[0]
+    for h in hashes[1:]:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h)
+    return (key & ~np.uint64(3)) | np.uint64(order)
+
+
+class Grams:
+    """The n-grams of a block: distinct ``keys``, and for every token the places of the n-grams that begin with it (-1: none).
+
+    The keys of words and bigrams are sorted; ``trigrams`` puts those of trigrams, sorted too, behind them, from ``begin`` on.
+    """
+
+    def __init__(self, rows: pa.Table):
+        hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in rows.to_batches(max_chunksize=500):
+            for w in words(batch.column("text")):
+                part, at = tokens(w)
+                hashes.append(part)
+                sizes.append(np.diff(at))
+        self.hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+        self.at = np.append(0, sizes.cumsum())
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.learn = ~(np.asarray(rows.column("held_out")) | np.asarray(rows.column("doc_id").is_null()))[self.doc]
+        h, self.two = self.hashes, np.flatnonzero(self.doc[1:] == self.doc[:-1])
+        self.keys, place = np.unique(np.concatenate([_key(1, h), _key(2, h[self.two], h[self.two + 1])]), return_inverse=True)
+        self.begin = len(self.keys)
+        self.order = (self.keys & np.uint64(3)).astype(np.int64)
+        self.one, self.pair = place[: len(h)], np.full(len(h), -1)
+        self.pair[self.two] = place[len(h) :]
+        self.n = np.bincount(place, np.concatenate([self.learn, self.learn[self.two]]), len(self.keys)).astype(np.int64)
+        # the shorter contexts of an n-gram: without its last word, and without its first
+        self.context, self.shorter = np.full(len(self.keys), -1), np.full(len(self.keys), -1)
+        self.context[self.pair[self.two]], self.shorter[self.pair[self.two]] = self.one[self.two], self.one[self.two + 1]
+
+    def trigrams(self, n: np.ndarray) -> None:
+        """Add the trigrams whose bigrams count ``LEAST`` or more; ``n``: the counts of words and bigrams."""
+        known = np.append(n, 0)[self.pair] >= LEAST  # place -1: none
+        three = np.flatnonzero(known[:-2] & known[1:-1] & (self.doc[2:] == self.doc[:-2]))
+        h = self.hashes
+        keys, first, place = np.unique(_key(3, h[three], h[three + 1], h[three + 2]), return_index=True, return_inverse=True)
+        self.keys = np.concatenate([self.keys, keys])
+        self.order = np.concatenate([self.order, np.full(len(keys), 3)])
+        self.n = np.concatenate([self.n, np.bincount(place, self.learn[three], len(keys)).astype(np.int64)])
+        self.context = np.concatenate([self.context, self.pair[three[first]]])
+        self.shorter = np.concatenate([self.shorter, self.pair[three[first] + 1]])
+
+
+def _asked(block: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray, buckets: int) -> pa.Table:
+    """One row for each bucket of the sorted ``keys``, with two numbers for each key."""
+    cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    pieces = [slice(cut[k], cut[k + 1]) for k in range(buckets)]
+    filled = [k for k, x in enumerate(pieces) if x.stop > x.start]
+    columns = [[block] * len(filled), filled, [packed(np.diff(keys[pieces[k]].view(np.int64), prepend=0)) for k in filled], *([packed(x[pieces[k]]) for k in filled] for x in (n, m))]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "bucket", "keys", "n", "m"])
+
+
+def _ask(buckets: int, step: int):
+    """What a block asks in a step, given the answers to the steps before.
+
+    0: counts of words and bigrams.  1: counts of trigrams.  2: what the arcs that a block owns take from their contexts (sum of counts, number of arcs).
+    """
+
+    def first(rows: pa.Table) -> pa.Table:
+        g = Grams(rows)
+        return _asked(rows.column("block")[0].as_py(), g.keys, g.n, np.zeros_like(g.n), buckets)
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            return _asked(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), buckets)
+        g, block = Grams(rows), rows.column("block")[0].as_py()
+        n, own = _counts(g, answers, step)
+        if step == 1:
+            return _asked(block, g.keys[g.begin :], g.n[g.begin :], np.zeros_like(g.n[g.begin :]), buckets)
+        arcs = np.flatnonzero((g.order > 1) & (n >= LEAST) & (own == 1))
+        at = _contexts(g, n)
+        s, k = np.bincount(g.context[arcs], n[arcs], len(n)).astype(np.int64), np.bincount(g.context[arcs], minlength=len(n))
+        return _asked(block, g.keys[at], s[at], k[at], buckets)
+
+    return run if step else first
+
+
+def _answer(counts: bool):
+    """The sums over all blocks of a bucket, in the order in which each block asked.
+
+    ``counts``: n-grams under ``LEAST`` count 0, ``m`` is 1 for the block that owns the key, and the bucket's tokens and words are given once.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        blobs = rows.column("keys").to_pylist()
+        sizes = np.array([len(x) // 8 for x in blobs])
+        keys, first, place = np.unique(np.concatenate([unpacked([x]).cumsum().view(np.uint64) for x in blobs]), return_index=True, return_inverse=True)
+        n, m = (np.bincount(place, unpacked(rows.column(c).to_pylist()), len(keys)).astype(np.int64) for c in "nm")
+        total = distinct = 0
+        if counts:
+            order = keys & np.uint64(3)
+            n[(order > 1) & (n < LEAST)] = 0
+            total, distinct = int(n[order == 1].sum()), int((n[order == 1] > 0).sum())
+            own = np.zeros(len(place), np.int64)
+            own[first] = 1
+        cut = sizes.cumsum()[:-1]
+        answers = [[packed(x) for x in np.split(c, cut)] for c in (n[place], own if counts else m[place])]
+        once = lambda x: pa.array([x] + [0] * (len(blobs) - 1), pa.int64())
+        return pa.table([rows.column("block"), rows.column("bucket"), *(pa.array(x, pa.binary()) for x in answers), once(total), once(distinct)], names=["block", "bucket", "n", "m", "total", "distinct"])
 
     return run
 
 
+def _read(answers: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers of each key asked for in a step, in the order of the keys."""
+    mine = answers.filter(pa.array(answers.column("step").to_numpy() == step))
+    order = np.argsort(mine.column("bucket").to_numpy())
+    n, m = (mine.column(c).to_pylist() for c in "nm")
+    return unpacked([n[i] for i in order]), unpacked([m[i] for i in order])
+
+
+def _counts(g: Grams, answers: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and owners of the keys, as far as they are known before ``step``; adds the trigrams."""
+    n, own = _read(answers, 0)
+    g.trigrams(n)
+    if step == 1:
+        return n, own
+    more = _read(answers, 1)
+    return np.concatenate([n, more[0]]), np.concatenate([own, more[1]])
+
+
+def _contexts(g: Grams, n: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be contexts of arcs."""
+    return np.flatnonzero((g.order < 3) & (n >= LEAST))
+
+
 @dataclass
 class Automaton:
-    """States 0 (no context), 1..U (a frequent word), U+1.. (two words); arcs sorted by state << 21 | word."""
+    """States 0 (no context), 1..U (a word), U+1.. (two words); arcs sorted by state << 32 | word."""
 
-    frequent: np.ndarray
     unigram: np.ndarray
     fail: np.ndarray
     fail_weight: np.ndarray
     arcs: np.ndarray
     arc_weight: np.ndarray
     arc_to: np.ndarray
-    total: int
-    distinct: int
-
-
-def build(frequent: np.ndarray, counts: np.ndarray, pairs, triples, total: int, distinct: int) -> Automaton:
-    """States and arcs from the counts of frequent words, bigrams and trigrams (packed keys, counts)."""
-    u = len(frequent)
-    p1 = np.append(0, (counts + 1) / (total + distinct + 1))
-    key2, n2 = (np.asarray(x, np.int64) for x in pairs)
-    key3, n3 = (np.asarray(x, np.int64) for x in triples)
-    first, second = key2 >> 21, key2 & 0x1FFFFF
-    count1 = np.append(0, counts).astype(np.float64)
-    left = np.ones(u + 1)
-    used = np.bincount(first, n2 - DISCOUNT, u + 1)
-    left[1:] -= used[1:] / np.maximum(count1[1:], 1)
-    p2 = (n2 - DISCOUNT) / np.maximum(count1[first], 1) + left[first] * p1[second]
-    # contexts of two words: kept bigrams that begin a kept trigram
-    context = np.unique(key3 >> 21)
-    at2 = np.searchsorted(key2, context)
-    n_context = n2[at2].astype(np.float64) if len(context) else np.zeros(0)
-    owner = np.searchsorted(context, key3 >> 21)
-    left2 = 1 - np.bincount(owner, n3 - DISCOUNT, len(context)) / np.maximum(n_context, 1) if len(context) else np.zeros(0)
-    third = key3 & 0x1FFFFF
-    # probability of the last word in the shorter context
-    shorter = key3 & ((1 << 42) - 1)
-    at = np.minimum(np.searchsorted(key2, shorter), max(len(key2) - 1, 0))
-    middle = (key3 >> 21) & 0x1FFFFF
-    lower = np.where(key2[at] == shorter, p2[at], left[middle] * p1[third]) if len(key2) else np.zeros(0)
-    p3 = (n3 - DISCOUNT) / np.maximum(n_context[owner], 1) + left2[owner] * lower if len(context) else np.zeros(0)
 
-    def state_of(pair: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(context, pair), max(len(context) - 1, 0))
-        return np.where(context[k] == pair, u + 1 + k, pair & 0x1FFFFF) if len(context) else pair & 0x1FFFFF
 
-    arcs = np.concatenate([key2, ((u + 1 + owner) << 21) | third])
+def assemble(p1, n1, left, first, second, n2, context, left2, owner, third, n3, lower) -> Automaton:
+    """States and arcs.
+
+    ``p1``, ``n1``, ``left``: by word (0: none).  ``first``, ``second``, ``n2``: the bigrams.  ``context``, ``left2``: which bigrams are states.
+    ``owner``, ``third``, ``n3``, ``lower``: the trigrams, with the place of their state among ``context`` and of their last two words among the bigrams (-1: not kept).
+    """
+    u = len(p1) - 1
+    p2 = (n2 - DISCOUNT) / np.maximum(n1[first], 1) + left[first] * p1[second]
+    shorter = np.where(lower >= 0, p2[lower], left[second[context[owner]]] * p1[third]) if len(owner) else np.zeros(0)
+    p3 = (n3 - DISCOUNT) / np.maximum(n2[context[owner]], 1) + left2[owner] * shorter
+    state = second.copy()  # of a bigram: its own, else that of its last word
+    state[context] = u + 1 + np.arange(len(context))
+    arcs = np.concatenate([(first << 32) | second, ((u + 1 + owner) << 32) | third])
     weight = np.log10(np.concatenate([p2, p3]))
-    to = np.concatenate([state_of(key2), state_of(shorter)])
+    to = np.concatenate([state, np.where(lower >= 0, state[lower], third) if len(owner) else third])
     order = np.argsort(arcs, kind="stable")
-    fail = np.concatenate([np.zeros(u + 1, np.int64), context & 0x1FFFFF])
+    fail = np.concatenate([np.zeros(u + 1, np.int64), second[context]])
     fail_weight = np.log10(np.maximum(np.concatenate([[1.0], left[1:], left2]), 1e-12))
-    return Automaton(frequent, np.log10(np.maximum(p1, 1e-300)), fail, fail_weight, arcs[order], weight[order], to[order], total, distinct)
+    return Automaton(np.log10(np.maximum(p1, 1e-300)), fail, fail_weight, arcs[order], weight[order], to[order])
+
+
+def build(words_: np.ndarray, counts: np.ndarray, pairs, triples, total: int, distinct: int) -> Automaton:
+    """The whole automaton of a small vocabulary: counts of words, bigrams and trigrams (sorted keys of numbers from 1 on, 21 bits each)."""
+    u = len(words_)
+    p1, n1 = np.append(0, (counts + 1) / (total + distinct + 1)), np.append(0, counts).astype(np.float64)
+    (key2, n2), (key3, n3) = ((np.asarray(k, np.int64), np.asarray(n, np.int64)) for k, n in (pairs, triples))
+    left = 1 - np.bincount(key2 >> 21, n2 - DISCOUNT, u + 1) / np.maximum(n1, 1)
+    states, owner = np.unique(key3 >> 21, return_inverse=True)
+    context = np.searchsorted(key2, states)
+    left2 = 1 - np.bincount(owner, n3 - DISCOUNT, len(states)) / np.maximum(n2[context], 1)
+    shorter = key3 & ((1 << 42) - 1)
+    at = np.minimum(np.searchsorted(key2, shorter), max(len(key2) - 1, 0))
+    lower = np.where(key2[at] == shorter, at, -1) if len(key2) else np.zeros(0, np.int64)
+    return assemble(p1, n1, left, key2 >> 21, key2 & 0x1FFFFF, n2, context, left2, owner, key3 & 0x1FFFFF, n3, lower)
+
+
+def of_block(g: Grams, n: np.ndarray, s: np.ndarray, k: np.ndarray, below: int) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs that a block's texts can reach, and the tokens' word numbers; ``s``, ``k``: what the arcs of each context take from it."""
+    left = 1 - (s - DISCOUNT * k) / np.maximum(n, 1)
+    known = lambda order: np.flatnonzero((g.order == order) & ((n >= LEAST) | (order == 1)))
+    one, two, three = known(1), known(2), known(3)
+    number = np.full(len(g.keys), -1)
+    number[one] = 1 + np.arange(len(one))
+    number[two] = np.arange(len(two))
+    context = np.flatnonzero(k[two] > 0)
+    state = np.full(len(two), -1)
+    state[context] = np.arange(len(context))
+    first, second = number[g.context[two]], number[g.shorter[two]]
+    lower = number[g.shorter[three]]
+    p1 = np.append(0, (n[one] + 1) / below)
+    a = assemble(p1, np.append(0, n[one]), np.append(1, left[one]), first, second, n[two], context, left[two][context], state[number[g.context[three]]], second[lower], n[three], lower)
+    return a, number[g.one]
 
 
 def walk(a: Automaton, ids: np.ndarray, root: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -221,7 +307,7 @@ def _step(a: Automaton, state: np.ndarray, word: np.ndarray, root: np.ndarray) -
         if not len(open_):
             break
         s, w = state[open_], word[open_]
-        key = (s << 21) | w
+        key = (s << 32) | w
         at = np.minimum(np.searchsorted(a.arcs, key), max(len(a.arcs) - 1, 0))
         hit = (a.arcs[at] == key) & (w > 0) if len(a.arcs) else np.zeros(len(s), bool)
         taken = open_[hit]
@@ -233,85 +319,47 @@ def _step(a: Automaton, state: np.ndarray, word: np.ndarray, root: np.ndarray) -
     return out, gained
 
 
-def _rare(frequent):
-    """(block, word) for the words of a block of documents that are not frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value
-        for b in batches:
-            block = b.column(0).to_numpy()
-            for w in words(b.column(1)):
-                new = numbered(w.hashes, table) == 0
-                owner = block[w.first + w.doc_of_word()[new]].astype(np.uint64)
-                _, at = np.unique(mix(w.hashes[new]) + owner * np.uint64(BASE), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(owner[at].astype(np.int32)), pa.array(w.hashes[new][at].view(np.int64))], names=["block", "word"])
-
-    return run
-
-
-def _score(automaton, names: list[str]):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a = automaton.value
-        known = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, counts = known[order], right.column("n").to_numpy()[order]
-        out = []
-        below = a.total + a.distinct + 1
-        for batch in left.to_batches(max_chunksize=500):
-            for w in words(batch.column("text")):
-                hashes, at = tokens(w)
-                ids = numbered(hashes, a.frequent)
-                rare = np.flatnonzero(ids == 0)
-                k = np.minimum(np.searchsorted(known, hashes[rare]), max(len(known) - 1, 0))
-                c = np.where(known[k] == hashes[rare], counts[k], 0) if len(known) else np.zeros(len(rare), np.int64)
-                root = a.unigram[ids]
-                root[rare] = np.log10((c + 1) / below)
-                seen = np.ones(len(ids), np.int64)
-                seen[rare] = c > 0
-                total = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else x[:0]
-                part = batch.slice(w.first, len(w))
-                out.append(pa.table([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(total(seen)), pa.array(total(root)), pa.array(walk(a, ids, root, at))], names=names))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        schema = pa.schema(list(zip(names, kinds, strict=True)))
-        return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
+def _score(below: int, names: list[str]):
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            return schema.empty_table()
+        g = Grams(rows)
+        n, _ = _counts(g, answers, 3)
+        s, k = np.zeros_like(n), np.zeros_like(n)
+        at = _contexts(g, n)
+        s[at], k[at] = _read(answers, 2)
+        a, ids = of_block(g, n, s, k, below)
+        root, seen = a.unigram[ids], (n[g.one] > 0).astype(np.int64)
+        total = lambda x: np.add.reduceat(x, g.at[:-1])
+        columns = [rows.column("doc_id"), rows.column("held_out"), np.diff(g.at), total(seen), total(root), walk(a, ids, root, g.at)]
+        return pa.table(columns, names=names).cast(schema)
 
     return run
 
 
-def train(docs: DataFrame, t: Tables) -> tuple[Automaton, DataFrame]:
-    """The automaton and the counts (word, n) of all training words."""
-    spark = docs.sparkSession
-    learn = docs.where(~held_out() & F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("text"))
-    counts = t.keep(learn.mapInArrow(_words, COUNTS).groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("n") >= max(2.0, FREQUENT * total)).toPandas()  # at most 1 / FREQUENT rows
-    frequent = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, n1 = frequent[order], top["n"].to_numpy(np.int64)[order]
-    shared = spark.sparkContext.broadcast(frequent)
-    kept = []
-    for n in (2, 3):  # at most 1 / KEPT rows each
-        rows = learn.mapInArrow(_grams(shared, n), COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
-        rows = t.keep(rows.where(F.col("n") >= max(2.0, KEPT * total))).toPandas().sort_values("word")
-        kept.append((rows["word"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
-    (key2, n2), (key3, n3) = kept
-    has_context = np.isin(key3 >> 21, key2)
-    return build(frequent, n1, (key2, n2), (key3[has_context], n3[has_context]), int(total), int(distinct)), counts
-
-
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = docs.sparkSession
     t = Tables(spark, "lm")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    automaton, counts = train(rows, t)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, int(size) // BLOCK_BYTES)
+    buckets = max(1, blocks // BLOCKS_A_BUCKET)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocked = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    words_of = blocked.select("block", "text").mapInArrow(_rare(spark.sparkContext.broadcast(automaton.frequent)), "block int, word long").distinct()
-    slices = t.keep(words_of.join(counts, "word").select("block", "word", "n"))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    blocked = rows.select(block, "doc_id", held_out().alias("held_out"), "text").repartition(parts, "block").groupBy("block")
+    answers = None
+    for step in range(3):
+        asked = (blocked.cogroup(answers.groupBy("block")) if step else blocked).applyInArrow(_ask(buckets, step), ASKED)
+        kept = t.keep(asked.groupBy("bucket").applyInArrow(_answer(step < 2), ANSWERS))
+        if step == 0:
+            total, distinct = kept.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        kept = kept.select("block", "bucket", "n", "m", F.lit(step).alias("step"))
+        answers = kept if answers is None else answers.unionByName(kept)
+    answers = answers.withColumn("m", F.when(F.col("step") == 2, F.col("m")).otherwise(F.lit(b"")))  # owners are not asked for any more
     names = [c.split()[0] for c in SCORES.split(", ")]
-    run = _score(spark.sparkContext.broadcast(automaton), names)
-    out = blocked.repartition(parts, "block").groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(run, SCORES)
-    return out.withColumn("train_tokens", F.lit(automaton.total).cast("long"))
+    out = blocked.cogroup(answers.groupBy("block")).applyInArrow(_score(total + distinct + 1, names), SCORES)
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
