@@ -297,6 +297,22 @@ def test_html(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+        ("<html><head><meta x>\n<style>s</style>text", "text"),
+        ("<head><title>T</title></head><body>b", "b"),
+        ("<i class='a hidden b'>x</i><i title='a hidden gem'>y</i><i style='overflow: hidden !important'>z</i><i aria-hidden=true>w</i>", "xyzw"),
+        ("a<i hidden=''>x</i><i STYLE=\"color:red; Display : NONE !important\">y</i><i style=visibility:hidden>z</i><i data-x='style=display:none'>b</i>", "ab"),
+        ("<p>a <textarea>b &amp; c</textarea><select><option>d<option>e</select>", "a b & c\nd\ne"),
+        ("<svg><title>t</title><defs/><g>no<text>yes</text></g><defs><text>no</text></defs></svg>z", "yesz"),
+    ],
+)
+def test_html_text_that_is_shown(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_html_pages(spark):
     deep = "<div>" * 20_000 + "x"
     df = spark.createDataFrame([(1, None), (2, deep), (2, "<p>y"), (None, "")], "page_id long, html string").withColumn("text", F.lit("clash"))

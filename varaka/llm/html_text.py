@@ -13,7 +13,8 @@ time proportional to its length.
 
 Defined cases: null or empty HTML gives empty text; unclosed comments, tags and
 raw-text elements run to the end; stray end tags are ignored; rows that repeat a
-page_id each give a row; other columns are ignored.
+page_id each give a row; other columns are ignored.  An open head ends at the
+first tag or text that may not stand in it.  All options of a select are kept.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes svg canvas audio video object datalist title textarea select".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes canvas audio video object datalist title".split())
+UNSEEN_SVG = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+#: what may stand in head; another start tag, or text, closes it
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
-ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption li dd dt legend summary figcaption".split()) | {"li", "dd", "dt"}
+ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption li dd dt legend summary figcaption option optgroup".split()) | {"li", "dd", "dt"}
 # a start tag of the key closes an open element of the values, up to the nearest of the last set
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -53,10 +57,31 @@ IMPLIED = {
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
-HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*[\"']?true|type\s*=\s*[\"']?hidden")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names (lower case) and values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def hidden(raw: str) -> bool:
+    """Whether an element's attributes take it off the screen."""
+    found = attributes(raw)
+    if "hidden" in found:
+        return True
+    style = {}
+    for rule in COMMENT.sub("", found.get("style", "")).lower().split(";"):
+        name, _, value = rule.partition(":")
+        style[name.strip()] = value.partition("!")[0].strip()
+    return style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
+
+
 class Node:
     """An element: its name, attributes and children (elements and strings)."""
 
@@ -71,6 +96,12 @@ def build(page: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, n = 0, len(page)
+    svg, svg_at = None, 0  # the outermost open svg and its place
+
+    def add(text: str) -> None:
+        if stack[-1].name == "head" and text.strip():
+            stack.pop()
+        stack[-1].children.append(text)
 
     def close(names: set[str], stop: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -95,10 +126,10 @@ def build(page: str) -> Node:
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
-            stack[-1].children.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -111,14 +142,19 @@ def build(page: str) -> Node:
             stop = {"table"} if name not in ("table", "body", "html") else set()
             close({name}, stop)
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()
         if name in ENDS_P:
             close({"p"}, {"table", "td", "th", "button", "object"})
         if name in IMPLIED:
             close_all(*IMPLIED[name])
-        node = Node(name, m[3])
+        in_svg = svg is not None and svg_at < len(stack) and stack[svg_at] is svg
+        node = Node(name, "hidden" if in_svg and name in UNSEEN_SVG else m[3])
         stack[-1].children.append(node)
-        if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
+        if name in VOID or m[3].endswith("/") and (in_svg or name in ("svg", "path")):
             continue
+        if name == "svg" and not in_svg:
+            svg, svg_at = node, len(stack)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else n])
@@ -184,7 +220,7 @@ def render(root: Node) -> str:
                 out = tables.pop()[1]
             continue
         name = node.name
-        if name in UNSEEN or (node.attributes and HIDDEN.search(node.attributes)):
+        if name in UNSEEN or (node.attributes and hidden(node.attributes)):
             continue
         if name == "br":
             out.end(True) if pre else _break(out)
@@ -216,8 +252,8 @@ def render(root: Node) -> str:
             out.end()
             out.lead = "  " * max(0, len(counters) - 1) + mark
         work.append(((node,), pre, depth))
-        pre = pre or name == "pre"
-        work += [(c, pre, depth) for c in reversed(node.children)]
+        pre = pre or name in ("pre", "textarea")
+        work += [(c, pre, depth) for c in reversed(node.children) if name not in ("svg", "g") or not isinstance(c, str)]  # svg shows the text of its text elements
     out.end()
     return "\n".join(out.lines).strip("\n")
 
