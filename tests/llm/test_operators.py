@@ -202,6 +202,18 @@ def test_url_rules(spark):
     assert url_filter.judge(df.where("1 = 0"), queries.URL_RULES).count() == 0
 
 
+def test_every_segment_keeps_its_rate(spark):
+    rows = [(f"http://x.com/s{i}/{k}", i % 2) for i in range(30) for k in range(30 if i else 300)]
+    labelled = url_filter.parts(spark.createDataFrame(rows, "url string, bad int")).withColumnRenamed("bad", "__bad")
+    _, tables, prior = url_filter.train(labelled, limit=5)
+    found = {r["__segment"]: r["__segment_rate"] for r in url_filter.with_rates(labelled, tables, prior).collect()}
+    for i in range(30):
+        n = 30 if i else 300
+        assert abs(found[f"s{i}"] - (i % 2 * n + 10 * prior) / (n + 10)) < 1e-9
+    other = url_filter.parts(spark.createDataFrame([("http://x.com/new/1",)], "url string"))
+    assert url_filter.with_rates(other, tables, prior).first()["__segment_rate"] == prior
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))

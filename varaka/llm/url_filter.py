@@ -5,8 +5,8 @@ rule's; the longest rule that fits wins (ties: the rule listed first).  URLs
 without a rule get the verdict of a boosted tree ensemble trained, in numpy,
 from labelled URLs: length, depth, digit ratio, entropy, parameter counts and
 suffix statistics.  Training uses a bounded sample (``MAX_SAMPLE`` of either
-label, smallest hash first); the suffix statistics are aggregated over all
-labelled URLs by Spark.
+label, smallest hash first); the statistics of suffixes and first segments are
+aggregated over all labelled URLs, kept as tables and joined to the URLs.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is judged by the trees on its (empty) features; with labels of
@@ -23,9 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varaka.llm.stage import Tables
+
 MAX_SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 40, 3, 0.2, 32, 20, 1.0
 SUFFIX_WEIGHT = 10.0
+SALTS = 16
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "suffix_rate", "segment_rate"]
 
 
@@ -141,35 +144,35 @@ def parts(urls: DataFrame, url: str = "url") -> DataFrame:
     return rows.withColumn("__suffix", suffix_of(F.col("__host"))).withColumn("__segment", F.coalesce(segment_of(F.col("__path")), F.lit("")))
 
 
-class UrlModel:
-    """Trees and the statistics of suffixes and first path segments."""
+def rates(labelled: DataFrame, name: str, prior: float) -> DataFrame:
+    """(name, name_rate) of every value of a column: its share of bad rows, drawn to the prior."""
+    counted = labelled.groupBy(name).agg(F.count("*").alias("n"), F.sum("__bad").alias("bad"))
+    rate = (F.col("bad") + SUFFIX_WEIGHT * prior) / (F.col("n") + SUFFIX_WEIGHT)
+    return counted.select(name, rate.alias(f"{name}_rate"))
 
-    def __init__(self, trees: Boosted, prior: float, suffix: dict[str, float], segment: dict[str, float]):
-        self.trees, self.prior, self.suffix, self.segment = trees, prior, suffix, segment
 
-    def score(self, url: pd.Series, host: pd.Series, path: pd.Series, suffix: pd.Series, segment: pd.Series) -> np.ndarray:
-        return self.trees.score(_features(url, host, path, suffix.map(self.suffix).fillna(self.prior), segment.map(self.segment).fillna(self.prior)))
+def with_rates(rows: DataFrame, tables: dict[str, DataFrame], prior: float) -> DataFrame:
+    """Rows with the rate of their suffix and first segment beside them; the prior where no labelled row has it.  A frequent value is dealt over ``SALTS`` tasks."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__url"), F.lit(SALTS)))
+    for name, table in tables.items():
+        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.join(salted, [name, "__salt"], "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(prior)))
+    return rows.drop("__salt")
 
 
-def train(labelled: DataFrame, limit: int = MAX_SAMPLE) -> UrlModel:
-    """Fit on rows of ``parts`` with a label __bad (0 or 1).  At most ``limit`` suffixes and segments keep statistics of their own, the most frequent first."""
+def train(labelled: DataFrame, limit: int = MAX_SAMPLE) -> tuple[Boosted, dict[str, DataFrame], float]:
+    """(trees, rates of every suffix and first segment, prior) from rows of ``parts`` with a label __bad (0 or 1); the trees learn from ``limit`` rows of either label."""
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("__bad"), F.lit(0))).first()
     prior = bad / n if n else 0.0
-
-    def rates(name: str) -> dict[str, float]:
-        counted = labelled.groupBy(name).agg(F.count("*").alias("n"), F.sum("__bad").alias("bad"))
-        rows = counted.orderBy(F.desc("n"), name).limit(limit).collect()
-        return {r[0]: (r["bad"] + SUFFIX_WEIGHT * prior) / (r["n"] + SUFFIX_WEIGHT) for r in rows}
-
-    suffix, segment = rates("__suffix"), rates("__segment")
+    t = Tables(labelled.sparkSession, "url")
+    tables = {name: t.keep(rates(labelled, name, prior)) for name in ("__suffix", "__segment")}
     columns = ["__url", "__host", "__path", "__suffix", "__segment", "__bad"]
     order = [F.xxhash64("__url"), F.col("__url")]
     pick = lambda k: labelled.where(F.col("__bad") == k).select(*columns).orderBy(*order).limit(limit)
-    rows = pick(0).unionByName(pick(1)).toPandas()
-    model = UrlModel(Boosted(np.zeros((0, 1)), np.zeros(0)), prior, suffix, segment)
-    x = _features(rows["__url"], rows["__host"], rows["__path"], rows["__suffix"].map(suffix).fillna(prior), rows["__segment"].map(segment).fillna(prior))
-    model.trees = Boosted(x, rows["__bad"].to_numpy(np.float64))
-    return model
+    sample = pick(0).unionByName(pick(1)).withColumn("__order", F.xxhash64("__url"))
+    rows = with_rates(sample, tables, prior).toPandas().sort_values(["__bad", "__order", "__url"])
+    x = _features(*(rows[c] for c in ("__url", "__host", "__path", "__suffix_rate", "__segment_rate")))
+    return Boosted(x, rows["__bad"].to_numpy(np.float64)), tables, prior
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id") -> DataFrame:
@@ -177,14 +180,14 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_
     rows = parts(urls.select(F.col(id_column), F.col("url").cast("string").alias("url")))
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     rows = rows.withColumn("__rule", rule).withColumn("__verdict", verdict)
-    model = train(rows.where("__verdict is not null").withColumn("__bad", (F.col("__verdict") == "block").cast("int")))
-    shared = urls.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_SAMPLE
+    trees, tables, prior = train(rows.where("__verdict is not null").withColumn("__bad", (F.col("__verdict") == "block").cast("int")))
+    shared = urls.sparkSession.sparkContext.broadcast(trees)  # TREES of DEPTH
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for columns in batches:
-            yield pd.Series(shared.value.score(*columns))
+            yield pd.Series(shared.value.score(_features(*columns)))
 
-    scored = rows.withColumn("score", score("__url", "__host", "__path", "__suffix", "__segment"))
+    scored = with_rates(rows, tables, prior).withColumn("score", score("__url", "__host", "__path", "__suffix_rate", "__segment_rate"))
     said = F.coalesce("__verdict", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(id_column, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), said.alias("verdict"), "score")
