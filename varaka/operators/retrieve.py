@@ -55,15 +55,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, pool: int = POOL, block:
 
     ``queries`` (query_id, vector) is read in blocks of ``block`` rows of bounded size.
     """
+    from itertools import islice
+
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("query_id", "vector").orderBy("query_id")
-    out = None
-    asked = rows.collect()
-    for i in range(0, len(asked), block):
-        ids = np.array([r[0] for r in asked[i : i + block]])
-        shared = queries.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in asked[i : i + block]], np.float64)))
+    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
+    out = queries.sparkSession.createDataFrame([], "query_id long, pos long, score double")
+    while asked := list(islice(rows, block)):
+        ids = np.array([r[0] for r in asked])
+        shared = queries.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in asked], np.float64)))
 
         def run(batches, shared=shared):
             ids, matrix = shared.value
@@ -77,7 +78,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, pool: int = POOL, block:
             yield best
 
         part = vectors.select("pos", "vector").mapInPandas(run, "query_id long, pos long, score double")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
 

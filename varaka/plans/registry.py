@@ -275,6 +275,24 @@ def same_label(t: Tables) -> DataFrame:
     return a.join(b, "label").select("query_id", "pos")
 
 
+DENSE_ALL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+  ds AS (SELECT a.vec_id AS query_id, b.vec_id AS pos, round(list_inner_product(a.e, b.e), 6) AS score, a.label = b.label AS same FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+  dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM ds)"""
+
+
+def dense_all(t: Tables, pool: int = R.POOL) -> DataFrame:
+    """Every row whose id is divisible by 20 asks all others: a row does not meet itself."""
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    found = R.dense_topk(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "pos"), pool + 1).where("query_id <> pos")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
+
+
+def same_label_all(t: Tables) -> DataFrame:
+    a, b = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label"), t.embeddings.select(F.col("vec_id").alias("pos"), "label")
+    return a.join(b, "label").where("query_id <> pos").select("query_id", "pos")
+
+
 def sparse(t: Tables, pool: int = R.POOL) -> DataFrame:
     return R.bm25_topk(chunks(t), questions(t), pool).select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -322,6 +340,11 @@ job("A13_retrieval_metrics", "WITH z AS (SELECT 1)" + DENSE + ", m AS (SELECT qu
     lambda t: R.retrieval_metrics(dense(t, 10), same_label(t)).withColumn("mrr", F.round("mrr", 9))
 )
 
+job("W1_dense_topk_all", DENSE_ALL + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense_all(t).withColumn("rank", F.col("rank").cast("long")))
+job("A13_retrieval_metrics_all", DENSE_ALL + ", m AS (SELECT query_id, min(rank) FILTER (WHERE same AND rank <= 10) AS f FROM dn GROUP BY 1) SELECT count(*) AS n_queries, " + ", ".join(f"avg(CASE WHEN f <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) AS mrr, sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END)::BIGINT AS misses FROM m")(
+    lambda t: R.retrieval_metrics(dense_all(t, 10), same_label_all(t)).withColumn("mrr", F.round("mrr", 9))
+)
+
 # --- splits, quotas, windows ------------------------------------------------------------------------------------
 
 RANKED = "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders"
