@@ -108,55 +108,58 @@ def test_scores(spark):
     assert lm_score.scores(empty(spark)).count() == 0
 
 
-def test_scores_use_the_ngrams_of_rare_words(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 4000, 4000))) for i in range(100)]
-    learned = [i for i in range(100, 120) if zlib.crc32(str(i).encode()) % 7 != 2]
-    rows += [(i, "rare pair here") for i in (*learned[:2], None)]  # seen twice: a share under 2^-17
-    tokens = [(i, [*WORD.findall(t), ""]) for i, t in rows]
+def brute_scores(rows):
+    """Trigram probabilities by plain dictionaries, and the probability function."""
+    tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), ""]) for i, t in rows]
     grams = [Counter(), Counter(), Counter()]
     for i, ts in tokens:
         if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
             for k in range(3):
                 grams[k].update(zip(*(ts[j:] for j in range(k + 1)), strict=False))
     n, v = sum(grams[0].values()), len(grams[0])
-    arcs = [grams[0], *({g: c for g, c in x.items() if c >= 2} for x in grams[1:])]
-    taken = Counter()
-    for x in arcs[1:]:
-        for g, c in x.items():
-            taken[g[:-1]] += c - lm_score.DISCOUNT
 
     def p(g):
         if len(g) == 1:
             return (grams[0][g] + 1) / (n + v + 1)
-        over, m = grams[len(g) - 2][g[:-1]], arcs[len(g) - 1].get(g, 0)
-        rest = 1 - taken[g[:-1]] / over if over else 1
-        return (m - lm_score.DISCOUNT) / over * (m > 0) + rest * p(g[1:]) if over else p(g[1:])
+        weight = (lm_score.K1, lm_score.K2)[len(g) - 2]
+        return (grams[len(g) - 1][g] + weight * p(g[1:])) / (grams[len(g) - 2][g[:-1]] + weight)
 
-    expected = {i: sum(np.log10(p(tuple(ts[max(0, k - 2) : k + 1]))) for k in range(len(ts))) for i, ts in tokens}
+    return [(i, sum(np.log10(p(tuple(ts[max(0, k - 2) : k + 1]))) for k in range(len(ts)))) for i, ts in tokens], p, grams
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)  # many blocks and buckets
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 60_000)
+    table = pd.read_parquet(f"{SF}/documents.parquet")
+    for df, rows in ((odd(spark), ODD), (queries.table(spark, SF, "documents"), list(zip(table.doc_id, table.text, strict=True)))):
+        expected = sorted((i is not None, i or 0, s) for i, s in brute_scores(rows)[0])
+        found = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in lm_score.scores(df).collect())
+        assert [x[:2] for x in found] == [x[:2] for x in expected]
+        assert max(abs(a[2] - b[2]) / max(1, abs(b[2])) for a, b in zip(found, expected, strict=True)) < 1e-6
+
+
+def test_scores_use_the_ngrams_of_rare_words(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 4000, 4000))) for i in range(100)]
+    learned = [i for i in range(100, 120) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows += [(i, "rare pair here") for i in (*learned[:2], None)]  # seen twice: a share under 2^-17
+    expected, _, grams = brute_scores(rows)
+    expected = dict(expected)
     found = lm_score.scores(docs(spark, rows)).collect()
-    assert len(found) == len(rows) and n > 2 * 2**17
+    assert len(found) == len(rows) and sum(grams[0].values()) > 2 * 2**17
     for r in found:
         assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6 * max(1, abs(expected[r["doc_id"]]))
 
 
 def test_the_automaton_is_a_distribution():
-    rng = np.random.default_rng(0)
-    u, total, distinct = 6, 1000, 40
-    text = rng.integers(1, u + 1, 400)
-    n1 = np.bincount(text, minlength=u + 1)[1:] + 5
-    k2, n2 = np.unique((text[:-1].astype(np.int64) << 21) | text[1:], return_counts=True)
-    k3, n3 = np.unique((text[:-2].astype(np.int64) << 42) | (text[1:-1].astype(np.int64) << 21) | text[2:], return_counts=True)
-    keep = np.isin(k3 >> 21, k2[n2 >= 5]) & np.isin(k3 & ((1 << 42) - 1), k2) & (n3 >= 2)
-    a = lm_score.build(np.arange(u, dtype=np.uint64), n1, (k2[n2 >= 5], n2[n2 >= 5]), (k3[keep], n3[keep]), total, distinct)
-    rest = 1 - sum((n1 + 1) / (total + distinct + 1))  # rarer words, all at the root
-    for state in range(len(a.fail)):
-        mass, s, weight = 0.0, state, 0.0
-        for w in range(1, u + 1):
-            mass += 10 ** lm_score._step(a, np.array([state]), np.array([w]), a.unigram[[w]])[1][0]
-        while s:
-            weight, s = weight + a.fail_weight[s], a.fail[s]
-        assert abs(mass + rest * 10**weight - 1) < 1e-9
+    _, p, grams = brute_scores([(i, " ".join(f"w{k}" for k in np.random.default_rng(i).integers(0, 6, 40))) for i in range(12)])
+    words_ = [g[0] for g in grams[0]]
+    unseen = 1 - sum(p((w,)) for w in words_)
+    for g in [(), *((w,) for w in words_ if w), *(g for g in grams[1] if g[1])]:
+        least = 1.0
+        for k in range(len(g)):
+            least *= (lm_score.K1, lm_score.K2)[len(g) - k - 1] / (grams[len(g) - k - 1][g[k:]] + (lm_score.K1, lm_score.K2)[len(g) - k - 1])
+        assert abs(sum(p((*g, w)) for w in words_) + unseen * least - 1) < 1e-9
 
 
 def test_exact(spark):

@@ -1,19 +1,21 @@
 """Language-model scores from a weighted backoff automaton.
 
 Counting: words, bigrams and trigrams of all training texts are counted by
-64-bit keys.  Every word has its count; bigrams and trigrams seen ``LEAST``
-times or more become arcs, however rare their words are.  Nothing of the model
-is gathered in one place: documents are dealt into blocks of bounded size, a
-block sends its distinct keys with its counts to the buckets of the keys, and a
-bucket answers with the counts over all blocks: first words and bigrams, then
-the trigrams both of whose bigrams are arcs (no other can be seen so often).
-A third exchange of the same kind adds up what each context has given to its
-arcs; of the blocks that use an n-gram one owns it, so it is added once.
-
-Model: interpolated absolute discounting over add-one word probabilities,
+64-bit keys, whatever their number and however rare they are; none is left out.
+Nothing of the model is gathered in one place: documents are packed into blocks
+of bounded size, and blocks ask (``blocks.Exchange``) for the counts of their
+own n-grams: first of words and bigrams, then of the trigrams both of whose
+bigrams were seen in training (no other can be seen).
+
+Model: hierarchical Dirichlet smoothing over add-one word probabilities,
+
+    p(w | context) = (n(context w) + K * p(w | shorter context)) / (n(context) + K)
+
 written as an automaton.  A state is a context (none, a word, two words); an arc
-carries log10 of its interpolated probability; the failure arc to the shorter
-context carries log10 of the mass left over.  A block builds the states and
+carries log10 of its smoothed probability; the failure arc to the shorter
+context carries log10 of the mass left over, K / (n(context) + K).  Every word
+but the end is followed by one token, so n(context) is the sum over its arcs and
+the probabilities of each state sum to one.  A block builds the states and
 arcs its texts can reach and walks each text once from left to right, in lanes
 of many texts at a time, adding up the arcs taken; lanes of one long text begin
 with the two words before them.
@@ -34,17 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varaka.llm.blocks import Answers, Exchange, asked, blocks_of, distinct, unpacked_rows
 from varaka.llm.stage import Tables
 from varaka.llm.text import Words, mix, words
 
-LEAST = 2
-DISCOUNT = 0.75
+#: weight of the shorter context beside the counts of a word's and of two words' context
+K1, K2 = 300.0, 3.0
 LANE = 256
 BLOCK_BYTES = 2_000_000
-BLOCKS_A_BUCKET = 3
+#: n-grams of so many bytes of text meet in a bucket
+BUCKET_BYTES = 6_000_000
 END = np.uint64(0xE4D0F7E47E4D0F7E)
-ASKED = "block int, bucket int, keys binary, n binary, m binary"
-ANSWERS = "block int, bucket int, n binary, m binary, total long, distinct long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -62,16 +64,6 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers, lowest bytes first: the planes of small numbers are zeros, which compress."""
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpacked(data: list[bytes]) -> np.ndarray:
-    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for x in data]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
 def _key(order: int, *hashes: np.ndarray) -> np.ndarray:
     """Keys of n-grams; the two lowest bits hold the order."""
     key = hashes[0]
@@ -81,127 +73,65 @@ def _key(order: int, *hashes: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block: distinct ``keys``, and for every token the places of the n-grams that begin with it (-1: none).
+    """The n-grams of a block: distinct sorted ``keys`` of words and bigrams, and for every token the places of those that begin with it (-1: none).
 
-    The keys of words and bigrams are sorted; ``trigrams`` puts those of trigrams, sorted too, behind them, from ``begin`` on.
+    ``n`` is how often the block's own training texts have each key.  ``trigrams`` adds those of trigrams.
     """
 
     def __init__(self, rows: pa.Table):
         hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for batch in rows.to_batches(max_chunksize=500):
-            for w in words(batch.column("text")):
-                part, at = tokens(w)
-                hashes.append(part)
-                sizes.append(np.diff(at))
+        for w in words(rows.column("text")):
+            part, at = tokens(w)
+            hashes.append(part)
+            sizes.append(np.diff(at))
         self.hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
         self.at = np.append(0, sizes.cumsum())
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.learn = ~(np.asarray(rows.column("held_out")) | np.asarray(rows.column("doc_id").is_null()))[self.doc]
         h, self.two = self.hashes, np.flatnonzero(self.doc[1:] == self.doc[:-1])
-        self.keys, place = np.unique(np.concatenate([_key(1, h), _key(2, h[self.two], h[self.two + 1])]), return_inverse=True)
-        self.begin = len(self.keys)
+        self.keys, place = distinct(np.concatenate([_key(1, h), _key(2, h[self.two], h[self.two + 1])]))
         self.order = (self.keys & np.uint64(3)).astype(np.int64)
         self.one, self.pair = place[: len(h)], np.full(len(h), -1)
         self.pair[self.two] = place[len(h) :]
         self.n = np.bincount(place, np.concatenate([self.learn, self.learn[self.two]]), len(self.keys)).astype(np.int64)
-        # the shorter contexts of an n-gram: without its last word, and without its first
-        self.context, self.shorter = np.full(len(self.keys), -1), np.full(len(self.keys), -1)
-        self.context[self.pair[self.two]], self.shorter[self.pair[self.two]] = self.one[self.two], self.one[self.two + 1]
+        # the words of a bigram
+        self.first, self.second = np.full(len(self.keys), -1), np.full(len(self.keys), -1)
+        self.first[self.pair[self.two]], self.second[self.pair[self.two]] = self.one[self.two], self.one[self.two + 1]
 
     def trigrams(self, n: np.ndarray) -> None:
-        """Add the trigrams whose bigrams count ``LEAST`` or more; ``n``: the counts of words and bigrams."""
-        known = np.append(n, 0)[self.pair] >= LEAST  # place -1: none
+        """Keys, counts and bigrams of the trigrams whose bigrams have counts; ``n``: the counts of words and bigrams."""
+        known = np.append(n, 0)[self.pair] > 0  # place -1: none
         three = np.flatnonzero(known[:-2] & known[1:-1] & (self.doc[2:] == self.doc[:-2]))
         h = self.hashes
-        keys, first, place = np.unique(_key(3, h[three], h[three + 1], h[three + 2]), return_index=True, return_inverse=True)
-        self.keys = np.concatenate([self.keys, keys])
-        self.order = np.concatenate([self.order, np.full(len(keys), 3)])
-        self.n = np.concatenate([self.n, np.bincount(place, self.learn[three], len(keys)).astype(np.int64)])
-        self.context = np.concatenate([self.context, self.pair[three[first]]])
-        self.shorter = np.concatenate([self.shorter, self.pair[three[first] + 1]])
-
-
-def _asked(block: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray, buckets: int) -> pa.Table:
-    """One row for each bucket of the sorted ``keys``, with two numbers for each key."""
-    cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-    pieces = [slice(cut[k], cut[k + 1]) for k in range(buckets)]
-    filled = [k for k, x in enumerate(pieces) if x.stop > x.start]
-    columns = [[block] * len(filled), filled, [packed(np.diff(keys[pieces[k]].view(np.int64), prepend=0)) for k in filled], *([packed(x[pieces[k]]) for k in filled] for x in (n, m))]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "bucket", "keys", "n", "m"])
-
-
-def _ask(buckets: int, step: int):
-    """What a block asks in a step, given the answers to the steps before.
-
-    0: counts of words and bigrams.  1: counts of trigrams.  2: what the arcs that a block owns take from their contexts (sum of counts, number of arcs).
-    """
-
-    def first(rows: pa.Table) -> pa.Table:
-        g = Grams(rows)
-        return _asked(rows.column("block")[0].as_py(), g.keys, g.n, np.zeros_like(g.n), buckets)
-
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return _asked(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), buckets)
-        g, block = Grams(rows), rows.column("block")[0].as_py()
-        n, own = _counts(g, answers, step)
-        if step == 1:
-            return _asked(block, g.keys[g.begin :], g.n[g.begin :], np.zeros_like(g.n[g.begin :]), buckets)
-        arcs = np.flatnonzero((g.order > 1) & (n >= LEAST) & (own == 1))
-        at = _contexts(g, n)
-        s, k = np.bincount(g.context[arcs], n[arcs], len(n)).astype(np.int64), np.bincount(g.context[arcs], minlength=len(n))
-        return _asked(block, g.keys[at], s[at], k[at], buckets)
-
-    return run if step else first
-
-
-def _answer(counts: bool):
-    """The sums over all blocks of a bucket, in the order in which each block asked.
+        self.keys3, place = distinct(_key(3, h[three], h[three + 1], h[three + 2]))
+        self.n3 = np.bincount(place, self.learn[three], len(self.keys3)).astype(np.int64)
+        self.head, self.tail = np.zeros(len(self.keys3), np.int64), np.zeros(len(self.keys3), np.int64)
+        self.head[place], self.tail[place] = self.pair[three], self.pair[three + 1]
 
-    ``counts``: n-grams under ``LEAST`` count 0, ``m`` is 1 for the block that owns the key, and the bucket's tokens and words are given once.
-    """
 
-    def run(rows: pa.Table) -> pa.Table:
-        blobs = rows.column("keys").to_pylist()
-        sizes = np.array([len(x) // 8 for x in blobs])
-        keys, first, place = np.unique(np.concatenate([unpacked([x]).cumsum().view(np.uint64) for x in blobs]), return_index=True, return_inverse=True)
-        n, m = (np.bincount(place, unpacked(rows.column(c).to_pylist()), len(keys)).astype(np.int64) for c in "nm")
-        total = distinct = 0
-        if counts:
-            order = keys & np.uint64(3)
-            n[(order > 1) & (n < LEAST)] = 0
-            total, distinct = int(n[order == 1].sum()), int((n[order == 1] > 0).sum())
-            own = np.zeros(len(place), np.int64)
-            own[first] = 1
-        cut = sizes.cumsum()[:-1]
-        answers = [[packed(x) for x in np.split(c, cut)] for c in (n[place], own if counts else m[place])]
-        once = lambda x: pa.array([x] + [0] * (len(blobs) - 1), pa.int64())
-        return pa.table([rows.column("block"), rows.column("bucket"), *(pa.array(x, pa.binary()) for x in answers), once(total), once(distinct)], names=["block", "bucket", "n", "m", "total", "distinct"])
+def _ask_words(buckets: int):
+    def run(block: int, data: bytes, _: Answers) -> pa.Table:
+        g = Grams(unpacked_rows(data))
+        return asked(block, g.keys, g.n[None], buckets)
 
     return run
 
 
-def _read(answers: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two numbers of each key asked for in a step, in the order of the keys."""
-    mine = answers.filter(pa.array(answers.column("step").to_numpy() == step))
-    order = np.argsort(mine.column("bucket").to_numpy())
-    n, m = (mine.column(c).to_pylist() for c in "nm")
-    return unpacked([n[i] for i in order]), unpacked([m[i] for i in order])
-
+def _ask_trigrams(buckets: int):
+    def run(block: int, data: bytes, answers: Answers) -> pa.Table:
+        g = Grams(unpacked_rows(data))
+        g.trigrams(answers.step(0))
+        return asked(block, g.keys3, g.n3[None], buckets)
 
-def _counts(g: Grams, answers: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and owners of the keys, as far as they are known before ``step``; adds the trigrams."""
-    n, own = _read(answers, 0)
-    g.trigrams(n)
-    if step == 1:
-        return n, own
-    more = _read(answers, 1)
-    return np.concatenate([n, more[0]]), np.concatenate([own, more[1]])
+    return run
 
 
-def _contexts(g: Grams, n: np.ndarray) -> np.ndarray:
-    """Places of the keys that may be contexts of arcs."""
-    return np.flatnonzero((g.order < 3) & (n >= LEAST))
+def _counts(_: int, keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The sums over all blocks; facts: training tokens, and different ones."""
+    found, place = distinct(keys)
+    n = np.bincount(place, numbers[0], len(found)).astype(np.int64)
+    known = n[found & np.uint64(3) == np.uint64(1)]
+    return n[place], [int(known.sum()), int((known > 0).sum())]
 
 
 @dataclass
@@ -216,57 +146,33 @@ class Automaton:
     arc_to: np.ndarray
 
 
-def assemble(p1, n1, left, first, second, n2, context, left2, owner, third, n3, lower) -> Automaton:
+def assemble(p1: np.ndarray, n1: np.ndarray, first: np.ndarray, second: np.ndarray, n2: np.ndarray, head: np.ndarray, third: np.ndarray, n3: np.ndarray, tail: np.ndarray) -> Automaton:
     """States and arcs.
 
-    ``p1``, ``n1``, ``left``: by word (0: none).  ``first``, ``second``, ``n2``: the bigrams.  ``context``, ``left2``: which bigrams are states.
-    ``owner``, ``third``, ``n3``, ``lower``: the trigrams, with the place of their state among ``context`` and of their last two words among the bigrams (-1: not kept).
+    ``p1``, ``n1``: probability and count by word (0: none).  ``first``, ``second``, ``n2``: words and counts of the bigrams.
+    ``head``, ``third``, ``n3``, ``tail``: the trigrams' first bigram, last word, count and last bigram.
     """
     u = len(p1) - 1
-    p2 = (n2 - DISCOUNT) / np.maximum(n1[first], 1) + left[first] * p1[second]
-    shorter = np.where(lower >= 0, p2[lower], left[second[context[owner]]] * p1[third]) if len(owner) else np.zeros(0)
-    p3 = (n3 - DISCOUNT) / np.maximum(n2[context[owner]], 1) + left2[owner] * shorter
-    state = second.copy()  # of a bigram: its own, else that of its last word
-    state[context] = u + 1 + np.arange(len(context))
-    arcs = np.concatenate([(first << 32) | second, ((u + 1 + owner) << 32) | third])
+    p2 = (n2 + K1 * p1[second]) / (n1[first] + K1)
+    p3 = (n3 + K2 * p2[tail]) / (n2[head] + K2)
+    arcs = np.concatenate([(first << 32) | second, ((u + 1 + head) << 32) | third])
     weight = np.log10(np.concatenate([p2, p3]))
-    to = np.concatenate([state, np.where(lower >= 0, state[lower], third) if len(owner) else third])
-    order = np.argsort(arcs, kind="stable")
-    fail = np.concatenate([np.zeros(u + 1, np.int64), second[context]])
-    fail_weight = np.log10(np.maximum(np.concatenate([[1.0], left[1:], left2]), 1e-12))
+    to = np.concatenate([u + 1 + np.arange(len(first)), u + 1 + tail])
+    order = np.argsort(arcs)
+    fail = np.concatenate([np.zeros(u + 1, np.int64), second])
+    fail_weight = np.log10(np.concatenate([[1.0], K1 / (n1[1:] + K1), K2 / (n2 + K2)]))
     return Automaton(np.log10(np.maximum(p1, 1e-300)), fail, fail_weight, arcs[order], weight[order], to[order])
 
 
-def build(words_: np.ndarray, counts: np.ndarray, pairs, triples, total: int, distinct: int) -> Automaton:
-    """The whole automaton of a small vocabulary: counts of words, bigrams and trigrams (sorted keys of numbers from 1 on, 21 bits each)."""
-    u = len(words_)
-    p1, n1 = np.append(0, (counts + 1) / (total + distinct + 1)), np.append(0, counts).astype(np.float64)
-    (key2, n2), (key3, n3) = ((np.asarray(k, np.int64), np.asarray(n, np.int64)) for k, n in (pairs, triples))
-    left = 1 - np.bincount(key2 >> 21, n2 - DISCOUNT, u + 1) / np.maximum(n1, 1)
-    states, owner = np.unique(key3 >> 21, return_inverse=True)
-    context = np.searchsorted(key2, states)
-    left2 = 1 - np.bincount(owner, n3 - DISCOUNT, len(states)) / np.maximum(n2[context], 1)
-    shorter = key3 & ((1 << 42) - 1)
-    at = np.minimum(np.searchsorted(key2, shorter), max(len(key2) - 1, 0))
-    lower = np.where(key2[at] == shorter, at, -1) if len(key2) else np.zeros(0, np.int64)
-    return assemble(p1, n1, left, key2 >> 21, key2 & 0x1FFFFF, n2, context, left2, owner, key3 & 0x1FFFFF, n3, lower)
-
-
-def of_block(g: Grams, n: np.ndarray, s: np.ndarray, k: np.ndarray, below: int) -> tuple[Automaton, np.ndarray]:
-    """The states and arcs that a block's texts can reach, and the tokens' word numbers; ``s``, ``k``: what the arcs of each context take from it."""
-    left = 1 - (s - DISCOUNT * k) / np.maximum(n, 1)
-    known = lambda order: np.flatnonzero((g.order == order) & ((n >= LEAST) | (order == 1)))
-    one, two, three = known(1), known(2), known(3)
-    number = np.full(len(g.keys), -1)
+def of_block(g: Grams, n: np.ndarray, n3: np.ndarray, below: int) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs that a block's texts can reach, and the tokens' word numbers; ``n``, ``n3``: the counts of its keys."""
+    one, two, three = np.flatnonzero(g.order == 1), np.flatnonzero((g.order == 2) & (n > 0)), np.flatnonzero(n3 > 0)
+    number = np.zeros(len(g.keys), np.int64)
     number[one] = 1 + np.arange(len(one))
     number[two] = np.arange(len(two))
-    context = np.flatnonzero(k[two] > 0)
-    state = np.full(len(two), -1)
-    state[context] = np.arange(len(context))
-    first, second = number[g.context[two]], number[g.shorter[two]]
-    lower = number[g.shorter[three]]
     p1 = np.append(0, (n[one] + 1) / below)
-    a = assemble(p1, np.append(0, n[one]), np.append(1, left[one]), first, second, n[two], context, left[two][context], state[number[g.context[three]]], second[lower], n[three], lower)
+    last = number[g.second[g.tail[three]]]
+    a = assemble(p1, np.append(0, n[one]), number[g.first[two]], number[g.second[two]], n[two], number[g.head[three]], last, n3[three], number[g.tail[three]])
     return a, number[g.one]
 
 
@@ -319,47 +225,30 @@ def _step(a: Automaton, state: np.ndarray, word: np.ndarray, root: np.ndarray) -
     return out, gained
 
 
-def _score(below: int, names: list[str]):
+def _score(below: int):
+    names = [c.split()[0] for c in SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
-
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return schema.empty_table()
-        g = Grams(rows)
-        n, _ = _counts(g, answers, 3)
-        s, k = np.zeros_like(n), np.zeros_like(n)
-        at = _contexts(g, n)
-        s[at], k[at] = _read(answers, 2)
-        a, ids = of_block(g, n, s, k, below)
+
+    def run(_: int, data: bytes, answers: Answers) -> pa.Table:
+        rows = unpacked_rows(data)
+        g, n = Grams(rows), answers.step(0)
+        g.trigrams(n)
+        a, ids = of_block(g, n, answers.step(1), below)
         root, seen = a.unigram[ids], (n[g.one] > 0).astype(np.int64)
         total = lambda x: np.add.reduceat(x, g.at[:-1])
         columns = [rows.column("doc_id"), rows.column("held_out"), np.diff(g.at), total(seen), total(root), walk(a, ids, root, g.at)]
-        return pa.table(columns, names=names).cast(schema)
+        return pa.table(columns, names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
 
     return run
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    spark = docs.sparkSession
-    t = Tables(spark, "lm")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, int(size) // BLOCK_BYTES)
-    buckets = max(1, blocks // BLOCKS_A_BUCKET)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    blocked = rows.select(block, "doc_id", held_out().alias("held_out"), "text").repartition(parts, "block").groupBy("block")
-    answers = None
-    for step in range(3):
-        asked = (blocked.cogroup(answers.groupBy("block")) if step else blocked).applyInArrow(_ask(buckets, step), ASKED)
-        kept = t.keep(asked.groupBy("bucket").applyInArrow(_answer(step < 2), ANSWERS))
-        if step == 0:
-            total, distinct = kept.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-        kept = kept.select("block", "bucket", "n", "m", F.lit(step).alias("step"))
-        answers = kept if answers is None else answers.unionByName(kept)
-    answers = answers.withColumn("m", F.when(F.col("step") == 2, F.col("m")).otherwise(F.lit(b"")))  # owners are not asked for any more
-    names = [c.split()[0] for c in SCORES.split(", ")]
-    out = blocked.cogroup(answers.groupBy("block")).applyInArrow(_score(total + distinct + 1, names), SCORES)
-    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+    t = Tables(docs.sparkSession, "lm")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = blocks_of(t, rows, BLOCK_BYTES)
+    e = Exchange(t, blocks, BUCKET_BYTES)
+    facts = e.ask(_ask_words(e.buckets), _counts)
+    total, different = facts or [0, 0]
+    e.ask(_ask_trigrams(e.buckets), _counts)
+    return e.map(_score(total + different + 1), SCORES).withColumn("train_tokens", F.lit(total).cast("long"))
