@@ -251,24 +251,51 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def brute_windows(rows):
+    """(doc_id or -1, words, words removed, what stays) of each row, by dictionaries."""
+    first: dict = {}
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in words:
+        for k in range(len(w) - 12):
+            if i is not None:
+                first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    out = []
+    for i, w in words:
+        gone = {q for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for q in range(k, k + 13)}
+        out.append((i if i is not None else -1, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+def found_windows(df):
+    return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.repeated_windows(df).collect())
+
+
 def test_repeated_windows(spark):
     table = pd.read_parquet(f"{SF}/documents.parquet")
-    for df, rows in ((odd(spark), ODD), (queries.table(spark, SF, "documents"), list(zip(table.doc_id, table.text, strict=True)))):
-        first: dict = {}
-        words = [(i, WORD.findall(t or "")) for i, t in rows]
-        for i, w in words:
-            for k in range(len(w) - 12):
-                if i is not None:
-                    first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
-        found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.repeated_windows(df).collect())
-        expected = []
-        for i, w in words:
-            gone = {q for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for q in range(k, k + 13)}
-            expected.append((i if i is not None else -1, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-        assert found == sorted(expected)
+    assert found_windows(odd(spark)) == brute_windows(ODD)
+    assert found_windows(queries.table(spark, SF, "documents")) == brute_windows(list(zip(table.doc_id, table.text, strict=True)))
     assert substring_dedup.repeated_windows(empty(spark)).count() == 0
 
 
+def test_repeated_windows_of_repeated_ids(spark):
+    a, b = BASE, " ".join(f"b{k}" for k in range(20))
+    rows = [(1, a), (2, a), (2, b), (3, b + " tail"), (3, a + " " + b), (5, "c " * 20), (5, "c " * 20), (6, "c " * 30 + b), (7, "d d d " + b)]
+    found = found_windows(docs(spark, rows))
+    assert found == brute_windows(rows)
+    assert (2, 20, 0, b) in found and (2, 18, 18, "") in found
+
+
+def test_repeated_windows_of_runs_and_few_words(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2_000)  # many blocks and buckets
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 3_000)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), " ".join("ab"[k] for k in rng.integers(0, 2, rng.integers(0, 60)))) for i in rng.integers(0, 90, 150)]
+    rows += [(200 + i, " ".join(np.repeat(rng.choice([*"abc"], 8), rng.integers(1, 20, 8)))) for i in range(60)]
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows += [(300 + i, f"u{i} v{i} {passage} x{i}") for i in range(100)]
+    assert found_windows(docs(spark, rows).repartition(3)) == brute_windows(rows)
+
+
 def test_masks_find_every_window_with_two_substitutions(spark):
     base = BASE.split()
     rows = []

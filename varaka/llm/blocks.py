@@ -113,15 +113,15 @@ class Exchange:
         self.buckets = max(1, int(size or 0) // bucket_bytes)
         self.parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(data or 0) // PARTITION_BYTES)
 
-    def map(self, f: Callable[[pa.Table, Answers], pa.Table], schema: str, column: str = "data") -> DataFrame:
-        """``f`` of each block's rows (or its marks) and answers."""
-        rows = self.blocks.select("block", column)
+    def map(self, f: Callable[[int, bytes, bytes, Answers], pa.Table], schema: str, data: bool = True) -> DataFrame:
+        """``f`` of each block's number, rows (left out without ``data``), marks and answers."""
+        rows = self.blocks.select("block", F.col("data") if data else F.lit(b"").alias("data"), "marks")
         if self.answers is None:
 
             def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for i in range(b.num_rows):
-                        yield from f(b.column(0)[i].as_py(), b.column(1)[i].as_py(), Answers(None)).to_batches()
+                        yield from f(*(b.column(k)[i].as_py() for k in range(3)), Answers(None)).to_batches()
 
             return rows.mapInArrow(alone, schema)
         names = [x.split()[0] for x in schema.split(", ")]
@@ -129,11 +129,11 @@ class Exchange:
         def together(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:  # answers come to blocks only
                 raise ValueError("answers without a block")
-            return f(left.column(0)[0].as_py(), left.column(1)[0].as_py(), Answers(right)).select(names)
+            return f(*(left.column(k)[0].as_py() for k in range(3)), Answers(right)).select(names)
 
         return rows.repartition(self.parts, "block").groupBy("block").cogroup(self.answers.groupBy("block")).applyInArrow(together, schema)
 
-    def ask(self, f: Callable[[int, bytes, Answers], pa.Table], reply: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]], column: str = "data") -> list[int]:
+    def ask(self, f: Callable[[int, bytes, bytes, Answers], pa.Table], reply: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]], data: bool = True) -> list[int]:
         """One exchange.  ``reply(bucket, keys, numbers)`` gives an answer for each key that was asked for, and facts, which are summed over all buckets."""
 
         def answer(rows: pa.Table) -> pa.Table:
@@ -144,7 +144,7 @@ class Exchange:
             columns = [rows.column("block"), rows.column("bucket"), pa.array([squeezed(x) for x in pieces], pa.binary()), pa.array([facts] + [None] * (len(keys) - 1), pa.list_(pa.int64()))]
             return pa.table(columns, names=["block", "bucket", "answer", "facts"])
 
-        kept = self.t.keep(self.map(f, ASKED, column).groupBy("bucket").applyInArrow(answer, ANSWERS))
+        kept = self.t.keep(self.map(f, ASKED, data).groupBy("bucket").applyInArrow(answer, ANSWERS))
         width = kept.agg(F.max(F.size("facts"))).first()[0] or 0
         facts = kept.agg(*(F.sum(F.col("facts")[k]) for k in range(width))).first() if width > 0 else []
         step = kept.select("block", "bucket", "answer", F.lit(self.steps).alias("step"))

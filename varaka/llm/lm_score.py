@@ -110,7 +110,7 @@ class Grams:
 
 
 def _ask_words(buckets: int):
-    def run(block: int, data: bytes, _: Answers) -> pa.Table:
+    def run(block: int, data: bytes, _marks: bytes, _: Answers) -> pa.Table:
         g = Grams(unpacked_rows(data))
         return asked(block, g.keys, g.n[None], buckets)
 
@@ -118,7 +118,7 @@ def _ask_words(buckets: int):
 
 
 def _ask_trigrams(buckets: int):
-    def run(block: int, data: bytes, answers: Answers) -> pa.Table:
+    def run(block: int, data: bytes, _marks: bytes, answers: Answers) -> pa.Table:
         g = Grams(unpacked_rows(data))
         g.trigrams(answers.step(0))
         return asked(block, g.keys3, g.n3[None], buckets)
@@ -229,7 +229,7 @@ def _score(below: int):
     names = [c.split()[0] for c in SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def run(_: int, data: bytes, answers: Answers) -> pa.Table:
+    def run(_: int, data: bytes, _marks: bytes, answers: Answers) -> pa.Table:
         rows = unpacked_rows(data)
         g, n = Grams(rows), answers.step(0)
         g.trigrams(n)

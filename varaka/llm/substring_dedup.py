@@ -1,140 +1,195 @@
-"""Removal of repeated word windows, found by recompression.
-
-Two rounds of locally consistent pair compression turn the words of every text
-into longer symbols: a pair is merged where its left part lies in one half of
-the alphabet and its right part in the other, halves and names being hashes of
-the content.  So a repeat of a window gets the same symbols in its interior
-wherever it stands, and all tasks name them alike without a shared dictionary;
-the grouping of the names by key is Spark's.  (Merging whole runs of one word
-is left out: a run longer than the window would swallow its interior.  A run's
-words never pair with each other and stay symbols of their own.)
-
-Every window of 13 words holds at least two adjacent second-round symbols that
-its own words determine.  The longest such pair of symbols is the window's
-anchor.  Equal windows have equal anchors, so:
-
-1. texts equal word for word collapse; only the first goes on;
-2. the anchors of each text, deduplicated in its task, are shuffled by hash in
-   packed blocks; those that one text alone has cannot belong to a repeat and
-   fall away;
-3. only windows with a shared anchor are hashed in full (128 bits) and shuffled
-   likewise: a window repeats if a smaller doc_id has it;
-4. the words that repeated windows cover are removed in one more pass over the
-   texts concerned.
-
-A text sends an anchor or window once, so even one that a third of all documents
-share is a small part of a bucket's rows; lists are gathered per document only.
+"""Removal of repeated word windows by recompression.
+
+Spark rounds turn the words of every text into longer symbols that have one
+name wherever they stand.  In a round each block of documents asks for the names of
+its symbols (``blocks.Exchange``): first of its runs of one word and of the pairs
+of neighbours after these are merged, then of the pairs of the symbols so named.
+A pair is merged where its left part lies in one half of the alphabet and its
+right part in the other.  A bucket numbers the symbols that different texts
+have; the others get no name.
+
+A symbol is fixed by the words around it: by itself, and by as many neighbours
+as decide where it begins and ends.  Equal windows have the same symbols
+wherever those words lie inside the window, so a window that holds the words of a
+symbol without a name stands in one text only.  What is left are the windows all
+of whose high-level symbols are shared (and those that hold the words of none, such as the
+inside of a long run: a run is never swallowed).  Their 128-bit hashes are
+verified in one more exchange: a window repeats if a smaller doc_id has it.
+
+Texts equal word for word need no windows: one exchange of text digests finds
+those with a smaller doc_id, which lose all their words.  However many documents
+share a symbol or window, a block sends it once.
 
 Defined cases: a null or word-less text has no words; a text shorter than a
-window loses nothing; rows that repeat a doc_id share what is found for any of
-them; a null doc_id is compared with no one and keeps all; an empty table gives an empty result; other columns
-are ignored.
+window loses nothing; rows that repeat a doc_id are judged each by itself, and a
+window is no repeat of one with the same id; a null doc_id is compared with no
+one and keeps all; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varaka.llm.blocks import Answers, Exchange, asked, blocks_of, distinct, spread, squeezed, unpacked_rows
 from varaka.llm.stage import Tables
-from varaka.llm.text import BASE, Words, gram_docs, grams, mix, words
+from varaka.llm.text import BASE, Words, grams, mix, words
 
 WINDOW = 13
+BLOCK_BYTES = 3_000_000
+BUCKET_BYTES = 6_000_000
 FAR = np.int64(1) << np.int64(40)
 ONE, TOP = np.uint64(1), np.uint64(63)
+SALTS = (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB)
+RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def _halves(names: np.ndarray, level: int) -> np.ndarray:
-    """Which symbols may stand left in a pair."""
-    return ((mix(names + np.uint64(level * 0x51ED27)) >> TOP) == ONE)
-
-
-def _round(names: np.ndarray, doc: np.ndarray, level: int):
-    """(first part of each new symbol, its last part, names): one round of pair compression."""
-    left = _halves(names, level)
-    pair = np.zeros(len(names), bool)
-    if len(names) > 1:
-        pair[:-1] = left[:-1] & ~left[1:] & (doc[:-1] == doc[1:])
-    inner = np.zeros(len(names), bool)
-    inner[1:] = pair[:-1]
-    first = np.flatnonzero(~inner)
-    last = first + pair[first]
-    return first, last, np.where(pair[first], mix(names[first] * np.uint64(BASE) + names[last] + np.uint64(level)), names[first]), left
-
-
-def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(position of each window, its anchor).
+@dataclass
+class Symbols:
+    """Symbols of the texts of a run of documents, in their order.
 
-    For a symbol, ``low`` and ``high`` bound the words that determine it: a
-    symbol that begins with a right part may owe its left edge to what stands
-    before it, and one that ends with a left part its right edge to what
-    follows.
+    ``first`` and ``last`` word; ``key`` of the content; ``low`` and ``high``
+    bound the words that fix the symbol (beyond the text if its edge does);
+    ``new``: a run or pair of this round.
     """
-    at, _ = gram_docs(w, WINDOW)
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
-    doc = w.doc_of_word()
-    n = len(doc)
-    f1, l1, names1, left = _round(w.hashes, doc, 1)
-    d1 = doc[f1]
-    low1 = np.where(left[f1], f1, f1 - 1)
-    high1 = np.where(left[l1], l1 + 2, l1 + 1)
-    begins = np.append(True, doc[1:] != doc[:-1])
-    ends = np.append(begins[1:], True)
-    low1 = np.where(begins[f1] & ~left[f1], -FAR, low1)
-    high1 = np.where(ends[l1] & left[l1], FAR, high1)
-    f2, l2, names2, left2 = _round(names1, d1, 2)
-    begins1, ends1 = begins[f1], ends[l1]
-    low2 = np.where(left2[f2], low1[f2], np.where(begins1[f2], -FAR, np.minimum(low1[f2], low1[np.maximum(f2 - 1, 0)])))
-    high2 = np.where(~left2[l2], high1[l2], np.where(ends1[l2], FAR, np.maximum(high1[l2], high1[np.minimum(l2 + 1, len(f1) - 1)])))
-    # adjacent pairs of second-round symbols
-    if len(f2) < 2:
-        return at[:0], np.zeros(0, np.uint64)
-    a, b = np.arange(len(f2) - 1), np.arange(1, len(f2))
-    same = d1[f2[a]] == d1[f2[b]]
-    low, high = np.minimum(low2[a], low2[b]), np.maximum(high2[a], high2[b])
-    span = l1[l2[b]] + 1 - f1[f2[a]]
-    fits = same & (low >= 0) & (high <= n) & (high - low <= WINDOW)
-    a, b, low, high, span = a[fits], b[fits], low[fits], high[fits], span[fits]
-    names = mix(names2[a] * np.uint64(BASE) + names2[b])
-    rank = ((np.uint64(15) - span.astype(np.uint64)) << np.uint64(60)) | (names >> np.uint64(4))
-    # the candidates of a window: low >= window start, high <= window end; both bounds made monotone
-    low_m = np.minimum.accumulate(low[::-1])[::-1] if len(low) else low
-    high_m = np.maximum.accumulate(high) if len(high) else high
-    lo = np.searchsorted(low_m, at, "left")
-    hi = np.searchsorted(high_m, at + WINDOW, "right")
-    best = _range_min(rank, lo, hi)
-    return at, best
-
-
-def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Least of ``values[lo:hi]`` for each pair of bounds, by doubling; empty ranges give the largest value."""
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(len(lo), none)
-    level, width = values, 1
-    size = hi - lo
-    while len(level):
-        use = (size >= width) & (size < 2 * width)
-        out[use] = np.minimum(level[lo[use]], level[hi[use] - width])
-        if width * 2 > max(int(size.max(initial=0)), 0):
-            break
-        level = np.minimum(level[:-width], level[width:]) if len(level) > width else level[:0]
-        width *= 2
-    return out
 
-
-def _window_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    key: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    new: np.ndarray
+
+    def take(self, i: np.ndarray, j: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, new: np.ndarray) -> Symbols:
+        """The symbols that span those from ``i`` to ``j``."""
+        return Symbols(self.doc[i], self.first[i], self.last[j], key, low, high, new)
+
+    def beside(self) -> tuple[np.ndarray, np.ndarray]:
+        """``low`` of the symbol before and ``high`` of the one after; far off at the ends of a text."""
+        cut = self.doc[1:] != self.doc[:-1]
+        return np.append(-FAR, np.where(cut, -FAR, self.low[:-1])), np.append(np.where(cut, FAR, self.high[1:]), FAR)
+
+
+def letters(w: Words) -> Symbols:
+    at = np.arange(len(w.hashes))
+    return Symbols(w.doc_of_word(), at, at, w.hashes, at, at + 1, np.zeros(len(at), bool))
+
+
+def runs(s: Symbols) -> Symbols:
+    """Neighbours that are the same symbol become one."""
+    if not len(s.key):
+        return s
+    begins = np.append(True, (s.key[1:] != s.key[:-1]) | (s.doc[1:] != s.doc[:-1]))
+    i = np.flatnonzero(begins)
+    j = np.append(i[1:], len(s.key)) - 1
+    n = (j - i + 1).astype(np.uint64)
+    before, after = s.beside()
+    key = np.where(n > 1, mix(s.key[i] * np.uint64(BASE) ^ n), s.key[i])
+    return s.take(i, j, key, np.minimum(s.low[i], before[i]), np.maximum(s.high[j], after[j]), n > 1)
+
+
+def pairs(s: Symbols, level: int) -> Symbols:
+    """Neighbours of which the left is in one half of the alphabet and the right in the other become one."""
+    if not len(s.key):
+        return s
+    left = (mix(s.key + np.uint64(level * 0x51ED27)) >> TOP) == ONE
+    pair = np.append(left[:-1] & ~left[1:] & (s.doc[:-1] == s.doc[1:]), False)
+    i = np.flatnonzero(~np.append(False, pair[:-1]))
+    j = i + pair[i]
+    before, after = s.beside()
+    low = np.where(left[i], s.low[i], np.minimum(s.low[i], before[i]))
+    high = np.where(~left[j], s.high[j], np.maximum(s.high[j], after[j]))
+    key = np.where(pair[i], mix(s.key[i] * np.uint64(BASE) + s.key[j] + np.uint64(level)), s.key[i])
+    return s.take(i, j, key, low, high, pair[i] | s.new[i])
+
+
+class Text:
+    """The documents of a slice of a block, round by round."""
+
+    def __init__(self, w: Words, use: np.ndarray):
+        """``use``: the documents that are looked at."""
+        self.w = w
+        self.doc = w.doc_of_word()
+        left = np.repeat(w.offsets[1:], np.diff(w.offsets)) - np.arange(len(self.doc))
+        #: words at which a window begins that may repeat
+        self.alive = (left >= WINDOW) & use[self.doc]
+        self.symbols = pairs(runs(letters(w)), 1)
+
+    def holding(self) -> np.ndarray:
+        """The symbols of this round whose words lie in some window that may repeat."""
+        s, count = self.symbols, np.append(0, self.alive.cumsum())
+        n = len(self.alive)
+        fixed = s.new & (s.low >= 0) & (s.high <= n) & (s.high - s.low <= WINDOW)
+        begin = np.clip(s.high - WINDOW, 0, n)
+        return np.flatnonzero(fixed & (count[np.clip(s.low + 1, 0, n)] > count[begin]))
+
+    def named(self, at: np.ndarray, names: np.ndarray) -> None:
+        """Give symbols their names; windows that hold one without a name stand alone."""
+        s = self.symbols
+        lone = at[names == 0]
+        edge = np.zeros(len(self.alive) + 1, np.int64)
+        np.add.at(edge, np.maximum(s.high[lone] - WINDOW, 0), 1)
+        np.add.at(edge, s.low[lone] + 1, -1)
+        self.alive &= edge[:-1].cumsum() == 0
+        s.key = s.key.copy()
+        s.key[at] = np.where(names > 0, mix(names.astype(np.uint64)), s.key[at])
+        s.new = np.zeros(len(s.key), bool)
+
+
+class Block:
+    """A block's documents and what is known of them."""
+
+    def __init__(self, data: bytes, marks: bytes, answers: Answers, step: int):
+        self.rows = unpacked_rows(data)
+        self.ids = self.rows.column("doc_id").to_numpy()
+        marked = spread(marks).reshape(3, -1)
+        self.copy = _repeats(marked, answers.step(0))
+        self.texts = [Text(w, ~self.copy[w.first : w.first + len(w)]) for w in words(self.rows.column("text"), lower=False)]
+        for level in (1, 2):
+            if step <= level:
+                break
+            keys, _, asked_at = self.symbols()
+            names = answers.step(level)
+            for t, at in asked_at:
+                t.named(at, names[np.searchsorted(keys, t.symbols.key[at])])
+                if level == 1:
+                    t.symbols = pairs(t.symbols, 2)
+
+    def symbols(self) -> tuple[np.ndarray, np.ndarray, list[tuple[Text, np.ndarray]]]:
+        """Distinct keys of the symbols that are asked for, whether one or more documents have each, and where they are."""
+        at = [(t, t.holding()) for t in self.texts]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(t.symbols.key[i] for t, i in at)])
+        doc = np.concatenate([np.zeros(0, np.int64), *(t.symbols.doc[i] + t.w.first for t, i in at)])
+        found, place = distinct(keys)
+        least, most = np.full(len(found), FAR), np.full(len(found), -1)
+        np.minimum.at(least, place, doc)
+        np.maximum.at(most, place, doc)
+        return found, 1 + (most > least), at
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(h, g, doc_id) of the windows that may repeat, and their place in the block's words."""
+        parts, places, base = [np.zeros((3, 0), np.int64)], [np.zeros(0, np.int64)], 0
+        for t in self.texts:
+            at = np.flatnonzero(t.alive)
+            h, g = (x[at[at < len(x)]] for x in window_hashes(t.w))
+            parts.append(np.stack([h.view(np.int64), g.view(np.int64), self.ids[t.w.first + t.doc[at]]]))
+            places.append(base + at)
+            base += len(t.doc)
+        return np.concatenate(parts, axis=1), np.concatenate(places)
+
+
+def window_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the window that begins at each word."""
     return grams(w.hashes, WINDOW), grams(mix(w.hashes ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
 
 
-SALTS = (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB)
-
-
 def _text_digest(w: Words, salt: int) -> np.ndarray:
     """64-bit digest of each document's word sequence."""
     place = np.arange(len(w.hashes)) - np.repeat(w.offsets[:-1], np.diff(w.offsets))
@@ -144,204 +199,104 @@ def _text_digest(w: Words, salt: int) -> np.ndarray:
     return sums[w.offsets[1:]] - sums[w.offsets[:-1]]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of words, 128-bit digest of the word sequence."""
-    for b in batches:
-        found = [(np.diff(w.offsets), *(_text_digest(w, s).view(np.int64) for s in SALTS)) for w in words(b.column(1), lower=False)]
-        if found:
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True))], names=["doc_id", "n_words", "x", "y"])
-
-
-def _packed(buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of 8-byte columns, the first hashed, as one block of bytes for each bucket of it."""
-    bucket = ((mix(columns[0]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    rows = np.ascontiguousarray(np.stack([c.view(np.uint64) for c in columns], 1)[order])
-    there, first = np.unique(bucket[order], return_index=True)
-    cut = np.append(first, len(rows))
-    blocks = [rows[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "rows"])
-
-
-class _Held:
-    """Rows of a task, packed whenever a bounded number has gathered."""
-
-    def __init__(self, buckets: int, width: int, limit: int = 1_500_000):
-        self.buckets, self.limit, self.size = buckets, limit, 0
-        self.columns: list[list[np.ndarray]] = [[] for _ in range(width)]
+def _marks(rows: pa.Table) -> bytes:
+    """(h, g, doc_id) of each text; those shorter than a window get digests of their own."""
+    parts = [np.zeros((2, 0), np.int64)]
+    for w in words(rows.column("text"), lower=False):
+        h, g = (_text_digest(w, s).view(np.int64) for s in SALTS)
+        parts.append(np.stack([h, g]))
+    return squeezed(np.concatenate([np.concatenate(parts, axis=1), rows.column("doc_id").to_numpy()[None]]).ravel())
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for held, new in zip(self.columns, columns, strict=True):
-            held.append(new)
-        self.size += len(columns[0])
-        if self.size >= self.limit:
-            yield from self.out()
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            yield _packed(self.buckets, *(np.concatenate(c) for c in self.columns))
-        self.columns, self.size = [[] for _ in self.columns], 0
+def _groups(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (h, g, doc_id): their order by hash and id, and the place in it of each one's group's first."""
+    order = np.lexsort((marked[2], marked[1], marked[0].view(np.uint64)))
+    h, g = marked[0][order], marked[1][order]
+    first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))[: len(order)]
+    return order, np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> np.ndarray:
-    data = b"".join(x for b in batches for x in b.column(1).to_pylist())
-    return np.frombuffer(data, np.uint64).reshape(-1, width)
+def _ask_least(block: int, marked: np.ndarray, buckets: int) -> pa.Table:
+    """Ask for each different (h, g) whether another block has a smaller id than the least of this one."""
+    order, head = _groups(marked)
+    found = marked[:, order[np.unique(head)]]
+    return asked(block, found[0].view(np.uint64), found[1:], buckets)
 
 
-def _lists(keys: np.ndarray, values: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """One row for each key with the list of its values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    cut = np.append(first, len(keys)).astype(np.int64)
-    for i in range(0, len(first), 2000):
-        j = min(i + 2000, len(first))
-        lists = pa.ListArray.from_arrays(pa.array((cut[i : j + 1] - cut[i]).astype(np.int32)), pa.array(values[cut[i] : cut[j]].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[first[i:j]].view(np.int64)), lists], names=names)
+def _smaller_elsewhere(_: int, keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    marked = np.concatenate([keys.view(np.int64)[None], numbers])
+    order, head = _groups(marked)
+    out = np.zeros(len(keys), np.int64)
+    out[order] = marked[2][order[head]] < marked[2][order]
+    return out, []
 
 
-def _anchor_blocks(buckets: int):
-    """Blocks of (anchor, digest of the text), each once for a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(buckets, 2)
-        for b in batches:
-            for w in words(b.column(0), lower=False):
-                at, keys = anchors(w)
-                if not len(at):
-                    continue
-                doc = w.doc_of_word()[at]
-                change = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))
-                yield from held.add(keys[change], _text_digest(w, SALTS[0])[doc[change]])
-        yield from held.out()
-
-    return run
-
-
-def _listed(names: list[str]):
-    """Of whole buckets of (owner, value): the values of each owner."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _unpacked(batches, 2)
-        yield from _lists(np.ascontiguousarray(rows[:, 0]), rows[:, 1], names)
-
-    return run
-
-
-def _shared_anchors(buckets: int):
-    """Of whole buckets: blocks of (text, anchor) for the anchors that different texts have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _unpacked(batches, 2)
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        anchor, owner = rows[:, 0], rows[:, 1]
-        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
-        anchor, owner = anchor[fresh], owner[fresh]
-        twice = np.zeros(len(anchor), bool)
-        twice[1:] = anchor[1:] == anchor[:-1]
-        twice[:-1] |= twice[1:]
-        if twice.any():
-            yield _packed(buckets, owner[twice], anchor[twice])
+def _repeats(marked: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """Which rows a smaller id has too, given the answers to ``_ask_least``."""
+    order, head = _groups(marked)
+    _, group = np.unique(head, return_inverse=True)
+    out = np.zeros(len(order), bool)
+    out[order] = (marked[2][order] > marked[2][order[head]]) | (answer[group] > 0)
+    return out
 
-    return run
 
+def _name(bucket: int, keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Numbers from 1 on, of this bucket, for the symbols that different texts have; 0 for the others."""
+    found, place = distinct(keys)
+    shared = np.bincount(place, numbers[0], len(found)) > 1
+    return (((bucket << 32) + shared.cumsum()) * shared)[place], []
 
-def _window_blocks(buckets: int):
-    """Blocks of (h, g, doc_id): the windows whose anchor is shared."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(buckets, 3)
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            begin, shared = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for w in words(b.column(1), lower=False):
-                at, keys = anchors(w)
-                if not len(at):
-                    continue
-                h, g = _window_hashes(w)
-                doc = w.doc_of_word()[at]
-                edges = np.searchsorted(doc, np.arange(len(w) + 1))
-                use = np.zeros(len(at), bool)
-                for k in range(len(w)):
-                    mine = shared[begin[w.first + k] : begin[w.first + k + 1]]
-                    if len(mine) and edges[k + 1] > edges[k]:
-                        use[edges[k] : edges[k + 1]] = np.isin(keys[edges[k] : edges[k + 1]], mine)
-                yield from held.add(h[at[use]], g[at[use]], ids[w.first + doc[use]])
-        yield from held.out()
-
-    return run
-
-
-def _repeats(buckets: int):
-    """Of whole buckets: blocks of (document, window) for the windows that a smaller doc_id has too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _unpacked(batches, 3)
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((rows[:, 2].view(np.int64), rows[:, 1], rows[:, 0]))]
-        h, g, doc = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
-        first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-        use = (first | np.append(True, doc[1:] != doc[:-1])) & (doc > least)
-        if use.any():
-            yield _packed(buckets, doc[use].view(np.uint64), h[use])
-
-    return run
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(rows: pa.Table, texts: list[Text], copy: np.ndarray, places: np.ndarray, repeated: np.ndarray) -> pa.Table:
     """Words of each text without those that a repeated window covers."""
-    for b in batches:
-        cut = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)
-        begin, repeated = cut.offsets.to_numpy(), cut.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        copy = b.column(3).to_pylist()
-        kept_text, gone, total = [], [], []
-        for w in words(b.column(1), lower=False):
-            h, _ = _window_hashes(w)
-            data = w.data.tobytes()
-            for k in range(len(w)):
-                a, z = int(w.offsets[k]), int(w.offsets[k + 1])
-                mine = repeated[begin[w.first + k] : begin[w.first + k + 1]]
-                drop = np.full(z - a, copy[w.first + k] and z - a >= WINDOW)
-                if z - a >= WINDOW and len(mine) and not copy[w.first + k]:
-                    hit = np.flatnonzero(np.isin(h[a : z - WINDOW + 1], mine))
-                    edge = np.zeros(z - a + 1, np.int64)
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + WINDOW, -1)
-                    drop = np.cumsum(edge)[:-1] > 0
-                stay = np.flatnonzero(~drop) + a
-                kept_text.append(b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]))
-                gone.append(int(drop.sum()))
-                total.append(z - a)
-        texts = pa.array(kept_text, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), texts], names=["doc_id", "n_words", "n_removed", "kept"])
+    kept, gone, total, base = [], [], [], 0
+    covered = np.zeros(sum(len(t.doc) for t in texts) + WINDOW + 1, np.int64)
+    covered[places[repeated]] += 1
+    covered[places[repeated] + WINDOW] -= 1
+    drop = covered.cumsum() > 0
+    for t in texts:
+        w, here = t.w, drop[base : base + len(t.doc)]
+        base += len(t.doc)
+        here = here | (copy[w.first : w.first + len(w)] & (np.diff(w.offsets) >= WINDOW))[t.doc]
+        data = w.data.tobytes()
+        stay = np.flatnonzero(~here)
+        cut = np.searchsorted(stay, w.offsets)
+        words_ = [data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]
+        kept += [b" ".join(words_[a:z]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        total.append(np.diff(w.offsets))
+        gone.append(np.diff(w.offsets) - np.diff(cut))
+    whole = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
+    return pa.table([rows.column("doc_id"), whole(total), whole(gone), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` holds the words that stay, joined by one space."""
-    spark = docs.sparkSession
-    t = Tables(spark, "substring")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.where("doc_id is not null")
-    same = ["n_words", "x", "y"]
-    digests = known.mapInArrow(_digests, "doc_id long, n_words long, x long, y long").where(f"n_words >= {WINDOW}")
-    digests = t.keep(digests)
-    firsts = t.keep(digests.groupBy(*same).agg(F.min("doc_id").alias("doc_id")))
-    copies = digests.join(firsts, [*same, "doc_id"], "left_anti").select("doc_id").distinct()
-
-    kind, buckets = "bucket int, rows binary", 4 * parts
-    blocks = known.select("text").mapInArrow(_anchor_blocks(buckets), kind).repartition(parts, "bucket")
-    shared = blocks.mapInArrow(_shared_anchors(parts), kind).repartition(parts, "bucket").mapInArrow(_listed(["x", "anchors"]), "x long, anchors array<long>")
-    marked = t.keep(shared.join(firsts.select("x", "doc_id"), "x").select("doc_id", "anchors"))
-
-    blocks = known.join(marked, "doc_id").mapInArrow(_window_blocks(buckets), kind).repartition(parts, "bucket")
-    repeats = blocks.mapInArrow(_repeats(parts), kind).repartition(parts, "bucket").mapInArrow(_listed(["doc_id", "repeated"]), "doc_id long, repeated array<long>")
-    repeats = t.keep(repeats)
-    t.drop(marked)
-
-    found = copies.withColumn("copy", F.lit(True)).join(repeats, "doc_id", "full")
-    return texts.join(found, "doc_id", "left").select("doc_id", "text", "repeated", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    t = Tables(docs.sparkSession, "substring")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = blocks_of(t, texts.where("doc_id is not null"), BLOCK_BYTES, _marks)
+    e = Exchange(t, blocks, BUCKET_BYTES)
+    buckets = e.buckets
+    e.ask(lambda block, data, marks, _: _ask_least(block, spread(marks).reshape(3, -1), buckets), _smaller_elsewhere, data=False)
+
+    def ask_symbols(step: int):
+        def run(block: int, data: bytes, marks: bytes, answers: Answers) -> pa.Table:
+            keys, n, _ = Block(data, marks, answers, step).symbols()
+            return asked(block, keys, n[None], buckets)
+
+        return run
+
+    e.ask(ask_symbols(1), _name)
+    e.ask(ask_symbols(2), _name)
+    e.ask(lambda block, data, marks, answers: _ask_least(block, Block(data, marks, answers, 3).windows()[0], buckets), _smaller_elsewhere)
+
+    def cut(_: int, data: bytes, marks: bytes, answers: Answers) -> pa.Table:
+        b = Block(data, marks, answers, 3)
+        marked, places = b.windows()
+        return _cut(b.rows, b.texts, b.copy, places, _repeats(marked, answers.step(3)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pa.table([b.column(0), b.column(1)], names=["doc_id", "text"])
+            yield from _cut(rows, [Text(w, np.zeros(len(w), bool)) for w in words(b.column(1), lower=False)], np.zeros(b.num_rows, bool), np.zeros(0, np.int64), np.zeros(0, bool)).to_batches()
+
+    return e.map(cut, RESULT).unionByName(texts.where("doc_id is null").mapInArrow(whole, RESULT))
