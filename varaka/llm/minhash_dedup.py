@@ -4,20 +4,25 @@
    of its shingle set, ``BANDS`` band keys and an Odd sketch: the MinHash
    samples folded into a parity bitmap.
 2. Documents with one and the same set collapse into a class (their link is
-   certain); the smallest doc_id stands for it.
+   certain); the smallest doc_id stands for it.  Classes are the nodes: a
+   doc_id that stands for several (rows that repeat it with other texts) names
+   the first, the others get a number out of their set.
 3. Classes that share a band key meet in buckets.  No bucket is expanded into
    all its pairs: each round picks a few pivots per bucket and compares the
    other members with them.  The population count of the XOR of two Odd
    sketches estimates their similarity before a pair leaves the join: one
    sketch holds the MinHash samples, another, exact as a bound, the whole set.
-   Promising pairs are confirmed on the full sets.  Confirmed links merge
+   Promising pairs are confirmed on the full sets, which are stored once for the
+   classes that lie in a bucket with others.  Confirmed links merge
    components; used pivots leave, and a bucket is done once its members lie in
    one component.  Rounds go on until every bucket is done, so no pair of
-   different components that a bucket holds goes uncompared.
+   different components that a bucket holds goes uncompared.  A bucket of M
+   classes that never link takes about M / 1024 rounds.
 
 Defined cases: a null or word-less text has an empty set, links with nothing
 and is its own component.  A text with fewer words than a shingle has its whole
-word sequence as its one shingle.  Rows that repeat a doc_id each give a row.
+word sequence as its one shingle.  Rows that repeat a doc_id each give a row
+and are judged each by its own text.
 A null doc_id never links or leads a class that has another id.  An empty table gives an empty
 result; extra columns are ignored.
 """
@@ -33,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varaka.llm.stage import Tables, components
+from varaka.llm.blocks import spread, squeezed
+from varaka.llm.stage import Tables, components, marked_rows
 from varaka.llm.text import grams, mix, words
 
 #: a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**36 < 1e-6
@@ -43,8 +49,8 @@ SKETCH_LONGS = 4
 SET_LONGS = 16
 #: standard deviations of the estimate left below the threshold before a pair is dismissed unseen
 MARGIN = 5.5
-#: bits of the filter of candidates; bounds what is broadcast
-FILTER_BITS = 1 << 23
+#: nodes that no doc_id names begin here
+UNNAMED = 1 << 62
 #: pivots per bucket in the first, second, ... round
 PIVOTS = (16, 128, 1024)
 
@@ -56,7 +62,7 @@ _SALT = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 SAMPLE_BITS = [f"s{i}" for i in range(SKETCH_LONGS)]
 SET_BITS = [f"w{i}" for i in range(SET_LONGS)]
 SKETCHES = [*SAMPLE_BITS, *SET_BITS]
-SIGNATURE = "doc_id long, n int, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES)
+SIGNATURE = "doc_id long, text_key long, n int, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES)
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -109,7 +115,7 @@ def _signatures(n: int):
             if not batch.num_rows:
                 continue
             sizes, marks, samples, parities = [], [], [], []
-            for s in shingle_sets(batch.column(1), n):
+            for s in shingle_sets(batch.column(2), n):
                 sizes.append(len(s))
                 marks.append((mix(s).sum(dtype=np.uint64), mix(s * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)))
                 samples.append(minhashes(s))
@@ -121,24 +127,42 @@ def _signatures(n: int):
             np.cumsum(full * BANDS, out=at[1:])
             sketches = np.hstack([odd_sketches(samples), np.array(parities)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(bands[full].reshape(-1).view(np.int64)))]
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(bands[full].reshape(-1).view(np.int64)))]
                 + [pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(len(SKETCHES))],
-                names=["doc_id", "n", "f1", "f2", "bands", *SKETCHES],
+                names=["doc_id", "text_key", "n", "f1", "f2", "bands", *SKETCHES],
             )
 
     return run
 
 
 def _sets(n: int):
+    """Node and its packed shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [squeezed(np.diff(s.view(np.int64), prepend=0)) for s in shingle_sets(batch.column(1), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _similar(p: int, q: int):
+    """Of rows (ca, cb, set, set): the links (ca, cb) of the sets that are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            found = list(shingle_sets(batch.column(batch.schema.get_field_index("text")), n))
-            at = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(s) for s in found], out=at[1:])
-            values = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            column = pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column], names=[*keep, "shingles"])
+            keep = []
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                a, b = a.as_py(), b.as_py()
+                if a != last[0]:  # neighbours mostly share their first set
+                    last = (a, spread(a).cumsum().view(np.uint64))
+                x, y = last[1], spread(b).cumsum().view(np.uint64)
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                if both * q >= (len(x) + len(y) - both) * p:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -152,30 +176,41 @@ def most_differing_bits(threshold: float) -> int:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, similar: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for documents linked at Jaccard >= similar[0] / similar[1]."""
+    """(doc_id, n_shingles, component_id, kept, text_key) for documents linked at Jaccard >= similar[0] / similar[1].
+
+    ``text_key`` is the hash of the row's text, which tells rows with one doc_id apart.
+    """
     t = Tables(docs.sparkSession, "near")
     p, q = similar
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     signed = t.keep(texts.mapInArrow(_signatures(shingle), SIGNATURE))
 
     same = ["n", "f1", "f2"]
-    classes = t.keep(signed.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    heads = signed.where("doc_id is not null and n > 0").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    heads = t.keep(heads.dropDuplicates(["doc_id", *same]).select("doc_id", "n", *SKETCHES, "bands"))
-    sketches = heads.drop("bands")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    classes = t.keep(classes.select(*same, F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")))
+    named = classes.groupBy("rep").agg(F.min(F.struct(*same)).alias("named"))
+    unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(*same), 2)
+    classes = t.keep(classes.join(named, "rep").select(*same, "rep", "text_key", F.when(F.struct(*same) == F.col("named"), F.col("rep")).otherwise(unnamed).alias("node")))
+    heads = signed.drop("doc_id").join(classes, [*same, "text_key"]).dropDuplicates(["node"])
+    heads = t.keep(heads.select(F.col("node").alias("doc_id"), "rep", "text_key", "n", *SKETCHES, "bands"))
+    sketches = heads.drop("bands", "rep", "text_key")
 
     rows = heads.select("doc_id", F.explode("bands").alias("key"))
     busy = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     shared = t.keep(rows.join(busy.drop("last"), "key").where("doc_id <> pivot"))
+    inside = shared.select("doc_id").union(shared.select("pivot")).distinct()
+    wanted = heads.select("doc_id", F.col("rep"), "text_key").join(inside, "doc_id").select(F.col("doc_id").alias("node"), F.col("rep").alias("doc_id"), "text_key")
+    held = marked_rows(texts, wanted.select("doc_id", "text_key")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
+    held = t.keep(held.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary"))
 
     # the first round has one pivot a bucket: few pairs, which fetch their sketches
     pairs = shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     side = lambda c, pre: sketches.select(F.col("doc_id").alias(c), *(F.col(x).alias(pre + x) for x in ["n", *SKETCHES]))
     pairs = pairs.join(side("b", ""), "b").join(side("a", "p_"), "a").where(_promising(p, q))
     pairs = t.keep(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
-    tested, maps = [pairs], [components(t, _confirmed(texts, pairs, shingle, p, q))]
+    tested, roots = pairs.select("a", "b"), components(t, _confirmed(held, pairs, p, q))
 
-    placed = t.keep(_moved(shared.select("key", F.col("doc_id").alias("comp"), "doc_id"), maps[0]))
+    placed = t.keep(_moved(shared.select("key", F.col("doc_id").alias("comp"), "doc_id"), roots))
     t.drop(shared)
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     active = t.keep(placed.join(open_keys, "key", "left_semi").join(sketches, "doc_id"))
@@ -197,25 +232,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, similar: tuple[int, int]
             F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b"),
             F.when(ahead, F.col("comp")).otherwise(F.col("p_comp")).alias("ca"), F.when(ahead, F.col("p_comp")).otherwise(F.col("comp")).alias("cb"),
         ).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = t.keep(pairs)
+        pairs = t.keep(pairs.join(tested, ["a", "b"], "left_anti"))
         used = pivots.select("key", F.col("p_doc_id").alias("doc_id"))
         left = active.join(used, ["key", "doc_id"], "left_anti")
         if not pairs.isEmpty():
-            tested.append(pairs)
-            maps.append(components(t, _confirmed(texts, pairs, shingle, p, q)))
-            left = _moved(left, maps[-1])
+            tested = tested.unionByName(pairs.select("a", "b"))
+            step = components(t, _confirmed(held, pairs, p, q))
+            left = _moved(left, step)
+            roots = t.keep(_composed(roots, step))
         left = t.keep(left.select(active.columns))
         t.drop(active, pivots)
         active = left
         turn += 1
+    t.drop(active, pivots, held, heads)
 
-    out = signed.select("doc_id", *same).join(classes, same, "left").withColumn("comp", F.coalesce("rep", "doc_id"))
-    for step in maps:
-        out = _moved(out, step)
+    ids = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
+    found = classes.select(*same, "rep", "node").join(roots.join(ids, "root").select("node", "least"), "node", "left")
+    found = found.select(*same, F.coalesce("least", "rep").alias("comp"))
+    out = signed.select("doc_id", "text_key", *same).join(found, same, "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mine = F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(False))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), mine.alias("kept"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), mine.alias("kept"), "text_key")
+
+
+def _composed(roots: DataFrame, step: DataFrame) -> DataFrame:
+    """One map (node, root) for two, of which the second goes on from the roots of the first."""
+    further = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    old = roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return old.unionByName(step.join(roots, "node", "left_anti"))
 
 
 def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -238,37 +281,12 @@ def _promising(p: int, q: int) -> Column:
     )
 
 
-def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of all documents in ``pairs``, and few others: the ids are hashed to a bitmap of ``FILTER_BITS``.
-
-    The bitmap is a table of at most FILTER_BITS / 64 rows, whatever the number
-    of pairs; a full one only lets more texts through.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    word, place = F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("place")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    bits = ids.select(word, place).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
-    marked = texts.select("doc_id", "text", word, place).join(F.broadcast(bits), "word")
-    return marked.where(F.getbit("bits", F.col("place")) == 1).select("doc_id", "text")
-
-
-def _confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+def _confirmed(held: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
     """Edges (a, b) between the components of those pairs whose full shingle sets are similar enough.
 
-    Only texts that a bitmap of the pairs' ids lets through are shuffled.
-    Both sides bring their text once by doc_id; the set of b then travels to
-    a.  Both joins are plain equi-joins, so AQE splits a document with very
-    many partners over tasks.
+    The set of b travels to a.  Both joins are plain equi-joins, so AQE splits
+    a class with very many partners over tasks.
     """
-
-    texts = _candidates(texts, pairs)
-
-    def sets(side: DataFrame) -> DataFrame:
-        kept = [c for c in side.columns if c != "doc_id"]
-        return texts.join(side, "doc_id").mapInArrow(_sets(shingle), ", ".join(f"{c} long" for c in ["doc_id", *kept]) + ", shingles array<long>")
-
-    left = sets(pairs.select(F.col("a").alias("doc_id")).distinct()).select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets(pairs.select(F.col("b").alias("doc_id"), "a", "ca", "cb")).withColumnRenamed("shingles", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return right.join(left, "a").where((both * q) >= (union * p)).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    right = pairs.join(held.withColumnRenamed("shingles", "sb"), F.col("b") == F.col("node")).drop("node")
+    both = right.join(held.withColumnRenamed("shingles", "sa"), F.col("a") == F.col("node"))
+    return both.select("ca", "cb", "sa", "sb").mapInArrow(_similar(p, q), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -53,6 +53,34 @@ class Tables:
                 p.getFileSystem(conf).delete(p, True)
 
 
+#: bits of a filter of keys; bounds what is broadcast
+FILTER_BITS = 1 << 23
+
+
+def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with __maybe: false only where the columns of ``keys`` do not occur among them.
+
+    The keys are hashed to a bitmap, a table of at most FILTER_BITS / 64 rows
+    whatever their number; a full one only lets more rows through.
+    """
+    slot = F.pmod(F.xxhash64(*keys.columns), F.lit(FILTER_BITS))
+    word, place = F.shiftright(slot, 6).alias("__word"), (slot % 64).cast("int").alias("__place")
+    bits = keys.select(word, place).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __place)")).alias("__bits"))
+    found = rows.select("*", word, place).join(F.broadcast(bits), "__word", "left")
+    maybe = F.coalesce(F.getbit("__bits", F.col("__place")) == 1, F.lit(False))
+    return found.withColumn("__maybe", maybe).drop("__word", "__place", "__bits")
+
+
+def marked_rows(rows: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose columns of ``keys`` occur among them, and few others (or all but these); nothing of ``rows`` is shuffled."""
+    return _flagged(rows, keys).where(F.col("__maybe") == inside).drop("__maybe")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose columns of ``gone`` occur among them; only rows that a bitmap of ``gone`` lets through are shuffled."""
+    return marked_rows(rows, gone, False).unionByName(marked_rows(rows, gone).join(gone, gone.columns, "left_anti"))
+
+
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, root) for each node, root = smallest node reachable.
 
