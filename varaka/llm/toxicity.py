@@ -9,14 +9,16 @@ taken once per model, so scoring adds rows and never touches the embeddings.
 
 Learning: a bounded sample of labelled rows (``MAX_SAMPLE`` of either label,
 smallest hash first) is fitted on the driver with Adam.  ``thresholds`` then
-picks, for each language, the cut that classifies the labelled rows best; it
+picks, for each language, the cut that classifies labelled rows best that the
+fit has not seen (``calibration`` rows, which ``fit`` leaves out on demand); it
 serves the filtering stage and is never an input of a score.
 
 Defined cases: a null or empty text scores like a text without words; labels
-that are null or neither 0 nor 1 are not learned from; without any toxic or any
-clean label all scores are 0.5 times that label's absence (0 or 1); rows that
-repeat a doc_id each give a row, and the largest of several labels counts;
-extra columns are ignored.
+that are null or neither 0 nor 1 are not learned from; with labels of one kind
+only all scores are 1 (toxic) or 0 (clean), and 0 without any; rows that
+repeat a doc_id each give a row, and the largest of several labels counts; a
+null doc_id is scored, never learned from, and not held out; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -190,22 +192,33 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 def held_out(doc_id="doc_id"):
     """Rows never learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE) -> Model:
-    """Train on at most ``limit`` labelled rows of either label that are not held out."""
+def calibration(doc_id="doc_id"):
+    """Rows for ``thresholds``."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 4, F.lit(False))
+
+
+def marked_docs(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): the largest usable label of each document."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    marked = marked.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = marked.where("toxic = 1").orderBy(*order).limit(limit).unionByName(marked.where("toxic = 0").orderBy(*order).limit(limit))
+    return marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE, calibrated: bool = False) -> Model:
+    """Train on about ``limit`` labelled rows at most of either label that are not held out (nor, if ``calibrated``, for thresholds)."""
+    marked = marked_docs(labels).where(~held_out())
+    if calibrated:
+        marked = marked.where(~calibration())
+    picked = sampled(marked, "toxic", limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     return train(sample["text"].fillna("").tolist(), sample["toxic"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and a score in 0..1 for every row."""
+    """The columns of ``keep`` (none named score) and a score in 0..1 for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by TABLE_BITS and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +233,31 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
+def sampled(rows: DataFrame, label: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows (doc_id, ``label``) of either label, smallest hash first.
+
+    A cut of the hash, taken from the labels' counts, lets a little more than
+    ``limit`` rows of each through before they are sorted, whatever the number of tasks.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    out = None
+    for value in (1, 0):
+        share = min(1.0, (limit + 10 * limit**0.5 + 100) / max(counts.get(value, 0), 1))
+        near = rows.where((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+        part = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(limit)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def thresholds(scored: DataFrame, labels: DataFrame, bins: int = 200) -> dict[str | None, float]:
-    """For each language the score cut with the best balanced accuracy on labelled rows; 0.5 where there are too few.
+    """For each language the score cut with the best balanced accuracy on labelled calibration rows; 0.5 where there are too few.
 
     ``scored`` has doc_id, lang and score.  Counts by language and score bin
     are aggregated first, so the driver sees languages times bins.
     """
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = marked_docs(labels)
     binned = scored.select("doc_id", "lang", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
-    counted = binned.where(~held_out()).join(marked, "doc_id").groupBy("lang", "bin").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    counted = binned.where(calibration()).join(marked, "doc_id").groupBy("lang", "bin").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     found: dict[str | None, float] = {}
     table = counted.toPandas()
     for lang, part in table.groupby("lang", dropna=False):
