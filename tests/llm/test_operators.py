@@ -83,6 +83,13 @@ def test_a_cloud_of_near_copies(spark):
     assert found == expected
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = BASE, " ".join(f"b{k}" for k in range(30)), " ".join(f"c{k}" for k in range(30))
+    rows = [(1, a), (2, a), (2, b), (2, c), (3, b + " x"), (4, c + " y"), (4, c + " y"), (9, b + " x y")]
+    found = sorted(tuple(r)[:4] for r in minhash_dedup.near_duplicates(docs(spark, rows)).collect())
+    assert found == sorted([(1, 15, 1, True), (2, 15, 1, False), (2, 27, 2, True), (2, 27, 2, True), (3, 28, 2, False), (4, 28, 2, False), (4, 28, 2, False), (9, 29, 2, False)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)]
     got = {r["node"]: r["root"] for r in components(Tables(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -249,6 +256,7 @@ def test_toxicity_on_held_out_rows(spark):
     scored = toxicity.score(odd(spark), model).collect()
     assert len(scored) == len(ODD) and all(0 <= r["score"] <= 1 for r in scored)
     assert toxicity.score(empty(spark), model).count() == 0
+    assert odd(spark).where(toxicity.held_out().isNull()).count() == 0
 
 
 def brute_windows(rows):
@@ -370,14 +378,29 @@ def test_pipeline(spark):
     assert out.doc_id.is_unique and set(out.doc_id) <= set(table.doc_id) and len(out) > 0.6 * len(table)
     leaks = {r["doc_id"] for r in queries.op8_decontaminate(spark, SF).collect()}
     assert not leaks & set(out.doc_id)
-    d = odd(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        d = stage(spark, d, SF)
-    assert d.where("doc_id = 0").count() == 1
-    e = empty(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        e = stage(spark, e, SF)
-    assert e.count() == 0
+    for rows, n in ((odd(spark), 1), (empty(spark), 0)):
+        for clash in ("__text", "__body", "__maybe", "__word", "row", "id", "none", "text_key", "digest", "stays"):
+            rows = rows.withColumn(clash, F.lit(clash))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns, rows = rows.columns, stage(spark, rows, SF)
+            assert rows.columns == columns
+        assert rows.where("id = 'id' and score = 'clash'").count() == rows.count()
+        assert corpus_pipeline.encode(spark, rows, SF).where("doc_id = 0").count() == n
+
+
+def test_pipeline_filters_by_brute_force(spark):
+    """Exact and near dedup of rows that repeat ids, texts or both."""
+    import corpus_pipeline
+
+    a, b = BASE, " ".join(f"b{k}" for k in range(20))
+    rows = [(1, a), (2, a), (2, b), (5, a.upper()), (5, a.upper()), (5, a.upper() + " "), (7, b + "  tail"), (7, b + " tail"), (None, a), (None, "u v"), (None, "u  v"), (8, None), (9, ""), (3, "x"), (3, "x")]
+    seen: dict = {}
+    for i, t in rows:
+        seen.setdefault(re.sub("[ \t-\r]+", " ", t or ""), []).append((i is None, i or 0))
+    left = corpus_pipeline.drop_copies(spark, docs(spark, rows), SF)
+    assert sorted((re.sub("[ \t-\r]+", " ", r["text"] or ""), r["doc_id"]) for r in left.collect()) == sorted((t, min(ids)[1] if not min(ids)[0] else None) for t, ids in seen.items())
+    near = corpus_pipeline.drop_near_copies(spark, docs(spark, [(1, a), (2, a), (2, b), (5, a), (6, b + " tail"), (7, "z " + b), (None, a)]), SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in near.collect()) == sorted([("1", a), ("2", b), ("None", a)])
 
 
 def test_words_of_arrow_slices():

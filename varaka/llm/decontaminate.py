@@ -17,7 +17,8 @@ Words are lower-cased (A-Z) and cut at white space and ASCII punctuation.
 Defined cases: null or empty texts and items match nothing; an item with fewer
 words than the overlap matches as a whole, word for word, if it has at least
 ``SHORTEST`` words and nothing otherwise; repeated items and documents each
-give their rows; other columns are ignored.
+give their rows; a null doc_id or item_id is reported as null; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 5, 6, 7), (0, 1, 4, 5, 8, 9))
 BLOCK_CHARS = 8_000_000
 FILTER_BITS = 22
 
-FOUND = "doc_id long, item_id long, n_matched long, n_aligned long, first_word long"
+FOUND = "doc_id long, text_key long, item_id long, n_matched long, n_aligned long, first_word long"
 
 
 def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -53,9 +54,9 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Items:
     """A block of benchmark items with their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         found = list(words(pa.array(texts, pa.string()), breaks=BREAKS))
-        self.ids = np.array(ids, np.int64)
+        self.ids = ids
         self.words = [w.hashes[a:b] for w in found for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
         self.lengths = np.array([len(x) for x in self.words], np.int64)
         parts = []
@@ -117,10 +118,10 @@ class Items:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_aligned, first_word) for each document and item that it repeats."""
+    """(doc_id, text_key, item_id, n_matched, n_aligned, first_word) for each document and item that it repeats; ``text_key`` is the hash of the row's text."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // BLOCK_CHARS))
     out = None
@@ -135,10 +136,10 @@ def _scan(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:
-            ids, rows = b.column(0), []
-            for w in words(b.column(1), breaks=BREAKS):
-                rows += [(ids[w.first + d].as_py(), int(items.ids[i]), *rest) for d, i, *rest in items.matches(w)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_matched", "n_aligned", "first_word"])
+            ids, keys, rows = b.column(0), b.column(1), []
+            for w in words(b.column(2), breaks=BREAKS):
+                rows += [(ids[w.first + d].as_py(), keys[w.first + d].as_py(), items.ids[i], *rest) for d, i, *rest in items.matches(w)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_key", "item_id", "n_matched", "n_aligned", "first_word"])
 
     return texts.mapInArrow(run, FOUND)

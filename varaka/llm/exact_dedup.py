@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from varaka.llm.stage import Tables
 
 SLOTS, MAX_KICKS = 4, 200
+#: digests of a shard; their number follows the rows
+SHARD_ROWS = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -181,13 +183,13 @@ GROUPS = "digest binary, keep_id long, group_size long"
 
 def digest_index(digests: DataFrame) -> DataFrame:
     """The live digests of (digest, doc_id) rows: (digest, keep_id, group_size), one row for each digest."""
-    parts = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), digests.count() // SHARD_ROWS)
     return digests.select("digest", "doc_id").mapInArrow(_before, GROUPS).repartition(parts, "digest").mapInArrow(_shard, GROUPS)
 
 
 def apply_changes(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """The index after deleting the digests of ``removed`` (digest) and inserting ``added`` (digest, doc_id)."""
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), (index.count() + added.count()) // SHARD_ROWS)
     none = F.lit(None).cast("long")
     rows = (
         index.select("digest", "keep_id", "group_size", F.lit(0).alias("step"))
@@ -215,10 +217,13 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size, kept) for every row; of equal texts the smallest doc_id stays."""
+    """(doc_id, digest, keep_id, group_size, kept, text_key) for every row; of equal texts the smallest doc_id stays.
+
+    ``text_key`` is the hash of the row's text as it stands, which tells rows with one doc_id apart.
+    """
     t = Tables(docs.sparkSession, "exact")
     digest = F.unhex(F.sha2(normalised(F.col("text").cast("string")), 256))
-    rows = t.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")))
+    rows = t.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.xxhash64("text").alias("text_key")))
     groups = t.keep(digest_index(rows))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return rows.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
+    return rows.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"), "text_key")

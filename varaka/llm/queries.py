@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; Arrow batches are kept small, since a text may be long."""
+    """A table; Arrow batches are bounded by bytes too, since a text may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varaka.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similar=(4, 5))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similar=(4, 5)).drop("text_key")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varaka.llm.decontaminate import overlaps
 
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
