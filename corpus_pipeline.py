@@ -2,51 +2,85 @@
 
 toxicity -> exact dedup -> MinHash near-dedup (five-word shingles, Jaccard 0.8)
 -> benchmark decontamination -> BPE.  Every stage but the last returns the
-columns of ``documents``.  A document with a null doc_id is kept by the three
-filtering stages that work on ids and by the first on its score.
+columns of ``documents``.
+
+Rows are told apart by doc_id and text, so rows that repeat a doc_id are judged
+each by its own text.  Each filter finds its verdicts on narrow tables; then one
+scan drops the rows, of which only those are shuffled that a bitmap of the
+dropped ones lets through.
+
+Defined cases, in every stage: other columns, whatever their names, pass
+through; an empty table stays empty; a null text counts as empty.  A null doc_id is
+judged like any other by the first, second and fourth stage (of equal texts
+without any id one stays); the third keeps it, since no group has it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varaka.llm import bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
 from varaka.llm.queries import table
-from varaka.llm.stage import Tables
+from varaka.llm.stage import Tables, marked_rows, without
+
+KEY = ["id", "none", "text_key"]
+
+
+def key_of(doc_id: Column, text_key: Column) -> list[Column]:
+    """What tells a row from others, without nulls."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), doc_id.isNull().alias("none"), text_key.alias("text_key")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, id, none, text_key): whole rows inside ``row``, where their names clash with nothing."""
+    return docs.select(F.struct("*").alias("row"), *key_of(F.col("doc_id"), F.xxhash64("text")))
+
+
+def dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone`` (doc_id, text_key)."""
+    return without(keyed(docs), gone.select(*key_of(F.col("doc_id"), F.col("text_key"))).distinct()).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold of their language (0.5 where it has none)."""
     labels = table(spark, sf_dir, "labels")
-    t = Tables(spark, "toxicity")
-    model = toxicity.fit(docs, labels)
-    body = docs.withColumn("__body", F.col("text"))
-    scored = t.keep(toxicity.score(body, model, keep=tuple(docs.columns), text="__body"))
+    model = toxicity.fit(docs, labels, calibrated=True)
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"))
+    scored = Tables(spark, "toxicity").keep(toxicity.score(rows, model, keep=("doc_id", "text_key", "lang")))
     cut = F.lit(0.5)
     for lang, value in toxicity.thresholds(scored, labels).items():
         cut = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(cut)
-    return scored.where(F.col("score") < cut).select(docs.columns)
+    return dropped(docs, scored.where(F.col("score") >= cut))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal after white space is normalised, the document with the smallest doc_id."""
-    gone = exact_dedup.exact_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each text, compared after white space is normalised: that with the smallest doc_id."""
+    several = Tables(spark, "copies").keep(exact_dedup.exact_duplicates(docs).where("group_size > 1").drop("keep_id", "group_size"))
+    key = key_of(F.col("doc_id"), F.col("text_key"))
+    lost = several.where("not kept").select(*key, F.lit(False).alias("stays"))
+    # an id that stays may have the text in several rows
+    stays = several.where("kept").groupBy("digest", *key).agg(F.count("*").alias("n"))
+    once = stays.groupBy("digest").agg(F.min("text_key").alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    fates = lost.unionByName(stays.join(once, "digest").select(*KEY, (F.col("text_key") == F.col("first")).alias("stays"))).distinct()
+    rows = keyed(docs)
+    judged = marked_rows(rows, fates.select(*KEY)).join(fates, KEY, "left").where(F.coalesce("stays", F.lit(True)))
+    judged = judged.groupBy(*KEY).agg(F.first("row").alias("row"))
+    return marked_rows(rows, fates.select(*KEY), False).select("row.*").unionByName(judged.select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    gone = minhash_dedup.near_duplicates(docs, shingle=5, similar=(4, 5)).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = minhash_dedup.near_duplicates(docs, shingle=5, similar=(4, 5)).where("not kept and doc_id is not null and n_shingles > 0")
+    return dropped(docs, Tables(spark, "copies").keep(found.select("doc_id", "text_key")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    gone = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return dropped(docs, Tables(spark, "leaks").keep(found.select("doc_id", "text_key").distinct()))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
