@@ -247,6 +247,17 @@ def test_bpe_equals_the_library(spark):
     assert again == found.where("doc_id = 0").first()["decoded"]
 
 
+def test_bpe_of_whole_table_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    table = pd.read_parquet(f"{SF}/documents.parquet")
+    expected = {i: e.ids for i, e in zip(table.doc_id, library.encode_batch(table.text.fillna("").tolist(), add_special_tokens=False), strict=True)}
+    for r in bpe.encode_decode(queries.table(spark, SF, "documents")).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == expected[r["doc_id"]]
+        assert r["decoded"] == library.decode(expected[r["doc_id"]], skip_special_tokens=False)
+
+
 def test_toxicity_on_held_out_rows(spark):
     d, labels = queries.table(spark, "/root/testdata/sf0.1", "documents"), queries.table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit(d, labels)

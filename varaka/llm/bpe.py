@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: white space of the pattern's \s, as it differs from str.split's
 BLANKS = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: longest chunk between blanks, and number of chunks, that a task keeps results for
-KEPT_LENGTH, KEPT_CHUNKS = 48, 300_000
+KEPT_LENGTH, KEPT_CHUNKS = 48, 100_000
 NO_RANK = np.iinfo(np.int64).max
 
 OUTPUT = "doc_id long, ids binary, n_tokens long, decoded string"
@@ -110,6 +110,10 @@ class Vocabulary:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.merged = key[order], rank[order], made[order]
         self.safe = used[self.merged] > self.ranks
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the results that a task has kept."""
         self.kept: dict[str, tuple[bytes, str]] = {s: (np.array([i], "<u4").tobytes(), s) for s, i in self.special.items()}
 
     def chunks(self, text: str) -> list[str]:
@@ -188,6 +192,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids, decoded = v.run([t or "" for t in part.column(1).to_pylist()])
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), counts, pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
+        v.forget()  # a worker lives on, and serves other steps
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUTPUT)
 
