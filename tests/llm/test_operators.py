@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -374,6 +376,79 @@ def test_html_text_that_is_shown(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p title="the hidden gem">seen</p>', "seen"),
+        ('<div class="a hidden b">seen</div>', "seen"),
+        ('<p data-type="hidden">seen</p>', "seen"),
+        ('<span aria-hidden="true">seen</span>', "seen"),
+        ("a<p style=display:none>b</p>", "a"),
+        ("a<!-->b", "ab"),
+        ("a<!--->b<!-- c --!>d", "abd"),
+        ('<a title="oops>link</a>', "link"),
+        ("<a title=don't>it's</a> <b x='>'>y</b>", "it's y"),
+        ("<table><tr><td colspan=2>a wide title<tr><td>a<td>b<tr><td>cc<td>d</table>", "a wide title\na  | b\ncc | d"),
+        ("<table><tr><td rowspan=2>r<td>b<tr><td>c<tr><td>dd<td>e</table>", "r  | b\n   | c\ndd | e"),
+        ("<table><tr><td>" + "w" * 500 + "<td>x<tr><td>y<td>z</table>", "w" * 500 + " | x\ny" + " " * 119 + " | z"),
+    ],
+)
+def test_html_attributes_comments_and_spans(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_html_takes_linear_time():
+    soups = ["<div>{}</b>", "<b><table><div>{}</b>", "<a title='{}>x", "<table><tr><td rowspan=0>{}<tr><td>x", "<td colspan=9999>{}<tr><td>", "<ul><li>x{}</p>", "<{}<", "<!--{}-"]
+    for soup in soups:
+        head, tail = soup.split("{}")
+        n = 500_000 // max(len(head), len(tail))
+        began = time.process_time()
+        html_text.visible_text(head * n + tail * n)
+        assert time.process_time() - began < 10, soup
+
+
+def test_html_keeps_the_text_of_deep_tables():
+    deep = "".join(f"<table><tr><td>a{k}<td>b{k}<tr><td>c{k}" for k in range(60)) + "".join(f"</td></tr><tr><td>d{k}</table>e{k}" for k in range(60))
+    found = html_text.visible_text(deep)
+    assert all(f"{x}{k}" in found for x in "abcde" for k in range(60))
+
+
+def test_html_keeps_all_words_of_the_pages():
+    """Words that a plain walker of the standard library's parser meets outside hidden parts, in any order."""
+
+    class Walker(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.unseen = [], []
+
+        def handle_starttag(self, tag, attrs):
+            found = dict(attrs)
+            style = (found.get("style") or "").replace(" ", "").lower()
+            gone = tag in html_text.UNSEEN or "hidden" in found or "display:none" in style or "visibility:hidden" in style
+            if tag not in html_text.VOID and (gone or self.unseen):
+                self.unseen.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.unseen:
+                self.out.append(data)
+                if self.lasttag not in ("b", "i", "a", "em", "span", "strong", "code"):
+                    self.out.append(" ")
+
+    pages = pd.read_parquet(SF.replace("0.001", "0.01") + "/pages.parquet")
+    letters = lambda text: Counter(re.sub(r"(?m)^\s*([-]|\d+\.) |[|\s]", "", text))
+    for page in pages.html:
+        walker = Walker()
+        walker.feed(page or "")
+        walker.close()
+        seen, expected = letters(html_text.visible_text(page)), letters("".join(walker.out))
+        assert not expected - seen, page
+
+
 def test_html_pages(spark):
     deep = "<div>" * 20_000 + "x"
     df = spark.createDataFrame([(1, None), (2, deep), (2, "<p>y"), (None, "")], "page_id long, html string").withColumn("text", F.lit("clash"))

@@ -6,13 +6,17 @@ closes the open one; void elements never open), and rendered: hidden parts are
 left out, blocks stand on lines of their own, paragraphs and headings keep a
 blank line between them, list items get a bullet or number and their depth's
 indent, ``pre`` keeps its white space, and the cells of a table are padded to
-columns.  All visible text is kept, navigation and footers too.
+columns, over which cells may span (column widths count up to ``PADDED``
+characters, spans up to ``SPANNED`` columns or grid cells in all, tables and lists inside each
+other up to ``DEEP``; beyond, text is kept but no longer aligned or indented).  All visible text is kept, navigation and footers too.
 
-Spark spreads the pages; a page is rendered by itself, without recursion, in
-time proportional to its length.
+Spark spreads the pages; a page is rendered by itself, without recursion.
+Where the open elements of a name are is kept beside the stack, so tag soup
+takes time proportional to its length.
 
 Defined cases: null or empty HTML gives empty text; unclosed comments, tags and
-raw-text elements run to the end; stray end tags are ignored; rows that repeat a
+raw-text elements run to the end, a quote that is never closed is a character
+like others; stray end tags are ignored; rows that repeat a
 page_id each give a row; other columns are ignored.  An open head ends at the
 first tag or text that may not stand in it.  All options of a select are kept.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,10 +59,14 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 
+#: widest column that cells are padded to, and most columns (and grid cells beside a page's own) that spans may add
+PADDED, SPANNED = 120, 1000
+DEEP = 24
+
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -95,33 +104,32 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each name
     at, n = 0, len(page)
     svg, svg_at = None, 0  # the outermost open svg and its place
 
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().name].pop()
+
+    def last(names: set[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def add(text: str) -> None:
         if stack[-1].name == "head" and text.strip():
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(text)
 
     def close(names: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in stop:
-                return
+        """End the innermost open element of ``names`` that no element of ``stop`` shields."""
+        if (i := last(names)) > last(stop):
+            cut(i)
 
     def close_all(names: set[str], stop: set[str]) -> None:
-        for i in range(1, len(stack)):
-            if stack[-i].name in stop or i == len(stack):
-                cut = len(stack) - i + 1
-                break
-        else:
-            cut = 1
-        for i in range(cut, len(stack)):
-            if stack[i].name in names:
-                del stack[i:]
-                return
+        """End the outermost such element."""
+        above = last(stop)
+        if found := [x[k] for x in map(places.get, names) if x and (k := bisect_right(x, above)) < len(x)]:
+            cut(min(found))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -143,7 +151,7 @@ def build(page: str) -> Node:
             close({name}, stop)
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if name in ENDS_P:
             close({"p"}, {"table", "td", "th", "button", "object"})
         if name in IMPLIED:
@@ -160,6 +168,7 @@ def build(page: str) -> Node:
             node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             continue
+        places.setdefault(name, []).append(len(stack))
         stack.append(node)
     return root
 
@@ -231,15 +240,15 @@ def render(root: Node) -> str:
             continue
         if name in BLOCKS:
             out.space() if name in SPACED and depth == 0 else out.end()
-        if name == "table":
-            tables.append(["table", out, []])
+        if name == "table" and len(tables) < 2 * DEEP:
+            tables.append(["table", out, [], node])
             out = Lines()
         elif name == "tr" and tables and tables[-1][0] == "table":
             tables[-1][2].append([])
         elif name in ("td", "th") and tables and tables[-1][0] == "table":
             if not tables[-1][2]:
                 tables[-1][2].append([])
-            tables.append(["cell", out])
+            tables.append(["cell", out, node])
             out = Lines()
         elif name in ("ul", "ol"):
             counters.append([name, 0])
@@ -250,7 +259,7 @@ def render(root: Node) -> str:
                 counters[-1][1] += 1
                 mark = f"{counters[-1][1]}. " if counters[-1][0] == "ol" else "- "
             out.end()
-            out.lead = "  " * max(0, len(counters) - 1) + mark
+            out.lead = "  " * min(DEEP, max(0, len(counters) - 1)) + mark
         work.append(((node,), pre, depth))
         pre = pre or name in ("pre", "textarea")
         work += [(c, pre, depth) for c in reversed(node.children) if name not in ("svg", "g") or not isinstance(c, str)]  # svg shows the text of its text elements
@@ -266,15 +275,15 @@ def _break(out: Lines) -> None:
 
 def _leave(node: Node, out: Lines, counters: list, tables: list, depth: int) -> None:
     name = node.name
-    if name in ("td", "th") and tables and tables[-1][0] == "cell":
+    if name in ("td", "th") and tables and tables[-1][0] == "cell" and tables[-1][2] is node:
         out.end()
         outer = tables.pop()[1]
-        tables[-1][2][-1].append(out.lines)
+        tables[-1][2][-1].append((out.lines, *spans(node.attributes)))
         tables.append(["cell done", outer])
         return
-    if name == "table" and tables and tables[-1][0] == "table":
+    if name == "table" and tables and tables[-1][0] == "table" and tables[-1][3] is node:
         out.end()
-        _, outer, rows = tables.pop()
+        _, outer, rows, _ = tables.pop()
         for line in out.lines:  # a caption or text between the cells
             outer.line.append(line)
             outer.end()
@@ -294,16 +303,47 @@ def _leave(node: Node, out: Lines, counters: list, tables: list, depth: int) ->
         out.gap = True
 
 
-def aligned(rows: list[list[list[str]]]) -> Iterator[str]:
-    """Rows of cells (each a list of lines) as lines, columns padded to the widest cell."""
-    widths: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            width = max(map(len, cell), default=0)
-            widths[k:] = [max(widths[k], width), *widths[k + 1 :]] if k < len(widths) else [width]
-    for row in rows:
-        for i in range(max((len(cell) for cell in row), default=0)):
-            yield " | ".join((cell[i] if i < len(cell) else "").ljust(w) for cell, w in zip(row, widths)).rstrip()  # noqa: B905
+def spans(raw: str) -> tuple[int, int]:
+    """Columns and rows that a cell spans (0 rows: all that follow)."""
+    found = attributes(raw) if "span" in raw.lower() else {}
+    number = lambda k: int(m[0]) if (m := re.match(r"\d{1,5}", found.get(k, "1").strip())) else 1
+    return max(1, number("colspan")), number("rowspan")
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> Iterator[str]:
+    """Rows of cells (lines, columns, rows) as lines, columns padded to the widest cell."""
+    grid: list[list[tuple[int, int, list[str]]]] = []  # of each row: (column, columns, lines) in their order
+    below: dict[int, tuple[int, int]] = {}  # column: (columns, last row) of a cell that reaches down
+    budget = SPANNED + 10 * sum(map(len, rows))
+    for r, row in enumerate(rows):
+        below = {c: x for c, x in below.items() if x[1] >= r}
+        taken = sorted(below.items()) if budget > 0 else []
+        budget -= len(taken)
+        line, column, extra = [], 0, SPANNED
+        for lines, wide, tall in row:
+            while taken and taken[0][0] <= column:
+                c, (k, _) = taken.pop(0)
+                line.append((c, k, []))
+                column = c + k
+            wide = min(wide, 1 + extra)
+            if taken:
+                wide = min(wide, taken[0][0] - column)
+            extra -= wide - 1
+            line.append((column, wide, lines))
+            if tall != 1:
+                below[column] = (wide, r + tall - 1 if tall else len(rows))
+            column += wide
+        grid.append(line)
+    widths = [0] * max((c + k for line in grid for c, k, _ in line), default=0)
+    need = lambda lines: min(PADDED, max(map(len, lines), default=0))
+    for several in (False, True):
+        for line in grid:
+            for c, k, lines in line:
+                if (k > 1) == several:
+                    widths[c + k - 1] += max(0, need(lines) - sum(widths[c : c + k]) - 3 * (k - 1))
+    for line in grid:
+        for i in range(max((len(lines) for _, _, lines in line), default=0)):
+            yield " | ".join((lines[i] if i < len(lines) else "").ljust(sum(widths[c : c + k]) + 3 * (k - 1)) for c, k, lines in line).rstrip()
 
 
 def visible_text(page: str | None) -> str:
