@@ -4,31 +4,38 @@ A rule holds for its host and all subdomains where the path begins with the
 rule's; the longest rule that fits wins (ties: the rule listed first).  URLs
 without a rule get the verdict of a boosted tree ensemble trained, in numpy,
 from labelled URLs: length, depth, digit ratio, entropy, parameter counts and
-suffix statistics.  Training uses a bounded sample (``MAX_SAMPLE`` of either
+suffix statistics.  Training uses a bounded sample of different URLs (``MAX_SAMPLE`` of either
 label, smallest hash first); the statistics of suffixes and first segments are
-aggregated over all labelled URLs, kept as tables and joined to the URLs.
+aggregated over all labelled URLs, kept as tables and joined to the URLs.  A
+URL of the sample gets them without the URLs of its own fold (hosts are dealt
+into ``FOLDS``), so the trees learn how far the statistics of other hosts can be
+trusted.  Each tree sees half of the features, so none decides alone.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is judged by the trees on its (empty) features; with labels of
 one kind only, the trees always say that kind, and "allow" without any; rows
-that repeat a URL or id each give a row; other columns are ignored.
+that repeat a URL or id each give a row and count in the statistics, but the
+trees learn a URL once; a URL labelled both ways is learned as bad; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varaka.llm.stage import Tables
+from varaka.llm.stage import Tables, sampled
 
 MAX_SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 40, 3, 0.2, 32, 20, 1.0
 SUFFIX_WEIGHT = 10.0
 SALTS = 16
+#: folds of labelled hosts
+FOLDS = 5
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "suffix_rate", "segment_rate"]
 
 
@@ -92,20 +99,20 @@ class Boosted:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         bins = np.stack([np.searchsorted(cut, c, "left") for cut, c in zip(self.cuts, x.T, strict=True)], 1)
         self.base = float(np.log(y.mean() / (1 - y.mean())))
-        f = np.full(len(y), self.base)
+        f, rng = np.full(len(y), self.base), np.random.default_rng(11)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(bins, p - y, p * (1 - p))
+            tree = self._grow(bins, p - y, p * (1 - p), rng.permutation(x.shape[1])[: -(-x.shape[1] // 2)])
             self.trees.append(tree)
             f += self._leaf(tree, bins)
 
-    def _grow(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray):
+    def _grow(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, seen: np.ndarray):
         feature, cut, value = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, BINS), np.zeros(2**DEPTH)
         node = np.zeros(len(grad), np.int64)
         for depth in range(DEPTH):
             wide = 2**depth
             best = np.full(wide, 1e-6)
-            for k in range(bins.shape[1]):
+            for k in seen.tolist():
                 at = node * BINS + bins[:, k]
                 g, h, n = (np.bincount(at, w, wide * BINS).reshape(wide, BINS).cumsum(1) for w in (grad, hess, None))
                 score = lambda a, b: a * a / (b + RIDGE)
@@ -144,11 +151,24 @@ def parts(urls: DataFrame, url: str = "url") -> DataFrame:
     return rows.withColumn("__suffix", suffix_of(F.col("__host"))).withColumn("__segment", F.coalesce(segment_of(F.col("__path")), F.lit("")))
 
 
-def rates(labelled: DataFrame, name: str, prior: float) -> DataFrame:
-    """(name, name_rate) of every value of a column: its share of bad rows, drawn to the prior."""
-    counted = labelled.groupBy(name).agg(F.count("*").alias("n"), F.sum("__bad").alias("bad"))
-    rate = (F.col("bad") + SUFFIX_WEIGHT * prior) / (F.col("n") + SUFFIX_WEIGHT)
-    return counted.select(name, rate.alias(f"{name}_rate"))
+def counts_of(labelled: DataFrame, name: str) -> DataFrame:
+    """(name, __fold, n, bad): labelled rows of each value of a column in each fold, and how many of them are bad."""
+    return labelled.groupBy(name, "__fold").agg(F.count("*").alias("n"), F.sum("__bad").alias("bad"))
+
+
+def rates(counts: DataFrame, name: str, prior: float) -> DataFrame:
+    """(name, name_rate): the share of bad rows of each value, drawn to the prior."""
+    summed = counts.groupBy(name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return summed.select(name, ((F.col("bad") + SUFFIX_WEIGHT * prior) / (F.col("n") + SUFFIX_WEIGHT)).alias(f"{name}_rate"))
+
+
+def rates_of_others(sample: DataFrame, counts: DataFrame, name: str, prior: float) -> DataFrame:
+    """``sample`` with name_rate from the rows of other folds."""
+    summed = counts.groupBy(name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    own = counts.select(name, "__fold", F.col("n").alias("own"), F.col("bad").alias("own_bad"))
+    rest = lambda a, b: F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))
+    rate = (rest("bad", "own_bad") + SUFFIX_WEIGHT * prior) / (rest("n", "own") + SUFFIX_WEIGHT)
+    return sample.join(summed, name, "left").join(own, [name, "__fold"], "left").withColumn(f"{name}_rate", rate).drop("n", "bad", "own", "own_bad")
 
 
 def with_rates(rows: DataFrame, tables: dict[str, DataFrame], prior: float) -> DataFrame:
@@ -160,34 +180,49 @@ def with_rates(rows: DataFrame, tables: dict[str, DataFrame], prior: float) -> D
     return rows.drop("__salt")
 
 
-def train(labelled: DataFrame, limit: int = MAX_SAMPLE) -> tuple[Boosted, dict[str, DataFrame], float]:
-    """(trees, rates of every suffix and first segment, prior) from rows of ``parts`` with a label __bad (0 or 1); the trees learn from ``limit`` rows of either label."""
+@dataclass
+class UrlModel:
+    """Trees, the rates of every suffix and first segment, and the share of bad labelled URLs."""
+
+    trees: Boosted
+    tables: dict[str, DataFrame]
+    prior: float
+
+
+def train(labelled: DataFrame, limit: int = MAX_SAMPLE) -> UrlModel:
+    """A model from rows of ``parts`` with a label __bad (0 or 1); the trees learn from ``limit`` URLs of either label."""
+    labelled = labelled.withColumn("__fold", F.pmod(F.xxhash64("__host"), F.lit(FOLDS)))
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("__bad"), F.lit(0))).first()
     prior = bad / n if n else 0.0
     t = Tables(labelled.sparkSession, "url")
-    tables = {name: t.keep(rates(labelled, name, prior)) for name in ("__suffix", "__segment")}
-    columns = ["__url", "__host", "__path", "__suffix", "__segment", "__bad"]
-    order = [F.xxhash64("__url"), F.col("__url")]
-    pick = lambda k: labelled.where(F.col("__bad") == k).select(*columns).orderBy(*order).limit(limit)
-    sample = pick(0).unionByName(pick(1)).withColumn("__order", F.xxhash64("__url"))
-    rows = with_rates(sample, tables, prior).toPandas().sort_values(["__bad", "__order", "__url"])
+    counts = {name: t.keep(counts_of(labelled, name)) for name in ("__suffix", "__segment")}
+    once = labelled.groupBy("__url").agg(F.max("__bad").alias("__bad"), *(F.first(c).alias(c) for c in ("__host", "__path", "__suffix", "__segment", "__fold")))
+    sample = t.keep(sampled(t.keep(once), "__bad", limit, "__url"))
+    for name, counted in counts.items():
+        sample = rates_of_others(sample, counted, name, prior)
+    rows = sample.withColumn("__order", F.xxhash64("__url")).toPandas().sort_values(["__bad", "__order", "__url"])
     x = _features(*(rows[c] for c in ("__url", "__host", "__path", "__suffix_rate", "__segment_rate")))
-    return Boosted(x, rows["__bad"].to_numpy(np.float64)), tables, prior
+    return UrlModel(Boosted(x, rows["__bad"].to_numpy(np.float64)), {name: t.keep(rates(counted, name, prior)) for name, counted in counts.items()}, prior)
 
 
-def judge(urls: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id") -> DataFrame:
-    """(id, host, path, rule, verdict, score): the rules' verdicts, and those of trees trained from the URLs that rules label."""
-    rows = parts(urls.select(F.col(id_column), F.col("url").cast("string").alias("url")))
-    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-    rows = rows.withColumn("__rule", rule).withColumn("__verdict", verdict)
-    trees, tables, prior = train(rows.where("__verdict is not null").withColumn("__bad", (F.col("__verdict") == "block").cast("int")))
-    shared = urls.sparkSession.sparkContext.broadcast(trees)  # TREES of DEPTH
+def scored(rows: DataFrame, model: UrlModel) -> DataFrame:
+    """Rows of ``parts`` with the trees' score: how likely a URL is bad."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.trees)  # TREES of DEPTH
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series(shared.value.score(_features(*columns)))
 
-    scored = with_rates(rows, tables, prior).withColumn("score", score("__url", "__host", "__path", "__suffix_rate", "__segment_rate"))
+    return with_rates(rows, model.tables, model.prior).withColumn("score", score("__url", "__host", "__path", "__suffix_rate", "__segment_rate"))
+
+
+def judge(urls: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id") -> DataFrame:
+    """(id, host, path, rule, verdict, score): the rules' verdicts, and those of trees trained from the URLs that rules label."""
+    rows = parts(urls.select(F.col(id_column), F.col("url").cast("string").alias("url")))
+    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
+    rows = rows.withColumn("__rule", rule).withColumn("__verdict", verdict)
+    labelled = rows.where("__verdict is not null").withColumn("__bad", (F.col("__verdict") == "block").cast("int"))
+    found = scored(rows, train(labelled))
     said = F.coalesce("__verdict", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return scored.select(id_column, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), said.alias("verdict"), "score")
+    return found.select(id_column, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), said.alias("verdict"), "score")
