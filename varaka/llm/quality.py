@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varaka.llm.stage import Tables
+from varaka.llm.stage import Tables, sampled
 
 MAX_SAMPLE = 20_000
 STEPS = 12
@@ -97,9 +97,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     rows = t.keep(rows)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("__label")).where("__label in (0, 1) and doc_id is not null")
     marked = marked.where(~held_out()).groupBy("doc_id").agg(F.min("__label").alias("__label"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    pick = lambda k: marked.where(F.col("__label") == k).orderBy(*order).limit(MAX_SAMPLE)
-    sample = rows.join(pick(0).unionByName(pick(1)), "doc_id").select("__label", *(f"__{n}" for n in FEATURES)).toPandas()
+    sample = rows.join(sampled(marked, "__label", MAX_SAMPLE, "doc_id"), "doc_id").select("__label", *(f"__{n}" for n in FEATURES)).toPandas()
     y = sample["__label"].to_numpy(np.float64)
     mean, scale, weights, intercept = fit(sample.drop(columns="__label").to_numpy(np.float64), y)
     base = marked.agg(F.avg("__label")).first()[0]

@@ -81,6 +81,22 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return marked_rows(rows, gone, False).unionByName(marked_rows(rows, gone).join(gone, gone.columns, "left_anti"))
 
 
+def sampled(rows: DataFrame, label: str, limit: int, key: str) -> DataFrame:
+    """At most ``limit`` rows with ``label`` 1 and as many with 0, smallest hash of ``key`` first.
+
+    A cut of the hash, taken from the labels' counts, lets little more than
+    ``limit`` rows of each through before they are sorted, whatever the number of tasks.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    out = None
+    for value in (1, 0):
+        share = min(1.0, (limit + 10 * limit**0.5 + 100) / max(counts.get(value, 0), 1))
+        part = rows.where((F.col(label) == value) & (place < int(share * (1 << 30)))).orderBy(place, key).limit(limit)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, root) for each node, root = smallest node reachable.
 

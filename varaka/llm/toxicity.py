@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varaka.llm.stage import sampled
 from varaka.llm.text import BREAKS, words
 
 TABLE_BITS, DIM, WIDTHS, FILTERS = 15, 12, (1, 2, 3), 8
@@ -211,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE, calibrated:
     marked = marked_docs(labels).where(~held_out())
     if calibrated:
         marked = marked.where(~calibration())
-    picked = sampled(marked, "toxic", limit)
+    picked = sampled(marked, "toxic", limit, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     return train(sample["text"].fillna("").tolist(), sample["toxic"].to_numpy(np.float64))
@@ -233,22 +234,6 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
-def sampled(rows: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows (doc_id, ``label``) of either label, smallest hash first.
-
-    A cut of the hash, taken from the labels' counts, lets a little more than
-    ``limit`` rows of each through before they are sorted, whatever the number of tasks.
-    """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    out = None
-    for value in (1, 0):
-        share = min(1.0, (limit + 10 * limit**0.5 + 100) / max(counts.get(value, 0), 1))
-        near = rows.where((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-        part = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(limit)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def thresholds(scored: DataFrame, labels: DataFrame, bins: int = 200) -> dict[str | None, float]:
     """For each language the score cut with the best balanced accuracy on labelled calibration rows; 0.5 where there are too few.
 
