@@ -36,10 +36,9 @@ def tr_lower(s: Column) -> Column:
 
 def tokenize(s: Column) -> Column:
     """Numbers whole; words of three letters or more cropped to six; stop words dropped after cropping."""
-    found = F.regexp_extract_all(tr_lower(s), F.lit(TOKEN), F.lit(0))
-    kept = F.filter(found, lambda t: t.rlike("^[0-9]") | (F.length(t) >= 3))
-    cropped = F.transform(kept, lambda t: F.when(t.rlike("^[0-9]"), t).otherwise(F.substring(t, 1, 6)))
-    return F.filter(cropped, lambda t: ~t.isin(STOP_WORDS))
+    number, letter = TOKEN.split("|")[0], TOKEN.split("|")[1].removesuffix("+")
+    found = F.regexp_extract_all(tr_lower(s), F.lit(f"{number}|(?<!{letter}){letter}{{3,6}}"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
 def word_count(s: Column) -> Column:

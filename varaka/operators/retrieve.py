@@ -11,43 +11,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varaka.functions.text import META_TITLES, STOP_WORDS, is_boilerplate, is_citation_query, tokenize, tr_lower
+from varaka.sources.io import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, CANDIDATES, RRF_K = 50, 20, 60
 BOILERPLATE, TITLE_BOOST, TITLE_CAP, UNIT_BOOST = 0.12, 0.10, 3, 0.15
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(term, pos, tf, dl): term counts of each chunk and its length."""
-    tokens = chunks.select("pos", tokenize(F.col(text)).alias("tokens"))
-    return tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
-
-
-def term_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, idf, tf, dl, pos, avgdl): postings with BM25 statistics; negative idf is raised to a share of the mean."""
-    tokens = chunks.select("pos", F.size(tokenize(F.col(text))).alias("n"))
-    size = tokens.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
-    posted = postings(chunks, text)
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    return posted.join(idf, "term")
+class Bm25Index:
+    """BM25 statistics of chunks (pos, text): tokenised once, kept as a table of (pos, tokens, dl)."""
+
+    def __init__(self, chunks: DataFrame, text: str = "text"):
+        rows, cores = chunks.select("pos", text), chunks.sparkSession.sparkContext.defaultParallelism
+        if rows.select(F.spark_partition_id()).distinct().count() < cores:  # a small table in one piece
+            rows = rows.repartition(cores)
+        tokens = rows.select("pos", tokenize(F.col(text)).alias("tokens"))
+        self.tokens = stored(tokens.withColumn("dl", F.size("tokens")), "bm25")
+        found = self.tokens.agg(F.count("*"), F.avg("dl")).first()
+        self.n_docs, self.avgdl = int(found[0]), float(found[1] or 0.0)
+
+    def frequencies(self) -> DataFrame:
+        """(term, df, raw): chunks that hold each term, and its unbounded idf."""
+        df = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return df.withColumn("raw", F.log(self.n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+    def idf(self) -> DataFrame:
+        """(term, df, idf): a negative idf is raised to a share of the mean over all terms."""
+        raw = self.frequencies()
+        floor = float(raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
+        return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+
+    def statistics(self) -> DataFrame:
+        """(term, df, tf, idf) of every term; ``tf`` counts all its occurrences."""
+        tf = self.tokens.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+        return self.idf().join(tf, "term")
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(term, pos, dl, tf) of the chunks that hold a term of ``terms`` (term); other terms leave before the shuffle."""
+        rows = self.tokens.select("pos", "dl", F.explode("tokens").alias("term"))
+        return rows.join(small(terms.distinct()), "term", "left_semi").groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
+
+    def topk(self, queries: DataFrame, pool: int = POOL) -> DataFrame:
+        """(query_id, pos, score, rank): every chunk is ranked, so a query with few matches is filled from the lowest positions."""
+        asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        weighed = stored(asked.join(self.idf(), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")), "bm25")
+        ratio = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
+        hits = self.postings(weighed.select("term")).join(small(weighed), "term").select("query_id", "pos", (F.col("w") * ratio).alias("score"))
+        early = [r[0] for r in self.tokens.select("pos").orderBy("pos").limit(2 * pool).collect()]  # a query that is not full has under ``pool`` matches
+        fill = queries.select("query_id", F.explode(F.array(*map(F.lit, early)).cast("array<bigint>")).alias("pos"), F.lit(0.0).alias("score"))
+        scored = hits.unionByName(fill).groupBy("query_id", "pos").agg(F.round(F.sum("score"), 9).alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool)
+
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, marked for broadcast where a count shows that it is small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """(query_id, pos, score, rank): every chunk is ranked, so a query with few matches is filled from the lowest positions."""
-    stats = term_statistics(chunks)
-    asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(stats, "term").groupBy("query_id", "pos").agg(F.round(F.sum(F.col("times") * weight), 9).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool)
-    counted = queries.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left").where(F.coalesce("found", F.lit(0)) < pool)
-    early = chunks.select("pos").orderBy("pos").limit(2 * pool)  # a query that is not full has under ``pool`` matches
-    fill = counted.select("query_id").crossJoin(F.broadcast(early)).join(top.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
-    both = top.select("query_id", "pos", "score").unionByName(fill.select("query_id", "pos", F.lit(0.0).alias("score")))
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool)
+    return Bm25Index(chunks).topk(queries, pool)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, pool: int = POOL, block: int = 256) -> DataFrame:
@@ -68,14 +91,22 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, pool: int = POOL, block:
 
         def run(batches, shared=shared):
             ids, matrix = shared.value
-            best = pd.DataFrame({"query_id": ids[:0], "pos": ids[:0], "score": np.zeros(0)})
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
             for b in batches:
                 if not len(b):
                     continue
-                score = np.round(np.stack(b["vector"].to_numpy()).astype(np.float64) @ matrix.T, 6)
-                part = pd.DataFrame({"query_id": np.repeat(ids, len(b)), "pos": np.tile(b["pos"].to_numpy(), len(ids)), "score": score.T.ravel()})
-                best = pd.concat([best, part]).sort_values(["query_id", "score", "pos"], ascending=[True, False, True], kind="stable").groupby("query_id").head(pool)
-            yield best
+                pos, scores = b["pos"].to_numpy(), np.round(matrix @ np.stack(b["vector"].to_numpy()).astype(np.float64).T, 6)
+                for k, (old, held) in enumerate(best):
+                    row = scores[k]
+                    if len(row) > pool:  # all that may be among the best, ties too
+                        near = np.flatnonzero(row >= np.partition(row, len(row) - pool)[len(row) - pool])
+                        at, score = np.append(old, pos[near]), np.append(held, row[near])
+                    else:
+                        at, score = np.append(old, pos), np.append(held, row)
+                    order = np.lexsort((at, -score))[:pool]
+                    best[k] = (at[order], score[order])
+            sizes = [len(x) for x, _ in best]
+            yield pd.DataFrame({"query_id": np.repeat(ids, sizes), "pos": np.concatenate([x for x, _ in best]), "score": np.concatenate([x for _, x in best])})
 
         part = vectors.select("pos", "vector").mapInPandas(run, "query_id long, pos long, score double")
         out = out.unionByName(part)
@@ -164,12 +195,24 @@ def facet_guarantee(rankings: DataFrame) -> DataFrame:
     return forced.select("request_id", F.col("x.pos").alias("pos"), F.col("x.forced").alias("forced"))
 
 
-def decide(results: DataFrame, least: float | None = None) -> DataFrame:
-    """One row per request of (request_id, display, raw): answerable, reason, top_score, margin; by display score."""
+def decide(results: DataFrame, least: float | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """One row per request of (request_id, display, raw): answerable, reason, top_score, margin; by display score.
+
+    ``requests`` (request_id, n_queries, n_skipped) adds those without results:
+    ``empty_query`` without queries, ``no_candidates`` with, and tells answers
+    for which queries were skipped as out of scope.
+    """
     w = Window.partitionBy("request_id").orderBy(F.desc("display"), "pos")
     rows = results.withColumn("__next", F.lead("raw").over(w)).withColumn("__r", F.row_number().over(w)).where("__r = 1")
-    low = F.lit(False) if least is None else F.col("raw") < least
-    return rows.select("request_id", (~low).alias("answerable"), F.when(low, "low_reranker_score").otherwise("retrieved").alias("reason"), F.col("raw").alias("top_score"), (F.col("raw") - F.col("__next")).alias("margin"))
+    skipped = F.lit(False)
+    if requests is not None:
+        rows = requests.join(rows, "request_id", "left")
+        skipped = F.col("n_skipped") > 0
+    low = F.lit(False) if least is None else F.coalesce(F.col("raw") < least, F.lit(False))
+    none = F.col("raw").isNull()
+    empty = none if requests is None else none & (F.coalesce("n_queries", F.lit(0)) == 0)
+    reason = F.when(empty, "empty_query").when(none, "no_candidates").when(low, "low_reranker_score").when(skipped, "retrieved_with_skipped_queries").otherwise("retrieved")
+    return rows.select("request_id", (~low & ~none).alias("answerable"), reason.alias("reason"), F.col("raw").alias("top_score"), (F.col("raw") - F.col("__next")).alias("margin"))
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

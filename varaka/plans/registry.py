@@ -197,7 +197,7 @@ job("J17_expand_scenarios", "SELECT c_custkey, s AS status FROM customer, (VALUE
 # --- aggregations -----------------------------------------------------------------------------------------------
 
 job("A1_bm25_stats", f"WITH x AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents), d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM x GROUP BY 1), i AS (SELECT *, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM d) SELECT term, df, tf, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END, 6) AS idf FROM i")(
-    lambda t: R.term_statistics(t.documents.select(F.col("doc_id").alias("pos"), "text")).groupBy("term", "df").agg(F.sum("tf").alias("tf"), F.round(F.max("idf"), 6).alias("idf"))
+    lambda t: R.Bm25Index(chunks(t)).statistics().withColumn("idf", F.round("idf", 6))
 )
 job("A3_response_distribution", "SELECT role, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM conversations GROUP BY role")(
     lambda t: t.conversations.groupBy("role").agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
@@ -293,19 +293,28 @@ def same_label_all(t: Tables) -> DataFrame:
     return a.join(b, "label").where("query_id <> pos").select("query_id", "pos")
 
 
-def sparse(t: Tables, pool: int = R.POOL) -> DataFrame:
-    return R.bm25_topk(chunks(t), questions(t), pool).select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
+def sparse(t: Tables, pool: int = R.POOL, index: R.Bm25Index | None = None) -> DataFrame:
+    return (index or R.Bm25Index(chunks(t))).topk(questions(t), pool).select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def by_overlap(t: Tables) -> DataFrame:
+def by_overlap(t: Tables, index: R.Bm25Index) -> DataFrame:
     """A second ranking: shared terms by the root of the length, exact and cheap."""
-    posted = R.postings(chunks(t))
     asked = questions(t).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
-    scored = asked.join(posted, "term").groupBy("query_id", "pos").agg(F.round(F.count("*") / F.sqrt(F.max("dl")), 9).alias("score"))
+    scored = index.postings(asked.select("term")).join(R.small(asked), "term").groupBy("query_id", "pos").agg(F.round(F.count("*") / F.sqrt(F.max("dl")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= R.POOL)
 
 
+def two_rankings(t: Tables) -> tuple[DataFrame, DataFrame]:
+    index = R.Bm25Index(chunks(t))
+    return sparse(t, index=index), by_overlap(t, index)
+
+
+def fused(t: Tables, weight: float) -> DataFrame:
+    a, b = two_rankings(t)
+    return R.rrf_fuse([(a, 1.0), (b, weight)])
+
+
 OVERLAP = """, qd AS (SELECT DISTINCT query_id, term FROM q), os AS (SELECT query_id, pos, round(count(*) / sqrt(max(dl)), 9) AS score FROM qd JOIN tf USING (term) GROUP BY 1, 2),
   ov AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM os)"""
 FUSED = """, r AS (SELECT query_id, pos, 0 AS l, rank, 1.0::DOUBLE / (60 + rank) AS w FROM bm WHERE rank <= 50 UNION ALL SELECT query_id, pos, 1, rank, {}::DOUBLE / (60 + rank) FROM ov WHERE rank <= 50),
@@ -313,9 +322,9 @@ FUSED = """, r AS (SELECT query_id, pos, 0 AS l, rank, 1.0::DOUBLE / (60 + rank)
 
 job("W2_bm25_topk", BM25 + " SELECT * FROM bm WHERE rank <= 8")(lambda t: sparse(t, 8))
 job("W1_dense_topk", "WITH z AS (SELECT 1)" + DENSE + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense(t).withColumn("rank", F.col("rank").cast("long")))
-job("W3_rrf_fuse", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr")(lambda t: R.rrf_fuse([(sparse(t), 1.0), (by_overlap(t), 1.0)]).withColumn("rank", F.col("rank").cast("long")))
-job("W4_candidates", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr WHERE rank <= 20")(lambda t: R.candidates(sparse(t), by_overlap(t)).withColumn("rank", F.col("rank").cast("long")))
-job("W5_blend", BM25 + OVERLAP + FUSED.format("0.25") + " SELECT * FROM fr")(lambda t: R.rrf_fuse([(sparse(t), 1.0), (by_overlap(t), 0.25)]).withColumn("rank", F.col("rank").cast("long")))
+job("W3_rrf_fuse", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr")(lambda t: fused(t, 1.0).withColumn("rank", F.col("rank").cast("long")))
+job("W4_candidates", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr WHERE rank <= 20")(lambda t: R.candidates(*two_rankings(t)).withColumn("rank", F.col("rank").cast("long")))
+job("W5_blend", BM25 + OVERLAP + FUSED.format("0.25") + " SELECT * FROM fr")(lambda t: fused(t, 0.25).withColumn("rank", F.col("rank").cast("long")))
 job("W8_unit_boost", BM25 + " SELECT query_id, pos, round(CASE WHEN lang = 'en' THEN score * 1.15::DOUBLE ELSE score END, 6) AS boosted FROM bm JOIN documents ON pos = doc_id WHERE rank <= 20")(
     lambda t: sparse(t, 20).join(t.documents.select(F.col("doc_id").alias("pos"), F.array("lang").alias("units")), "pos").select("query_id", "pos", F.round(R.unit_boost(F.col("score"), F.col("units"), "en"), 6).alias("boosted"))
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +105,19 @@ def write_report(df: DataFrame, run: str, path: str) -> None:
     names = df.columns
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names)))
     df.select(F.lit(run).alias("run"), pairs.alias("x")).select("run", "x.metric", "x.value").write.mode("append").parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, for what several steps of a job read.
+
+    It lies in the folder all machines share (``spark.checkpoint.dir``, else
+    the warehouse; a local session without either setting may use its own), so it
+    survives lost executors.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    if spark.sparkContext.master.startswith("local[") and not spark.sparkContext.getConf().contains("spark.checkpoint.dir") and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
