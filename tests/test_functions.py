@@ -93,8 +93,15 @@ def test_bm25_fills_with_unmatched_chunks(spark):
 def test_letters(spark):
     lines = F.array(*map(F.lit, ["a", "a", "", "a", "b"]))
     assert one(spark, L.drop_adjacent_duplicates(lines), s="") == ["a", "", "b"]
-    letter = "Konu\nEk: var\nBilgilerinizi rica ederim.\nEk: liste\nEK-1 plan"
-    assert one(spark, L.strip_attachments(F.col("s")), s=letter) == "Konu\nEk: var\nBilgilerinizi rica ederim."
+    for letter, kept in (
+        ("Konu\nGereğini rica ederim.\nEkler:\n- Başvuru dilekçesi", "Konu\nGereğini rica ederim."),
+        ("Konu\nrica ederim.\n1. İnceleme raporu sunulmuştur.\n \n", "Konu\nrica ederim.\n1. İnceleme raporu sunulmuştur."),
+        ("Ek: dilekçe\nmetin\nSaygılarımla,\nEK LİSTESİ: 2 sayfa\n\n- plan\nAd Soyad\n- plan", "Ek: dilekçe\nmetin\nSaygılarımla,\nAd Soyad\n- plan"),
+        ("rica ederim.\nEk: evrak\nara\nGereğini arz ederim.\nEk: var", "rica ederim.\nEk: evrak\nara\nGereğini arz ederim.\nEk: var"),
+        ("yalnız metin\n• fotokopi\n", "yalnız metin"),
+        (None, ""),
+    ):
+        assert one(spark, L.strip_attachments(F.col("s")), s=letter) == kept
 
 
 def test_turkish_errors(spark):
@@ -124,7 +131,7 @@ def test_record_reasons(spark):
     cases = [
         ("x", good, [], "short_text"), (None, good, [], "short_text"), (text, None, [], "no_labels"), (text, good, ["unit"], "forbidden_key"), (text, change(0, "X"), [], "document_type"), (text, change(1, None), [], "sender_type"),
         (text, change(2, "YOL"), [], "primary_topic"), (text, change(3, "kısa"), [], "short_action"), (text, change(3, " Gereginin yapılması. "), [], "generic_action"), (text, change(4, None), [], "no_key_information"),
-        (text, change(4, [("X", "A")]), [], "key_information_type"), (text, change(4, [("PERSON", " ")]), [], "key_information_value"), (text, change(5, ["adres"]), [], "missing_information"), (text, change(6, "kısa"), [], "short_summary"), (text, good, [], None),
+        (text, change(4, [("X", "A")]), [], "key_information_type"), (text, change(4, [("PERSON", " ")]), [], "key_information_value"), (text, change(4, [("PERSON", " "), ("X", "A")]), [], "key_information_value"), (text, change(4, [("PERSON", "A"), ("X", " "), ("PERSON", " ")]), [], "key_information_type"), (text, change(5, ["adres"]), [], "missing_information"), (text, change(6, "kısa"), [], "short_summary"), (text, good, [], None),
     ]
     df = spark.createDataFrame([c[:3] for c in cases], schema)
     found = df.select(P.record_problem(F.col("s"), F.col("labels"), F.lit("SU"), ["PERSON"], F.col("keys"), ("unit",)).alias("r")).collect()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varaka.functions.text import stripped
+
 
 def content_of(messages: Column, role: str) -> Column:
     """Content of a role; the last of several wins, null without one."""
@@ -49,17 +51,55 @@ def drop_adjacent_duplicates(lines: Column) -> Column:
     return F.aggregate(lines, none, step, lambda s: s["kept"])
 
 
+# Fixed values of the workload
+ATTACHMENT_WORDS = r"(?iu)(dilekçe|sayfa|evrak|fotokopi|başvuru)"
+ATTACHMENT_HEAD = r"(?iuU)^ek(?:ler| listesi)?\s*:?\s*(.*)$"
+BULLET = r"^[-•*–]"
+CLOSING_STARTS = ["saygılarımla", "saygılar", "saygilar", "bilgilerinize", "gereğini", "geregini"]
+CLOSING_PARTS = ["rica ederim", "arz ederim"]
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
+def is_attachment_line(line: Column) -> Column:
+    """A bullet that names an attachment, or a heading of attachments that stands alone or names one."""
+    t = stripped(line)
+    rest = F.regexp_extract(t, ATTACHMENT_HEAD, 1)
+    return (t.rlike(BULLET) & t.rlike(ATTACHMENT_WORDS)) | (t.rlike(ATTACHMENT_HEAD) & ((stripped(rest) == "") | rest.rlike(ATTACHMENT_WORDS)))
+
+
+def is_closing_line(line: Column) -> Column:
+    low = F.lower(stripped(line))
+    tests = [low.startswith(x) for x in CLOSING_STARTS] + [low.contains(x) for x in CLOSING_PARTS]
+    found = tests[0]
+    for t in tests[1:]:
+        found = found | t
+    return found
+
+
+def last_index(lines: Column, test) -> Column:
+    """0-based place of the last line that ``test`` holds for; -1 without one."""
+    return F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(test(x), i))), F.lit(-1))
+
+
 def strip_attachments(letter: Column) -> Column:
-    """The letter up to its closing line and what follows, without attachment lists after the closing."""
-    closing = r"(?iuU)(arz|rica)\s+(ve\s+rica\s+)?eder(im|iz)"
-    attachment = r"(?iuU)^\s*(ek(ler)?\s*[:\-]|ek[- ]?\d+\b|\d+\s*[-.)]\s*.*(ek|belge|rapor)\w*)"
-    start = F.expr("named_struct('closed', false, 'kept', cast(array() as array<string>))")
+    """The letter without attachment lists at its end or after its last closing line; blanks at the end go.
+
+    After the closing an attachment line starts a list: blank lines and bullets go
+    with it until another line ends it.  Null becomes empty.
+    """
+    blank = lambda x: stripped(x) == ""
+    every = F.split(F.regexp_replace(F.coalesce(letter, F.lit("")), r"(?U)\s+\z", ""), LINE_BREAK)
+    lines = F.slice(every, F.lit(1), last_index(every, lambda x: ~blank(x) & ~is_attachment_line(x)) + 1)
+    close = last_index(lines, is_closing_line)
+    marked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), ((close >= 0) & (i > close)).alias("after")))
+    start = F.expr("named_struct('skipping', false, 'kept', cast(array() as array<string>))")
 
     def step(s: Column, line: Column) -> Column:
-        drop = s["closed"] & line.rlike(attachment)
-        return F.struct((s["closed"] | line.rlike(closing)).alias("closed"), F.when(drop, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+        x = line["x"]
+        drop = line["after"] & (is_attachment_line(x) | (s["skipping"] & (blank(x) | stripped(x).rlike(BULLET))))
+        return F.struct(drop.alias("skipping"), F.when(drop, s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
 
-    return F.array_join(F.aggregate(F.split(letter, "\n"), start, step, lambda s: s["kept"]), "\n")
+    return F.regexp_replace(F.array_join(F.aggregate(marked, start, step, lambda s: s["kept"]), "\n"), r"(?U)\s+\z", "")
 
 
 def worst_k(df: DataFrame, score: str, k: int = 5, tie: str = "record_id") -> DataFrame:

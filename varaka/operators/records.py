@@ -32,6 +32,9 @@ def record_problem(text: Column, labels: Column, topic: Column, key_types: list[
     bad = lambda ok: ~F.coalesce(ok, F.lit(False))
     info = labels["key_information"]
     extra = F.lit(False) if keys is None else F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, forbidden))), F.lit(False))
+    # items are judged one by one, so the first bad one tells the reason
+    of_item = lambda x: F.when(bad(x["type"].isin(key_types)), "key_information_type").when(~_long(x["value"], 1), "key_information_value")
+    first_bad = F.get(F.filter(F.transform(info, of_item), lambda r: r.isNotNull()), F.lit(0))
     rules = [
         (~_long(text, 40), "short_text"),
         (labels.isNull(), "no_labels"),
@@ -42,8 +45,7 @@ def record_problem(text: Column, labels: Column, topic: Column, key_types: list[
         (~_long(labels["requested_action"], 10), "short_action"),
         (labels["requested_action"].rlike(GENERIC_ACTION), "generic_action"),
         (info.isNull(), "no_key_information"),
-        (bad(F.forall(info, lambda x: F.coalesce(x["type"].isin(key_types), F.lit(False)))), "key_information_type"),
-        (bad(F.forall(info, lambda x: _long(x["value"], 1))), "key_information_value"),
+        (first_bad.isNotNull(), first_bad),
         (bad(F.size(labels["missing_information"]) == 0), "missing_information"),
         (~_long(labels["summary"], 10), "short_summary"),
     ]
