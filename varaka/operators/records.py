@@ -79,6 +79,13 @@ def build_queries(phrase: Column, action: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(drop_numbers(F.when(phrase == "", DEFAULT_PHRASE).otherwise(phrase))))
 
 
+def split_queries(text: Column) -> Column:
+    """The queries of a request: pieces between double pipes, blank ones dropped; the default phrase without any, or for null."""
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|\|"), stripped)
+    found = F.filter(pieces, lambda q: q != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(DEFAULT_PHRASE)))
+
+
 def chunk_articles(docs: DataFrame, heading: str = r"(?m)(?=^Madde\s+\d+)", body: int = BODY, whole: int = WHOLE, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, article, part, n_words, short, text): an article is a chunk; one over ``whole`` words becomes windows.
 

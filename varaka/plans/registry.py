@@ -93,10 +93,18 @@ texts("F9_min_words", "len(list_filter(regexp_split_to_array(text, '\\s+'), lamb
 texts("F4_classify_scope", None, reason=lambda c: T.classify_scope(c, 2025))
 texts("F6_validate_draft", None, problems=lambda c: F.array_join(T.draft_problems(c, F.lit("VATANDAS"), F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8'))")), "; "))
 texts("L2_strip_attachments", None, letter=L.strip_attachments)
+def lines_sql(test: str) -> str:
+    return f"len(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: {test}))"
+
+
+WORDS_SQL, HEAD_SQL = L.ATTACHMENT_WORDS.replace("(?iu)", "(?i)"), L.ATTACHMENT_HEAD.replace("(?iuU)", "(?i)")
 texts(
     "F14_line_class",
-    "len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*$'))) AS blank_lines, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '!$'))) AS loud_lines",
-    blank_lines=lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^\s*$"))).cast("long"), loud_lines=lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike("!$"))).cast("long"),
+    lines_sql("l = ''") + " AS blank_lines, " + lines_sql(f"regexp_matches(lower(l), '^({'|'.join(L.CLOSING_STARTS)})|{'|'.join(L.CLOSING_PARTS)}')") + " AS closing_lines, "
+    + lines_sql(f"(regexp_matches(l, '{L.BULLET}') AND regexp_matches(l, '{WORDS_SQL}')) OR (regexp_matches(l, '{HEAD_SQL}') AND (trim(regexp_extract(l, '{HEAD_SQL}', 1)) = '' OR regexp_matches(regexp_extract(l, '{HEAD_SQL}', 1), '{WORDS_SQL}')))") + " AS attachment_lines",
+    blank_lines=lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: T.stripped(x) == "")).cast("long"),
+    closing_lines=lambda c: F.size(F.filter(F.split(c, "\n"), L.is_closing_line)).cast("long"),
+    attachment_lines=lambda c: F.size(F.filter(F.split(c, "\n"), L.is_attachment_line)).cast("long"),
 )
 
 job("P7_humanize", "SELECT o_orderkey, array_to_string(list_transform(string_split(lower(replace(o_orderpriority, '-', ' ')), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name FROM orders")(
@@ -387,8 +395,8 @@ job("W23_assign_scenarios", "SELECT o_orderkey, ((row_number() OVER (PARTITION B
 job("W24_best_per_request", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 2 END")(
     lambda t: t.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where(F.col("r") <= F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(2)).select("o_custkey", "o_orderkey")
 )
-job("R2_split_queries", "SELECT doc_id, CASE WHEN trim(u) = '' THEN NULL ELSE trim(u) END AS query FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents) WHERE trim(u) <> ''")(
-    lambda t: t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("q")).select("doc_id", F.trim("q").alias("query")).where("query <> ''")
+job("R2_split_queries", f"WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '||'), '||'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS q FROM documents) SELECT doc_id, unnest(CASE WHEN len(q) > 0 THEN q ELSE ['{P.DEFAULT_PHRASE}'] END) AS query FROM p")(
+    lambda t: t.documents.select("doc_id", F.explode(P.split_queries(F.replace("text", F.lit("\n"), F.lit("||")))).alias("query"))
 )
 job("G4_char_error", "SELECT p_partkey, round(levenshtein(p_brand, p_type)::DOUBLE / length(p_brand), 8) AS error FROM part")(lambda t: t.part.select("p_partkey", F.round(E.char_error(F.col("p_brand"), F.col("p_type")), 8).alias("error")))
 job("G5_turkish_char_error")(lambda t: t.part.select("p_partkey", E.turkish_char_errors(F.col("p_type"), F.col("p_brand")).alias("e")).select("p_partkey", "e.total", "e.errors"))
