@@ -129,8 +129,11 @@ def candidates(dense: DataFrame, sparse: DataFrame, n: int = CANDIDATES) -> Data
     return rrf_fuse([(dense, 1.0), (sparse, 1.0)]).where(F.col("rank") <= n)
 
 
-def article_factor(query: Column, label: Column, kind: Column, title: Column) -> Column:
-    """1 for citation queries; boilerplate is demoted unless asked for; words shared with the title raise."""
+def article_factor(query: Column, label: Column, kind: Column, title: Column, cites: Column | None = None) -> Column:
+    """1 for citation queries; boilerplate is demoted unless asked for; words shared with the title raise.
+
+    ``query`` may join several queries; ``cites`` then tells whether one of them is a citation.
+    """
     boiler = is_boilerplate(label, kind, title)
     asked = tr_lower(F.coalesce(label, F.lit(""))).contains("geçici") & tr_lower(query).contains("geçici")
     base = F.when(boiler & ~asked, F.lit(BOILERPLATE)).otherwise(F.lit(1.0))
@@ -138,23 +141,23 @@ def article_factor(query: Column, label: Column, kind: Column, title: Column) ->
     hits = F.size(F.array_except(F.array_intersect(tokenize(query), tokenize(F.coalesce(title, F.lit("")))), stop))
     meta = tr_lower(F.trim(F.coalesce(title, F.lit("")))).isin([*META_TITLES, ""])
     raised = F.when(~meta, 1 + TITLE_BOOST * F.least(hits, F.lit(TITLE_CAP))).otherwise(F.lit(1.0))
-    return F.when(is_citation_query(query), F.lit(1.0)).otherwise(base * raised)
+    return F.when(is_citation_query(query) if cites is None else cites, F.lit(1.0)).otherwise(base * raised)
 
 
 def unit_boost(score: Column, units: Column, unit: str | None) -> Column:
     return score if unit is None else F.when(F.array_contains(units, unit), score * (1 + UNIT_BOOST)).otherwise(score)
 
 
-def select_topk(ranked: DataFrame, top_k: int = 8, n_queries: int = 1, max_per_document: int | None = None) -> DataFrame:
+def select_topk(ranked: DataFrame, top_k: int = 8, n_queries: int | str = 1, max_per_document: int | None = None) -> DataFrame:
     """The selection of (request_id, pos, doc_id, article_label, score, forced): ``rank`` among those that stay.
 
     One chunk for an article (a forced one first); forced rows before rows
     within the document cap before back-fill; cut to ``top_k`` and ordered by
-    score.  ``forced`` is null or the number of the query it stands for.
+    score.  ``forced`` is null or the number of the query it stands for;
+    ``n_queries`` is a number or the column that holds each request's.
     """
-    cap = max_per_document
-    if cap is None and n_queries > 1:
-        cap = max(2, -(-top_k // n_queries))
+    n = F.lit(n_queries) if isinstance(n_queries, int) else F.col(n_queries)
+    cap = F.when(n > 1, F.greatest(F.lit(2), F.ceil(F.lit(top_k) / n))) if max_per_document is None else F.lit(max_per_document or None)
     request = Window.partitionBy("request_id")
     order = [F.desc("score"), F.col("pos")]
     rows = ranked.withColumn("__at", F.row_number().over(request.orderBy(*order)))
@@ -163,7 +166,7 @@ def select_topk(ranked: DataFrame, top_k: int = 8, n_queries: int = 1, max_per_d
     document = Window.partitionBy("request_id", "doc_id")
     forced = F.sum(F.col("forced").isNotNull().cast("int")).over(document)
     place = F.row_number().over(document.orderBy(F.col("forced").isNotNull(), "__at"))
-    within = F.lit(True) if not cap else (place + forced <= cap)
+    within = F.coalesce(place + forced <= cap, F.lit(True))
     tier = F.when(F.col("forced").isNotNull(), 0).when(within, 1).otherwise(2)
     rows = rows.withColumn("__tier", tier)
     rows = rows.withColumn("__take", F.row_number().over(request.orderBy("__tier", F.coalesce("forced", F.lit(1 << 30)), "__at"))).where(F.col("__take") <= top_k)

@@ -18,6 +18,7 @@ from varaka.operators import evaluate as E
 from varaka.operators import letters as L
 from varaka.operators import records as P
 from varaka.operators import retrieve as R
+from varaka.operators import search as Q
 from varaka.operators import splits as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,7 +238,7 @@ job("A12_group_breakdown", "SELECT o_orderpriority AS grp, count(*) AS n FROM or
     lambda t: t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"))
 )
 job("A15_fuse_scores", "SELECT o_custkey AS chunk, max(o_totalprice) AS best, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS sources FROM orders GROUP BY 1")(
-    lambda t: t.orders.groupBy(F.col("o_custkey").alias("chunk")).agg(F.max("o_totalprice").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), ",").alias("sources"))
+    lambda t: Q.fuse_scores(t.orders, ["o_custkey"], "o_totalprice", "o_orderkey", "o_orderpriority").select(F.col("o_custkey").alias("chunk"), "best", F.array_join("sources", ",").alias("sources"))
 )
 job("A16_scope_reasons", "SELECT o_custkey AS request, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'multiple_out_of_scope_reasons' END AS reason FROM orders GROUP BY 1")(
     lambda t: t.orders.groupBy(F.col("o_custkey").alias("request")).agg(F.when(F.count_distinct("o_orderstatus") == 1, F.min("o_orderstatus")).otherwise("multiple_out_of_scope_reasons").alias("reason"))
@@ -332,12 +333,33 @@ job("W2_bm25_topk", BM25 + " SELECT * FROM bm WHERE rank <= 8")(lambda t: sparse
 job("W1_dense_topk", "WITH z AS (SELECT 1)" + DENSE + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense(t).withColumn("rank", F.col("rank").cast("long")))
 job("W3_rrf_fuse", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr")(lambda t: fused(t, 1.0).withColumn("rank", F.col("rank").cast("long")))
 job("W4_candidates", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr WHERE rank <= 20")(lambda t: R.candidates(*two_rankings(t)).withColumn("rank", F.col("rank").cast("long")))
-job("W5_blend", BM25 + OVERLAP + FUSED.format("0.25") + " SELECT * FROM fr")(lambda t: fused(t, 0.25).withColumn("rank", F.col("rank").cast("long")))
+
+
+def both_ranks(t: Tables) -> DataFrame:
+    """Both rankings in one row, the second as that of a reranker; every third question cites an article where told."""
+    a, b = two_rankings(t)
+    return a.select("query_id", "pos", "score", F.col("rank").alias("reranked")).join(b.select("query_id", "pos", F.col("rank").alias("retrieved")), ["query_id", "pos"], "full")
+
+
+def citing(t: Tables) -> DataFrame:
+    return questions(t).withColumn("query", F.when(F.col("query_id") % 3 == 0, F.concat("query", F.lit(" Madde 18"))).otherwise(F.col("query")))
+
+
+@job("W5_blend", BM25 + OVERLAP + FUSED.format("0.25") + " SELECT * FROM fr")
+def blended(t: Tables) -> DataFrame:
+    rows = Q.blend(both_ranks(t).join(F.broadcast(questions(t)), "query_id"))
+    score = F.coalesce(1.0 / (60 + F.col("reranked")), F.lit(0.0)) + F.coalesce(0.25 / (60 + F.col("retrieved")), F.lit(0.0))
+    return rows.select("query_id", "pos", F.round(score, 12).alias("score"), F.col("blended").cast("long").alias("rank"))
+
+
+job("W5_blend_citations", BM25 + OVERLAP + FUSED.format("CASE WHEN query_id % 3 = 0 THEN 0 ELSE 0.25 END") + " SELECT query_id, pos, rank FROM fr WHERE score > 0")(
+    lambda t: Q.blend(both_ranks(t).join(F.broadcast(citing(t)), "query_id")).select("query_id", "pos", F.col("blended").cast("long").alias("rank"))
+)
 job("W8_unit_boost", BM25 + " SELECT query_id, pos, round(CASE WHEN lang = 'en' THEN score * 1.15::DOUBLE ELSE score END, 6) AS boosted FROM bm JOIN documents ON pos = doc_id WHERE rank <= 20")(
     lambda t: sparse(t, 20).join(t.documents.select(F.col("doc_id").alias("pos"), F.array("lang").alias("units")), "pos").select("query_id", "pos", F.round(R.unit_boost(F.col("score"), F.col("units"), "en"), 6).alias("boosted"))
 )
 job("W10_article_dedup", BM25 + " SELECT query_id, pos, source FROM (SELECT query_id, pos, source, row_number() OVER (PARTITION BY query_id, source, lang ORDER BY rank) AS c FROM bm JOIN documents ON pos = doc_id WHERE rank <= 50) WHERE c = 1")(
-    lambda t: sparse(t).join(t.documents.select(F.col("doc_id").alias("pos"), "source", "lang"), "pos").withColumn("c", F.row_number().over(Window.partitionBy("query_id", "source", "lang").orderBy("rank"))).where("c = 1").select("query_id", "pos", "source")
+    lambda t: Q.article_dedup(sparse(t).join(t.documents.select(F.col("doc_id").alias("pos"), "source", "lang"), "pos"), "query_id", ["source", "lang"]).select("query_id", "pos", "source")
 )
 
 
@@ -393,7 +415,7 @@ job("W23_assign_scenarios", "SELECT o_orderkey, ((row_number() OVER (PARTITION B
     lambda t: L.round_robin(t.orders, "o_orderpriority", ["o_orderkey"], 4).select("o_orderkey", F.col("scenario").cast("long").alias("scenario"))
 )
 job("W24_best_per_request", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 2 END")(
-    lambda t: t.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where(F.col("r") <= F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(2)).select("o_custkey", "o_orderkey")
+    lambda t: Q.best_per_request(t.orders, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], F.col("o_custkey") % 3 == 0).select("o_custkey", "o_orderkey")
 )
 job("R2_split_queries", f"WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '||'), '||'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS q FROM documents) SELECT doc_id, unnest(CASE WHEN len(q) > 0 THEN q ELSE ['{P.DEFAULT_PHRASE}'] END) AS query FROM p")(
     lambda t: t.documents.select("doc_id", F.explode(P.split_queries(F.replace("text", F.lit("\n"), F.lit("||")))).alias("query"))
@@ -450,3 +472,68 @@ job("R4_ingest_report", CHUNKS + " SELECT doc_id, count(*) AS n_chunks, sum((par
 job("P17_draft_context", "SELECT doc_id, to_json({input: source, decision: {quality: quality, toxic: toxic}})::VARCHAR AS context FROM documents JOIN labels USING (doc_id)")(
     lambda t: t.documents.join(t.labels, "doc_id").select("doc_id", P.draft_context(F.col("source"), F.struct("quality", "toxic", F.lit("x").alias("draft"))).alias("context"))
 )
+
+# --- search -----------------------------------------------------------------------------------------------------
+
+
+def requests(t: Tables) -> DataFrame:
+    """Requests of up to three questions each; every seventh question is blank."""
+    asked = t.benchmark.select((F.col("item_id") % 50).cast("long").alias("request_id"), "item_id", F.when(F.col("item_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "text")).alias("q"))
+    return asked.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "q"))), lambda x: x["q"]).alias("queries"))
+
+
+def articles(t: Tables) -> DataFrame:
+    """Documents as chunks: source and group of ten as document and article."""
+    return t.documents.select(
+        F.col("doc_id").cast("long").alias("pos"), "text", F.col("source").alias("doc_id"), F.concat(F.lit("Madde "), F.floor(F.col("doc_id") / 10).cast("string")).alias("article_label"),
+        F.lit("madde").alias("article_kind"), F.when(F.col("doc_id") % 9 == 0, "Amaç").otherwise(F.substring("text", 1, 20)).alias("article_title"), F.array("lang").alias("units"),
+    )
+
+
+def answers(t: Tables) -> DataFrame:
+    """Each request's documents in a ranking of sorts, for jobs that follow a search."""
+    w = Window.partitionBy("request_id").orderBy("pos")
+    rows = articles(t).withColumn("request_id", F.floor(F.col("pos") / 25)).drop("text", "units")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+ANSWERS = "(SELECT doc_id // 25 AS request_id, doc_id AS pos, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id) AS rank, 'Madde ' || (doc_id // 10) AS article_label, CASE WHEN doc_id % 9 = 0 THEN 'Amaç' ELSE substr(text, 1, 20) END AS article_title FROM documents)"
+BARE_Q = BARE.format("CASE WHEN item_id % 7 = 0 THEN '  ' ELSE ' ' || text END")
+job("F15_drop_blank_queries", f"SELECT item_id % 50 AS request_id, (row_number() OVER (PARTITION BY item_id % 50 ORDER BY item_id) - 1)::BIGINT AS q_idx, {BARE_Q} AS query FROM benchmark WHERE {BARE_Q} <> ''")(
+    lambda t: Q.drop_blank_queries(requests(t)).withColumn("q_idx", F.col("q_idx").cast("long"))
+)
+job("F3_drop_boilerplate", f"SELECT request_id, pos, rank FROM (SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank FROM {ANSWERS} WHERE article_title <> 'Amaç' AND NOT regexp_matches(lower(article_title), '^(amaç|amac|tanım|tanim)')) WHERE rank <= 5")(
+    lambda t: Q.drop_boilerplate(answers(t)).select("request_id", "pos", F.col("rank").cast("long").alias("rank"))
+)
+job("J15_pick_selected", f"SELECT request_id, pos FROM {ANSWERS} WHERE rank IN (1, 3) AND request_id % 4 <> 0")(
+    lambda t: Q.pick_selected(
+        answers(t), answers(t).where("rank in (1, 3)"), answers(t).select("request_id", F.when(F.col("request_id") % 4 == 0, "EKSIK_BILGI_BEKLENIYOR").otherwise("INCELEMEDE").alias("status")).distinct()
+    ).select("request_id", "pos")
+)
+job("J8_rerank_pairs", BM25 + " SELECT query_id, pos, rank, b.text AS query, d.text AS text FROM bm JOIN benchmark b ON query_id = item_id JOIN documents d ON pos = d.doc_id WHERE rank <= 20")(
+    lambda t: Q.rerank_pairs(R.stored(sparse(t, 20), "pairs"), questions(t), chunks(t)).select("query_id", "pos", "rank", "query", "text")
+)
+
+
+@job("W7_rerank_order", BM25 + """, r AS (SELECT query_id, pos, rank, item_id % 3 = 0 AS cites, round(len(list_intersect(list_distinct({q}), {d}))::DOUBLE / len(list_distinct({q})), 9) AS s
+    FROM bm JOIN benchmark b ON query_id = item_id JOIN documents d ON pos = d.doc_id WHERE rank <= 20),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS reranked FROM r),
+  bl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + reranked) + CASE WHEN cites THEN 0 ELSE 0.25::DOUBLE / (60 + rank) END, 12) DESC, reranked) AS blended FROM o)
+  SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(s * CASE WHEN NOT cites AND pos % 9 = 0 THEN 0.12::DOUBLE ELSE 1.0::DOUBLE END, 9) DESC, blended) AS place FROM bl""".format(
+    q=tokens_sql("CASE WHEN item_id % 3 = 0 THEN b.text || ' Madde 18' ELSE b.text END"), d=tokens_sql("d.text")))
+def placed(t: Tables) -> DataFrame:
+    titled = articles(t).withColumn("article_title", F.when(F.col("pos") % 9 == 0, "Amaç"))
+    pairs = Q.rerank_pairs(R.stored(sparse(t, 20), "pairs"), citing(t), titled)
+    return Q.rerank_order(Q.score_pairs(pairs)).select("query_id", "pos", F.col("place").cast("long").alias("place"))
+
+
+job("W13_final_order", f"SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY (pos * 7919 % 13)::DOUBLE DESC, pos) AS rank FROM {ANSWERS}")(
+    lambda t: Q.final_order(answers(t).withColumn("display", (F.col("pos") * 7919 % 13).cast("double"))).select("request_id", "pos", F.col("rank").cast("long").alias("rank"))
+)
+job("A14_facet_coverage", f"WITH a AS {ANSWERS}, m AS (SELECT request_id, pos % 3 AS q_idx, bool_or(rank <= 8) AS met FROM a WHERE pos % 4 = 0 GROUP BY 1, 2) SELECT count(*) AS n_requests, round(avg(ok), 9) AS covered FROM (SELECT request_id, bool_and(met)::INT AS ok FROM m GROUP BY 1)")(
+    lambda t: Q.facet_coverage(answers(t), answers(t).where("pos % 4 = 0").select("request_id", (F.col("pos") % 3).alias("q_idx"), "pos")).withColumn("covered", F.round("covered", 9))
+)
+job("P25_provision_fields", f"SELECT doc_id, source || CASE WHEN source = '' THEN '' ELSE ' sayılı ' END || lang AS law, '-' AS title, {BARE.format('text')} AS text, substr(regexp_replace({BARE.format('text')}, '\\s+', ' ', 'g'), 1, 300) AS summary, CASE WHEN n_chars % 2 = 0 THEN n_chars::VARCHAR ELSE n_chars || '-' || (n_chars + 1) END AS pages, source AS file FROM documents")(
+    lambda t: t.documents.select("doc_id", Q.provision_fields(F.col("source"), F.col("lang"), F.lit(""), F.col("text"), F.col("n_chars"), F.col("n_chars") + F.col("n_chars") % 2, F.array("source")).alias("p")).select("doc_id", "p.*")
+)
+job("R7_search")(lambda t: Q.search(requests(t), articles(t), 2025)[0].select("request_id", "pos", "doc_id", "article_label", "rank", "display", "raw", "fused", "score"))
