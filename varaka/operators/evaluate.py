@@ -6,7 +6,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURKISH = "ıiİIşsğgöoüuçc"
@@ -80,3 +80,88 @@ def turkish_char_errors(reference: Column, found: Column) -> Column:
         return pd.DataFrame(out, columns=["total", "errors"])
 
     return align(reference, found)
+
+
+def pred_gold(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """Every gold row with its prediction; a missing one is null and stays in the denominator."""
+    return gold.join(predicted, key, "left")
+
+
+def analysis_report(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """One row: all rows, the share that parsed and the share that equals the gold value."""
+    return rows.agg(F.count("*").alias("n_rows"), rate(F.col(pred).isNotNull(), "valid"), rate(F.col(pred) == F.col(gold), "exact"))
+
+
+def corrected_accuracy(rows: DataFrame, snapped: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """One row: accuracy of ``rows`` before and after ``snapped`` (value, snapped) replaces predictions."""
+    found = rows.join(snapped.select(F.col("value").alias(pred), "snapped"), pred, "left")
+    after = F.coalesce("snapped", pred) == F.col(gold)
+    return found.agg(F.count("*").alias("n_rows"), rate(F.col(pred) == F.col(gold), "before"), rate(after, "after"), F.sum(F.col("snapped").isNotNull().cast("int")).alias("n_snapped"))
+
+
+def response_distribution(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n, percent); null counts as ``MISSING``."""
+    counted = rows.groupBy(F.coalesce(value, F.lit("MISSING")).alias(value)).agg(F.count("*").alias("n"))
+    return counted.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+
+
+def group_counts(rows: DataFrame, *keys: Column | str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def off_vocabulary_counts(rows: DataFrame, field: str, allowed: list[str]) -> DataFrame:
+    """(field, value, n) of values outside the vocabulary; null is no value."""
+    return group_counts(rows.where(~F.col(field).isin(allowed)), F.lit(field).alias("field"), F.col(field).alias("value"))
+
+
+def label_vocabulary(columns: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Different labels over several tables."""
+    if not columns:
+        raise ValueError("no table with labels")
+    found = columns[0][0].select(F.col(columns[0][1]).alias("label"))
+    for rows, name in columns[1:]:
+        found = found.union(rows.select(name))
+    return found.distinct()
+
+
+def ocr_summary(rows: DataFrame, group: str, error: Column, errors: Column, total: Column) -> DataFrame:
+    """(grp, n, mean_error, pooled) of each group and of ``ALL``; pooled is null without any such character."""
+    found = rows.rollup(group).agg(F.count("*").alias("n"), F.avg(error).alias("mean_error"), (F.sum(errors) / F.nullif(F.sum(total), F.lit(0))).alias("pooled"), F.grouping(group).alias("__all"))
+    return found.select(F.when(F.col("__all") == 1, "ALL").otherwise(F.col(group)).alias("grp"), "n", "mean_error", "pooled")
+
+
+def ocr_eval(pairs: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """``pairs`` with error, tr_total, tr_errors and lengths; a missing hypothesis counts as empty."""
+    r, h = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
+    rows = pairs.withColumn("__tr", turkish_char_errors(r, h))
+    return rows.select("*", char_error(r, h).alias("error"), F.col("__tr.total").alias("tr_total"), F.col("__tr.errors").alias("tr_errors"), F.length(r).alias("n_ref"), F.length(h).alias("n_hyp")).drop("__tr")
+
+
+def split_group_matrix(rows: DataFrame, split: str, group: str) -> DataFrame:
+    """(split, grp, n) with totals named ``ALL``."""
+    name = lambda c, to: F.when(F.grouping(c) == 1, "ALL").otherwise(F.col(c)).alias(to)
+    counted = rows.cube(split, group).agg(F.count("*").alias("n"), name(split, "split"), name(group, "grp"))
+    return counted.select("split", "grp", "n")
+
+
+def topic_shortfall(rows: DataFrame, targets: DataFrame, topic: str, target: int) -> DataFrame:
+    """(``targets``, n, missing): rows of each topic and how many are missing to the target; topics without rows too."""
+    n = F.coalesce("n", F.lit(0))
+    return targets.join(group_counts(rows, topic), topic, "left").withColumn("missing", F.greatest(target - n, F.lit(0))).withColumn("n", n)
+
+
+def agent_board(trace: DataFrame, document: str, stage: str, ready: Column) -> DataFrame:
+    """(document, stages, n_rows, ready) of trace rows."""
+    return trace.groupBy(document).agg(F.array_sort(F.collect_set(stage)).alias("stages"), F.count("*").alias("n_rows"), F.bool_or(ready).alias("ready"))
+
+
+def compare_runs(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """(metric, base, tuned, difference) of two (metric, value) tables; null where one side is missing."""
+    a, b = base.select("metric", F.col("value").alias("base")), tuned.select("metric", F.col("value").alias("tuned"))
+    return a.join(b, "metric", "full").withColumn("difference", F.round(F.col("tuned") - F.col("base"), 6))
+
+
+def first_errors(rows: DataFrame, key: str, text: str, pred: str = "pred", gold: str = "gold", most: int = 5, width: int = 500) -> DataFrame:
+    """The first rows whose prediction is wrong or missing, with a preview of their text."""
+    wrong = rows.where(F.col(pred).isNull() | (F.col(pred) != F.col(gold)))
+    return wrong.orderBy(key).limit(most).select(key, F.substring(text, 1, width).alias("preview"))

@@ -18,6 +18,7 @@ from varaka.operators import evaluate as E
 from varaka.operators import letters as L
 from varaka.operators import records as P
 from varaka.operators import retrieve as R
+from varaka.operators import route as O
 from varaka.operators import search as Q
 from varaka.operators import splits as S
 
@@ -156,18 +157,23 @@ def to_messages(t: Tables) -> DataFrame:
 def with_default(t: Tables) -> DataFrame:
     topics = t.nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     routes = topics.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_nationkey", F.col("r_name").alias("unit"))
-    return t.customer.join(F.broadcast(routes), "c_nationkey", "left").select("c_custkey", F.coalesce("unit", F.lit("Yazı İşleri Müdürlüğü")).alias("unit"))
+    return O.route_unit(t.customer, routes, "c_nationkey").select("c_custkey", "unit")
+
+
+def owners(t: Tables) -> DataFrame:
+    own = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.explode(F.array(F.col("n_regionkey"), F.pmod(F.col("n_regionkey") + 1, F.lit(5)))).alias("r_regionkey"))
+    return own.join(t.region, "r_regionkey").select("c_nationkey", F.col("r_name").alias("unit"))
 
 
 job("J1_route_unit", "SELECT c_custkey, coalesce(r_name, 'Yazı İşleri Müdürlüğü') AS unit FROM customer LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0) ON c_nationkey = n_nationkey")(with_default)
 job("J2_topic_query", "SELECT c_custkey, lower(n_name) || ' mevzuatı' AS phrase FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(
-    lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.concat(F.lower("n_name"), F.lit(" mevzuatı")).alias("phrase"))
+    lambda t: O.with_topic(t.customer, t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lower("n_name"), F.lit(" mevzuatı")).alias("phrase")), "c_nationkey", "phrase").select("c_custkey", "phrase")
 )
 job("J3_shared_units", "SELECT c_custkey, u.r_name AS unit FROM customer JOIN nation ON c_nationkey = n_nationkey, region u WHERE u.r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5)")(
-    lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.explode(F.array(F.col("n_regionkey"), F.pmod(F.col("n_regionkey") + 1, F.lit(5)))).alias("r_regionkey")).join(F.broadcast(t.region), "r_regionkey").select("c_custkey", F.col("r_name").alias("unit"))
+    lambda t: O.shared_units(t.customer, owners(t), "c_nationkey").select("c_custkey", "unit")
 )
 job("J4_taxonomy_check", "SELECT r_name AS unit, n_name AS topic, CASE WHEN n_name IS NULL THEN 'unit_without_topic' ELSE 'topic_without_unit' END AS problem FROM (SELECT * FROM region WHERE r_regionkey <> 1) FULL JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_regionkey = r_regionkey WHERE n_name IS NULL OR r_name IS NULL")(
-    lambda t: t.region.where("r_regionkey <> 1").join(t.nation.where("n_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"), "full").where("n_name is null or r_name is null").select(F.col("r_name").alias("unit"), F.col("n_name").alias("topic"), F.when(F.col("n_name").isNull(), "unit_without_topic").otherwise("topic_without_unit").alias("problem"))
+    lambda t: O.taxonomy_check(t.region.where("r_regionkey <> 1").withColumnRenamed("r_regionkey", "key"), t.nation.where("n_regionkey <> 2").withColumnRenamed("n_regionkey", "key"), "key", "r_name", "n_name")
 )
 PRED = "SELECT d.doc_id, l.quality AS gold, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars > 600 THEN 1 ELSE 0 END AS pred FROM labels l LEFT JOIN documents d USING (doc_id)"
 
@@ -175,7 +181,7 @@ PRED = "SELECT d.doc_id, l.quality AS gold, CASE WHEN n_chars % 7 = 0 THEN NULL
 @job("J9_pred_gold_join", PRED)
 def predictions(t: Tables) -> DataFrame:
     pred = F.when(F.col("n_chars") % 7 == 0, None).when(F.col("n_chars") > 600, 1).otherwise(0)
-    return t.labels.join(t.documents.select("doc_id", pred.alias("pred")), "doc_id", "left").select("doc_id", F.col("quality").alias("gold"), "pred")
+    return E.pred_gold(t.labels.select("doc_id", F.col("quality").alias("gold")), t.documents.select("doc_id", pred.alias("pred")), "doc_id")
 
 
 def refresh(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -190,17 +196,17 @@ job("J11_update_failed_only", "SELECT o_orderkey, CASE WHEN o_orderkey % 14 = 0
     lambda t: L.update_failed_only(*refresh(t), "o_orderkey", "draft").select("o_orderkey", "draft")
 )
 job("J12_compare_runs", "SELECT coalesce(a.lang, b.lang) AS metric, round(b.v - a.v, 6) AS difference FROM (SELECT lang, avg(n_chars) v FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT lang, avg(n_chars) v FROM documents WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY 1) b ON a.lang = b.lang")(
-    lambda t: t.documents.where("doc_id % 2 = 0").groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("a")).join(t.documents.where("doc_id % 2 = 1 and lang <> 'es'").groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("b")), "metric", "full").select("metric", F.round(F.col("b") - F.col("a"), 6).alias("difference"))
+    lambda t: E.compare_runs(*(t.documents.where(w).groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("value")) for w in ("doc_id % 2 = 0", "doc_id % 2 = 1 and lang <> 'es'"))).select("metric", "difference")
 )
 job("J13_off_taxonomy", "SELECT DISTINCT source AS value FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 15)")(
     lambda t: E.off_vocabulary(t.documents.select(F.col("source").alias("value")).distinct(), "value", t.documents.where("doc_id % 20 < 15"), "source")
 )
 job("J14_snap_to_label")(lambda t: E.snap_to_label(t.nation.select(F.substring("n_name", 2, 30).alias("value")), "value", t.nation, "n_name"))
 job("J16_legislation_pool", "SELECT o_orderkey, coalesce(law, 'DEFAULT') AS law FROM orders LEFT JOIN (VALUES ('1-URGENT', '3194'), ('2-HIGH', '5393')) p(topic, law) ON o_orderpriority = topic")(
-    lambda t: t.orders.join(F.broadcast(t._spark.createDataFrame([("1-URGENT", "3194"), ("2-HIGH", "5393")], "o_orderpriority string, law string")), "o_orderpriority", "left").select("o_orderkey", F.coalesce("law", F.lit("DEFAULT")).alias("law"))
+    lambda t: O.legislation_pool(t.orders, t._spark.createDataFrame([("1-URGENT", "3194"), ("2-HIGH", "5393")], "o_orderpriority string, law string"), "o_orderpriority").select("o_orderkey", "law")
 )
 job("J17_expand_scenarios", "SELECT c_custkey, s AS status FROM customer, (VALUES ('OLUMLU'), ('OLUMSUZ'), ('INCELEMEDE')) v(s) WHERE NOT (c_acctbal < 0 AND s = 'OLUMLU')")(
-    lambda t: t.customer.select("c_custkey", "c_acctbal", F.explode(F.array(*map(F.lit, ("OLUMLU", "OLUMSUZ", "INCELEMEDE")))).alias("status")).where("not (c_acctbal < 0 and status = 'OLUMLU')").select("c_custkey", "status")
+    lambda t: O.expand_scenarios(t.customer.select("c_custkey", "c_acctbal"), ["OLUMLU", "OLUMSUZ", "INCELEMEDE"], F.expr("c_acctbal < 0 and status = 'OLUMLU'")).select("c_custkey", "status")
 )
 
 # --- aggregations -----------------------------------------------------------------------------------------------
@@ -209,13 +215,13 @@ job("A1_bm25_stats", f"WITH x AS (SELECT doc_id, unnest({tokens_sql('text')}) AS
     lambda t: R.Bm25Index(chunks(t)).statistics().withColumn("idf", F.round("idf", 6))
 )
 job("A3_response_distribution", "SELECT role, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM conversations GROUP BY role")(
-    lambda t: t.conversations.groupBy("role").agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    lambda t: E.response_distribution(t.conversations, "role")
 )
 job("A4_status_counts", "SELECT o_orderpriority AS file, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1, 2")(
-    lambda t: t.orders.groupBy(F.col("o_orderpriority").alias("file"), F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise(F.col("o_orderstatus")).alias("status")).agg(F.count("*").alias("n"))
+    lambda t: E.group_counts(t.orders, F.col("o_orderpriority").alias("file"), F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise(F.col("o_orderstatus")).alias("status"))
 )
 job("A5_analysis_report", f"SELECT count(*) AS n_rows, round(avg(CASE WHEN pred IS NOT NULL THEN 1 ELSE 0 END) * 100, 2) AS valid, round(avg(CASE WHEN pred = gold THEN 1 ELSE 0 END) * 100, 2) AS exact FROM ({PRED})")(
-    lambda t: predictions(t).agg(F.count("*").alias("n_rows"), E.rate(F.col("pred").isNotNull(), "valid"), E.rate(F.col("pred") == F.col("gold"), "exact"))
+    lambda t: E.analysis_report(predictions(t))
 )
 FLAGS = {"json_valid": "n_chars % 11 <> 0", "complete": "n_chars % 5 <> 0", "target_unit": "lang = 'en'", "response_type": "n_chars > 900", "process_status": "n_chars > 500", "closing": "text LIKE '%.'", "citation": "contains(text, '1')", "min_words": "n_chars > 1200"}
 RATES = {k: f"round(avg(CASE WHEN {v} THEN 1 ELSE 0 END) * 100, 2)" for k, v in FLAGS.items()}
@@ -223,19 +229,19 @@ job("A6_writer_report", "SELECT *, round(" + " + ".join(f"{k} * {w}::DOUBLE" for
     lambda t: E.writer_report(t.documents.select(*(F.expr(v).alias(k) for k, v in FLAGS.items())))
 )
 job("A7_off_taxonomy_counts", "SELECT 'source' AS field, source AS value, count(*) AS n FROM documents WHERE source NOT IN ('src0', 'src1') GROUP BY 2")(
-    lambda t: t.documents.where(~F.col("source").isin("src0", "src1")).groupBy(F.lit("source").alias("field"), F.col("source").alias("value")).agg(F.count("*").alias("n"))
+    lambda t: E.off_vocabulary_counts(t.documents, "source", ["src0", "src1"])
 )
 job("A8_label_vocabulary", "SELECT DISTINCT lang AS label FROM documents UNION SELECT DISTINCT role FROM conversations")(
-    lambda t: t.documents.select(F.col("lang").alias("label")).union(t.conversations.select("role")).distinct()
+    lambda t: E.label_vocabulary([(t.documents, "lang"), (t.conversations, "role")])
 )
 job("A10_ocr_summary", "SELECT coalesce(lang, 'ALL') AS grp, count(*) AS n, round(avg(n_chars / 1000.0), 6) AS mean_error, round(sum(n_chars % 10)::DOUBLE / sum(n_chars), 8) AS pooled FROM documents GROUP BY ROLLUP (lang)")(
-    lambda t: t.documents.rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.col("n_chars") / 1000.0), 6).alias("mean_error"), F.round(F.sum(F.col("n_chars") % 10) / F.sum("n_chars"), 8).alias("pooled")).withColumn("grp", F.coalesce("lang", F.lit("ALL"))).drop("lang")
+    lambda t: E.ocr_summary(t.documents, "lang", F.col("n_chars") / 1000.0, F.col("n_chars") % 10, F.col("n_chars")).withColumns({"mean_error": F.round("mean_error", 6), "pooled": F.round("pooled", 8)})
 )
 job("A11_split_group_matrix", "SELECT coalesce(o_orderstatus, 'ALL') AS split, coalesce(o_orderpriority, 'ALL') AS grp, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")(
-    lambda t: t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).select(F.coalesce("o_orderstatus", F.lit("ALL")).alias("split"), F.coalesce("o_orderpriority", F.lit("ALL")).alias("grp"), "n")
+    lambda t: E.split_group_matrix(t.orders, "o_orderstatus", "o_orderpriority")
 )
 job("A12_group_breakdown", "SELECT o_orderpriority AS grp, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")(
-    lambda t: t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"))
+    lambda t: E.group_counts(t.orders.where("o_orderstatus = 'F'"), F.col("o_orderpriority").alias("grp"))
 )
 job("A15_fuse_scores", "SELECT o_custkey AS chunk, max(o_totalprice) AS best, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS sources FROM orders GROUP BY 1")(
     lambda t: Q.fuse_scores(t.orders, ["o_custkey"], "o_totalprice", "o_orderkey", "o_orderpriority").select(F.col("o_custkey").alias("chunk"), "best", F.array_join("sources", ",").alias("sources"))
@@ -244,10 +250,10 @@ job("A16_scope_reasons", "SELECT o_custkey AS request, CASE WHEN count(DISTINCT
     lambda t: t.orders.groupBy(F.col("o_custkey").alias("request")).agg(F.when(F.count_distinct("o_orderstatus") == 1, F.min("o_orderstatus")).otherwise("multiple_out_of_scope_reasons").alias("reason"))
 )
 job("A17_topic_shortfall", "SELECT n_name AS topic, coalesce(n, 0) AS n, greatest(100 - coalesce(n, 0), 0) AS missing FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON n_nationkey = c_nationkey")(
-    lambda t: t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "right").select(F.col("n_name").alias("topic"), F.coalesce("n", F.lit(0)).alias("n"), F.greatest(100 - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
+    lambda t: E.topic_shortfall(t.customer, t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("topic")), "c_nationkey", 100).select("topic", "n", "missing")
 )
 job("A18_agent_board", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stages, count(*) AS n_rows, bool_or(event_type = 'purchase') AS ready FROM events GROUP BY 1")(
-    lambda t: t.events.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stages"), F.count("*").alias("n_rows"), F.bool_or(F.col("event_type") == "purchase").alias("ready"))
+    lambda t: E.agent_board(t.events, "user_id", "event_type", F.col("event_type") == "purchase").withColumn("stages", F.array_join("stages", ","))
 )
 
 # --- retrieval --------------------------------------------------------------------------------------------------
@@ -407,8 +413,18 @@ job("W16_recent_summaries", "SELECT event_id, coalesce(array_to_string(list(even
 )
 job("W19_worst_k", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")(lambda t: L.worst_k(t.documents.select("doc_id", "n_chars"), "n_chars", 5, "doc_id"))
 job("W20_first_errors", f"SELECT p.doc_id, substr(text, 1, 500) AS preview FROM ({PRED}) p JOIN documents USING (doc_id) WHERE pred IS NULL OR pred <> gold ORDER BY p.doc_id LIMIT 5")(
-    lambda t: predictions(t).where("pred is null or pred <> gold").join(t.documents, "doc_id").orderBy("doc_id").limit(5).select("doc_id", F.substring("text", 1, 500).alias("preview"))
+    lambda t: E.first_errors(predictions(t).join(t.documents, "doc_id"), "doc_id", "text")
 )
+job("A9_corrected_accuracy", "WITH v AS (SELECT n_name AS gold, CASE WHEN c_custkey % 4 = 0 THEN substr(n_name, 2) WHEN c_custkey % 5 = 0 THEN 'FRANCE' ELSE n_name END AS pred FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT count(*) AS n_rows, round(avg((pred = gold)::INT) * 100, 2) AS before, round(avg(((CASE WHEN pred NOT IN (SELECT n_name FROM nation) THEN (SELECT n_name FROM nation WHERE substr(n_name, 2) = pred) ELSE pred END) = gold)::INT) * 100, 2) AS after, sum((pred NOT IN (SELECT n_name FROM nation))::INT)::BIGINT AS n_snapped FROM v")(
+    lambda t: E.corrected_accuracy(cropped_names(t), E.snap_to_label(E.off_vocabulary(cropped_names(t).select(F.col("pred").alias("value")).distinct(), "value", t.nation, "n_name"), "value", t.nation, "n_name"))
+)
+
+
+def cropped_names(t: Tables) -> DataFrame:
+    pred = F.when(F.col("c_custkey") % 4 == 0, F.substring("n_name", 2, 30)).when(F.col("c_custkey") % 5 == 0, "FRANCE").otherwise(F.col("n_name"))
+    return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("gold"), pred.alias("pred"))
+
+
 job("W21_balanced_groups")(lambda t: S.balanced_groups(t.documents, T.length_bucket(F.col("text")), "doc_id", 4, 25))
 job("W22_drop_adjacent_duplicates")(lambda t: t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("n_before"), F.size(L.drop_adjacent_duplicates(F.split("text", "\n"))).alias("n_after")))
 job("W23_assign_scenarios", "SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)) - 1) % 4 AS scenario FROM orders")(
