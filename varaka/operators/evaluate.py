@@ -34,8 +34,6 @@ def snap_to_label(bad: DataFrame, value: str, allowed: DataFrame, label: str, mo
 
     Labels are a vocabulary of at most ``most`` entries, which the driver checks.
     """
-
-
     labels = [r[0] for r in allowed.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(most + 1).collect()]
     if len(labels) > most:
         raise ValueError(f"a vocabulary of more than {most} labels")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +122,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_sample_metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(id, group) from the first JSON map of ids to metadata that exists; empty where none does."""
+    for path in paths:
+        try:
+            text = spark.read.text(path, wholetext=True)
+        except AnalysisException:
+            continue
+        return text.select(F.explode(F.from_json("value", "map<string,struct<group:string>>")).alias("id", "m")).select("id", F.col("m.group").alias("group"))
+    return spark.createDataFrame([], "id string, group string")
+
+
+def with_group(samples: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``samples`` (id) with the group of their metadata, else the part of the id before the first ``_``."""
+    return samples.join(metadata, "id", "left").withColumn("group", F.coalesce("group", F.substring_index("id", "_", 1)))
