@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varaka.functions import text as T
+from varaka.operators import drafts as D
 from varaka.operators import evaluate as E
 from varaka.operators import letters as L
 from varaka.operators import records as P
@@ -553,3 +554,49 @@ job("P25_provision_fields", f"SELECT doc_id, source || CASE WHEN source = '' THE
     lambda t: t.documents.select("doc_id", Q.provision_fields(F.col("source"), F.col("lang"), F.lit(""), F.col("text"), F.col("n_chars"), F.col("n_chars") + F.col("n_chars") % 2, F.array("source")).alias("p")).select("doc_id", "p.*")
 )
 job("R7_search")(lambda t: Q.search(requests(t), articles(t), 2025)[0].select("request_id", "pos", "doc_id", "article_label", "rank", "display", "raw", "fused", "score"))
+
+# --- letters ----------------------------------------------------------------------------------------------------
+
+job("L1_extract_letter", f"SELECT doc_id, {BARE.format('text')} AS letter FROM documents")(
+    lambda t: t.documents.select("doc_id", D.extract_letter(F.to_json(F.struct(F.lit("x").alias("response_type"), F.col("text").alias("draft")))).alias("letter"))
+)
+LAW = "array(named_struct('law', '3194 sayılı Kanun', 'article', 'Madde 8', 'title', 'Plan'))"
+job("L4a_ensure_citation")(lambda t: t.documents.select("doc_id", D.ensure_citation(F.col("text"), F.expr(LAW)).alias("letter")))
+job("G11_finish_letters")(
+    lambda t: t.documents.select("doc_id", D.finish_letters(F.col("text"), F.expr("array(named_struct('type', 'PERSON', 'value', source))"), F.expr(LAW), F.lit("Fen İşleri Müdürlüğü"), F.lit("Park Müdürlüğü"), F.lit("YONLENDIRILDI")).alias("letter"))
+)
+job("F13_check_domains", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'response_type' END, CASE WHEN o_orderstatus <> 'F' THEN 'process_status' END) AS broken FROM orders")(
+    lambda t: t.orders.select("o_orderkey", F.array_join(D.check_domains({"response_type": F.col("o_orderpriority"), "process_status": F.col("o_orderstatus")}, {"response_type": ["1-URGENT", "2-HIGH"], "process_status": ["F"]}), ",").alias("broken"))
+)
+job("F16_one_sentence_note", f"SELECT doc_id, n LIKE '%.' AND NOT regexp_matches(n, '[.!?]\\s') AND NOT regexp_matches(lower(n), '^(sayın|{'|'.join(D.SALUTATIONS)})') AS ok FROM (SELECT doc_id, {BARE.format('substr(text, 1, 40 + doc_id % 60)')} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.' END AS n FROM documents)")(
+    lambda t: t.documents.select("doc_id", D.one_sentence_note(F.concat(T.stripped(F.expr("substring(text, 1, cast(40 + doc_id % 60 as int))")), F.when(F.col("doc_id") % 3 == 0, "").otherwise("."))).alias("ok"))
+)
+
+
+@job("G7_refresh_drafts", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped_no_legislation' WHEN doc_id % 5 = 0 THEN 'cached' WHEN doc_id % 2 = 1 THEN 'failed'
+  WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 180 OR NOT (lower(text) LIKE '%rica ederi_%' AND NOT lower(text) LIKE '%arz ederi_%') OR NOT (contains(text, '3194') OR contains(text, '8')) THEN 'regenerated_with_warnings' ELSE 'regenerated' END AS status,
+  CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 5 = 0 THEN lang WHEN doc_id % 2 = 0 THEN text ELSE source END AS draft FROM documents""")
+def refreshed(t: Tables) -> DataFrame:
+    laws = F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8'))")
+    records = t.documents.select(F.col("doc_id").alias("uid"), F.col("source").alias("draft"), F.lit("VATANDAS").alias("sender"), F.when(F.col("doc_id") % 3 != 0, laws).alias("laws"))
+    cache, new = t.documents.where("doc_id % 5 = 0").select(F.col("doc_id").alias("uid"), F.col("lang").alias("draft")), t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("uid"), F.col("text").alias("draft"))
+    return D.refresh_drafts(records, cache, new).select(F.col("uid").alias("doc_id"), "status", "draft")
+
+
+@job("G8_fill_templates")
+def filled(t: Tables) -> DataFrame:
+    info = F.array(F.struct(F.lit("PERSON").alias("type"), F.col("source").alias("value")), F.struct(F.lit("LOCATION").alias("type"), F.concat(F.lit("x/"), "lang").alias("value")))
+    laws = F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8', 'reference_text', ''))")
+    user = F.struct(
+        F.lit("VATANDAS").alias("sender_type"), F.lit("IMAR").alias("primary_topic"), F.col("text").alias("summary"), F.lit("inceleme").alias("requested_action"), info.alias("key_information"),
+        F.expr("cast(array() as array<string>)").alias("missing_information"), laws.alias("selected_legislation"),
+    )
+    answer = F.struct(F.lit("İmar Müdürlüğü").alias("target_unit"), F.array(F.lit("keşif")).alias("performed_actions"), F.lit("").alias("result_information"), F.lit("Sürüyor.").alias("process_information"))
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("cached").alias("status"), F.col("text").alias("draft"), user.alias("user"), answer.alias("answer"))
+    return D.fill_templates(rows).select("doc_id", "status", "draft", F.array_join("problems", ";").alias("problems"))
+
+
+@job("G6_ocr_eval", "SELECT coalesce(p_brand, 'ALL') AS grp, count(*) AS n, round(avg(levenshtein(p_type, substr(p_type, 2))::DOUBLE / length(p_type)), 8) AS mean_error FROM part GROUP BY ROLLUP (p_brand)")
+def ocr(t: Tables) -> DataFrame:
+    rows = E.ocr_eval(t.part.select("p_brand", "p_type", F.expr("substring(p_type, 2)").alias("found")), "p_type", "found")
+    return E.ocr_summary(rows, "p_brand", F.col("error"), F.col("tr_errors"), F.col("tr_total")).select("grp", "n", F.round("mean_error", 8).alias("mean_error"))
