@@ -36,13 +36,13 @@ def empty(spark):
     return odd(spark).where("1 = 0")
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = WORD.findall((text or "").translate(LOWER))
-    return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()}
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
-def true_components(rows):
-    sets = {i: shingles(t) for i, t in rows if i is not None}
+def true_components(rows, n=4):
+    sets = {i: shingles(t, n) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
     def find(x):

@@ -85,8 +85,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "text", F.length("text").alias("n_chars"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.parity_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), shingle=5, similar=(4, 5)).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text)
+    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text, op12_ngram_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {

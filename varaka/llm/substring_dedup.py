@@ -151,7 +151,7 @@ class Block:
         self.ids = self.rows.column("doc_id").to_numpy()
         marked = spread(marks).reshape(3, -1)
         self.copy = _repeats(marked, answers.step(0))
-        self.texts = [Text(w, ~self.copy[w.first : w.first + len(w)]) for w in words(self.rows.column("text"), lower=False)]
+        self.texts = [Text(w, ~self.copy[w.first : w.first + len(w)]) for w in words(self.rows.column("text"), lower=False, second=step > 2)]
         for level in (1, 2):
             if step <= level:
                 break
@@ -187,13 +187,13 @@ class Block:
 
 def window_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the window that begins at each word."""
-    return grams(w.hashes, WINDOW), grams(mix(w.hashes ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
+    return grams(w.hashes, WINDOW), grams(w.second, WINDOW)
 
 
-def _text_digest(w: Words, salt: int) -> np.ndarray:
-    """64-bit digest of each document's word sequence."""
+def _text_digest(w: Words, hashes: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit digest of each document's word sequence, from one of its two hashes."""
     place = np.arange(len(w.hashes)) - np.repeat(w.offsets[:-1], np.diff(w.offsets))
-    each = mix(w.hashes * np.uint64(salt) + mix(place.astype(np.uint64) + np.uint64(salt)))
+    each = mix(hashes * np.uint64(salt) + mix(place.astype(np.uint64) + np.uint64(salt)))
     sums = np.zeros(len(each) + 1, np.uint64)
     np.cumsum(each, out=sums[1:])
     return sums[w.offsets[1:]] - sums[w.offsets[:-1]]
@@ -202,8 +202,8 @@ def _text_digest(w: Words, salt: int) -> np.ndarray:
 def _marks(rows: pa.Table) -> bytes:
     """(h, g, doc_id) of each text; those shorter than a window get digests of their own."""
     parts = [np.zeros((2, 0), np.int64)]
-    for w in words(rows.column("text"), lower=False):
-        h, g = (_text_digest(w, s).view(np.int64) for s in SALTS)
+    for w in words(rows.column("text"), lower=False, second=True):
+        h, g = (_text_digest(w, x, s).view(np.int64) for x, s in zip((w.hashes, w.second), SALTS, strict=True))
         parts.append(np.stack([h, g]))
     return squeezed(np.concatenate([np.concatenate(parts, axis=1), rows.column("doc_id").to_numpy()[None]]).ravel())
 
