@@ -14,8 +14,8 @@ join (``Candidates``).  The rest is common.
    members are one.  No bucket is expanded into
    all its pairs: each round picks a few pivots per bucket and compares the
    other members with them.  Pairs that sizes and sketches do not dismiss are
-   confirmed on the full sets, which are stored once for the classes that lie in
-   a bucket with others.  Confirmed links merge components; used pivots leave,
+   confirmed on the full sets, each of which is stored once, when a pair first asks
+   for it.  Confirmed links merge components; used pivots leave,
    and a bucket is done once its members lie in one component.  Rounds go on
    until every bucket is done, so no pair of different components that a bucket
    holds goes uncompared.  A bucket of M classes that never link takes about
@@ -23,7 +23,9 @@ join (``Candidates``).  The rest is common.
 
 The parity bitmap of a whole set flips one of 1,024 bits for each shingle: two
 bitmaps differ in at most as many bits as the sets have different shingles, so
-that test never dismisses a link.
+that test never dismisses a link.  It tells little about sets of thousands of
+shingles; where ``wide`` asks for it, those have bitmaps of about as many bits
+as shingles, which are compared before the sets are fetched.
 
 Shingles are equal when their 64-bit hashes are (``text``); the two halves of a
 digest come from two independent hashes of the bytes.
@@ -48,6 +50,8 @@ from varaka.llm.text import grams, mix, words
 #: size of the parity bitmap of a whole set
 SET_LONGS = 16
 SET_BITS = [f"w{i}" for i in range(SET_LONGS)]
+#: sets over so many shingles have wide bitmaps
+WIDE_OVER = SET_LONGS * 64
 #: nodes that no doc_id names begin here
 UNNAMED = 1 << 62
 #: pivots per bucket in the first, second, ... round
@@ -61,6 +65,8 @@ class Candidates:
     keys: Callable[[list[np.ndarray]], tuple[list[np.ndarray], np.ndarray]]
     columns: list[str]
     promising: Callable[[], Column] | None = None
+    #: whether sets that fill ``SET_BITS`` get a bitmap that grows with them
+    wide: bool = False
 
     @property
     def sketches(self) -> list[str]:
@@ -87,24 +93,60 @@ def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=SET_LONGS * 64) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_bitmap(shingles: np.ndarray) -> bytes | None:
+    """Parity bitmap of a power of two of bits, at least as many as shingles; none for small sets."""
+    if len(shingles) <= WIDE_OVER:
+        return None
+    bits = 1 << (len(shingles) - 1).bit_length()
+    at = ((shingles * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A wide bitmap at a smaller number of bytes: neighbouring bits are added, so parities stay parities."""
+    while len(x) > size:
+        bits = np.unpackbits(x).reshape(-1, 2)
+        x = np.packbits(bits[:, 0] ^ bits[:, 1])
+    return x
+
+
+def _near(p: int, q: int):
+    """Of rows (n, p_n, wide, p_wide): those whose wide bitmaps differ in no more bits than linked sets may."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c) for c in ("n", "p_n", "wide", "p_wide"))
+            keep = []
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(c[i].as_buffer(), np.uint8) for c in (x, y))
+                size = min(len(a), len(b))
+                differ = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+                if differ * (p + q) <= (n[i].as_py() + m[i].as_py()) * (q - p):
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b", "ca", "cb"])
+
+    return run
+
+
 def _signatures(n: int, how: Candidates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sets, marks, parities = [], [], []
+            sets, marks, parities, wide = [], [], [], []
             for s, other in shingle_sets(batch.column(2), n):
                 sets.append(s)
                 marks.append((mix(s).sum(dtype=np.uint64), mix(other).sum(dtype=np.uint64)))
                 parities.append(parity_bitmap(s))
+                wide.append(wide_bitmap(s) if how.wide else None)
             keys, numbers = how.keys(sets)
             marks = np.array(marks, np.uint64).view(np.int64)
             at = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             columns = np.hstack([numbers, np.array(parities)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64)))]
-                + [pa.array(np.ascontiguousarray(columns[:, i])) for i in range(columns.shape[1])],
-                names=["doc_id", "text_key", "n", "f1", "f2", "keys", *how.sketches],
+                + [pa.array(np.ascontiguousarray(columns[:, i])) for i in range(columns.shape[1])] + [pa.array(wide, pa.binary())],
+                names=["doc_id", "text_key", "n", "f1", "f2", "keys", *how.sketches, "wide"],
             )
 
     return run
@@ -150,7 +192,7 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     t = Tables(docs.sparkSession, "near")
     p, q = similar
     promising = _promising(p, q) & how.promising() if how.promising else _promising(p, q)
-    schema = "doc_id long, text_key long, n int, f1 long, f2 long, keys array<long>, " + ", ".join(f"{x} long" for x in how.sketches)
+    schema = "doc_id long, text_key long, n int, f1 long, f2 long, keys array<long>, " + ", ".join(f"{x} long" for x in how.sketches) + ", wide binary"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     signed = t.keep(texts.mapInArrow(_signatures(shingle, how), schema))
 
@@ -161,24 +203,45 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(*same), 2)
     classes = t.keep(classes.join(named, "rep").select(*same, "rep", "text_key", F.when(F.struct(*same) == F.col("named"), F.col("rep")).otherwise(unnamed).alias("node")))
     heads = signed.drop("doc_id").join(classes, [*same, "text_key"]).dropDuplicates(["node"])
-    heads = t.keep(heads.select(F.col("node").alias("doc_id"), "rep", "text_key", "n", *how.sketches, "keys"))
-    sketches = heads.drop("keys", "rep", "text_key")
+    heads = t.keep(heads.select(F.col("node").alias("doc_id"), "rep", "text_key", "n", *how.sketches, "keys", "wide"))
+    whole, signed = signed, t.keep(signed.select("doc_id", "text_key", *same))
+    t.drop(whole)
+    sketches = t.keep(heads.drop("keys"))
+    texts_of = sketches.select(F.col("doc_id").alias("node"), F.col("rep").alias("doc_id"), "text_key")
+    wide = sketches.where("wide is not null").select("doc_id", "n", "wide")
+    sketches = sketches.drop("rep", "text_key", "wide")
 
     rows = heads.select("doc_id", F.explode("keys").alias("key"))
     busy = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     busy = busy.where("pivot < last").groupBy("pivot", "last", "n", "members").agg(F.min("key").alias("key")).select("key", "pivot")
     shared = t.keep(rows.join(busy, "key").where("doc_id <> pivot"))
-    inside = shared.select("doc_id").union(shared.select("pivot")).distinct()
-    wanted = heads.select("doc_id", F.col("rep"), "text_key").join(inside, "doc_id").select(F.col("doc_id").alias("node"), F.col("rep").alias("doc_id"), "text_key")
-    held = marked_rows(texts, wanted.select("doc_id", "text_key")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
-    held = t.keep(held.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary"))
+    t.drop(heads)
+
+    sets: list[DataFrame] = []
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Components of the links among (a, b, ca, cb), and the sets that they ask for."""
+        if how.wide:
+            both = pairs.join(wide.select(F.col("doc_id").alias("a"), "n", "wide"), "a", "left")
+            both = both.join(wide.select(F.col("doc_id").alias("b"), F.col("n").alias("p_n"), F.col("wide").alias("p_wide")), "b", "left")
+            sure = F.col("wide").isNotNull() & F.col("p_wide").isNotNull()
+            pairs = t.keep(both.where(~sure).select("a", "b", "ca", "cb").unionByName(both.where(sure).mapInArrow(_near(p, q), "a long, b long, ca long, cb long")))
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for known in sets:
+            nodes = nodes.join(known, "node", "left_anti")
+        wanted = t.keep(texts_of.join(nodes, "node"))
+        if not wanted.isEmpty():
+            found = marked_rows(texts, wanted.select("doc_id", "text_key")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
+            sets.append(t.keep(found.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary")))
+        held = reduce(DataFrame.unionByName, sets) if sets else t.spark.createDataFrame([], "node long, shingles binary")
+        return components(t, _confirmed(held, pairs, p, q))
 
     # the first round has one pivot a bucket: few pairs, which fetch their sketches
     pairs = shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     side = lambda c, pre: sketches.select(F.col("doc_id").alias(c), *(F.col(x).alias(pre + x) for x in ["n", *how.sketches]))
     pairs = pairs.join(side("b", ""), "b").join(side("a", "p_"), "a").where(promising)
     pairs = t.keep(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
-    tested, roots = pairs.select("a", "b"), components(t, _confirmed(held, pairs, p, q))
+    tested, roots = pairs.select("a", "b"), confirmed(pairs)
 
     placed = t.keep(_moved(shared.select("key", F.col("doc_id").alias("comp"), "doc_id"), roots))
     t.drop(shared)
@@ -207,14 +270,14 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
         left = active.join(used, ["key", "doc_id"], "left_anti")
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs.select("a", "b"))
-            step = components(t, _confirmed(held, pairs, p, q))
+            step = confirmed(pairs)
             left = _moved(left, step)
             roots = t.keep(_composed(roots, step))
         left = t.keep(left.select(active.columns))
         t.drop(active, pivots)
         active = left
         turn += 1
-    t.drop(active, pivots, held, heads)
+    t.drop(active, pivots, *sets)
 
     ids = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
     found = classes.select(*same, "rep", "node").join(roots.join(ids, "root").select("node", "least"), "node", "left")

@@ -58,7 +58,7 @@ def bands_of(n: int, p: int, q: int) -> Iterator[tuple[int, int, int]]:
 
 
 def parts_of(size: int, p: int, q: int) -> int:
-    return 5 * (2 * size * (q - p) // (q + p) + 1) // 4 + 6
+    return 9 * (2 * size * (q - p) // (q + p) + 1) // 8 + 6
 
 
 def part_keys(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -85,4 +85,4 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: tuple[int, int
     def keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         return [part_keys(s, p, q) for s in sets], np.zeros((len(sets), 0), np.int64)
 
-    return linked_sets(docs, shingle, similar, Candidates(keys, [])).select("doc_id", "n_shingles", "component_id", "text_key")
+    return linked_sets(docs, shingle, similar, Candidates(keys, [], wide=True)).select("doc_id", "n_shingles", "component_id", "text_key")

@@ -85,6 +85,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "text", F.length("text").alias("n_chars"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varaka.llm.parity_join import similar_documents
 
@@ -92,7 +98,7 @@ def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text, op12_ngram_jaccard_join)
+    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text, op11_collocations, op12_ngram_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +108,32 @@ ORACLE_SQL: dict[str, str] = {
         ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op11_collocations": """
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n-\r]')) AS piece FROM d
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM p
+        ), g AS (
+          SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+          FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS size))
+        ), f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL
+        ), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1
+        ), c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE size > 1 AND a >= 10
+        ), cuts AS (
+          SELECT lang, size, phrase, a, v, unnest(range(1, size)) AS k FROM c
+        ), sides AS (
+          SELECT c.lang, c.size, c.phrase, c.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+          FROM cuts c
+          JOIN f x ON x.lang = c.lang AND x.size = k AND x.phrase = array_to_string(list_slice(v, 1, k), ' ')
+          JOIN f y ON y.lang = c.lang AND y.size = c.size - k AND y.phrase = array_to_string(list_slice(v, k + 1, c.size), ' ')
+        ), least AS (
+          SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inside AS (
+          SELECT lang, part, max(a) AS longer
+          FROM (SELECT lang, a, unnest([array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' ')]) AS part FROM c WHERE size = 3) GROUP BY ALL
+        ), kept AS (
+          SELECT s.* FROM least s LEFT JOIN inside i ON s.size = 2 AND i.lang = s.lang AND i.part = s.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
