@@ -12,6 +12,9 @@ The benchmark is a stated query set, read in blocks of ``BLOCK_CHARS``
 characters; each block goes to all tasks and meets all documents in one scan,
 so a larger benchmark costs more scans but no more memory.
 
+Repetitive texts: alignments of a text and an item are at most as many as their
+words together, and are found without listing the pairs of places that meet.
+
 Words are lower-cased (A-Z) and cut at white space and ASCII punctuation.
 
 Defined cases: null or empty texts and items match nothing; an item with fewer
@@ -35,6 +38,8 @@ from varaka.llm.text import BASE, BREAKS, Words, grams, mix, words
 OVERLAP, MISSES, SHORTEST = 13, 2, 5
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 5, 6, 7), (0, 1, 4, 5, 8, 9))
 BLOCK_CHARS = 8_000_000
+#: a seed that occurs more often than this in a text and in the items is met by convolution; hits that are expanded at once
+OFTEN, EXPANDED = 64, 1_000_000
 FILTER_BITS = 22
 
 FOUND = "doc_id long, text_key long, item_id long, n_matched long, n_aligned long, first_word long"
@@ -78,33 +83,65 @@ class Items:
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (document, item, word where the item would begin)."""
-        out = []
+        found = [np.zeros((0, 3), np.int64)]
         for m, mask in enumerate(MASKS):
             s = seeds(w.hashes, mask) + np.uint64(m)
             at = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.key, s[at]), np.searchsorted(self.key, s[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            which = np.repeat(lo - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
-            out.append((np.repeat(at, n), self.item[which], self.place[which]))
-        at, item, place = (np.concatenate(c) for c in zip(*out, strict=True))
-        doc = np.searchsorted(w.offsets, at, "right") - 1
-        rows = np.unique(np.stack([doc, item, at - place], 1), axis=0)
+            if not len(at):
+                continue
+            doc = np.searchsorted(w.offsets, at, "right") - 1
+            _, group = np.unique(np.stack([doc, lo]), axis=1, return_inverse=True)
+            heavy = (np.bincount(group) > OFTEN)[group] & (n > OFTEN)  # a seed that text and items repeat
+            for g in np.unique(group[heavy]):
+                here = np.flatnonzero(group == g)
+                found += self._shifts(at[here], int(doc[here[0]]), int(lo[here[0]]), int(n[here[0]]))
+            at, lo, n, doc = at[~heavy], lo[~heavy], n[~heavy], doc[~heavy]
+            for part in np.array_split(np.arange(len(at)), max(1, int(n.sum()) // EXPANDED)):
+                k = n[part]
+                which = np.repeat(lo[part] - np.append(0, k.cumsum()[:-1]), k) + np.arange(k.sum())
+                found.append(np.unique(np.stack([np.repeat(doc[part], k), self.item[which], np.repeat(at[part], k) - self.place[which]], 1), axis=0))
+        rows = np.unique(np.concatenate(found), axis=0)
         return rows[:, 0], rows[:, 1], rows[:, 2]
 
+    def _shifts(self, at: np.ndarray, doc: int, lo: int, n: int) -> list[np.ndarray]:
+        """The same for one seed of one document, all of whose places meet all of an item's: the differences by convolution of their indicators."""
+        out = []
+        for i in np.unique(self.item[lo : lo + n]):
+            place = self.place[lo : lo + n][self.item[lo : lo + n] == i]
+            first, last = at[0], place[-1]
+            size = int(at[-1] - first + last - place[0] + 1)
+            a, b = np.zeros(size), np.zeros(size)
+            a[at - first], b[last - place] = 1, 1
+            differ = np.flatnonzero(np.fft.irfft(np.fft.rfft(a, 2 * size) * np.fft.rfft(b, 2 * size), 2 * size)[:size] > 0.5) + first - last
+            out.append(np.stack([np.full(len(differ), doc), np.full(len(differ), i), differ], 1))
+        return out
+
     def matches(self, w: Words) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, equal words, aligned words, first word): the best alignment of each pair that counts."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, item, begin in zip(*(x.tolist() for x in self.hits(w)), strict=True):
-            a, z = int(w.offsets[doc]), int(w.offsets[doc + 1])
-            lo, hi = max(a, begin), min(z, begin + int(self.lengths[item]))
+        """(document, item, equal words, aligned words, first word): the best alignment of each pair that counts, the earliest of equals.
+
+        Alignments are compared longest first; those that cannot have more
+        equal words than one found are not compared.
+        """
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        docs, items, begins = self.hits(w)
+        starts, ends = w.offsets[:-1][docs], w.offsets[1:][docs]
+        lows, highs = np.maximum(starts, begins), np.minimum(ends, begins + self.lengths[items])
+        for k in np.lexsort((begins, lows - highs)).tolist():
+            doc, item, begin, lo, hi = int(docs[k]), int(items[k]), int(begins[k]), int(lows[k]), int(highs[k])
             if hi - lo < OVERLAP:
+                break
+            old = best.get((doc, item), (-1, 0, 0, 0))
+            if hi - lo < old[0] or hi - lo == old[0] and begin > old[3]:
                 continue
             same = w.hashes[lo:hi] == self.words[item][lo - begin : hi - begin]
+            total = int(np.count_nonzero(same))
+            if total < old[0] or total == old[0] and begin > old[3]:
+                continue
             sums = np.append(0, same.cumsum())
             if (sums[OVERLAP:] - sums[:-OVERLAP]).max() >= OVERLAP - MISSES:
-                new = (int(sums[-1]), hi - lo, lo - a)
-                if best.get((doc, item), (-1,))[0] < new[0]:
-                    best[doc, item] = new
+                best[doc, item] = (total, hi - lo, lo - int(starts[k]), begin)
         for n, (keys, items) in self.short.items():
             every = grams(w.hashes, n)
             lo, hi = np.searchsorted(keys, every), np.searchsorted(keys, every, "right")
@@ -112,9 +149,9 @@ class Items:
                 doc = int(np.searchsorted(w.offsets, p, "right")) - 1
                 if p + n <= w.offsets[doc + 1]:
                     for i in items[lo[p] : hi[p]]:
-                        best.setdefault((doc, i), (n, n, p - int(w.offsets[doc])))
+                        best.setdefault((doc, i), (n, n, p - int(w.offsets[doc]), p))
         for (doc, item), found in best.items():
-            yield doc, item, *found
+            yield doc, item, *found[:3]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
