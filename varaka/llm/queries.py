@@ -97,8 +97,14 @@ def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=5, similar=(4, 5)).drop("text_key")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varaka.llm.repair import repaired_conversations
+
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text, op11_collocations, op12_ngram_jaccard_join)
+    f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_exact_dedup, op4_url_filter, op5_bpe, op6_toxicity, op7_substring_dedup, op8_decontaminate, op9_quality, op10_html_text, op11_collocations, op12_ngram_jaccard_join, op13_conversation_repair)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -136,4 +142,60 @@ ORACLE_SQL: dict[str, str] = {
         ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
         SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
     """,
+    "op13_conversation_repair": """
+        WITH RECURSIVE hashed AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+              lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda j: j::BIGINT)), lambda x, j: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS fault
+          FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)
+        ), rows AS (
+          SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM hashed, (SELECT unnest([1, 2]) AS copy) WHERE fault <> 0 AND (copy = 1 OR fault = 3)
+        ), placed AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS c,
+            right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM rows
+        ), judged AS (
+          SELECT *, z = '' AS blank, z <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+            z NOT IN ('', '.', '!', '?') AS cut, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM placed
+        ), facts AS (
+          SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+            count(*) FILTER (cut AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+        ), step AS (
+          SELECT conv_id, i, role, text, c, blank OR again AS gone, cut::INT AS t FROM judged
+        ), behind AS (
+          SELECT conv_id, n + 1 AS i, 0 AS d0, 4 AS d1, 2 AS d2, 0 AS d3 FROM facts
+          UNION ALL
+          SELECT conv_id, i, least(b0, 2 + b2, 4 + b3), least(b1, 2 + b2, 4 + b3), least(b2, 2 + b3), least(b3, 2 + b2) FROM (
+            SELECT s.conv_id, s.i,
+              CASE WHEN gone THEN 3 + d0 ELSE least(3 + d0, 2 + t + d2, CASE WHEN c = 's' THEN t + d1 WHEN c = 'u' THEN t + d2 ELSE 99999999 END) END AS b0,
+              CASE WHEN gone THEN 3 + d1 ELSE least(3 + d1, 2 + t + d2, CASE WHEN c = 'u' THEN t + d2 ELSE 99999999 END) END AS b1,
+              CASE WHEN gone THEN 3 + d2 ELSE least(3 + d2, 2 + t + d3, CASE WHEN c = 'a' THEN t + d3 ELSE 99999999 END) END AS b2,
+              CASE WHEN gone THEN 3 + d3 ELSE least(3 + d3, 2 + t + d2, CASE WHEN c = 'u' THEN t + d2 ELSE 99999999 END) END AS b3
+            FROM behind b JOIN step s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i - 1)
+        ), costs AS (SELECT conv_id, i, [d0, d1, d2, d3] AS d FROM behind
+        ), walk AS (
+          SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS lines FROM facts
+          UNION ALL
+          SELECT conv_id, CASE WHEN letter = 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN q WHEN 'K' THEN kept ELSE nxt END, audit || letter,
+            CASE letter WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, CASE nxt WHEN 2 THEN 'user:' ELSE 'assistant:' END) WHEN 'K' THEN list_append(lines, role || ':' || text)
+              ELSE list_append(lines, CASE nxt WHEN 2 THEN 'user:' ELSE 'assistant:' END || text) END
+          FROM (
+            SELECT *, CASE WHEN role IS NOT NULL AND here = 3 + after[q + 1] THEN 'D' WHEN here = 2 + before[nxt + 1] THEN 'I'
+              WHEN NOT gone AND kept IS NOT NULL AND here = t + after[kept + 1] THEN 'K' ELSE 'R' END AS letter
+            FROM (
+              SELECT w.*, s.role, s.text, s.gone, s.t, x.d AS before, y.d AS after, x.d[q + 1] AS here, CASE q WHEN 2 THEN 3 ELSE 2 END AS nxt,
+                CASE WHEN s.c = 's' AND q = 0 THEN 1 WHEN s.c = 'u' AND q <> 2 THEN 2 WHEN s.c = 'a' AND q = 2 THEN 3 END AS kept
+              FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id
+              JOIN costs x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i
+              LEFT JOIN step s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i
+              LEFT JOIN costs y ON y.conv_id IS NOT DISTINCT FROM w.conv_id AND y.i = w.i + 1
+              WHERE w.i <= f.n OR q IN (1, 2)))
+        ), ended AS (SELECT w.* FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i > f.n AND q IN (0, 3)
+        ), every AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT e.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+          coalesce(c.d[1], 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+        FROM every e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+        LEFT JOIN costs c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.i = 1
+    """,
 }
