@@ -48,6 +48,8 @@ def test_linked_sets_always_share_a_key():
             both = len(np.intersect1d(a, b))
             if len(a) != both or len(b) != both:
                 if 5 * both >= 4 * (len(a) + len(b) - both):
+                    x, y = parity_join.probes(a, 4, 5), parity_join.probes(b, 4, 5)
+                    assert any(len(np.intersect1d(g[1:], h[1:])) >= max(g[0], h[0]) for g in x for h in y)
                     assert len(np.intersect1d(parity_join.part_keys(a, 4, 5), parity_join.part_keys(b, 4, 5)))
 
 

@@ -10,7 +10,8 @@ join (``Candidates``).  The rest is common.
    certain); the smallest doc_id stands for it.  Classes are the nodes: a
    doc_id that stands for several (rows that repeat it with other texts) names
    the first, the others get a number out of their set.
-3. Classes that share a key meet in buckets, of which those with the same
+3. Where an operator says which part of its shingles a linked set must share with
+   others (``probe``), keys are made only for the sets that do.  Classes that share a key meet in buckets, of which those with the same
    members are one.  No bucket is expanded into
    all its pairs: each round picks a few pivots per bucket and compares the
    other members with them.  Pairs that sizes and sketches do not dismiss are
@@ -67,6 +68,9 @@ class Candidates:
     promising: Callable[[], Column] | None = None
     #: whether sets that fill ``SET_BITS`` get a bitmap that grows with them
     wide: bool = False
+    #: for a list of sets, groups of values of each, of which a linked one shares at least the group's first number with other sets;
+    #: where given, keys are only made for the sets of which that holds
+    probe: Callable[[list[np.ndarray]], list[list[np.ndarray]]] | None = None
 
     @property
     def sketches(self) -> list[str]:
@@ -139,26 +143,37 @@ def _signatures(n: int, how: Candidates):
                 marks.append((mix(s).sum(dtype=np.uint64), mix(other).sum(dtype=np.uint64)))
                 parities.append(parity_bitmap(s))
                 wide.append(wide_bitmap(s) if how.wide else None)
-            keys, numbers = how.keys(sets)
+            keys, numbers = how.keys(sets) if how.probe is None else ([np.zeros(0, np.uint64)] * len(sets), np.zeros((len(sets), 0), np.int64))
+            probes = how.probe(sets) if how.probe else [[]] * len(sets)
             marks = np.array(marks, np.uint64).view(np.int64)
             at = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             columns = np.hstack([numbers, np.array(parities)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64)))]
-                + [pa.array(np.ascontiguousarray(columns[:, i])) for i in range(columns.shape[1])] + [pa.array(wide, pa.binary())],
-                names=["doc_id", "text_key", "n", "f1", "f2", "keys", *how.sketches, "wide"],
+                + [pa.array(np.ascontiguousarray(columns[:, i])) for i in range(columns.shape[1])] + [pa.array(wide, pa.binary()), _nested(probes)],
+                names=["doc_id", "text_key", "n", "f1", "f2", "keys", *how.sketches, "wide", "probe"],
             )
 
     return run
 
 
-def _sets(n: int):
-    """Node and its packed shingle set."""
+def _nested(groups: list[list[np.ndarray]]) -> pa.Array:
+    """array<array<long>> of lists of arrays."""
+    flat = [g for groups_ in groups for g in groups_]
+    values = pa.array(np.concatenate([np.zeros(0, np.int64), *flat]))
+    inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in flat])).astype(np.int32)), values)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in groups])).astype(np.int32)), inner)
+
+
+def _sets(n: int, how: Candidates):
+    """Node, its packed shingle set and, where they are made late, its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [squeezed(np.diff(s.view(np.int64), prepend=0)) for s, _ in shingle_sets(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
+            sets = [s for s, _ in shingle_sets(batch.column(1), n)]
+            packed = [squeezed(np.diff(s.view(np.int64), prepend=0)) for s in sets]
+            keys = [k.view(np.int64) for k in how.keys(sets)[0]] if how.probe and sets else [None] * len(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "shingles", "keys"])
 
     return run
 
@@ -192,7 +207,7 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     t = Tables(docs.sparkSession, "near")
     p, q = similar
     promising = _promising(p, q) & how.promising() if how.promising else _promising(p, q)
-    schema = "doc_id long, text_key long, n int, f1 long, f2 long, keys array<long>, " + ", ".join(f"{x} long" for x in how.sketches) + ", wide binary"
+    schema = "doc_id long, text_key long, n int, f1 long, f2 long, keys array<long>, " + ", ".join(f"{x} long" for x in how.sketches) + ", wide binary, probe array<array<long>>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     signed = t.keep(texts.mapInArrow(_signatures(shingle, how), schema))
 
@@ -203,38 +218,47 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(*same), 2)
     classes = t.keep(classes.join(named, "rep").select(*same, "rep", "text_key", F.when(F.struct(*same) == F.col("named"), F.col("rep")).otherwise(unnamed).alias("node")))
     heads = signed.drop("doc_id").join(classes, [*same, "text_key"]).dropDuplicates(["node"])
-    heads = t.keep(heads.select(F.col("node").alias("doc_id"), "rep", "text_key", "n", *how.sketches, "keys", "wide"))
+    heads = t.keep(heads.select(F.col("node").alias("doc_id"), "rep", "text_key", "n", *how.sketches, "keys", "wide", "probe"))
     whole, signed = signed, t.keep(signed.select("doc_id", "text_key", *same))
     t.drop(whole)
-    sketches = t.keep(heads.drop("keys"))
+    sketches = t.keep(heads.drop("keys", "probe"))
     texts_of = sketches.select(F.col("doc_id").alias("node"), F.col("rep").alias("doc_id"), "text_key")
     wide = sketches.where("wide is not null").select("doc_id", "n", "wide")
     sketches = sketches.drop("rep", "text_key", "wide")
+    sets: list[DataFrame] = []
+
+    def held(nodes: DataFrame) -> None:
+        """Store the sets of ``nodes`` (node) that are not stored yet."""
+        for known in sets:
+            nodes = nodes.join(known, "node", "left_anti")
+        wanted = t.keep(texts_of.join(nodes, "node"))
+        if not wanted.isEmpty():
+            found = marked_rows(texts, wanted.select("doc_id", "text_key")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
+            sets.append(t.keep(found.select("node", "text").mapInArrow(_sets(shingle, how), "node long, shingles binary, keys array<long>")))
+
+    def all_sets() -> DataFrame:
+        return reduce(DataFrame.unionByName, sets) if sets else t.spark.createDataFrame([], "node long, shingles binary, keys array<long>")
 
-    rows = heads.select("doc_id", F.explode("keys").alias("key"))
+    if how.probe is None:
+        rows = heads.select("doc_id", F.explode("keys").alias("key"))
+    else:
+        held(_probed(heads).withColumnRenamed("doc_id", "node"))
+        rows = all_sets().select(F.col("node").alias("doc_id"), F.explode("keys").alias("key"))
     busy = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     busy = busy.where("pivot < last").groupBy("pivot", "last", "n", "members").agg(F.min("key").alias("key")).select("key", "pivot")
     shared = t.keep(rows.join(busy, "key").where("doc_id <> pivot"))
     t.drop(heads)
 
-    sets: list[DataFrame] = []
-
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Components of the links among (a, b, ca, cb), and the sets that they ask for."""
+        """Components of the links among (a, b, ca, cb)."""
         if how.wide:
             both = pairs.join(wide.select(F.col("doc_id").alias("a"), "n", "wide"), "a", "left")
             both = both.join(wide.select(F.col("doc_id").alias("b"), F.col("n").alias("p_n"), F.col("wide").alias("p_wide")), "b", "left")
             sure = F.col("wide").isNotNull() & F.col("p_wide").isNotNull()
             pairs = t.keep(both.where(~sure).select("a", "b", "ca", "cb").unionByName(both.where(sure).mapInArrow(_near(p, q), "a long, b long, ca long, cb long")))
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        for known in sets:
-            nodes = nodes.join(known, "node", "left_anti")
-        wanted = t.keep(texts_of.join(nodes, "node"))
-        if not wanted.isEmpty():
-            found = marked_rows(texts, wanted.select("doc_id", "text_key")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
-            sets.append(t.keep(found.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary")))
-        held = reduce(DataFrame.unionByName, sets) if sets else t.spark.createDataFrame([], "node long, shingles binary")
-        return components(t, _confirmed(held, pairs, p, q))
+        if how.probe is None:
+            held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        return components(t, _confirmed(all_sets().drop("keys"), pairs, p, q))
 
     # the first round has one pivot a bucket: few pairs, which fetch their sketches
     pairs = shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -287,6 +311,15 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), mine.alias("kept"), "text_key")
 
 
+def _probed(heads: DataFrame) -> DataFrame:
+    """(doc_id) of the sets that share enough of a group of their probes with other sets."""
+    groups = heads.select("doc_id", F.posexplode("probe").alias("place", "p")).select("doc_id", "place", F.col("p")[0].alias("need"), F.explode(F.slice("p", F.lit(2), F.size("p"))).alias("key"))
+    several = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = groups.join(several, "key", "left_semi").groupBy("doc_id", "place").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    open_ = heads.where(F.exists("probe", lambda g: g[0] <= 0)).select("doc_id")  # too few were sampled to tell
+    return met.where("n >= need").select("doc_id").union(open_).distinct()
+
+
 def _composed(roots: DataFrame, step: DataFrame) -> DataFrame:
     """One map (node, root) for two, of which the second goes on from the roots of the first."""
     further = step.select(F.col("node").alias("root"), F.col("root").alias("further"))

@@ -10,12 +10,22 @@ more than d of these.  Parts are in a common order, so it is enough that each
 document sends its first d + 1 parts that are not zero: of two sets with c
 common parts, the first n - c + 1 of either meet.  A set with no more than d
 such parts (many shingles in few parts, which only tiny sets have) sends all
-of them and a key common to all such sets.  No link is left to chance.
+of them and a key common to all such sets.  Among the sets that have keys no link is left to chance.
+
+Most sets are linked with nothing and need no keys: a linked set of n shingles
+shares at least n p / q of them with its partner.  Of each set about 32 to 64 shingles,
+those with the least hashes in proportion to the size of its band, are counted
+over all sets; a set stays only if enough of them (the share, less six
+standard deviations of such a sample) lie in other sets too.  Sets of up to 64
+shingles are counted whole, without a margin; a larger linked one is left out with a chance below
+1e-8.  So the keys of passages that many texts share are made only for texts that
+consist of such passages.
 
 Sizes are banded: the number of parts belongs to a band of sizes, bounds of which
 double.  A pair meets in the band of its larger set, so a document
 sends parts for its own band and, if a partner may lie there, for the
-next.  A document of n shingles sends about 0.3 n keys.
+next.  A document of n shingles sends about 0.3 n
+keys.
 
 Classes, rounds and the confirmation on full sets are those of ``linked_sets``.
 
@@ -39,6 +49,8 @@ from varaka.llm.text import mix
 
 #: largest size of the first band; bounds double
 FIRST_BAND = 4
+#: shingles that the largest set of a band has sampled, and the margin in standard deviations of their number
+SAMPLED, DEVIATIONS = 64, 6
 #: sets too full for their parts meet under this
 CROWDED = np.uint64(0x452821E638D01377)
 
@@ -78,6 +90,17 @@ def part_keys(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def probes(shingles: np.ndarray, p: int, q: int) -> list[np.ndarray]:
+    """For each band in which a set may meet others: how many of the sampled shingles they must have too, and these."""
+    n, out = len(shingles), []
+    top = max(SAMPLED, 1 << (n - 1).bit_length()) if n else 0
+    for size in (top, 2 * top) if n * q // p > top else (top,) if n else ():
+        some = shingles if size == SAMPLED else shingles[: np.searchsorted(shingles, np.uint64((SAMPLED << 64) // size))]
+        need = -(-n * p // q) if size == SAMPLED else int(np.ceil(len(some) * p / q - DEVIATIONS * (len(some) * p * (q - p)) ** 0.5 / q))
+        out.append(np.append(max(need, 0), mix(some + np.uint64(size)).view(np.int64)))
+    return out
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) for documents linked at Jaccard >= similar[0] / similar[1]."""
     p, q = similar
@@ -85,4 +108,4 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: tuple[int, int
     def keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         return [part_keys(s, p, q) for s in sets], np.zeros((len(sets), 0), np.int64)
 
-    return linked_sets(docs, shingle, similar, Candidates(keys, [], wide=True)).select("doc_id", "n_shingles", "component_id", "text_key")
+    return linked_sets(docs, shingle, similar, Candidates(keys, [], wide=True, probe=lambda sets: [probes(s, p, q) for s in sets])).select("doc_id", "n_shingles", "component_id", "text_key")
