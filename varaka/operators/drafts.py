@@ -16,6 +16,8 @@ ADDRESSEE = r"(BAŞKANLIĞINA|MÜDÜRLÜĞÜNE)"
 HEADINGS = ["sayın", "ilgi", "konu:", "t.c"]
 REDIRECTED = "Başvurunuz {} birimine yönlendirilmiştir."
 CITED = "İşlemler {} uyarınca yürütülmüştür."
+DANGLING = r"(?iuUs)\s*İşlemler\s+.+?uyarınca(?:\s+yürütülmüştür)?\.?\s*\z"
+WAITING, COMPLETION = "EKSIK_BILGI_BEKLENIYOR", "EKSIK_BILGI_BELGE_TAMAMLAMA_YAZISI"
 MISSING = "Yapılan inceleme neticesinde başvurunuza ilişkin bazı bilgi/belgelerin eksik olduğu tespit edilmiştir: {}. Söz konusu eksikliklerin tarafımıza iletilmesi, başvurunuzun sağlıklı bir şekilde sonuçlandırılabilmesi için önem arz etmektedir."
 LAWS = "Konuya ilişkin mevzuat hükümleri incelenmiş olup; {} Bu hükümler çerçevesinde başvurunuz değerlendirmeye alınmıştır."
 ACTIONS = "Bu kapsamda tarafımızca aşağıdaki işlemler gerçekleştirilmiştir: {}."
@@ -146,10 +148,62 @@ def _with_citation(letter: Column, chosen: Column) -> Column:
     return F.when(keep, letter).otherwise(F.concat(added, F.lit("\n")))
 
 
-def finish_letters(raw: Column, pairs: Column, chosen: Column, sender_unit: Column, target_unit: Column, status: Column) -> Column:
-    """A model's answer as a finished letter: extracted, polished, cited."""
+def ensure_citation_paragraph(letter: Column, chosen: Column) -> Column:
+    """The letter with a paragraph before its closing that cites the first two of ``chosen``, unless its body cites an article already.
+
+    A dangling clause of that kind at the end of the body goes; without a closing
+    the paragraph stands last.  Null counts as an empty letter.
+    """
+    return _let(F.coalesce(letter, F.lit("")), lambda s: _with_paragraph(s, chosen))
+
+
+def _with_paragraph(letter: Column, chosen: Column) -> Column:
+    labels = F.filter(F.transform(F.slice(chosen, 1, 2), lambda x: T.cite_label(x["law"], x["article"], x["title"])), lambda s: s != "")
+    paragraph = _sentence(CITED, F.array_join(labels, ", "))
+    text = _rstripped(letter)
+    lines = _lines(text)
+    cites = lambda x: (F.lower(x).contains("uyarınca") | F.lower(x).contains("gereğince")) & F.lower(x).contains("madde") & ~L.is_closing_line(x)
+    close = F.array_min(F.transform(lines, lambda x, i: F.when(L.is_closing_line(x), i)))
+    end = F.coalesce(close, F.size(lines))
+    at = L.last_index(F.slice(lines, F.lit(1), end), lambda x: T.stripped(x) != "")
+    last = _rstripped(F.regexp_replace(_rstripped(F.get(lines, at)), DANGLING, ""))
+    body = F.concat(F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), F.when(at >= 0, F.array(last)).otherwise(F.expr("cast(array() as array<string>)")))
+    # blank lines before the closing stay between it and the paragraph
+    rest = F.slice(lines, F.size(body) + 1, F.size(lines))
+    before = F.array_join(F.concat(body, F.array(F.lit(""), paragraph, F.lit("")), rest), "\n")
+    whole = _rstripped(F.array_join(F.concat(body, rest), "\n"))
+    added = F.when(text == "", paragraph).when(F.exists(lines, cites), text).when(close.isNull(), F.concat(whole, F.lit("\n\n"), paragraph)).otherwise(_rstripped(before))
+    return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, letter).otherwise(F.concat(added, F.lit("\n")))
+
+
+def finish_letters(raw: Column, pairs: Column, chosen: Column, sender_unit: Column, target_unit: Column, status: Column, paragraph: bool = False) -> Column:
+    """A model's answer as a finished letter: extracted, polished, cited; in a ``paragraph`` of its own or at the end of the body."""
     polished = _let(extract_letter(raw), lambda s: polish_letter(s, pairs, sender_unit, target_unit, status))
-    return ensure_citation(polished, chosen)
+    return (ensure_citation_paragraph if paragraph else ensure_citation)(polished, chosen)
+
+
+def finished_rows(rows: DataFrame, paragraph: bool = True) -> DataFrame:
+    """``rows`` (raw, pairs, chosen, sender_unit, target_unit, process_status) with letter, response_type and breaks_rule.
+
+    A status of missing information demands its response type, and overwrites
+    the answer's; the other direction is only told (``breaks_rule``).  While
+    information is missing no law is cited.
+    """
+    answer = T.repaired_json(F.col("raw"))
+    given = F.get_json_object(answer, "$.response_type")
+    waiting = F.coalesce(F.col("process_status") == WAITING, F.lit(False))
+    chosen = F.when(~waiting, F.col("chosen"))
+    letter = finish_letters(F.col("raw"), F.col("pairs"), chosen, F.col("sender_unit"), F.col("target_unit"), F.col("process_status"), paragraph)
+    breaks = (F.coalesce(given, F.lit("")) == COMPLETION) & ~waiting
+    return rows.withColumns({"letter": letter, "response_type": T.enforce_missing_rule(F.col("process_status"), given), "breaks_rule": breaks})
+
+
+def rule_violations(rows: DataFrame) -> DataFrame:
+    """(process_status, n, overwritten, broken): answers whose response type was overwritten, and those that ask for documents though nothing is missing."""
+    given = F.get_json_object(T.repaired_json(F.col("raw")), "$.response_type")
+    over = (F.col("process_status") == WAITING) & ~given.eqNullSafe(F.lit(COMPLETION))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return rows.groupBy("process_status").agg(F.count("*").alias("n"), count(over).alias("overwritten"), count((given == COMPLETION) & ~F.col("process_status").eqNullSafe(F.lit(WAITING))).alias("broken"))
 
 
 def template_letter(user: Column, answer: Column) -> Column:

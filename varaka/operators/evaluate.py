@@ -29,20 +29,65 @@ def off_vocabulary(rows: DataFrame, value: str, allowed: DataFrame, label: str)
     return rows.join(allowed.select(F.col(label).alias(value)).distinct(), value, "left_anti")
 
 
-def snap_to_label(bad: DataFrame, value: str, allowed: DataFrame, label: str, most: int = 10_000) -> DataFrame:
-    """(value, snapped): the label with the largest sequence-matcher ratio, ties to the first in order.
+#: letters are counted in so many classes; merged classes only raise the bound
+CLASSES = 64
 
-    Labels are a vocabulary of at most ``most`` entries, which the driver checks.
+
+def _letters(values: list[str]) -> np.ndarray:
+    """How often each class of letters occurs in each text."""
+    out = np.zeros((len(values), CLASSES), np.int32)
+    for row, v in zip(out, values, strict=True):
+        np.add.at(row, np.frombuffer(v.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, 1)
+    return out
+
+
+def closest(value: str, counts: np.ndarray, labels: list[str], letters: np.ndarray, sizes: np.ndarray) -> tuple[float, str]:
+    """The largest sequence-matcher ratio of ``value`` with a label, and the first such label in order.
+
+    No ratio exceeds twice the letters in common by the letters of both, so
+    labels are taken by that bound until it falls below a ratio found.
     """
-    labels = [r[0] for r in allowed.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(most + 1).collect()]
-    if len(labels) > most:
-        raise ValueError(f"a vocabulary of more than {most} labels")
+    both = sizes + len(value)
+    bound = np.where(both > 0, 2.0 * np.minimum(letters, counts).sum(axis=1) / np.maximum(both, 1), 1.0)
+    matcher = difflib.SequenceMatcher(None, "", value)
+    best = (-1.0, "")
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] < best[0]:
+            break
+        matcher.set_seq1(labels[k])
+        ratio = matcher.ratio()
+        if ratio > best[0] or ratio == best[0] and labels[k] < best[1]:
+            best = (ratio, labels[k])
+    return best
+
+
+def snap_to_label(bad: DataFrame, value: str, allowed: DataFrame, label: str) -> DataFrame:
+    """(value, snapped): the label with the largest sequence-matcher ratio, ties to the first in order; any number of labels.
+
+    Blocks of different values meet blocks of different labels; each cell
+    compares a value only with labels whose letters allow a better ratio.
+    """
+    import pyarrow as pa
+
+    from varaka.operators.grid import meet
 
-    @F.pandas_udf("string")
-    def nearest(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: max(labels, key=lambda x: difflib.SequenceMatcher(None, x, v).ratio(), default=None) if v is not None else None)
+    def cell(values: pa.Table, blocks: list[pa.Table]) -> pa.Table:
+        asked = values.column(0).to_pylist()
+        counts, best = _letters(asked), [(-1.0, "")] * len(asked)
+        for block in blocks:
+            labels = sorted(block.column(0).to_pylist())
+            letters, sizes = _letters(labels), np.array([len(x) for x in labels])
+            for k, v in enumerate(asked):
+                ratio, found = closest(v, counts[k], labels, letters, sizes)
+                if ratio > best[k][0] or ratio == best[k][0] and found < best[k][1]:
+                    best[k] = (ratio, found)
+        return pa.table({value: asked, "ratio": [r for r, _ in best], "snapped": [x for _, x in best]})
 
-    return bad.select(value).where(F.col(value).isNotNull()).distinct().withColumn("snapped", nearest(value))
+    values = bad.select(F.col(value).cast("string").alias(value)).where(F.col(value).isNotNull()).distinct()
+    labels = allowed.select(F.col(label).cast("string").alias(label)).where(F.col(label).isNotNull()).distinct()
+    found = meet(values, labels, cell, f"{value} string, ratio double, snapped string", rows=(512, 4096))
+    best = found.groupBy(value).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "snapped"))["snapped"].alias("snapped"))
+    return values.join(best, value, "left").select(value, "snapped")
 
 
 def char_error(reference: Column, found: Column) -> Column:
@@ -50,6 +95,46 @@ def char_error(reference: Column, found: Column) -> Column:
     return F.when(F.length(reference) == 0, (F.length(found) > 0).cast("double")).otherwise(F.levenshtein(reference, found) / F.length(reference))
 
 
+def aligned_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which letters of ``a`` a cheapest alignment with ``b`` leaves equal.
+
+    Walked from the end, equal or changed letters before omissions before
+    additions.  Of the cost matrix only every so many rows are kept (about the root of
+    their number); the rows between are computed again when the walk reaches
+    them, so two texts of n letters need n * sqrt(n) numbers.
+    """
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+    every = max(1, int(len(a) ** 0.5))
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:  # a row at once: additions are a running minimum
+        out = np.empty_like(row)
+        out[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (b != a[i - 1]), out=out[1:])
+        return np.minimum.accumulate(out - steps) + steps
+
+    kept, row = [steps.copy()], steps.copy()
+    for i in range(1, len(a) + 1):
+        row = below(row, i)
+        if i % every == 0:
+            kept.append(row)
+    i, j, equal, low, rows = len(a), len(b), np.zeros(len(a), bool), len(a) + 1, []
+    while i > 0:
+        if i <= low:  # the rows from the last kept one above i
+            low = (i - 1) // every * every
+            rows = [kept[low // every]]
+            for k in range(low + 1, i + 1):
+                rows.append(below(rows[-1], k))
+        here, above = rows[i - low], rows[i - low - 1]
+        if j > 0 and here[j] == above[j - 1] + (a[i - 1] != b[j - 1]):
+            equal[i - 1] = a[i - 1] == b[j - 1]
+            i, j = i - 1, j - 1
+        elif here[j] == above[j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return equal
+
+
 def turkish_char_errors(reference: Column, found: Column) -> Column:
     """struct<total, errors>: letters of the confusable set in the reference, and those not aligned as equal."""
 
@@ -58,23 +143,9 @@ def turkish_char_errors(reference: Column, found: Column) -> Column:
         out = []
         for r, h in zip(refs.fillna(""), hyps.fillna(""), strict=True):
             a, b = np.array([*r], dtype="U1"), np.array([*h], dtype="U1")
-            cost = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-            cost[:, 0], cost[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
-            steps = np.arange(len(b) + 1)
-            for i in range(1, len(a) + 1):  # a row at once: insertions are a running minimum
-                row = np.minimum(cost[i - 1] + 1, np.append(i, cost[i - 1, :-1] + (b != a[i - 1])))
-                cost[i] = np.minimum.accumulate(row - steps) + steps
-            i, j, equal = len(a), len(b), np.zeros(len(a), bool)
-            while i > 0:
-                if j > 0 and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-                    equal[i - 1] = a[i - 1] == b[j - 1]
-                    i, j = i - 1, j - 1
-                elif cost[i, j] == cost[i - 1, j] + 1:
-                    i -= 1
-                else:
-                    j -= 1
             wanted = np.isin(a, [*TURKISH])
-            out.append((int(wanted.sum()), int((wanted & ~equal).sum())))
+            right = aligned_equal(a, b) if wanted.any() else wanted
+            out.append((int(wanted.sum()), int((wanted & ~right).sum())))
         return pd.DataFrame(out, columns=["total", "errors"])
 
     return align(reference, found)
@@ -90,6 +161,18 @@ def analysis_report(rows: DataFrame, pred: str = "pred", gold: str = "gold") ->
     return rows.agg(F.count("*").alias("n_rows"), rate(F.col(pred).isNotNull(), "valid"), rate(F.col(pred) == F.col(gold), "exact"))
 
 
+def analysis_fields(rows: DataFrame, fields: tuple[str, ...] = ("document_type", "sender_type", "primary_topic")) -> DataFrame:
+    """One row over (pred, gold), structs of labels of which ``pred`` may be null: valid, a rate for each of ``fields`` and ``missing_information``.
+
+    Lists of missing information agree when both are empty or neither is; an
+    unparsable row agrees in nothing and stays in the denominator.
+    """
+    none = lambda side: F.coalesce(F.size(F.col(side)["missing_information"]) <= 0, F.lit(True))
+    parsed = F.col("pred").isNotNull()
+    same = [rate(parsed & F.col("pred")[k].eqNullSafe(F.col("gold")[k]), k) for k in fields]
+    return rows.agg(F.count("*").alias("n_rows"), rate(parsed, "valid"), *same, rate(parsed & (none("pred") == none("gold")), "missing_information"))
+
+
 def corrected_accuracy(rows: DataFrame, snapped: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
     """One row: accuracy of ``rows`` before and after ``snapped`` (value, snapped) replaces predictions."""
     found = rows.join(snapped.select(F.col("value").alias(pred), "snapped"), pred, "left")

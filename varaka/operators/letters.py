@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varaka.functions.text import stripped
+from varaka.operators.ranks import ranked
 
 
 def content_of(messages: Column, role: str) -> Column:
@@ -107,5 +108,6 @@ def worst_k(df: DataFrame, score: str, k: int = 5, tie: str = "record_id") -> Da
 
 
 def round_robin(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """``df`` with ``scenario`` 0..n-1 dealt in turn inside each ``by``."""
-    return df.withColumn("scenario", F.pmod(F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1, F.lit(n)))
+    """``df`` with ``scenario`` 0..n-1 dealt in turn inside each ``by``, whatever its size."""
+    rows = ranked(df, [by], [F.col(c) for c in order], "__r")
+    return rows.withColumn("scenario", F.pmod(F.col("__r") - 1, F.lit(n))).drop("__r")

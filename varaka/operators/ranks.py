@@ -51,7 +51,7 @@ def before_each(df: DataFrame, by: list[str], order: list[Column], value: str, n
     rows = rows.withColumn("__own", F.lit(True))
     step = lambda c: F.floor(c / n)
     starts = bounds.where("__before > 0").select(*(F.col(c).alias(f"__s_{c}") for c in by), F.col("__piece").alias("__to"), F.col("__before").alias("__upto"))
-    starts = starts.withColumn("__step", F.explode(F.array(step(F.col("__upto") - n), step(F.col("__upto") - 1)))).distinct()
+    starts = starts.withColumn("__step", F.explode(F.array(step(F.col("__upto") - n + 1), step(F.col("__upto"))))).distinct()
     near = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in by] + [step(F.col("__place")) == F.col("__step"), F.col("__place") <= F.col("__upto"), F.col("__place") > F.col("__upto") - n]
     on = near[0]
     for k in near[1:]:

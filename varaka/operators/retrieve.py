@@ -73,45 +73,47 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFr
     return Bm25Index(chunks).topk(queries, pool)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, pool: int = POOL, block: int = 256) -> DataFrame:
-    """(query_id, pos, score, rank): exact inner products, block by block of queries; a task keeps only its best per query.
+def dense_topk(queries: DataFrame, vectors: DataFrame, pool: int = POOL, same: bool = True) -> DataFrame:
+    """(query_id, pos, score, rank): exact inner products of all ``queries`` (query_id, vector) and ``vectors`` (pos, vector).
 
-    ``queries`` (query_id, vector) is read in blocks of ``block`` rows of bounded size.
+    Blocks of queries meet blocks of vectors in a grid; each cell keeps its best
+    per query and Spark merges them.  Without ``same`` a query does not meet
+    the vector of its own number.  Scores of vectors that hold a null are dropped.
     """
-    from itertools import islice
-
     import numpy as np
-    import pandas as pd
-
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    out = queries.sparkSession.createDataFrame([], "query_id long, pos long, score double")
-    while asked := list(islice(rows, block)):
-        ids = np.array([r[0] for r in asked])
-        shared = queries.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in asked], np.float64)))
-
-        def run(batches, shared=shared):
-            ids, matrix = shared.value
-            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-            for b in batches:
-                if not len(b):
-                    continue
-                pos, scores = b["pos"].to_numpy(), np.round(matrix @ np.stack(b["vector"].to_numpy()).astype(np.float64).T, 6)
-                for k, (old, held) in enumerate(best):
-                    row = scores[k]
-                    if len(row) > pool:  # all that may be among the best, ties too
-                        near = np.flatnonzero(row >= np.partition(row, len(row) - pool)[len(row) - pool])
-                        at, score = np.append(old, pos[near]), np.append(held, row[near])
-                    else:
-                        at, score = np.append(old, pos), np.append(held, row)
-                    order = np.lexsort((at, -score))[:pool]
-                    best[k] = (at[order], score[order])
-            sizes = [len(x) for x, _ in best]
-            yield pd.DataFrame({"query_id": np.repeat(ids, sizes), "pos": np.concatenate([x for x, _ in best]), "score": np.concatenate([x for _, x in best])})
-
-        part = vectors.select("pos", "vector").mapInPandas(run, "query_id long, pos long, score double")
-        out = out.unionByName(part)
+    import pyarrow as pa
+
+    from varaka.operators.grid import meet
+
+    def matrix(column):
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+    def cell(asked: pa.Table, blocks: list[pa.Table]) -> pa.Table:
+        ids, asking = asked.column(0).to_numpy(), matrix(asked.column(1))
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        for block in blocks:
+            pos, held = block.column(0).to_numpy(), matrix(block.column(1)).T
+            for at in range(0, len(ids), 256):
+                scores = np.round(asking[at : at + 256] @ held, 6)
+                if not same:
+                    scores[ids[at : at + 256, None] == pos] = -np.inf
+                # all that may be among the best, ties too
+                cut = np.partition(scores, -pool, axis=1)[:, -pool] if len(pos) > pool else np.full(len(scores), -np.inf)
+                for k, row in enumerate(scores):
+                    near = np.flatnonzero((row >= cut[k]) & (row > -np.inf))
+                    old, kept = found[at + k]
+                    p, s = np.append(old, pos[near]), np.append(kept, row[near])
+                    order = np.lexsort((p, -s))[:pool]
+                    found[at + k] = (p[order], s[order])
+        sizes = [len(p) for p, _ in found]
+        return pa.table({"query_id": np.repeat(ids, sizes), "pos": np.concatenate([p for p, _ in found]), "score": np.concatenate([s for _, s in found])})
+
+    whole = lambda c: ~F.exists(c, lambda x: x.isNull()) & F.col(c).isNotNull()
+    asked = queries.where(whole("vector")).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    best = meet(asked, vectors.where(whole("vector")).select(F.col("pos").cast("long").alias("pos"), "vector"), cell, "query_id long, pos long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
 
 
 def rrf_fuse(rankings: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:

@@ -64,8 +64,14 @@ def token_overlap(query: Column, text: Column) -> Column:
 
 
 def score_pairs(pairs: DataFrame, scorer: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
-    """``pairs`` (query, text) with ``score``, higher is better; a model comes as a pandas UDF of the two columns."""
-    return pairs.withColumn("score", scorer(F.col("query"), F.col("text")).cast("double"))
+    """``pairs`` (query, text) with ``score``, higher is better; a model comes as a pandas UDF of the two columns.
+
+    Factors below one demote only scores of 0 or more, so a negative score (a
+    raw logit) is an error.
+    """
+    score = scorer(F.col("query"), F.col("text")).cast("double")
+    scored = pairs.withColumn("score", score)
+    return scored.withColumn("score", F.when(F.col("score") < 0, F.raise_error(F.lit("a pair score is below 0")).cast("double")).otherwise(F.col("score")))
 
 
 def blend(rows: DataFrame, weight: float = BLEND) -> DataFrame:
@@ -170,6 +176,39 @@ def search(
     return chosen.join(decisions.where("answerable").select("request_id"), "request_id", "left_semi"), decisions
 
 
+def run_grid(
+    queries: DataFrame, chunks: DataFrame, relevant: DataFrame, runs: list[dict], ks: tuple[int, ...] = (1, 3, 5, 10), scorer: Callable[[Column, Column], Column] = token_overlap,
+    index: R.Bm25Index | None = None, dense: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(run, n_queries, hit_k.., mrr, misses) of several settings over the same queries (query_id, query) and (query_id, pos) that are relevant.
+
+    A run is a dict of ``name``, ``weight`` of the blend, ``candidates`` and
+    ``factor`` (whether the article factor weighs).  All runs share the index, the largest candidate
+    set and its pair scores: a run is a column of one plan, not a search of its own.
+    """
+    most = max(r.get("candidates", R.CANDIDATES) for r in runs)
+    sparse = (index or R.Bm25Index(chunks)).topk(queries, max(R.POOL, 2 * most))
+    ranked = sparse if dense is None else R.rrf_fuse([(dense(queries), 1.0), (sparse, 1.0)])
+    found = stored(ranked.where(F.col("rank") <= most).select("query_id", "pos", "rank"), "grid")
+    pairs = score_pairs(rerank_pairs(found, queries, chunks.select("pos", "text", *FIELDS)), scorer).drop("text")
+    options = [(r["name"], float(r.get("weight", BLEND)), int(r.get("candidates", R.CANDIDATES)), bool(r.get("factor", True))) for r in runs]
+    settings = F.array(*(F.struct(*(F.lit(x).alias(k) for x, k in zip(o, ("run", "weight", "most", "factor"), strict=True))) for o in options))
+    rows = stored(pairs, "grid").withColumn("__s", F.explode(settings)).where(F.col("rank") <= F.col("__s.most"))
+    rows = rows.withColumns({"run": F.col("__s.run"), "__weight": F.col("__s.weight"), "__factor": F.col("__s.factor")})
+    per = Window.partitionBy("run", "query_id")
+    rows = rows.withColumn("__re", F.row_number().over(per.orderBy(F.desc("score"), "rank")))
+    mixed = (F.col("__weight") > 0) & ~T.is_citation_query(F.col("query"))
+    blended = F.round(1.0 / (R.RRF_K + F.col("__re")) + F.when(mixed, F.col("__weight") / (R.RRF_K + F.col("rank"))).otherwise(0.0), 12)
+    rows = rows.withColumn("__blend", F.row_number().over(per.orderBy(F.desc(blended), "__re")))
+    factor = F.when(F.col("__factor"), R.article_factor(F.col("query"), F.col("article_label"), F.col("article_kind"), F.col("article_title"))).otherwise(1.0)
+    place = F.row_number().over(per.orderBy(F.desc(F.round(F.col("score") * factor, 9)), "__blend"))
+    placed = rows.select("run", "query_id", "pos", place.alias("rank"))
+    first = placed.join(relevant.select("query_id", "pos").distinct(), ["query_id", "pos"]).groupBy("run", "query_id").agg(F.min("rank").alias("first"))
+    asked = relevant.select("query_id").distinct().withColumn("run", F.explode(F.array(*(F.lit(o[0]) for o in options)))).join(first, ["run", "query_id"], "left")
+    hits = [F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))).alias(f"hit_{k}") for k in ks]
+    return asked.groupBy("run").agg(F.count("*").alias("n_queries"), *hits, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.sum(F.col("first").isNull().cast("int")).alias("misses"))
+
+
 def facet_coverage(results: DataFrame, targets: DataFrame, k: int = 8) -> DataFrame:
     """One row: requests, and the share whose every target (request_id, q_idx, pos) is met among the first ``k`` of (request_id, pos, rank).
 

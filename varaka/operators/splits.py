@@ -3,6 +3,7 @@
 Ranks inside a stratum are two-step: rows are ranked inside hash buckets of the
 stratum and bucket offsets are added, so a stratum that holds a third of all
 rows is spread over tasks.  Order inside a stratum is by md5(key || seed).
+Quotas and preceding values go by arrival, over ranges (``ranks``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varaka.operators.ranks import before_each, ranked
+
 BUCKETS = 64
 
 
@@ -51,14 +54,13 @@ def split_stats(df: DataFrame, by: str) -> DataFrame:
 
 
 def quota_fill(df: DataFrame, by: str, arrival: str, target: Column) -> DataFrame:
-    """The first ``target`` rows of each topic in arrival order."""
-    w = Window.partitionBy(by).orderBy(arrival)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= target).drop("__r")
+    """The first ``target`` rows of each topic in arrival order, whatever the size of a topic."""
+    return ranked(df, [by], [F.col(arrival)], "__r").where(F.col("__r") <= target).drop("__r")
 
 
 def recent_values(df: DataFrame, by: str, order: list[str], value: str, n: int = 15) -> DataFrame:
     """``df`` with the ``n`` values before each row."""
-    return df.withColumn("recent", F.collect_list(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(-n, -1)))
+    return before_each(df, [by], [F.col(c) for c in order], value, n)
 
 
 def balanced_groups(df: DataFrame, bucket: Column, key: str, n_groups: int, per_group: int, seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ and their units, ``orders`` the strata.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 from varaka.functions import text as T
 from varaka.operators import drafts as D
 from varaka.operators import evaluate as E
+from varaka.operators import intake as I
 from varaka.operators import letters as L
 from varaka.operators import records as P
 from varaka.operators import retrieve as R
 from varaka.operators import route as O
 from varaka.operators import search as Q
 from varaka.operators import splits as S
+from varaka.operators.index import StoredIndex
+from varaka.sources.io import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -111,7 +115,7 @@ texts(
 )
 
 job("P7_humanize", "SELECT o_orderkey, array_to_string(list_transform(string_split(lower(replace(o_orderpriority, '-', ' ')), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name FROM orders")(
-    lambda t: t.orders.select("o_orderkey", F.initcap(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" ")))).alias("name"))
+    lambda t: t.orders.select("o_orderkey", T.humanize(F.replace("o_orderpriority", F.lit("-"), F.lit("_"))).alias("name"))
 )
 job("P15_parse_json", "SELECT event_id, CASE WHEN json_valid(props) THEN (props->>'$.k') END AS k FROM events")(
     lambda t: t.events.select("event_id", F.get_json_object(T.json_text(F.col("props")), "$.k").alias("k"))
@@ -119,8 +123,25 @@ job("P15_parse_json", "SELECT event_id, CASE WHEN json_valid(props) THEN (props-
 job("P16_repair_json", "SELECT event_id, (props->>'$.k') AS k FROM events")(
     lambda t: t.events.select("event_id", F.get_json_object(T.repaired_json(F.expr("substring(props, 1, length(props) - 1)")), "$.k").alias("k"))
 )
-job("F10_is_complete", "SELECT event_id, coalesce(json_valid(props) AND (props->>'$.k') <> '', false) AS complete FROM events")(
-    lambda t: t.events.select("event_id", F.coalesce(F.get_json_object(T.json_text(F.col("props")), "$.k") != "", F.lit(False)).alias("complete"))
+
+
+def letter_json(t: Tables) -> DataFrame:
+    """Letters of seven fields as JSON: every fifth lacks its draft, every seventh has an empty list, every eleventh null, every thirteenth is cut off."""
+    n = F.col("o_orderkey")
+    fields = {k: F.lit("x") for k in P.LETTER_FIELDS} | {"draft": F.when(n % 5 != 0, F.concat(F.lit("metin "), "o_orderpriority")), "result_information": F.when(n % 11 == 0, "").otherwise("y")}
+    whole = F.to_json(F.struct(F.when(n % 7 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array("o_orderstatus")).alias("performed_actions"), *(v.alias(k) for k, v in fields.items() if k != "performed_actions")))
+    return t.orders.select("o_orderkey", F.when(n % 13 == 0, F.expr("'{\"draft\":'")).otherwise(whole).alias("answer"))
+
+
+job("F10_is_complete", "SELECT o_orderkey, NOT (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) AS complete FROM orders")(
+    lambda t: letter_json(t).select("o_orderkey", I.complete_fields(F.try_parse_json("answer"), P.LETTER_FIELDS).alias("complete"))
+)
+#: information in all shapes: object, list of objects, list of texts, text, list of other keys
+SHAPES = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '[{"type":"' || event_type || '","value":"' || user_id || '"},{"type":"","value":"yok"}]'
+  WHEN 2 THEN '["' || event_type || '"," Yok ","-"]' WHEN 3 THEN '"' || event_type || '"' WHEN 4 THEN '[{"key":"' || event_type || '","val":" "},{"value":"' || user_id || '"},null]' ELSE 'null' END"""
+job("P29_info_pairs", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'k=' || (props->>'$.k') WHEN 1 THEN event_type || '=' || user_id WHEN 2 THEN '=' || event_type WHEN 3 THEN '=' || event_type
+  WHEN 4 THEN event_type || '=—;bilgi=' || user_id ELSE '' END AS pairs, event_id % 6 <> 5 AS missing FROM events""")(
+    lambda t: t.events.select("event_id", F.array_join(F.transform(I.info_pairs(F.try_parse_json(F.expr(SHAPES))), lambda p: F.concat_ws("=", p["type"], p["value"])), ";").alias("pairs"), I.variant_missing(F.try_parse_json(F.expr(SHAPES))).alias("missing"))
 )
 job("P18_closing", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Bilgilerinizi rica ederim.' WHEN 'system' THEN 'Gereğini bilgilerinize arz ve rica ederim.' ELSE 'Gereğini saygılarımla arz ederim.' END AS closing FROM conversations")(
     lambda t: t.conversations.select("conv_id", "turn", T.closing(F.when(F.col("role") == "user", "VATANDAS").when(F.col("role") == "system", "KAMU_KURUMU")).alias("closing"))
@@ -202,7 +223,10 @@ job("J12_compare_runs", "SELECT coalesce(a.lang, b.lang) AS metric, round(b.v -
 job("J13_off_taxonomy", "SELECT DISTINCT source AS value FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 15)")(
     lambda t: E.off_vocabulary(t.documents.select(F.col("source").alias("value")).distinct(), "value", t.documents.where("doc_id % 20 < 15"), "source")
 )
-job("J14_snap_to_label")(lambda t: E.snap_to_label(t.nation.select(F.substring("n_name", 2, 30).alias("value")), "value", t.nation, "n_name"))
+#: types of parts, cut or with a letter changed, against the types and brands of all parts
+job("J14_snap_to_label")(
+    lambda t: E.snap_to_label(t.part.select(F.when(F.col("p_partkey") % 2 == 0, F.expr("substring(p_type, 2)")).otherwise(F.translate("p_name", "aeo", "eoa")).alias("value")), "value", t.part.select("p_type").union(t.part.select("p_name")), "p_type")
+)
 job("J16_legislation_pool", "SELECT o_orderkey, coalesce(law, 'DEFAULT') AS law FROM orders LEFT JOIN (VALUES ('1-URGENT', '3194'), ('2-HIGH', '5393')) p(topic, law) ON o_orderpriority = topic")(
     lambda t: O.legislation_pool(t.orders, t._spark.createDataFrame([("1-URGENT", "3194"), ("2-HIGH", "5393")], "o_orderpriority string, law string"), "o_orderpriority").select("o_orderkey", "law")
 )
@@ -247,9 +271,16 @@ job("A12_group_breakdown", "SELECT o_orderpriority AS grp, count(*) AS n FROM or
 job("A15_fuse_scores", "SELECT o_custkey AS chunk, max(o_totalprice) AS best, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS sources FROM orders GROUP BY 1")(
     lambda t: Q.fuse_scores(t.orders, ["o_custkey"], "o_totalprice", "o_orderkey", "o_orderpriority").select(F.col("o_custkey").alias("chunk"), "best", F.array_join("sources", ",").alias("sources"))
 )
-job("A16_scope_reasons", "SELECT o_custkey AS request, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'multiple_out_of_scope_reasons' END AS reason FROM orders GROUP BY 1")(
-    lambda t: t.orders.groupBy(F.col("o_custkey").alias("request")).agg(F.when(F.count_distinct("o_orderstatus") == 1, F.min("o_orderstatus")).otherwise("multiple_out_of_scope_reasons").alias("reason"))
-)
+
+
+@job("A16_scope_reasons", """SELECT o_custkey AS request_id, count(*) FILTER (o_orderstatus = 'F') AS n_queries, count(*) FILTER (o_orderstatus <> 'F') AS n_skipped, coalesce(string_agg(o_orderpriority, ',' ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F'), '') AS skipped,
+  CASE WHEN bool_or(o_orderstatus = 'F') THEN NULL WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'multiple_out_of_scope_reasons' END AS scope_reason FROM orders GROUP BY 1""")
+def reasons(t: Tables) -> DataFrame:
+    asked = t.orders.select(F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("q_idx"), F.col("o_orderpriority").alias("query"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("reason"))
+    found = Q.scope_reasons(asked.select("request_id").distinct(), asked)
+    return found.select("request_id", F.col("n_queries").cast("long").alias("n_queries"), F.col("n_skipped").cast("long").alias("n_skipped"), F.array_join("skipped", ",").alias("skipped"), "scope_reason")
+
+
 job("A17_topic_shortfall", "SELECT n_name AS topic, coalesce(n, 0) AS n, greatest(100 - coalesce(n, 0), 0) AS missing FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON n_nationkey = c_nationkey")(
     lambda t: E.topic_shortfall(t.customer, t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("topic")), "c_nationkey", 100).select("topic", "n", "missing")
 )
@@ -276,21 +307,6 @@ BM25 = f"""WITH x AS (SELECT doc_id AS pos, {tokens_sql('text')} AS toks FROM do
   hit AS (SELECT query_id, pos, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN e USING (term) JOIN tf USING (term), s GROUP BY 1, 2),
   sc AS (SELECT item_id AS query_id, x.pos, coalesce(score, 0) AS score FROM benchmark CROSS JOIN x LEFT JOIN hit ON query_id = item_id AND hit.pos = x.pos),
   bm AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sc)"""
-DENSE = """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-  ds AS (SELECT a.vec_id AS query_id, b.vec_id AS pos, round(list_inner_product(a.e, b.e), 6) AS score, a.label = b.label AS same FROM v a, v b WHERE a.vec_id < 20 AND b.vec_id >= 20),
-  dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM ds)"""
-
-
-def dense(t: Tables, pool: int = R.POOL) -> DataFrame:
-    v = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
-    return R.dense_topk(v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), v.where("vec_id >= 20").withColumnRenamed("vec_id", "pos"), pool)
-
-
-def same_label(t: Tables) -> DataFrame:
-    a, b = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label"), t.embeddings.where("vec_id >= 20").select(F.col("vec_id").alias("pos"), "label")
-    return a.join(b, "label").select("query_id", "pos")
-
-
 DENSE_ALL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
   ds AS (SELECT a.vec_id AS query_id, b.vec_id AS pos, round(list_inner_product(a.e, b.e), 6) AS score, a.label = b.label AS same FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
   dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM ds)"""
@@ -299,9 +315,7 @@ DENSE_ALL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM em
 def dense_all(t: Tables, pool: int = R.POOL) -> DataFrame:
     """Every row whose id is divisible by 20 asks all others: a row does not meet itself."""
     v = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
-    found = R.dense_topk(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "pos"), pool + 1).where("query_id <> pos")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
+    return R.dense_topk(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "pos"), pool, same=False)
 
 
 def same_label_all(t: Tables) -> DataFrame:
@@ -337,7 +351,20 @@ FUSED = """, r AS (SELECT query_id, pos, 0 AS l, rank, 1.0::DOUBLE / (60 + rank)
   f AS (SELECT query_id, pos, round(sum(w), 12) AS score, min(l * 1000000 + rank) AS seen FROM r GROUP BY 1, 2), fr AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM f)"""
 
 job("W2_bm25_topk", BM25 + " SELECT * FROM bm WHERE rank <= 8")(lambda t: sparse(t, 8))
-job("W1_dense_topk", "WITH z AS (SELECT 1)" + DENSE + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense(t).withColumn("rank", F.col("rank").cast("long")))
+
+
+def two_segments(t: Tables) -> StoredIndex:
+    """A stored index of four fifths of the chunks, extended by the rest."""
+    index = StoredIndex(t._spark, f"{shared_folder(t._spark)}/index-{uuid.uuid4().hex}")
+    return index.extend(chunks(t).where("pos % 5 <> 0")).extend(chunks(t).where("pos % 5 = 0"))
+
+
+job("W2_stored_index", BM25 + " SELECT query_id, pos, round(score, 6) AS score, rank FROM bm WHERE rank <= 50")(
+    lambda t: two_segments(t).topk(questions(t), 50).select("query_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+)
+job("A1_stored_index", f"WITH x AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM x GROUP BY 1), i AS (SELECT *, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM d) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END, 6) AS idf FROM i")(
+    lambda t: two_segments(t).frequencies().withColumn("idf", F.round("idf", 6))
+)
 job("W3_rrf_fuse", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr")(lambda t: fused(t, 1.0).withColumn("rank", F.col("rank").cast("long")))
 job("W4_candidates", BM25 + OVERLAP + FUSED.format("1.0") + " SELECT * FROM fr WHERE rank <= 20")(lambda t: R.candidates(*two_rankings(t)).withColumn("rank", F.col("rank").cast("long")))
 
@@ -382,10 +409,6 @@ def selection(t: Tables) -> DataFrame:
 job("W14_decide", BM25 + " SELECT a.query_id AS request_id, a.score >= 10 AS answerable, CASE WHEN a.score < 10 THEN 'low_reranker_score' ELSE 'retrieved' END AS reason, a.score AS top_score, round(a.score - b.score, 6) AS margin FROM bm a LEFT JOIN bm b ON a.query_id = b.query_id AND b.rank = 2 WHERE a.rank = 1")(
     lambda t: R.decide(sparse(t, 8).select(F.col("query_id").alias("request_id"), "pos", F.col("score").alias("display"), F.col("score").alias("raw")), 10.0).withColumn("margin", F.round("margin", 6))
 )
-job("A13_retrieval_metrics", "WITH z AS (SELECT 1)" + DENSE + ", m AS (SELECT query_id, min(rank) FILTER (WHERE same AND rank <= 10) AS f FROM dn GROUP BY 1) SELECT count(*) AS n_queries, " + ", ".join(f"avg(CASE WHEN f <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) AS mrr, sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END)::BIGINT AS misses FROM m")(
-    lambda t: R.retrieval_metrics(dense(t, 10), same_label(t)).withColumn("mrr", F.round("mrr", 9))
-)
-
 job("W1_dense_topk_all", DENSE_ALL + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense_all(t).withColumn("rank", F.col("rank").cast("long")))
 job("A13_retrieval_metrics_all", DENSE_ALL + ", m AS (SELECT query_id, min(rank) FILTER (WHERE same AND rank <= 10) AS f FROM dn GROUP BY 1) SELECT count(*) AS n_queries, " + ", ".join(f"avg(CASE WHEN f <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) AS mrr, sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END)::BIGINT AS misses FROM m")(
     lambda t: R.retrieval_metrics(dense_all(t, 10), same_label_all(t)).withColumn("mrr", F.round("mrr", 9))
@@ -600,3 +623,80 @@ def filled(t: Tables) -> DataFrame:
 def ocr(t: Tables) -> DataFrame:
     rows = E.ocr_eval(t.part.select("p_brand", "p_type", F.expr("substring(p_type, 2)").alias("found")), "p_type", "found")
     return E.ocr_summary(rows, "p_brand", F.col("error"), F.col("tr_errors"), F.col("tr_total")).select("grp", "n", F.round("mean_error", 8).alias("mean_error"))
+
+LETTER = "text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Bilgilerinizi rica ederim.' WHEN doc_id % 3 = 1 THEN ' İşlemler eski kanun uyarınca yürütülmüştür.' ELSE '' END"
+CITE = "İşlemler 3194 sayılı Kanun Madde 8 (Plan) uyarınca yürütülmüştür."
+job("L4b_citation_paragraph", f"""SELECT doc_id, CASE WHEN bare = '' AND doc_id % 3 <> 0 THEN '{CITE}' || chr(10) WHEN doc_id % 3 = 0 THEN CASE WHEN bare = '' THEN chr(10) ELSE bare || chr(10) || chr(10) END || '{CITE}' || chr(10) || chr(10) || blank || 'Bilgilerinizi rica ederim.' || chr(10)
+  ELSE bare || chr(10) || chr(10) || '{CITE}' || chr(10) END AS letter FROM (SELECT doc_id, regexp_replace(text, '\\s+$', '') AS bare, array_to_string((string_split(regexp_extract(text, '\\s*$') || chr(10) || chr(10), chr(10)))[2:], chr(10)) AS blank FROM documents)""")(
+    lambda t: t.documents.select("doc_id", D.ensure_citation_paragraph(F.expr(LETTER.replace("chr(10)", "char(10)")), F.expr(LAW)).alias("letter"))
+)
+
+# --- intake and payload -----------------------------------------------------------------------------------------
+
+ANSWER = """CASE WHEN item_id % 6 = 5 THEN 'no answer' ELSE '{"primary_topic":"NATION_' || (item_id % 30) || '","requested_action":' || {} || ',"missing_information":' ||
+  CASE item_id % 4 WHEN 0 THEN '["adres"]' WHEN 1 THEN '"yok"' WHEN 2 THEN '["Yok", "-"]' ELSE '[]' END || CASE WHEN item_id % 3 = 1 THEN '' ELSE '}' END END"""
+
+
+def taken_in(t: Tables) -> tuple[DataFrame, DataFrame]:
+    answer = F.expr(ANSWER.replace("{}", "to_json(named_struct('x', text))", 1).replace("|| to_json(named_struct('x', text)) ||", "|| substring(to_json(named_struct('x', text)), 6, length(to_json(named_struct('x', text))) - 6) ||"))
+    requests = t.benchmark.select(F.col("item_id").alias("request_id"), F.when(F.col("item_id") % 10 == 9, " ").otherwise(F.col("text")).alias("ocr_text"), answer.alias("answer"))
+    topics = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("topic"), F.col("r_name").alias("unit"), F.concat(F.lower("n_name"), F.lit(" mevzuatı")).alias("phrase"))
+    untitled = articles(t).withColumn("article_title", F.lit("-"))
+    return I.intake(requests, topics, untitled, 2025)
+
+
+INTAKE = f"""WITH b AS (SELECT item_id, text, CASE WHEN item_id % 6 <> 5 THEN 'NATION_' || (item_id % 30) END AS topic, CASE WHEN item_id % 6 <> 5 THEN text END AS a FROM benchmark),
+  r AS (SELECT b.*, r_name AS unit, coalesce(lower(n_name) || ' mevzuatı', '') AS p FROM b LEFT JOIN nation ON n_name = topic LEFT JOIN region ON n_regionkey = r_regionkey),
+  q AS (SELECT *, {NO_NUMBERS.format('p')} AS q1, CASE WHEN a IS NOT NULL AND {MARKS} < 2 THEN {NO_NUMBERS.format('trim(a)')} END AS q2 FROM r),
+  k AS (SELECT *, (length(q1) >= 8)::INT + (coalesce(length(q2) >= 8, false) AND NOT (length(q1) >= 8 AND lower(q1) = lower(q2)))::INT AS n FROM q)"""
+
+
+@job("G9_intake_documents", INTAKE + """ SELECT item_id AS request_id, topic, coalesce(unit, 'Yazı İşleri Müdürlüğü') AS unit, item_id % 6 <> 5 AND item_id % 4 = 0 AS missing_information, false AS no_provisions,
+  CASE WHEN item_id % 6 <> 5 AND item_id % 4 = 0 THEN 'EKSIK_BILGI_BEKLENIYOR' ELSE 'INCELEMEDE' END AS status, CASE WHEN item_id % 10 = 9 THEN 'no_text' WHEN item_id % 6 = 5 THEN 'unparsable_answer' END AS problem,
+  'Okuyucu: ' || CASE WHEN item_id % 10 = 9 THEN 1 ELSE length(text) END || ' kr > Analiz: ' || coalesce(topic, '') || ' > Mevzuat: ' || greatest(n, 1) || ' sorgu / 5 madde' AS trace FROM k""")
+def intake_documents(t: Tables) -> DataFrame:
+    trace = F.array_join(F.transform("trace", lambda x: F.concat_ws(": ", x["agent"], x["extra"])), " > ")
+    return taken_in(t)[0].select("request_id", "topic", "unit", "missing_information", "no_provisions", "status", "problem", trace.alias("trace"))
+
+
+job("G9_intake_provisions")(lambda t: taken_in(t)[1].select("request_id", F.col("rank").cast("long").alias("rank"), "pos", "doc_id", "article_label", "text", "raw"))
+
+
+@job("G10_letter_payload", """WITH c AS (SELECT l_orderkey, l_linenumber AS version, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'YONLENDIRILDI' WHEN 'A' THEN 'EKSIK_BILGI_BEKLENIYOR' ELSE ' ' END AS s FROM lineitem),
+  v AS (SELECT *, CASE WHEN s = ' ' THEN 'INCELEMEDE' ELSE s END AS status FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY version DESC, s DESC, CASE WHEN l_suppkey % 3 <> 0 THEN 'Birim ' || l_suppkey END DESC NULLS LAST) = 1),
+  p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS rank, l_partkey FROM lineitem)
+  SELECT o_orderkey AS request_id, version, status AS process_status, CASE WHEN status = 'YONLENDIRILDI' AND l_suppkey % 3 <> 0 THEN 'Birim ' || l_suppkey ELSE coalesce(nullif(o_orderpriority, '1-URGENT'), 'Yazı İşleri Müdürlüğü') END AS target_unit,
+    (SELECT count(*) FROM p WHERE p.l_orderkey = v.l_orderkey AND rank <= 2 AND status <> 'EKSIK_BILGI_BEKLENIYOR') AS n_selected,
+    coalesce((SELECT string_agg('Madde ' || p.l_partkey, ',' ORDER BY rank) FROM p WHERE p.l_orderkey = v.l_orderkey AND rank <= 2 AND status <> 'EKSIK_BILGI_BEKLENIYOR'), '') AS articles, o_orderstatus AS topic
+  FROM v JOIN orders ON o_orderkey = v.l_orderkey""")
+def payloads(t: Tables) -> DataFrame:
+    """Orders as documents, their lines as provisions and as versions of the clerk's decision; the last line decides."""
+    documents = t.orders.select(F.col("o_orderkey").alias("request_id"), F.try_parse_json(F.to_json(F.struct(F.col("o_orderstatus").alias("primary_topic")))).alias("analysis"), F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")).alias("unit"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber")
+    provisions = t.lineitem.select(F.col("l_orderkey").alias("request_id"), F.row_number().over(w).alias("rank"), F.lit("Kanun").alias("law"), F.concat(F.lit("Madde "), "l_partkey").alias("article"), F.lit("").alias("title"), F.lit("").alias("text"))
+    status = F.when(F.col("l_returnflag") == "R", "YONLENDIRILDI").when(F.col("l_returnflag") == "A", "EKSIK_BILGI_BEKLENIYOR").otherwise(" ")
+    decisions = t.lineitem.select(
+        F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("version"), status.alias("status"), F.array(F.lit(1), F.lit(2), F.lit(2)).alias("selected"),
+        F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("Birim "), "l_suppkey")).alias("redirect"), F.lit("keşif\n\n bildirim ").alias("actions"), F.lit(None).cast("string").alias("result"),
+    )
+    found = I.letter_payload(documents, provisions, decisions)
+    chosen = F.from_json(F.get_json_object("payload", "$.selected_legislation"), "array<struct<article:string>>")
+    return found.select("request_id", "version", "process_status", "target_unit", F.col("n_selected").cast("long").alias("n_selected"), F.array_join(F.transform(chosen, lambda x: x["article"]), ",").alias("articles"), F.get_json_object("payload", "$.primary_topic").alias("topic"))
+
+
+RUNS = [{"name": "plain", "weight": 0.0, "factor": False}, {"name": "factor", "weight": 0.0}, {"name": "blend", "weight": 0.25}, {"name": "half", "weight": 0.5}, {"name": "ten", "weight": 0.25, "candidates": 10}]
+
+
+@job("R8_run_grid", BM25 + """, g AS (SELECT * FROM (VALUES ('plain', 0.0::DOUBLE, 20, false), ('factor', 0.0, 20, true), ('blend', 0.25, 20, true), ('half', 0.5, 20, true), ('ten', 0.25, 10, true)) v(run, weight, most, f)),
+  r AS (SELECT run, weight, f, query_id, pos, rank, source, round(len(list_intersect(list_distinct({q}), {d}))::DOUBLE / len(list_distinct({q})), 9) AS s FROM bm JOIN benchmark b ON query_id = item_id JOIN documents d ON pos = d.doc_id JOIN g ON rank <= most),
+  o AS (SELECT *, row_number() OVER (PARTITION BY run, query_id ORDER BY s DESC, rank) AS reranked FROM r),
+  bl AS (SELECT *, row_number() OVER (PARTITION BY run, query_id ORDER BY round(1.0::DOUBLE / (60 + reranked) + CASE WHEN weight > 0 THEN weight / (60 + rank) ELSE 0 END, 12) DESC, reranked) AS blended FROM o),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY run, query_id ORDER BY round(s * CASE WHEN f AND pos % 9 = 0 THEN 0.12::DOUBLE ELSE 1.0::DOUBLE END, 9) DESC, blended) AS place FROM bl),
+  m AS (SELECT run, query_id, min(place) FILTER (pos % 7 = query_id % 7) AS first FROM pl GROUP BY 1, 2)
+  SELECT run, count(*) AS n_queries, avg((coalesce(first, 99) <= 1)::INT) AS hit_1, avg((coalesce(first, 99) <= 3)::INT) AS hit_3, avg((coalesce(first, 99) <= 5)::INT) AS hit_5, avg((coalesce(first, 99) <= 10)::INT) AS hit_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, sum((first IS NULL)::INT)::BIGINT AS misses FROM m GROUP BY 1""".format(q=tokens_sql("b.text"), d=tokens_sql("d.text")))
+def grid(t: Tables) -> DataFrame:
+    """Five settings over all questions; a document is relevant whose number falls in the question's class of seven."""
+    titled = articles(t).withColumn("article_title", F.when(F.col("pos") % 9 == 0, "Amaç"))
+    asked = questions(t)
+    relevant = asked.select("query_id", (F.col("query_id") % 7).alias("c")).join(t.documents.select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 7).alias("c")), "c").select("query_id", "pos")
+    return Q.run_grid(asked, titled, relevant, RUNS).withColumn("mrr", F.round("mrr", 9))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LABELS = (
@@ -76,8 +76,15 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DECISION).parquet(path)
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_records(df: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines; as one ``array`` in a single file only where asked for, which is meant for small results."""
+    if array:
+        lines = df.select(F.to_json(F.struct("*")).alias("value"), F.monotonically_increasing_id().alias("at")).orderBy("at").coalesce(1)
+        first = F.col("at") == F.min("at").over(Window.partitionBy())
+        last = F.col("at") == F.max("at").over(Window.partitionBy())
+        lines.select(F.concat(F.when(first, "[").otherwise(""), "value", F.when(last, "]").otherwise(",")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        df.write.mode("overwrite").json(path)
 
 
 def write_splits(df: DataFrame, path: str, chat: DataFrame | None = None) -> None:
@@ -108,20 +115,51 @@ def write_report(df: DataFrame, run: str, path: str) -> None:
     df.select(F.lit(run).alias("run"), pairs.alias("x")).select("run", "x.metric", "x.value").write.mode("append").parquet(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, for what several steps of a job read.
-
-    It lies in the folder all machines share (``spark.checkpoint.dir``, else
-    the warehouse; a local session without either setting may use its own), so it
-    survives lost executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: ``spark.checkpoint.dir``, else the warehouse; a local session without either setting may use its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     if spark.sparkContext.master.startswith("local[") and not spark.sparkContext.getConf().contains("spark.checkpoint.dir") and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for what several steps of a job read; it survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: generated rows of a run
+GENERATED = "type string, seq long, content string"
+
+
+def checkpoint(rows: DataFrame, path: str, attempt: str) -> None:
+    """Add generated rows (type, seq, content) of one ``attempt`` to the store.
+
+    An attempt is a partition that is written whole or not at all, so one that is repeated
+    replaces itself; a (type, seq) that another attempt has stored is not written again.
+    """
+    spark = rows.sparkSession
+    done = stored_rows(spark, path, but=attempt)
+    fresh = rows.select("type", F.col("seq").cast("long").alias("seq"), "content").dropDuplicates(["type", "seq"]).join(done.select("type", "seq"), ["type", "seq"], "left_anti")
+    fresh = stored(fresh, "checkpoint")  # read before the store changes
+    fresh.withColumn("attempt", F.lit(attempt)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("attempt").parquet(path)
+
+
+def stored_rows(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """(type, seq, content) of all attempts; of a (type, seq) that two attempts wrote at the same time one row, the smaller content."""
+    try:
+        rows = spark.read.schema(f"{GENERATED}, attempt string").parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        return spark.createDataFrame([], GENERATED)
+    rows = rows if but is None else rows.where(F.col("attempt") != but)
+    return rows.groupBy("type", "seq").agg(F.min("content").alias("content"))
+
+
+def resume(wanted: DataFrame, path: str) -> DataFrame:
+    """What is left of ``wanted`` (type, seq, ...): rows whose (type, seq) the store does not hold."""
+    return wanted.join(stored_rows(wanted.sparkSession, path).select("type", "seq"), ["type", "seq"], "left_anti")
 
 
 def read_sample_metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
