@@ -22,7 +22,7 @@ join (``Candidates``).  The rest is common.
    holds goes uncompared.  A bucket of M classes that never link takes about
    M / 1024 rounds.
 
-The parity bitmap of a whole set flips one of 1,024 bits for each shingle: two
+The parity bitmap of a whole set flips one of 64 * ``longs`` bits for each shingle: two
 bitmaps differ in at most as many bits as the sets have different shingles, so
 that test never dismisses a link.  It tells little about sets of thousands of
 shingles; where ``wide`` asks for it, those have bitmaps of about as many bits
@@ -48,11 +48,6 @@ from varaka.llm.blocks import spread, squeezed
 from varaka.llm.stage import Tables, components, marked_rows
 from varaka.llm.text import grams, mix, words
 
-#: size of the parity bitmap of a whole set
-SET_LONGS = 16
-SET_BITS = [f"w{i}" for i in range(SET_LONGS)]
-#: sets over so many shingles have wide bitmaps
-WIDE_OVER = SET_LONGS * 64
 #: nodes that no doc_id names begin here
 UNNAMED = 1 << 62
 #: pivots per bucket in the first, second, ... round
@@ -66,15 +61,20 @@ class Candidates:
     keys: Callable[[list[np.ndarray]], tuple[list[np.ndarray], np.ndarray]]
     columns: list[str]
     promising: Callable[[], Column] | None = None
-    #: whether sets that fill ``SET_BITS`` get a bitmap that grows with them
+    #: 64-bit words of the parity bitmap of a set, and whether sets that have more shingles than its bits get another that grows with them
+    longs: int = 16
     wide: bool = False
     #: for a list of sets, groups of values of each, of which a linked one shares at least the group's first number with other sets;
     #: where given, keys are only made for the sets of which that holds
     probe: Callable[[list[np.ndarray]], list[list[np.ndarray]]] | None = None
 
+    @property
+    def set_bits(self) -> list[str]:
+        return [f"w{i}" for i in range(self.longs)]
+
     @property
     def sketches(self) -> list[str]:
-        return [*self.columns, *SET_BITS]
+        return [*self.columns, *self.set_bits]
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -91,15 +91,16 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndar
                 yield np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
-def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Odd sketch of a whole set: each shingle flips one bit."""
-    at = ((shingles * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - (SET_LONGS * 64).bit_length() + 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SET_LONGS * 64) & 1).astype(np.uint8)).view(np.int64)
+def parity_bitmap(shingles: np.ndarray, longs: int) -> np.ndarray:
+    """Odd sketch of a whole set, of a power of two of bits: each shingle flips one."""
+    bits = longs * 64
+    at = ((shingles * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def wide_bitmap(shingles: np.ndarray) -> bytes | None:
-    """Parity bitmap of a power of two of bits, at least as many as shingles; none for small sets."""
-    if len(shingles) <= WIDE_OVER:
+def wide_bitmap(shingles: np.ndarray, over: int) -> bytes | None:
+    """Parity bitmap of a power of two of bits, at least as many as shingles; none for sets of no more than ``over``."""
+    if len(shingles) <= over:
         return None
     bits = 1 << (len(shingles) - 1).bit_length()
     at = ((shingles * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
@@ -141,8 +142,8 @@ def _signatures(n: int, how: Candidates):
             for s, other in shingle_sets(batch.column(2), n):
                 sets.append(s)
                 marks.append((mix(s).sum(dtype=np.uint64), mix(other).sum(dtype=np.uint64)))
-                parities.append(parity_bitmap(s))
-                wide.append(wide_bitmap(s) if how.wide else None)
+                parities.append(parity_bitmap(s, how.longs))
+                wide.append(wide_bitmap(s, 64 * how.longs) if how.wide else None)
             keys, numbers = how.keys(sets) if how.probe is None else ([np.zeros(0, np.uint64)] * len(sets), np.zeros((len(sets), 0), np.int64))
             probes = how.probe(sets) if how.probe else [[]] * len(sets)
             marks = np.array(marks, np.uint64).view(np.int64)
@@ -206,7 +207,7 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     """
     t = Tables(docs.sparkSession, "near")
     p, q = similar
-    promising = _promising(p, q) & how.promising() if how.promising else _promising(p, q)
+    promising = _promising(p, q, how.set_bits) & how.promising() if how.promising else _promising(p, q, how.set_bits)
     schema = "doc_id long, text_key long, n int, f1 long, f2 long, keys array<long>, " + ", ".join(f"{x} long" for x in how.sketches) + ", wide binary, probe array<array<long>>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     signed = t.keep(texts.mapInArrow(_signatures(shingle, how), schema))
@@ -332,10 +333,10 @@ def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
 
 
-def _promising(p: int, q: int) -> Column:
+def _promising(p: int, q: int, set_bits: list[str]) -> Column:
     """What two linked sets must fulfil: sizes and the parity bitmaps of the sets."""
     n, m = F.col("n").cast("long"), F.col("p_n").cast("long")
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (differing(SET_BITS) * (p + q) <= (n + m) * (q - p))
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (differing(set_bits) * (p + q) <= (n + m) * (q - p))
 
 
 def differing(names: list[str]) -> Column:

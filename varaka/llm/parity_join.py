@@ -108,4 +108,4 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: tuple[int, int
     def keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         return [part_keys(s, p, q) for s in sets], np.zeros((len(sets), 0), np.int64)
 
-    return linked_sets(docs, shingle, similar, Candidates(keys, [], wide=True, probe=lambda sets: [probes(s, p, q) for s in sets])).select("doc_id", "n_shingles", "component_id", "text_key")
+    return linked_sets(docs, shingle, similar, Candidates(keys, [], longs=8, wide=True, probe=lambda sets: [probes(s, p, q) for s in sets])).select("doc_id", "n_shingles", "component_id", "text_key")
