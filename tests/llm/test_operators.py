@@ -371,6 +371,27 @@ def test_overlaps_by_brute_force(spark):
     assert found == expected | {(d, i + 1000) for d, i in expected} and expected
 
 
+def test_overlaps_of_repetitive_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(decontaminate, "OFTEN", 4)
+    for _ in range(80):
+        letters = int(rng.integers(1, 4))
+        doc, item = ([("na", "no", "x")[k] for k in rng.integers(0, letters, rng.integers(13, n))] for n in (120, 60))
+        best = None
+        for begin in range(1 - len(item), len(doc)):
+            lo, hi = max(0, begin), min(len(doc), begin + len(item))
+            same = [doc[k] == item[k - begin] for k in range(lo, hi)]
+            if hi - lo >= 13 and max(sum(same[k : k + 13]) for k in range(len(same) - 12)) >= 11 and (best is None or sum(same) > best[2]):
+                best = (0, 0, sum(same), hi - lo, lo)
+        items = decontaminate.Items([1], [" ".join(item)])
+        found = list(items.matches(next(decontaminate.words(pa.array([" ".join(doc)]), breaks=decontaminate.BREAKS))))
+        assert found == ([best] if best else [])
+    began = time.time()
+    items = decontaminate.Items([1], ["na " * 5000])
+    assert list(items.matches(next(decontaminate.words(pa.array(["na " * 100_000]), breaks=decontaminate.BREAKS)))) == [(0, 0, 5000, 5000, 0)]
+    assert time.time() - began < 20
+
+
 def test_masks_find_every_window_with_two_substitutions(spark):
     base = BASE.split()
     rows = []
@@ -559,6 +580,31 @@ def test_pipeline(spark):
         assert corpus_pipeline.encode(spark, rows, SF).where("doc_id = 0").count() == n
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    import corpus_pipeline
+
+    b, c = BASE, " ".join(f"c{k}" for k in range(30))
+    rows = [(1, b), (1, b + " more"), (3, b + " other"), (1, c), (4, c + " y"), (5, "alone here"), (None, b)]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), SF).select("doc_id", "text").collect())
+    assert len(kept) == 4 and ("1", c) in kept and ("5", "alone here") in kept and ("None", b) in kept
+    assert sum(t in (b, b + " more") for i, t in kept if i == "1") == 1
+
+
+def test_one_labelled_id_in_very_many_rows(spark):
+    rows = [(k, f"kind words {k}") for k in range(1, 60)] + [(61, f"foul words {k}") for k in range(20_000)]
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(1, 62)], "doc_id long, quality int, toxic int")
+    df = docs(spark, rows)
+    calls = []
+    train = toxicity.train
+    toxicity.train = lambda texts, y: calls.append(len(texts)) or train(texts, y)
+    try:
+        toxicity.fit(df, labels)
+    finally:
+        toxicity.train = train
+    assert calls[0] <= 61
+    assert quality.quality(df, labels).count() == len(rows)
+
+
 def test_pipeline_filters_by_brute_force(spark):
     """Exact and near dedup of rows that repeat ids, texts or both."""
     import corpus_pipeline

@@ -201,9 +201,10 @@ def _similar(p: int, q: int):
 
 
 def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Candidates) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_key) for documents linked at Jaccard >= similar[0] / similar[1].
+    """(doc_id, n_shingles, component_id, kept, text_key, component_key) for documents linked at Jaccard >= similar[0] / similar[1].
 
-    ``text_key`` is the hash of the row's text, which tells rows with one doc_id apart.
+    ``text_key`` is the hash of the row's text, which tells rows with one doc_id apart;
+    ``component_key`` tells components apart whose smallest doc_id is the same.
     """
     t = Tables(docs.sparkSession, "near")
     p, q = similar
@@ -305,11 +306,11 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
     t.drop(active, pivots, *sets)
 
     ids = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
-    found = classes.select(*same, "rep", "node").join(roots.join(ids, "root").select("node", "least"), "node", "left")
-    found = found.select(*same, F.coalesce("least", "rep").alias("comp"))
+    found = classes.select(*same, "rep", "node").join(roots.join(ids, "root").select("node", "least", "root"), "node", "left")
+    found = found.select(*same, F.coalesce("least", "rep").alias("comp"), F.coalesce("root", "node").alias("component_key"))
     out = signed.select("doc_id", "text_key", *same).join(found, same, "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mine = F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(False))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), mine.alias("kept"), "text_key")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), mine.alias("kept"), "text_key", "component_key")
 
 
 def _probed(heads: DataFrame) -> DataFrame:

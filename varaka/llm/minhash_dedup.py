@@ -75,9 +75,10 @@ def _keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, similar: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_key) for documents linked at Jaccard >= similar[0] / similar[1].
+    """(doc_id, n_shingles, component_id, kept, text_key, component_key) for documents linked at Jaccard >= similar[0] / similar[1].
 
-    ``text_key`` is the hash of the row's text, which tells rows with one doc_id apart.
+    ``text_key`` is the hash of the row's text, which tells rows with one doc_id apart;
+    ``component_key`` tells components apart whose smallest doc_id is the same.
     """
 
     def promising() -> Column:

@@ -97,7 +97,9 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     rows = t.keep(rows)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("__label")).where("__label in (0, 1) and doc_id is not null")
     marked = marked.where(~held_out()).groupBy("doc_id").agg(F.min("__label").alias("__label"))
-    sample = rows.join(sampled(marked, "__label", MAX_SAMPLE, "doc_id"), "doc_id").select("__label", *(f"__{n}" for n in FEATURES)).toPandas()
+    # of rows that repeat an id one counts
+    near = rows.join(sampled(marked, "__label", MAX_SAMPLE, "doc_id"), "doc_id").groupBy("doc_id", "__label").agg(F.min(F.struct(*(f"__{n}" for n in FEATURES))).alias("x"))
+    sample = near.select("__label", *(f"x.__{n}" for n in FEATURES)).toPandas()
     y = sample["__label"].to_numpy(np.float64)
     mean, scale, weights, intercept = fit(sample.drop(columns="__label").to_numpy(np.float64), y)
     base = marked.agg(F.avg("__label")).first()[0]

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varaka.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similar=(4, 5)).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similar=(4, 5)).drop("text_key", "component_key")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

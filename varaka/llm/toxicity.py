@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varaka.llm.stage import sampled
@@ -36,6 +36,8 @@ from varaka.llm.text import BREAKS, words
 
 TABLE_BITS, DIM, WIDTHS, FILTERS = 15, 12, (1, 2, 3), 8
 PREFIXES = (4, 5)
+#: bytes of text that a fit reads
+SAMPLE_BYTES = 64_000_000
 MAX_SAMPLE = 2000
 #: a small sample is gone through more often
 LEAST_STEPS = 240
@@ -208,13 +210,21 @@ def marked_docs(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE, calibrated: bool = False) -> Model:
-    """Train on about ``limit`` labelled rows at most of either label that are not held out (nor, if ``calibrated``, for thresholds)."""
+    """Train on about ``limit`` labelled rows at most of either label that are not held out (nor, if ``calibrated``, for thresholds).
+
+    Of rows that repeat an id one counts, the smallest text; in the order of
+    the sample, texts are taken until they pass ``SAMPLE_BYTES``.
+    """
     marked = marked_docs(labels).where(~held_out())
     if calibrated:
         marked = marked.where(~calibration())
     picked = sampled(marked, "toxic", limit, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    near = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sizes = near.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))  # at most 2 * limit rows
+    before = F.coalesce(F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    taken = sizes.withColumn("upto", before).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("upto") == F.col("size"))).select("doc_id")
+    sample = near.join(F.broadcast(taken), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     return train(sample["text"].fillna("").tolist(), sample["toxic"].to_numpy(np.float64))
 
 
