@@ -72,9 +72,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    found = minhash_dedup.near_duplicates(docs, shingle=5, similar=(4, 5)).where("not kept and doc_id is not null and n_shingles > 0")
-    return dropped(docs, Tables(spark, "copies").keep(found.select("doc_id", "text_key")))
+    """One document of each near-duplicate component: that of the smallest doc_id, of several such rows the one with the smaller hash of its text.
+
+    Rows equal in id and text are one document.
+    """
+    found = minhash_dedup.near_duplicates(docs, shingle=5, similar=(4, 5)).where("doc_id is not null and n_shingles > 0")
+    found = Tables(spark, "copies").keep(found.select("doc_id", "text_key", "kept", "component_key"))
+    leads = found.where("kept").groupBy("component_key").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last")
+    others = found.where("kept").join(leads, "component_key").where("text_key > first")
+    return dropped(docs, found.where("not kept").select("doc_id", "text_key").unionByName(others.select("doc_id", "text_key")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
