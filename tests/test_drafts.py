@@ -92,3 +92,45 @@ def test_sample_groups(spark, tmp_path):
     samples = spark.createDataFrame([("A_1",), ("B_2",), ("C_3",)], "id string")
     assert {tuple(r) for r in io.with_group(samples, found).collect()} == {("A_1", "G"), ("B_2", "B"), ("C_3", "C")}
     assert io.read_sample_metadata(spark, [str(tmp_path / "none.json")]).count() == 0
+
+
+def test_actions_of_both_forms_and_the_older_key(spark):
+    import json
+
+    from varaka.operators import drafts as D
+
+    user = "named_struct('sender_type','VATANDAS','primary_topic','IMAR','summary','Özet.','requested_action','','key_information',cast(array() as array<struct<type:string,value:string>>),'missing_information',cast(array() as array<string>),'selected_legislation',cast(array() as array<struct<law_name:string,article:string,reference_text:string>>))"
+    rest = "'result_information','','process_information','Sürüyor.'"
+    for actions in ("array('keşif.', ' ölçüm ')", "array(named_struct('action','x','detail','keşif'), named_struct('action','ölçüm','detail',cast(null as string)))"):
+        answer = f"named_struct('target_unit',' ','responsible_unit','Park Müdürlüğü','performed_actions',{actions},{rest})"
+        rows = spark.range(1).selectExpr("'failed' as status", "'' as draft", f"{user} as user", f"{answer} as answer")
+        letter = D.fill_templates(rows).first()["draft"]
+        assert "gerçekleştirilmiştir: keşif; ölçüm." in letter and "Park Müdürlüğü" in letter.split("\n")[2]
+    bare = spark.range(1).selectExpr("'failed' as status", "'' as draft", f"{user} as user", f"named_struct('target_unit',cast(null as string),'performed_actions',cast(null as array<string>),{rest}) as answer")
+    letter = D.fill_templates(bare).first()["draft"]
+    assert "gerçekleştirilmiştir" not in letter and "İlgili Müdürlük" in letter
+    assert json.dumps(letter)
+
+
+def test_refreshed_messages(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from varaka.functions import text as T
+    from varaka.operators import drafts as D
+
+    law = [{"law_name": "3194 sayılı Kanun", "article": "8"}]
+    users = [json.dumps({"sender_type": "VATANDAS", "selected_legislation": x, "n": k}) for k, x in enumerate((law, [], law, law))]
+    answers = [{"responsible_unit": "A", "draft": "eski", "z": 1}, {"responsible_unit": "A", "target_unit": "B"}, {"target_unit": "B", "draft": "eski"}, {"draft": "eski", "x": None}]
+    rows = [("train", k, [("assistant", "ilk"), ("user", u), ("assistant", json.dumps(a)), ("system", "x")]) for k, (u, a) in enumerate(zip(users, answers, strict=True))]
+    records = spark.createDataFrame(rows, "file string, idx int, messages array<struct<role:string,content:string>>")
+    uid = lambda k: T.record_uid(F.lit("train"), F.lit(k), F.lit(users[k]))
+    cache = spark.range(1).select(uid(2).alias("uid"), F.lit('yeni "2"').alias("draft"), F.array(F.lit("p")).alias("problems"))
+    new = spark.range(1).select(uid(0).alias("uid"), F.lit("3194").alias("draft"))
+    got = {r["idx"]: r for r in D.refresh_messages(records, cache, new, "S").collect()}
+    assert [got[k]["status"] for k in range(4)] == ["regenerated_with_warnings", "skipped_no_legislation", "cached", "failed"]
+    assert all([m["role"] for m in r["messages"]] == ["system", "user", "assistant"] and r["messages"][0]["content"] == "S" for r in got.values())
+    final = [json.loads(got[k]["messages"][2]["content"]) for k in range(4)]
+    assert final == [{"z": 1, "target_unit": "A", "draft": "3194"}, {"responsible_unit": "A", "target_unit": "B"}, {"target_unit": "B", "draft": 'yeni "2"'}, {"x": None, "draft": "eski"}]
+    assert got[2]["problems"] == ["p"] and "too_short(1w)" in got[0]["problems"] and got[3]["problems"] == []

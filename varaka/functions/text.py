@@ -15,6 +15,8 @@ META_TITLES = ["amaç", "kapsam", "tanımlar", "tanım", "tanım ve kısaltmalar
 CLOSINGS = {"VATANDAS": "Bilgilerinizi rica ederim.", "OZEL_KURULUS": "Bilgilerinizi rica ederim.", "KAMU_KURUMU": "Gereğini bilgilerinize arz ve rica ederim.", "YARGI_MERCII": "Gereğini saygılarımla arz ederim."}
 DEFAULT_CLOSING = "Gereğini saygılarımla arz ederim."
 DATIVES = [("Müdürlüğüne", "Müdürlüğü"), ("MÜDÜRLÜĞÜNE", "MÜDÜRLÜĞÜ"), ("Başkanlığına", "Başkanlığı"), ("BAŞKANLIĞINA", "BAŞKANLIĞI"), ("müdürlüğüne", "müdürlüğü"), ("başkanlığına", "başkanlığı")]
+COUNCIL = ["dns", "danıstay", "danıştay", "danistay"]
+COURT_DEFAULTS = {"case_no": "2021/1042", "decision_no": "2022/4510", "date": "15.03.2022"}
 PERSON_LIKE = ["person", "ad", "soyad", "isim", "basvuran", "kisi", "location", "address", "adres", "mahalle", "konum"]
 TOKEN = r"[0-9]+(?:/[0-9A-Za-zÇĞİÖŞÜçğıöşü]+)?|[a-zçğıöşü]+"
 ARTICLE_REFERENCE = (
@@ -229,7 +231,14 @@ def enforce_missing_rule(status: Column, response: Column) -> Column:
 
 def court_header(source: Column) -> Column:
     low = F.lower(F.coalesce(source, F.lit("")))
-    return F.when(low.contains("danıştay") | low.contains("danistay"), "DANIŞTAY").otherwise("YARGITAY")
+    council = [low.contains(w) for w in COUNCIL]
+    return F.when(council[0] | council[1] | council[2] | council[3], "DANIŞTAY").otherwise("YARGITAY")
+
+
+def court_fields(source: Column, case: Column, decision: Column, date: Column) -> Column:
+    """struct<court, case_no, decision_no, date> of a decision; empty numbers and dates get the defaults."""
+    given = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    return F.struct(court_header(source).alias("court"), *(given(c, d).alias(n) for (n, d), c in zip(COURT_DEFAULTS.items(), (case, decision, date), strict=True)))
 
 
 def pad_to_words(draft: Column, fillers: list[str], least: int = 200, most: int = 12, salutation: str = "Saygılarımla,") -> Column:

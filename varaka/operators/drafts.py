@@ -206,12 +206,23 @@ def rule_violations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("process_status").agg(F.count("*").alias("n"), count(over).alias("overwritten"), count((given == COMPLETION) & ~F.col("process_status").eqNullSafe(F.lit(WAITING))).alias("broken"))
 
 
-def template_letter(user: Column, answer: Column) -> Column:
+def action_texts(actions: Column) -> Column:
+    """Texts of performed actions, a list of texts or of objects with ``detail`` or else ``action``, of any column type."""
+    every = F.try_variant_get(F.try_parse_json(F.to_json(F.struct(actions.alias("a")))), "$.a", "array<variant>")
+    field = lambda x, k: F.nullif(F.try_variant_get(x, f"$.{k}", "string"), F.lit(""))
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+    return F.transform(every, lambda x: F.when(is_object(x), F.coalesce(field(x, "detail"), field(x, "action"), F.lit(""))).otherwise(F.try_variant_get(x, "$", "string")))
+
+
+def template_letter(user: Column, answer: Column, older_unit: Column | None = None) -> Column:
     """The rule-based letter for ``user`` (sender_type, primary_topic, summary, requested_action, key_information, missing_information,
-    selected_legislation) and ``answer`` (target_unit, performed_actions, result_information, process_information)."""
+    selected_legislation) and ``answer`` (target_unit, performed_actions in either form, result_information, process_information).
+
+    ``older_unit``, the unit under its older key, counts where ``target_unit`` is blank.
+    """
     info = user["key_information"]
     first = lambda *kinds: F.coalesce(*(_filled(T.first_value(info, k)) for k in kinds))
-    unit = F.coalesce(_filled(answer["target_unit"]), F.lit("İlgili Müdürlük"))
+    unit = F.coalesce(migrated_unit(_filled(answer["target_unit"]), F.lit(None).cast("string") if older_unit is None else _filled(older_unit)), F.lit("İlgili Müdürlük"))
     place, topic, date = F.upper(T.district(first("LOCATION"))), T.humanize(user["primary_topic"]), first("DATE", "REFERENCE_DATE")
     summary, action = _text(user["summary"]), _text(user["requested_action"])
     bare = lambda s: F.regexp_replace(_text(s), r"\.+\z", "")
@@ -220,7 +231,7 @@ def template_letter(user: Column, answer: Column) -> Column:
     process = _filled(answer["process_information"])
     paragraphs = [
         _filled(F.concat_ws(" ", F.nullif(summary, F.lit("")), ask)), _sentence(MISSING, listed(user["missing_information"])), _sentence(LAWS, _filled(T.legislation_paragraph(user["selected_legislation"]))),
-        _sentence(ACTIONS, listed(answer["performed_actions"])), _filled(answer["result_information"]), F.concat(F.lit("Süreç, "), unit, F.lit(" tarafından takip edilmektedir. "), process), _sentence(CONTACT, unit),
+        _sentence(ACTIONS, listed(action_texts(answer["performed_actions"]))), _filled(answer["result_information"]), F.concat(F.lit("Süreç, "), unit, F.lit(" tarafından takip edilmektedir. "), process), _sentence(CONTACT, unit),
     ]
     head = [
         F.lit("T.C."), F.when(place != "", F.concat(place, F.lit(" BELEDİYE BAŞKANLIĞI"))).otherwise("BELEDİYE BAŞKANLIĞI"), unit, F.lit(""),
@@ -252,9 +263,41 @@ def refresh_drafts(records: DataFrame, cache: DataFrame, new: DataFrame) -> Data
     return rows.withColumn("draft", F.when(bare, F.col("draft")).otherwise(F.coalesce("__cached", "__new", "draft"))).drop("__cached", "__new")
 
 
+def refresh_messages(records: DataFrame, cache: DataFrame, new: DataFrame, system: str) -> DataFrame:
+    """(file, idx, uid, messages, status, problems) of chat rows (file, idx, messages) after a refresh of their drafts.
+
+    The user's and the assistant's contents are JSON objects.  Messages come
+    back as system, user, assistant, the system's text replaced, the unit
+    moved from its older key where the new one is missing, and the draft from
+    ``cache`` (uid, draft, problems) or ``new`` (uid, draft); the fields of
+    the answer come in the order of their names, those that were set last.
+    ``problems`` of a new draft are judged, those of a cached one are kept.
+    """
+    part = lambda role: L.content_of(F.col("messages"), role)
+    rows = records.select("file", "idx", part("user").alias("user"), part("assistant").alias("assistant"))
+    rows = rows.withColumns({"uid": T.record_uid(F.col("file"), F.col("idx"), F.col("user")), "answer": F.try_variant_get(F.try_parse_json("assistant"), "$", "map<string,variant>")})
+    laws = F.from_json(F.get_json_object("user", "$.selected_legislation"), "array<struct<law_name:string,article:string>>")
+    judged = rows.select("file", "idx", "uid", "user", "answer", F.get_json_object("assistant", "$.draft").alias("draft"), F.get_json_object("user", "$.sender_type").alias("sender"), laws.alias("laws"))
+    found = refresh_drafts(judged, cache, new).join(cache.select("uid", F.col("problems").alias("__told")), "uid", "left")
+    held = F.map_filter("answer", lambda k, v: (k != "draft") & ~((k == "responsible_unit") & F.map_contains_key("answer", "target_unit").eqNullSafe(F.lit(False))))
+    moved = F.when(~F.map_contains_key("answer", "target_unit") & F.map_contains_key("answer", "responsible_unit"), F.create_map(F.lit("target_unit"), F.col("answer")["responsible_unit"]))
+    added = F.when(F.col("draft").isNotNull(), F.create_map(F.lit("draft"), F.try_variant_get(F.try_parse_json(F.to_json(F.struct(F.col("draft").alias("d")))), "$.d", "variant")))
+    none = F.expr("cast(map() as map<string,variant>)")
+    whole = F.map_concat(held, F.coalesce(moved, none), F.coalesce(added, none))
+    text = F.to_json(whole)
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(message("system", F.lit(system)), message("user", F.col("user")), message("assistant", text))
+    problems = F.when(F.col("status") == "cached", F.coalesce("__told", F.expr("cast(array() as array<string>)"))).otherwise(F.col("problems"))
+    return found.select("file", "idx", "uid", messages.alias("messages"), "status", problems.alias("problems"))
+
+
 def fill_templates(records: DataFrame, least: int = 200) -> DataFrame:
-    """``records`` (status, draft, user, answer): failed ones take a padded template letter and tell its problems."""
-    made = T.pad_to_words(template_letter(F.col("user"), F.col("answer")), FILLERS, least)
+    """``records`` (status, draft, user, answer): failed ones take a padded template letter and tell its problems.
+
+    An answer may hold its unit under the older key ``responsible_unit``.
+    """
+    older = F.col("answer.responsible_unit") if "responsible_unit" in records.schema["answer"].dataType.names else None
+    made = T.pad_to_words(template_letter(F.col("user"), F.col("answer"), older), FILLERS, least)
     rows = records.withColumn("draft", F.when(F.col("status") == "failed", made).otherwise(F.col("draft")))
     return rows.withColumn("problems", F.when(F.col("status") == "failed", T.draft_problems(F.col("draft"), F.col("user.sender_type"), F.col("user.selected_legislation"))))
 

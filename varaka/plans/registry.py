@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from varaka.functions import text as T
 from varaka.operators import drafts as D
 from varaka.operators import evaluate as E
+from varaka.operators import generate as G
 from varaka.operators import intake as I
 from varaka.operators import letters as L
 from varaka.operators import records as P
@@ -97,8 +98,27 @@ texts(
     citizen=lambda c: T.check_closing(c, F.lit("VATANDAS")), office=lambda c: T.check_closing(c, F.lit("KAMU_KURUMU")),
 )
 texts("F9_min_words", "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 180 AS long_enough", long_enough=lambda c: T.word_count(c) >= 180)
-texts("F4_classify_scope", None, reason=lambda c: T.classify_scope(c, 2025))
-texts("F6_validate_draft", None, problems=lambda c: F.array_join(T.draft_problems(c, F.lit("VATANDAS"), F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8'))")), "; "))
+#: what every sixth text begins with, so that each reason occurs
+LEADS = ["", "belediyemizin telefon numarası nedir ", "mahalledeki nöbetçi eczane ", "dün alınan karar ", "güncel su tarifesi ne kadar ", "2031 yılı ücret tarifesi kaç lira "]
+LEAD = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LEADS)) + " END || text"
+WORD_END = "($|[^a-zçğıöşü0-9_])"
+SCOPE = {"t": f"lower(translate({LEAD}, 'Iİ', 'ıi'))"} | {
+    name: "regexp_matches(t, '(^|[^a-zçğıöşü0-9_])" + pattern.removeprefix("(?U)").replace("\\b", "").replace("\\w*", "[a-zçğıöşü0-9_]*") + WORD_END + "')"
+    for name, pattern in (("loc", T.LOCAL), ("con", T.CONTACT), ("live", T.LIVE_SERVICE), ("recent", T.RECENT), ("event", T.EVENT))
+}
+
+
+@job("F4_classify_scope", f"""WITH x AS (SELECT doc_id, {SCOPE['t']} AS t FROM documents), y AS (SELECT *, {SCOPE['loc']} AS loc, {SCOPE['con']} AS con, {SCOPE['live']} AS live, {SCOPE['recent']} AND {SCOPE['event']} AS news,
+  regexp_matches(t, '(tarife|ücret|bedel).*(ne kadar|kaç (tl|lira)|tutar)') OR regexp_matches(t, '(ne kadar|kaç (tl|lira)|tutar).*(tarife|ücret|bedel)') AS priced, contains(t, 'güncel') OR regexp_matches(t, '(^|[^0-9a-z])20(2[5-9]|[3-9][0-9])($|[^0-9a-z])') AS now FROM x)
+  SELECT doc_id, CASE WHEN trim(t) = '' THEN 'empty_query' WHEN con AND (loc OR live) THEN 'local_contact_or_navigation_data' WHEN live AND (loc OR con) THEN 'live_service_data' WHEN news THEN 'recent_local_event_data' WHEN priced AND (loc OR now) THEN 'current_or_local_tariff_data' ELSE 'legislation_retrieval' END AS reason FROM y""")
+def scopes(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.classify_scope(F.expr(LEAD), 2025).alias("reason"))
+
+
+texts("F6_validate_draft", """concat_ws('; ', CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 180 THEN 'too_short(' || len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) || 'w)' END,
+  CASE WHEN NOT ((lower(text) LIKE '%rica ederim%' OR lower(text) LIKE '%rica ederiz%') AND NOT (lower(text) LIKE '%arz ederim%' OR lower(text) LIKE '%arz ederiz%')) THEN 'wrong_closing_expected_rica' END,
+  CASE WHEN NOT (contains(text, '3194') OR contains(text, '8')) THEN 'no_legislation_citation_found' END) AS problems""",
+  problems=lambda c: F.array_join(T.draft_problems(c, F.lit("VATANDAS"), F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8'))")), "; "))
 texts("L2_strip_attachments", None, letter=L.strip_attachments)
 def lines_sql(test: str) -> str:
     return f"len(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: {test}))"
@@ -449,8 +469,16 @@ def cropped_names(t: Tables) -> DataFrame:
     return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("gold"), pred.alias("pred"))
 
 
-job("W21_balanced_groups")(lambda t: S.balanced_groups(t.documents, T.length_bucket(F.col("text")), "doc_id", 4, 25))
-job("W22_drop_adjacent_duplicates")(lambda t: t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("n_before"), F.size(L.drop_adjacent_duplicates(F.split("text", "\n"))).alias("n_after")))
+job("W21_balanced_groups", """WITH b AS (SELECT doc_id, md5(doc_id::VARCHAR || '42') AS h FROM documents WHERE length(text) BETWEEN 500 AND 6000), r AS (SELECT doc_id, h, row_number() OVER (ORDER BY h, doc_id) - 1 AS r FROM b),
+  g AS (SELECT doc_id, r, chr((65 + r % 4)::INT) AS "group", CASE WHEN r // 4 < 200 THEN 'train' WHEN r // 4 < 225 THEN 'valid' ELSE 'test' END AS split FROM r WHERE r < 1000)
+  SELECT doc_id, "group", split, "group" || '_' || lpad(row_number() OVER (PARTITION BY "group", split ORDER BY r)::VARCHAR, 4, '0') AS id FROM g""")(
+    lambda t: S.balanced_groups(t.documents, T.length_bucket(F.col("text")), "doc_id", 4, 250)
+)
+job("W22_drop_adjacent_duplicates", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), u AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, trim(lines[i], ' ') AS x FROM l),
+  p AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM u WHERE x <> '') WHERE x = before GROUP BY 1)
+  SELECT doc_id, len(lines)::BIGINT AS n_before, (len(lines) - coalesce(n, 0))::BIGINT AS n_after FROM l LEFT JOIN p USING (doc_id)""")(
+    lambda t: t.documents.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_before"), F.size(L.drop_adjacent_duplicates(F.split("text", "\n"))).cast("long").alias("n_after"))
+)
 job("W23_assign_scenarios", "SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)) - 1) % 4 AS scenario FROM orders")(
     lambda t: L.round_robin(t.orders, "o_orderpriority", ["o_orderkey"], 4).select("o_orderkey", F.col("scenario").cast("long").alias("scenario"))
 )
@@ -700,3 +728,65 @@ def grid(t: Tables) -> DataFrame:
     asked = questions(t)
     relevant = asked.select("query_id", (F.col("query_id") % 7).alias("c")).join(t.documents.select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 7).alias("c")), "c").select("query_id", "pos")
     return Q.run_grid(asked, titled, relevant, RUNS).withColumn("mrr", F.round("mrr", 9))
+
+
+# --- plans, refresh of messages, decisions ----------------------------------------------------------------------
+
+SCENARIOS = ["gece denetimi", "pazar yeri", "ruhsat yenileme", "komşu şikayeti", "itiraz"]
+
+
+@job("G3_prompt_plan", """WITH a AS (SELECT o_orderpriority AS topic, o_orderkey AS arrival, o_orderstatus || o_orderkey AS summary FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT o_orderpriority AS topic, count(*) AS n FROM orders GROUP BY 1),
+  t AS (SELECT c.topic, c.n AS target, coalesce(x.n, 0) AS done FROM c LEFT JOIN (SELECT topic, count(*) AS n FROM a GROUP BY 1) x USING (topic)),
+  b AS (SELECT *, unnest(range(0, ceil(greatest(target - done, 0) / 3.0)::BIGINT)) AS batch_no FROM t),
+  s AS (SELECT topic, batch_no, string_agg(v, ',' ORDER BY h, v) AS scenarios FROM (SELECT topic, batch_no, v, md5('42|' || topic || '|' || batch_no || '|' || v) AS h, row_number() OVER (PARTITION BY topic, batch_no ORDER BY md5('42|' || topic || '|' || batch_no || '|' || v)) AS r FROM b, (SELECT unnest({s}) AS v)) WHERE r <= 3 GROUP BY 1, 2),
+  l AS (SELECT topic, string_agg(summary, chr(10) || '- ' ORDER BY arrival) AS avoid FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY arrival DESC) AS r FROM a) WHERE r <= 15 GROUP BY 1)
+  SELECT topic, batch_no, scenarios, topic || ': 3' || chr(10) || coalesce('uzak dur:' || chr(10) || '- ' || avoid, '') AS prompt FROM s LEFT JOIN l USING (topic)""".replace("{s}", str(SCENARIOS)))
+def plans(t: Tables) -> DataFrame:
+    targets = t.orders.groupBy(F.col("o_orderpriority").alias("topic")).agg(F.count("*").alias("target")).withColumns({"hint": F.lit(""), "required": F.lit("")})
+    accepted = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("topic"), F.col("o_orderkey").alias("arrival"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("summary"))
+    found = G.prompt_plan(targets, accepted, SCENARIOS, "{topic}: {count}\n{avoid}", "uzak dur:\n- {summaries}")
+    return found.select("topic", F.col("batch_no").cast("long").alias("batch_no"), F.array_join("scenarios", ",").alias("scenarios"), "prompt")
+
+
+@job("G7_refresh_messages", """SELECT doc_id AS idx, CASE WHEN doc_id % 3 = 0 THEN 'skipped_no_legislation' WHEN doc_id % 5 = 0 THEN 'cached' WHEN doc_id % 2 = 1 THEN 'failed'
+    WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 180 OR NOT (lower(text) LIKE '%rica ederi_%' AND NOT lower(text) LIKE '%arz ederi_%') OR NOT (contains(text, '3194') OR contains(text, '8')) THEN 'regenerated_with_warnings' ELSE 'regenerated' END AS status,
+  'Resmî yazı yaz.' AS system, CASE WHEN doc_id % 4 = 0 THEN lang ELSE source END AS unit, CASE WHEN doc_id % 3 = 0 THEN 'eski' WHEN doc_id % 5 = 0 THEN lang WHEN doc_id % 2 = 0 THEN text ELSE 'eski' END AS draft, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'kısa' ELSE '' END AS told FROM documents""")
+def refreshed_messages(t: Tables) -> DataFrame:
+    """Documents as letters; every fourth has both keys of the unit, the others the older one."""
+    law = F.expr("array(named_struct('law_name', '3194 sayılı Kanun', 'article', 'Madde 8'))")
+    user = F.to_json(F.struct(F.lit("VATANDAS").alias("sender_type"), F.when(F.col("doc_id") % 3 != 0, law).alias("selected_legislation"), "doc_id"))
+    answer = F.to_json(F.struct(F.col("source").alias("responsible_unit"), F.when(F.col("doc_id") % 4 == 0, F.col("lang")).alias("target_unit"), F.lit("eski").alias("draft")))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    records = t.documents.select(F.lit("train").alias("file"), F.col("doc_id").alias("idx"), F.array(message("assistant", answer), message("system", F.lit("eski")), message("user", user)).alias("messages"))
+    uid = T.record_uid(F.lit("train"), F.col("doc_id"), user)
+    cache = t.documents.where("doc_id % 5 = 0").select(uid.alias("uid"), F.col("lang").alias("draft"), F.array(F.lit("kısa")).alias("problems"))
+    new = t.documents.where("doc_id % 2 = 0").select(uid.alias("uid"), F.col("text").alias("draft"))
+    found = D.refresh_messages(records, cache, new, "Resmî yazı yaz.")
+    content = F.col("messages")[2]["content"]
+    return found.select("idx", "status", F.col("messages")[0]["content"].alias("system"), F.get_json_object(content, "$.target_unit").alias("unit"), F.get_json_object(content, "$.draft").alias("draft"), F.when(F.col("status") == "cached", F.array_join("problems", ";")).otherwise("").alias("told"))
+
+
+job("P30_court_fields", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'DANIŞTAY' ELSE 'YARGITAY' END AS court, CASE WHEN doc_id % 5 = 0 THEN '2021/1042' ELSE doc_id::VARCHAR END AS case_no, source AS decision_no, CASE WHEN doc_id % 3 = 0 THEN '15.03.2022' ELSE lang END AS date FROM documents")(
+    lambda t: t.documents.select("doc_id", T.court_fields(
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("DNS "), "source")).otherwise(F.col("source")), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")), F.col("source"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))
+    ).alias("c")).select("doc_id", "c.*")
+)
+
+
+@job("A5_analysis_fields", """WITH r AS (SELECT o_orderkey % 11 <> 0 AS p, o_orderkey % 7 <> 0 AS d, o_orderkey % 5 <> 0 AS s, o_orderkey % 3 <> 0 AS t, (o_orderkey % 2 = 0) = (o_custkey % 2 = 0) AS m FROM orders)
+  SELECT count(*) AS n_rows, round(avg(p::INT) * 100, 2) AS valid, round(avg((p AND d)::INT) * 100, 2) AS document_type, round(avg((p AND s)::INT) * 100, 2) AS sender_type, round(avg((p AND t)::INT) * 100, 2) AS primary_topic, round(avg((p AND m)::INT) * 100, 2) AS missing_information FROM r""")
+def field_rates(t: Tables) -> DataFrame:
+    n = F.col("o_orderkey")
+    some = lambda odd: F.when(odd, F.array(F.lit("adres"))).otherwise(F.expr("cast(array() as array<string>)")).alias("missing_information")
+    labels = lambda d, s, p, m: F.struct(d.alias("document_type"), s.alias("sender_type"), p.alias("primary_topic"), some(m))
+    other = lambda k, c: F.when(n % k == 0, "x").otherwise(F.col(c))
+    gold = labels(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey") % 2 == 0)
+    return E.analysis_fields(t.orders.select(gold.alias("gold"), F.when(n % 11 != 0, labels(other(7, "o_orderpriority"), other(5, "o_orderstatus"), other(3, "o_orderpriority"), n % 2 == 0)).alias("pred")))
+
+
+job("G11_rule_violations", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'EKSIK_BILGI_BEKLENIYOR' ELSE 'INCELEMEDE' END AS process_status, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0) AS overwritten, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) AS broken FROM orders GROUP BY 1")(
+    lambda t: D.rule_violations(t.orders.select(
+        F.to_json(F.struct(F.when(F.col("o_orderkey") % 2 == 0, "EKSIK_BILGI_BELGE_TAMAMLAMA_YAZISI").otherwise(F.col("o_orderpriority")).alias("response_type"))).alias("raw"),
+        F.when(F.col("o_orderkey") % 3 == 0, "EKSIK_BILGI_BEKLENIYOR").otherwise("INCELEMEDE").alias("process_status"),
+    ))
+)
