@@ -87,16 +87,16 @@ texts(
 )
 texts("P8_district", "trim(split_part(trim(list_last(string_split(text, '/'))), ',', 1)) AS district", district=T.district)
 texts("P14_record_uid", "concat_ws('_', 'documents', doc_id::VARCHAR, substr(sha1(text), 1, 10)) AS uid", uid=lambda c: T.record_uid(F.lit("documents"), F.col("doc_id"), c))
-texts(
-    "F1_citation_query",
-    "regexp_matches(text, '(?i)\\bmadde(si|sinin|de|den)?\\s*[0-9]+') AS cites",
-    cites=T.is_citation_query,
+#: texts that cite in the ways of the pattern, or not at all
+CITING = "CASE doc_id % 4 WHEN 1 THEN text || ' Madde 18/b' WHEN 2 THEN text || ' 12 inci maddesi' WHEN 3 THEN '5. madde ' || text ELSE text END"
+job("F1_citation_query", f"SELECT doc_id, regexp_matches({CITING}, '(?i)(\\bmadde(si|sinin|de|den)?\\s*[0-9]+|\\b[0-9]+(\\s*/\\s*[a-zçğıöşü0-9]+)?\\s*(inci|ıncı|uncu|üncü|\\.?)\\s*madde)') AS cites FROM documents")(
+    lambda t: t.documents.select("doc_id", T.is_citation_query(F.expr(CITING)).alias("cites"))
+)
+SIGNED = "text || CASE doc_id % 5 WHEN 0 THEN ' Bilgilerinizi rica ederim.' WHEN 1 THEN ' arz ederiz' WHEN 2 THEN ' Arz ve rica ederim.' WHEN 3 THEN ' arz ve rica ederiz' ELSE '' END"
+RICA, ARZ, BOTH = ("doc_id % 5 IN (0, 2, 3)", "doc_id % 5 = 1", "doc_id % 5 IN (2, 3)")
+job("F7_check_closing", f"SELECT doc_id, {RICA} AND NOT ({ARZ}) AS citizen, {RICA} AND NOT ({ARZ}) AS company, {BOTH} AS office, ({ARZ}) AND NOT ({RICA}) AS court, ({ARZ}) AND NOT ({RICA}) AS unknown FROM documents")(
+    lambda t: t.documents.select("doc_id", *(T.check_closing(F.expr(SIGNED), F.lit(s)).alias(c) for c, s in (("citizen", "VATANDAS"), ("company", "OZEL_KURULUS"), ("office", "KAMU_KURUMU"), ("court", "YARGI_MERCII"), ("unknown", None))))
 )
-texts(
-    "F7_check_closing",
-    "(lower(text) LIKE '%rica ederim%' OR lower(text) LIKE '%rica ederiz%') AND NOT (lower(text) LIKE '%arz ederim%' OR lower(text) LIKE '%arz ederiz%') AS citizen, (lower(text) LIKE '%arz ve rica ederim%' OR lower(text) LIKE '%arz ve rica ederiz%') AS office",
-    citizen=lambda c: T.check_closing(c, F.lit("VATANDAS")), office=lambda c: T.check_closing(c, F.lit("KAMU_KURUMU")),
-)
 texts("F9_min_words", "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 180 AS long_enough", long_enough=lambda c: T.word_count(c) >= 180)
 #: what every sixth text begins with, so that each reason occurs
 LEADS = ["", "belediyemizin telefon numarası nedir ", "mahalledeki nöbetçi eczane ", "dün alınan karar ", "güncel su tarifesi ne kadar ", "2031 yılı ücret tarifesi kaç lira "]
@@ -140,8 +140,10 @@ job("P7_humanize", "SELECT o_orderkey, array_to_string(list_transform(string_spl
 job("P15_parse_json", "SELECT event_id, CASE WHEN json_valid(props) THEN (props->>'$.k') END AS k FROM events")(
     lambda t: t.events.select("event_id", F.get_json_object(T.json_text(F.col("props")), "$.k").alias("k"))
 )
-job("P16_repair_json", "SELECT event_id, (props->>'$.k') AS k FROM events")(
-    lambda t: t.events.select("event_id", F.get_json_object(T.repaired_json(F.expr("substring(props, 1, length(props) - 1)")), "$.k").alias("k"))
+#: answers cut off behind a number, inside a text and inside a list
+CUT = """CASE event_id % 3 WHEN 0 THEN substring(props, 1, length(props) - 1) WHEN 1 THEN '```json {"k":"' || event_type ELSE '{"a":[1,"x"],"k":"' || user_id || '","b":[2,3,' END"""
+job("P16_repair_json", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN (props->>'$.k') WHEN 1 THEN event_type ELSE user_id::VARCHAR END AS k, CASE WHEN event_id % 3 = 2 THEN '[2,3]' END AS b FROM events")(
+    lambda t: t.events.select("event_id", F.get_json_object(T.repaired_json(F.expr(CUT)), "$.k").alias("k"), F.get_json_object(T.repaired_json(F.expr(CUT)), "$.b").alias("b"))
 )
 
 
@@ -214,8 +216,8 @@ job("J2_topic_query", "SELECT c_custkey, lower(n_name) || ' mevzuatı' AS phrase
 job("J3_shared_units", "SELECT c_custkey, u.r_name AS unit FROM customer JOIN nation ON c_nationkey = n_nationkey, region u WHERE u.r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5)")(
     lambda t: O.shared_units(t.customer, owners(t), "c_nationkey").select("c_custkey", "unit")
 )
-job("J4_taxonomy_check", "SELECT r_name AS unit, n_name AS topic, CASE WHEN n_name IS NULL THEN 'unit_without_topic' ELSE 'topic_without_unit' END AS problem FROM (SELECT * FROM region WHERE r_regionkey <> 1) FULL JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_regionkey = r_regionkey WHERE n_name IS NULL OR r_name IS NULL")(
-    lambda t: O.taxonomy_check(t.region.where("r_regionkey <> 1").withColumnRenamed("r_regionkey", "key"), t.nation.where("n_regionkey <> 2").withColumnRenamed("n_regionkey", "key"), "key", "r_name", "n_name")
+job("J4_taxonomy_check", "SELECT s_name AS unit, p_name AS topic, CASE WHEN p_name IS NULL THEN 'unit_without_topic' ELSE 'topic_without_unit' END AS problem FROM (SELECT * FROM supplier WHERE s_suppkey % 7 <> 1) FULL JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 2) ON s_suppkey = p_partkey WHERE s_name IS NULL OR p_name IS NULL")(
+    lambda t: O.taxonomy_check(t.supplier.where("s_suppkey % 7 <> 1").withColumnRenamed("s_suppkey", "key"), t.part.where("p_partkey % 5 <> 2").withColumnRenamed("p_partkey", "key"), "key", "s_name", "p_name")
 )
 PRED = "SELECT d.doc_id, l.quality AS gold, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars > 600 THEN 1 ELSE 0 END AS pred FROM labels l LEFT JOIN documents d USING (doc_id)"
 
@@ -426,9 +428,16 @@ def selection(t: Tables) -> DataFrame:
     return R.select_topk(rows, 8, 1, 2).select("request_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
-job("W14_decide", BM25 + " SELECT a.query_id AS request_id, a.score >= 10 AS answerable, CASE WHEN a.score < 10 THEN 'low_reranker_score' ELSE 'retrieved' END AS reason, a.score AS top_score, round(a.score - b.score, 6) AS margin FROM bm a LEFT JOIN bm b ON a.query_id = b.query_id AND b.rank = 2 WHERE a.rank = 1")(
-    lambda t: R.decide(sparse(t, 8).select(F.col("query_id").alias("request_id"), "pos", F.col("score").alias("display"), F.col("score").alias("raw")), 10.0).withColumn("margin", F.round("margin", 6))
-)
+@job("W14_decide", BM25 + """, r AS (SELECT a.query_id, a.score AS s1, b.score AS s2 FROM bm a LEFT JOIN bm b ON a.query_id = b.query_id AND b.rank = 2 WHERE a.rank = 1 AND a.query_id % 6 NOT IN (4, 5))
+  SELECT item_id AS request_id, coalesce(s1 >= 10, false) AS answerable, CASE WHEN s1 IS NULL AND item_id % 6 = 5 THEN 'empty_query' WHEN s1 IS NULL THEN 'no_candidates' WHEN s1 < 10 THEN 'low_reranker_score' WHEN item_id % 2 = 1 THEN 'retrieved_with_skipped_queries' ELSE 'retrieved' END AS reason,
+    s1 AS top_score, round(s1 - s2, 6) AS margin FROM benchmark LEFT JOIN r ON query_id = item_id""")
+def decisions(t: Tables) -> DataFrame:
+    """Every sixth request has no queries and the one before it no candidates; odd ones had queries out of scope."""
+    rows = sparse(t, 8).where("query_id % 6 not in (4, 5)").select(F.col("query_id").alias("request_id"), "pos", F.col("score").alias("display"), F.col("score").alias("raw"))
+    asked = t.benchmark.select(F.col("item_id").alias("request_id"), F.when(F.col("item_id") % 6 == 5, 0).otherwise(1).alias("n_queries"), (F.col("item_id") % 2).alias("n_skipped"))
+    return R.decide(rows, 10.0, asked).withColumn("margin", F.round("margin", 6))
+
+
 job("W1_dense_topk_all", DENSE_ALL + " SELECT query_id, pos, score, rank FROM dn WHERE rank <= 50")(lambda t: dense_all(t).withColumn("rank", F.col("rank").cast("long")))
 job("A13_retrieval_metrics_all", DENSE_ALL + ", m AS (SELECT query_id, min(rank) FILTER (WHERE same AND rank <= 10) AS f FROM dn GROUP BY 1) SELECT count(*) AS n_queries, " + ", ".join(f"avg(CASE WHEN f <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) AS mrr, sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END)::BIGINT AS misses FROM m")(
     lambda t: R.retrieval_metrics(dense_all(t, 10), same_label_all(t)).withColumn("mrr", F.round("mrr", 9))
@@ -496,16 +505,21 @@ job("G5_turkish_char_error")(lambda t: t.part.select("p_partkey", E.turkish_char
 BARE = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
-@job("F5_validate_record", f"""SELECT doc_id, CASE WHEN length({BARE.format('text')}) < 40 THEN 'short_text' WHEN doc_id % 6 = 5 THEN 'document_type' WHEN doc_id % 11 = 0 THEN 'primary_topic'
-  WHEN length({BARE.format('substr(text, 31, 30)')}) < 10 THEN 'short_action' WHEN source = 'src1' THEN 'key_information_type' WHEN n_chars % 7 = 0 THEN 'missing_information' END AS reason FROM documents""")
+@job("F5_validate_record", f"""SELECT doc_id, CASE WHEN length({BARE.format('text')}) < 40 THEN 'short_text' WHEN n_chars % 17 = 0 THEN 'forbidden_key' WHEN doc_id % 6 = 5 THEN 'document_type' WHEN doc_id % 11 = 0 THEN 'primary_topic'
+  WHEN n_chars % 13 = 0 THEN 'short_action' WHEN n_chars % 13 = 1 THEN 'generic_action' WHEN source = 'src1' THEN 'key_information_type' WHEN n_chars % 7 = 0 THEN 'missing_information' END AS reason FROM documents""")
 def record_reasons(t: Tables) -> DataFrame:
-    kinds = F.array(*map(F.lit, [*P.DOCUMENT_TYPES, "DIGER"]))
-    labels = F.struct(
-        F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("document_type"), F.lit("VATANDAS").alias("sender_type"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("primary_topic"),
-        F.substring("text", 31, 30).alias("requested_action"), F.array(F.struct(F.when(F.col("source") == "src1", "OTHER").otherwise("PERSON").alias("type"), F.col("source").alias("value"))).alias("key_information"),
-        F.when(F.col("n_chars") % 7 == 0, F.array(F.lit("adres"))).otherwise(F.expr("cast(array() as array<string>)")).alias("missing_information"), F.lit("on harften uzun").alias("summary"),
-    )
-    return t.documents.select("doc_id", P.record_problem(F.col("text"), labels, F.col("lang"), ["PERSON"]).alias("reason"))
+    """Labels as JSON, key information as an object or a list; some hold a key that is not theirs."""
+    kinds, n = F.array(*map(F.lit, [*P.DOCUMENT_TYPES, "DIGER"])), F.col("n_chars")
+    action = F.when(n % 13 == 0, "kısa").when(n % 13 == 1, "Geregi yapılması").otherwise(F.col("text"))
+    kind = F.when(F.col("source") == "src1", "OTHER").otherwise("PERSON")
+    listed = F.to_json(F.array(F.struct(kind.alias("type"), F.col("source").alias("value"))))
+    info = F.when(F.col("doc_id") % 2 == 0, listed).otherwise(F.concat(F.lit('{"'), kind, F.lit('":"'), "source", F.lit('"}')))
+    rest = F.to_json(F.struct(
+        F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("document_type"), F.lit("VATANDAS").alias("sender_type"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("primary_topic"), action.alias("requested_action"),
+        F.when(n % 7 == 0, F.array(F.lit("adres"))).otherwise(F.expr("cast(array() as array<string>)")).alias("missing_information"), F.lit("on harften uzun").alias("summary"), F.when(n % 17 == 0, "x").alias("target_unit"),
+    ))
+    labels = F.concat(F.lit('{"key_information":'), info, F.lit(","), F.substring(rest, 2, 1 << 30))
+    return t.documents.select("doc_id", I.record_problem_of(F.col("text"), labels, F.col("lang"), ["PERSON"], ("target_unit",)).alias("reason"))
 
 
 @job("F11_accept_generated", "SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'response_type' WHEN o_orderstatus <> 'F' THEN 'process_status' WHEN o_custkey % 10 = 0 THEN 'incomplete' END AS reason FROM orders")
@@ -517,9 +531,9 @@ def generated_reasons(t: Tables) -> DataFrame:
 
 NO_NUMBERS = "trim(regexp_replace(regexp_replace({}, '\\b[0-9]{{3,5}}\\b', ' ', 'g'), '\\s{{2,}}', ' ', 'g'))"
 MARKS = " + ".join(f"contains(lower(a), '{m}')::INT" for m in P.ADDRESS_MARKS)
-job("R1_build_queries", f"""WITH x AS (SELECT doc_id, source || ' mevzuatı' AS p, substr(text, 1, 60) AS a FROM documents), y AS (SELECT doc_id, {NO_NUMBERS.format('p')} AS p, CASE WHEN {MARKS} < 2 THEN {NO_NUMBERS.format('trim(a)')} END AS a FROM x)
+job("R1_build_queries", f"""WITH x AS (SELECT doc_id, source || ' mevzuatı' AS p, text AS a FROM documents), y AS (SELECT doc_id, {NO_NUMBERS.format('p')} AS p, CASE WHEN {MARKS} < 2 THEN {NO_NUMBERS.format('trim(a)')} END AS a FROM x)
   SELECT doc_id, CASE WHEN length(a) >= 8 AND lower(a) <> lower(p) THEN p || '|' || a ELSE p END AS queries FROM y""")(
-    lambda t: t.documents.select("doc_id", F.array_join(P.build_queries(F.concat("source", F.lit(" mevzuatı")), F.substring("text", 1, 60)), "|").alias("queries"))
+    lambda t: t.documents.select("doc_id", F.array_join(P.build_queries(F.concat("source", F.lit(" mevzuatı")), F.col("text")), "|").alias("queries"))
 )
 CHUNKS = """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), i AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS article FROM x),
   w AS (SELECT doc_id, article, list_filter(regexp_split_to_array(lines[article], '\\s+'), lambda t: t <> '') AS w FROM i), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),
@@ -608,8 +622,9 @@ job("R7_search")(lambda t: Q.search(requests(t), articles(t), 2025)[0].select("r
 
 # --- letters ----------------------------------------------------------------------------------------------------
 
-job("L1_extract_letter", f"SELECT doc_id, {BARE.format('text')} AS letter FROM documents")(
-    lambda t: t.documents.select("doc_id", D.extract_letter(F.to_json(F.struct(F.lit("x").alias("response_type"), F.col("text").alias("draft")))).alias("letter"))
+SIGNATURE = "CASE WHEN doc_id % 3 = 0 THEN char(10) || char(10) || 'T.C. Kimlik No: 1' || char(10) || 'Tel 2' || char(10) || char(10) || 'Son' ELSE '' END"
+job("L1_extract_letter", f"SELECT doc_id, {BARE.format('text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || chr(83) || chr(111) || chr(110) ELSE chr(32) END')} AS letter FROM documents")(
+    lambda t: t.documents.select("doc_id", D.extract_letter(F.to_json(F.struct(F.lit("x").alias("response_type"), F.expr(f"text || {SIGNATURE}").alias("draft")))).alias("letter"))
 )
 LAW = "array(named_struct('law', '3194 sayılı Kanun', 'article', 'Madde 8', 'title', 'Plan'))"
 job("L4a_ensure_citation")(lambda t: t.documents.select("doc_id", D.ensure_citation(F.col("text"), F.expr(LAW)).alias("letter")))
@@ -619,8 +634,9 @@ job("G11_finish_letters")(
 job("F13_check_domains", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'response_type' END, CASE WHEN o_orderstatus <> 'F' THEN 'process_status' END) AS broken FROM orders")(
     lambda t: t.orders.select("o_orderkey", F.array_join(D.check_domains({"response_type": F.col("o_orderpriority"), "process_status": F.col("o_orderstatus")}, {"response_type": ["1-URGENT", "2-HIGH"], "process_status": ["F"]}), ",").alias("broken"))
 )
-job("F16_one_sentence_note", f"SELECT doc_id, n LIKE '%.' AND NOT regexp_matches(n, '[.!?]\\s') AND NOT regexp_matches(lower(n), '^(sayın|{'|'.join(D.SALUTATIONS)})') AS ok FROM (SELECT doc_id, {BARE.format('substr(text, 1, 40 + doc_id % 60)')} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.' END AS n FROM documents)")(
-    lambda t: t.documents.select("doc_id", D.one_sentence_note(F.concat(T.stripped(F.expr("substring(text, 1, cast(40 + doc_id % 60 as int))")), F.when(F.col("doc_id") % 3 == 0, "").otherwise("."))).alias("ok"))
+NOTE = "CASE WHEN doc_id % 2 = 0 THEN 'Başvurunuz ' || source || ' birimine iletildi' WHEN doc_id % 5 = 0 THEN 'Sayın ' || lang ELSE text END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.' END"
+job("F16_one_sentence_note", f"SELECT doc_id, n LIKE '%.' AND NOT regexp_matches(n, '[.!?]\\s') AND NOT regexp_matches(lower(n), '^(sayın|{'|'.join(D.SALUTATIONS)})') AS ok FROM (SELECT doc_id, {BARE.format(NOTE)} AS n FROM documents)")(
+    lambda t: t.documents.select("doc_id", D.one_sentence_note(F.expr(NOTE)).alias("ok"))
 )
 
 
@@ -647,10 +663,13 @@ def filled(t: Tables) -> DataFrame:
     return D.fill_templates(rows).select("doc_id", "status", "draft", F.array_join("problems", ";").alias("problems"))
 
 
-@job("G6_ocr_eval", "SELECT coalesce(p_brand, 'ALL') AS grp, count(*) AS n, round(avg(levenshtein(p_type, substr(p_type, 2))::DOUBLE / length(p_type)), 8) AS mean_error FROM part GROUP BY ROLLUP (p_brand)")
+@job("G6_ocr_eval", """WITH x AS (SELECT p_brand, lower(p_type) AS t FROM part), y AS (SELECT p_brand, levenshtein(t, substr(t, 2))::DOUBLE / length(t) AS error, length(regexp_replace(t, '[^isgouc]', '', 'g')) AS total, regexp_matches(t, '^[isgouc]')::INT AS errors FROM x)
+  SELECT coalesce(p_brand, 'ALL') AS grp, count(*) AS n, round(avg(error), 8) AS mean_error, round(sum(errors)::DOUBLE / nullif(sum(total), 0), 8) AS pooled FROM y GROUP BY ROLLUP (p_brand)""")
 def ocr(t: Tables) -> DataFrame:
-    rows = E.ocr_eval(t.part.select("p_brand", "p_type", F.expr("substring(p_type, 2)").alias("found")), "p_type", "found")
-    return E.ocr_summary(rows, "p_brand", F.col("error"), F.col("tr_errors"), F.col("tr_total")).select("grp", "n", F.round("mean_error", 8).alias("mean_error"))
+    """Types of parts, read without their first letter."""
+    rows = E.ocr_eval(t.part.select("p_brand", F.lower("p_type").alias("p_type"), F.expr("substring(lower(p_type), 2)").alias("found")), "p_type", "found")
+    return E.ocr_summary(rows, "p_brand", F.col("error"), F.col("tr_errors"), F.col("tr_total")).select("grp", "n", F.round("mean_error", 8).alias("mean_error"), F.round("pooled", 8).alias("pooled"))
+
 
 LETTER = "text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Bilgilerinizi rica ederim.' WHEN doc_id % 3 = 1 THEN ' İşlemler eski kanun uyarınca yürütülmüştür.' ELSE '' END"
 CITE = "İşlemler 3194 sayılı Kanun Madde 8 (Plan) uyarınca yürütülmüştür."
