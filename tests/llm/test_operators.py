@@ -503,6 +503,29 @@ def test_html_attributes_comments_and_spans(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div style='visibility:hidden'>a<p style='visibility:visible'>shown</p>b</div>c", "shown\n\nc"),
+        ("<div style='display:none'>a<p style='visibility:visible'>b</p></div>c", "c"),
+        ("<p>1<div>2</p>3", "1\n\n2\n\n3"),
+        ("a</p>b", "a\n\nb"),
+        ("<script><!-- <script> </script> -->z</script>w", "w"),
+        ("<script><!-- </script>w", "w"),
+        ("<script><!--> <script> </script>w", "w"),
+        ("<script>a = '<script>'</script>w", "w"),
+        ("<ol start=5><li>a<li>b<li value=20>c<li>d</ol>", "5. a\n6. b\n20. c\n21. d"),
+        ("<ol start=x><li value=''>a</ol>", "1. a"),
+        ("a<input type=submit value='Go &amp; see'>b<input value=no><input type=hidden value=no>", "a Go & see b"),
+        ("<pre>\n\n a\n</pre>b", " a\n\nb"),
+        ("<pre>\n a</pre>", " a"),
+        ("<ul><li style='visibility:hidden'>a<li>b</ul>", "- b"),
+    ],
+)
+def test_html_as_browsers_show_it(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_html_takes_linear_time():
     soups = ["<div>{}</b>", "<b><table><div>{}</b>", "<a title='{}>x", "<table><tr><td rowspan=0>{}<tr><td>x", "<td colspan=9999>{}<tr><td>", "<ul><li>x{}</p>", "<{}<", "<!--{}-"]
     for soup in soups:

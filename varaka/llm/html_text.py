@@ -14,9 +14,13 @@ Spark spreads the pages; a page is rendered by itself, without recursion.
 Where the open elements of a name are is kept beside the stack, so tag soup
 takes time proportional to its length.
 
+Visibility is inherited, lists begin at ``start`` and go on from ``value``, the texts
+of input buttons are shown, a line feed right behind ``pre`` is not, and a stray
+end of a paragraph makes an empty one.
+
 Defined cases: null or empty HTML gives empty text; unclosed comments, tags and
 raw-text elements run to the end, a quote that is never closed is a character
-like others; stray end tags are ignored; rows that repeat a
+like others; other stray end tags are ignored; rows that repeat a
 page_id each give a row; other columns are ignored.  An open head ends at the
 first tag or text that may not stand in it.  All options of a select are kept.
 """
@@ -59,6 +63,13 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 
+#: what shields an open paragraph from an end tag
+P_SCOPE = {"table", "td", "th", "button", "object"}
+#: a line feed right behind these start tags is not text
+KEEPS_LINES = frozenset("pre textarea listing".split())
+#: inputs whose value is the text of a button
+BUTTONS = frozenset("submit button reset".split())
+
 #: widest column that cells are padded to, and most columns (and grid cells beside a page's own) that spans may add
 PADDED, SPANNED = 120, 1000
 DEEP = 24
@@ -79,16 +90,49 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def hidden(raw: str) -> bool:
-    """Whether an element's attributes take it off the screen."""
+def shown(raw: str, inherited: bool) -> bool | None:
+    """Whether the text of an element with these attributes is on the screen; None if nothing inside it can be.
+
+    Visibility is inherited and may be turned on again inside; ``hidden`` and
+    ``display: none`` take the whole subtree away.
+    """
     found = attributes(raw)
     if "hidden" in found:
-        return True
+        return None
     style = {}
     for rule in COMMENT.sub("", found.get("style", "")).lower().split(";"):
         name, _, value = rule.partition(":")
         style[name.strip()] = value.partition("!")[0].strip()
-    return style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
+    if style.get("display") == "none":
+        return None
+    return {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility", ""), inherited)
+
+
+def whole_number(text: str | None) -> int | None:
+    """The number that an attribute begins with."""
+    m = re.match(r"\s*([+-]?\d{1,9})", text or "")
+    return int(m[1]) if m else None
+
+
+SCRIPT = re.compile(r"<!--(?:-?>)?|-->|<(/?)script(?=[\s/>])", re.I)
+
+
+def script_end(page: str, at: int) -> tuple[int, int]:
+    """Where the text of a script that begins at ``at`` ends, and its end tag: inside a comment, a script tag shields the next end tag."""
+    state = 0  # outside a comment, inside one, inside one behind a script tag
+    for m in SCRIPT.finditer(page, at):
+        if m[0].startswith("<!"):
+            state = state if m[0].endswith(">") else max(state, 1)
+        elif m[0] == "-->":
+            state = 0
+        elif not m[1]:
+            state = 2 if state else 0
+        elif state == 2:
+            state = 1
+        else:
+            end = page.find(">", m.end())
+            return m.start(), end + 1 if end >= 0 else len(page)
+    return len(page), len(page)
 
 
 class Node:
@@ -120,10 +164,11 @@ def build(page: str) -> Node:
             cut(len(stack) - 1)
         stack[-1].children.append(text)
 
-    def close(names: set[str], stop: set[str]) -> None:
-        """End the innermost open element of ``names`` that no element of ``stop`` shields."""
-        if (i := last(names)) > last(stop):
+    def close(names: set[str], stop: set[str]) -> bool:
+        """End the innermost open element of ``names`` that no element of ``stop`` shields; whether there is one."""
+        if found := (i := last(names)) > last(stop):
             cut(i)
+        return found
 
     def close_all(names: set[str], stop: set[str]) -> None:
         """End the outermost such element."""
@@ -148,12 +193,13 @@ def build(page: str) -> Node:
                     stack[-1].children.append(Node("br"))
                 continue
             stop = {"table"} if name not in ("table", "body", "html") else set()
-            close({name}, stop)
+            if not close({name}, stop | P_SCOPE if name == "p" else stop) and name == "p":
+                stack[-1].children.append(Node("p"))  # an empty paragraph
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
             cut(len(stack) - 1)
         if name in ENDS_P:
-            close({"p"}, {"table", "td", "th", "button", "object"})
+            close({"p"}, P_SCOPE)
         if name in IMPLIED:
             close_all(*IMPLIED[name])
         in_svg = svg is not None and svg_at < len(stack) and stack[svg_at] is svg
@@ -163,6 +209,13 @@ def build(page: str) -> Node:
             continue
         if name == "svg" and not in_svg:
             svg, svg_at = node, len(stack)
+        if name in KEEPS_LINES and page.startswith(("\n", "\r\n"), at):
+            at = page.index("\n", at) + 1
+        if name == "script":
+            stop_at, after = script_end(page, at)
+            node.children.append(page[at:stop_at])
+            at = after
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else n])
@@ -213,13 +266,14 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     out = Lines()
     # work: (element or text, or None with what to do at an element's end), state is kept beside it
-    work: list = [(c, False, 0) for c in reversed(root.children)]
+    work: list = [(c, False, 0, True) for c in reversed(root.children)]
     counters: list[list] = []
     tables: list[list] = []
     while work:
-        node, pre, depth = work.pop()
+        node, pre, depth, seen = work.pop()
         if isinstance(node, str):
-            out.text(node, pre)
+            if seen:
+                out.text(node, pre)
             continue
         if isinstance(node, tuple):
             _leave(node[0], out, counters, tables, depth)
@@ -229,7 +283,9 @@ def render(root: Node) -> str:
                 out = tables.pop()[1]
             continue
         name = node.name
-        if name in UNSEEN or (node.attributes and hidden(node.attributes)):
+        if name in UNSEEN:
+            continue
+        if node.attributes and (seen := shown(node.attributes, seen)) is None:
             continue
         if name == "br":
             out.end(True) if pre else _break(out)
@@ -237,6 +293,10 @@ def render(root: Node) -> str:
         if name in VOID:
             if name == "hr":
                 out.space()
+            elif name == "input" and seen:
+                found = attributes(node.attributes)
+                if found.get("type", "").strip().lower() in BUTTONS:
+                    out.text(html.escape(f" {found.get('value', '')} "), False)
             continue
         if name in BLOCKS:
             out.space() if name in SPACED and depth == 0 else out.end()
@@ -251,18 +311,20 @@ def render(root: Node) -> str:
             tables.append(["cell", out, node])
             out = Lines()
         elif name in ("ul", "ol"):
-            counters.append([name, 0])
+            first = whole_number(attributes(node.attributes).get("start")) if name == "ol" and node.attributes else None
+            counters.append([name, (1 if first is None else first) - 1])
             depth += 1
         elif name == "li":
             mark = "- "
             if counters:
-                counters[-1][1] += 1
+                told = whole_number(attributes(node.attributes).get("value")) if node.attributes else None
+                counters[-1][1] = counters[-1][1] + 1 if told is None else told
                 mark = f"{counters[-1][1]}. " if counters[-1][0] == "ol" else "- "
             out.end()
-            out.lead = "  " * min(DEEP, max(0, len(counters) - 1)) + mark
-        work.append(((node,), pre, depth))
+            out.lead = "  " * min(DEEP, max(0, len(counters) - 1)) + (mark if seen else "")
+        work.append(((node,), pre, depth, seen))
         pre = pre or name in ("pre", "textarea")
-        work += [(c, pre, depth) for c in reversed(node.children) if name not in ("svg", "g") or not isinstance(c, str)]  # svg shows the text of its text elements
+        work += [(c, pre, depth, seen) for c in reversed(node.children) if name not in ("svg", "g") or not isinstance(c, str)]  # svg shows the text of its text elements
     out.end()
     return "\n".join(out.lines).strip("\n")
 
@@ -294,7 +356,7 @@ def _leave(node: Node, out: Lines, counters: list, tables: list, depth: int) ->
         tables.append(["table done", outer])
         return
     if name in BLOCKS:
-        out.end(name == "pre" and bool(out.line))
+        out.end(name == "pre" and any(out.line))
     if name == "li":
         out.lead = ""
     if name in ("ul", "ol") and counters:
