@@ -29,6 +29,7 @@ class Bm25Index:
         self.tokens = stored(tokens.withColumn("dl", F.size("tokens")), "bm25")
         found = self.tokens.agg(F.count("*"), F.avg("dl")).first()
         self.n_docs, self.avgdl = int(found[0]), float(found[1] or 0.0)
+        self._idf: DataFrame | None = None
 
     def frequencies(self) -> DataFrame:
         """(term, df, raw): chunks that hold each term, and its unbounded idf."""
@@ -36,10 +37,12 @@ class Bm25Index:
         return df.withColumn("raw", F.log(self.n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
 
     def idf(self) -> DataFrame:
-        """(term, df, idf): a negative idf is raised to a share of the mean over all terms."""
-        raw = self.frequencies()
-        floor = float(raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
-        return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+        """(term, df, idf): a negative idf is raised to a share of the mean over all terms; terms are counted once for an index."""
+        if self._idf is None:
+            raw = stored(self.frequencies(), "bm25")
+            floor = float(raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
+            self._idf = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+        return self._idf
 
     def statistics(self) -> DataFrame:
         """(term, df, tf, idf) of every term; ``tf`` counts all its occurrences."""
@@ -64,9 +67,18 @@ class Bm25Index:
         return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool)
 
 
-def small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """``df``, marked for broadcast where a count shows that it is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 500_000, most_bytes: int = 64_000_000) -> DataFrame:
+    """``df``, marked for broadcast where it has few rows of few bytes: eight a number, texts and nested values as long as they are shown."""
+
+    def size(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        nested = kind.startswith(("array", "map", "struct")) or kind == "variant"
+        return F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{name}`").alias("x")))), F.lit(0)) if nested else F.lit(8)
+
+    width = sum((size(n, k).cast("long") for n, k in df.dtypes), F.lit(0).cast("long"))
+    rows, size_ = df.limit(most + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if rows <= most and (size_ or 0) <= most_bytes else df
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
