@@ -28,6 +28,10 @@ CONTACT = r"(?U)\b(?:telefon(?: numarası)?\w*|e[ -]?posta\w*|internet adres\w*|
 LIVE_SERVICE = r"(?U)\b(?:nöbetçi|bugün açık|yarın açık)\b"
 RECENT = r"(?U)\b(?:geçen hafta\w*|bu hafta\w*|dün|bugün|az önce|son toplantı)\b"
 EVENT = r"(?U)\b(?:toplantı|karar|gündem|ihale sonucu|etkinlik)\w*\b"
+MARKDOWN = [
+    (r"\*{1,3}(.*?)\*{1,3}", "$1"), (r"_{1,3}(.*?)_{1,3}", "$1"), (r"(?m)^#+\s*", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"`{1,3}(.*?)`{1,3}", "$1"), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"),
+]
 PRICE, HOW_MUCH = r"\b(?:tarife|ücret|bedel|metrekare değer|rayiç değer)\w*\b", r"\b(?:ne kadar|kaç (?:tl|lira)|tutar)\w*\b"
 AMOUNT = f"(?U){PRICE}.*{HOW_MUCH}|{HOW_MUCH}.*{PRICE}"
 
@@ -49,10 +53,7 @@ def word_count(s: Column) -> Column:
 
 def clean_markdown(s: Column) -> Column:
     """Emphasis, headings, links, code, rules and long gaps, in this order; null becomes empty."""
-    for pattern, to in (
-        (r"\*{1,3}(.*?)\*{1,3}", "$1"), (r"_{1,3}(.*?)_{1,3}", "$1"), (r"(?m)^#+\s*", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"`{1,3}(.*?)`{1,3}", "$1"), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, to in MARKDOWN:
         s = F.regexp_replace(s, pattern, to)
     return F.coalesce(F.regexp_replace(s, r"(?U)^\s+|\s+\z", ""), F.lit(""))
 

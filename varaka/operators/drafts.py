@@ -20,6 +20,11 @@ DANGLING = r"(?iuUs)\s*İşlemler\s+.+?uyarınca(?:\s+yürütülmüştür)?\.?\s
 WAITING, COMPLETION = "EKSIK_BILGI_BEKLENIYOR", "EKSIK_BILGI_BELGE_TAMAMLAMA_YAZISI"
 MISSING = "Yapılan inceleme neticesinde başvurunuza ilişkin bazı bilgi/belgelerin eksik olduğu tespit edilmiştir: {}. Söz konusu eksikliklerin tarafımıza iletilmesi, başvurunuzun sağlıklı bir şekilde sonuçlandırılabilmesi için önem arz etmektedir."
 LAWS = "Konuya ilişkin mevzuat hükümleri incelenmiş olup; {} Bu hükümler çerçevesinde başvurunuz değerlendirmeye alınmıştır."
+ASKED = "Başvurunuzda {} talep edilmektedir."
+FOLLOWED = "Süreç, {} tarafından takip edilmektedir. "
+REFERRED = "İlgi: {} tarihli başvurunuz.\n"
+OFFICE, NO_TOPIC, TOPIC, NUMBER = "BELEDİYE BAŞKANLIĞI", "Konu: Başvurunuz Hk.", "Konu: {} Hk.", "Sayı: {}"
+DEAR, SOMEONE, SOME_UNIT, REGARDS = "Sayın {},", "İlgili", "İlgili Müdürlük", "Saygılarımla,"
 ACTIONS = "Bu kapsamda tarafımızca aşağıdaki işlemler gerçekleştirilmiştir: {}."
 CONTACT = "Başvurunuzun değerlendirilmesi sürecinde belediyemiz, ilgili mevzuat hükümlerine ve idari usul esaslarına tam uyum göstererek, konunun sağlıklı ve zamanında sonuçlandırılması için gerekli çalışmaları titizlikle yürütmektedir. Süreçle ilgili herhangi bir sorunuz olması halinde {} ile iletişime geçebilirsiniz."
 FILLERS = [
@@ -222,23 +227,23 @@ def template_letter(user: Column, answer: Column, older_unit: Column | None = No
     """
     info = user["key_information"]
     first = lambda *kinds: F.coalesce(*(_filled(T.first_value(info, k)) for k in kinds))
-    unit = F.coalesce(migrated_unit(_filled(answer["target_unit"]), F.lit(None).cast("string") if older_unit is None else _filled(older_unit)), F.lit("İlgili Müdürlük"))
+    unit = F.coalesce(migrated_unit(_filled(answer["target_unit"]), F.lit(None).cast("string") if older_unit is None else _filled(older_unit)), F.lit(SOME_UNIT))
     place, topic, date = F.upper(T.district(first("LOCATION"))), T.humanize(user["primary_topic"]), first("DATE", "REFERENCE_DATE")
     summary, action = _text(user["summary"]), _text(user["requested_action"])
     bare = lambda s: F.regexp_replace(_text(s), r"\.+\z", "")
     listed = lambda items: _filled(F.array_join(F.filter(F.transform(items, bare), lambda s: s != ""), "; "))
-    ask = F.when((action != "") & ~F.contains(summary, action), _sentence("Başvurunuzda {} talep edilmektedir.", bare(action)))
+    ask = F.when((action != "") & ~F.contains(summary, action), _sentence(ASKED, bare(action)))
     process = _filled(answer["process_information"])
     paragraphs = [
         _filled(F.concat_ws(" ", F.nullif(summary, F.lit("")), ask)), _sentence(MISSING, listed(user["missing_information"])), _sentence(LAWS, _filled(T.legislation_paragraph(user["selected_legislation"]))),
-        _sentence(ACTIONS, listed(action_texts(answer["performed_actions"]))), _filled(answer["result_information"]), F.concat(F.lit("Süreç, "), unit, F.lit(" tarafından takip edilmektedir. "), process), _sentence(CONTACT, unit),
+        _sentence(ACTIONS, listed(action_texts(answer["performed_actions"]))), _filled(answer["result_information"]), F.concat(_sentence(FOLLOWED, unit), process), _sentence(CONTACT, unit),
     ]
     head = [
-        F.lit("T.C."), F.when(place != "", F.concat(place, F.lit(" BELEDİYE BAŞKANLIĞI"))).otherwise("BELEDİYE BAŞKANLIĞI"), unit, F.lit(""),
-        F.concat(F.lit("Sayı: "), F.coalesce(first("REFERENCE_NO", "DOCUMENT_NO", "APPLICATION_NO"), F.lit("-"))), F.when(topic != "", F.concat(F.lit("Konu: "), topic, F.lit(" Hk."))).otherwise("Konu: Başvurunuz Hk."), F.lit(""),
-        _sentence("İlgi: {} tarihli başvurunuz.\n", date), F.concat(F.lit("Sayın "), F.coalesce(first("PERSON", "ORGANIZATION"), F.lit("İlgili")), F.lit(",")), F.lit(""),
+        F.lit("T.C."), F.when(place != "", F.concat_ws(" ", place, F.lit(OFFICE))).otherwise(OFFICE), unit, F.lit(""),
+        _sentence(NUMBER, F.coalesce(first("REFERENCE_NO", "DOCUMENT_NO", "APPLICATION_NO"), F.lit("-"))), F.when(topic != "", _sentence(TOPIC, topic)).otherwise(NO_TOPIC), F.lit(""),
+        _sentence(REFERRED, date), _sentence(DEAR, F.coalesce(first("PERSON", "ORGANIZATION"), F.lit(SOMEONE))), F.lit(""),
     ]
-    tail = [F.lit(""), T.closing(F.upper(user["sender_type"])), F.lit(""), F.lit("Saygılarımla,"), F.lit(""), F.lit(""), unit]
+    tail = [F.lit(""), T.closing(F.upper(user["sender_type"])), F.lit(""), F.lit(REGARDS), F.lit(""), F.lit(""), unit]
     return F.concat_ws("\n", *head, *paragraphs, *tail)
 
 

@@ -33,9 +33,19 @@ def read_chat(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(CHAT).json(list(paths)).where("messages is not null")
 
 
-def read_eval_records(spark: SparkSession, path: str) -> DataFrame:
-    """(document_text, labels) of raw or chat rows; a row that is neither is an error."""
-    rows = spark.read.schema(f"{RECORD}, {CHAT}").json(path)
+def first_of(spark: SparkSession, schema: str, paths: tuple[str, ...]) -> DataFrame:
+    """The first of ``paths`` that exists, as JSON lines."""
+    for path in paths:
+        try:
+            return spark.read.schema(schema).json(path)
+        except AnalysisException:  # not there
+            continue
+    raise FileNotFoundError(", ".join(paths))
+
+
+def read_eval_records(spark: SparkSession, *paths: str) -> DataFrame:
+    """(document_text, labels) of raw or chat rows of the first path that exists; a row that is neither is an error."""
+    rows = first_of(spark, f"{RECORD}, {CHAT}", paths)
     text = F.coalesce("document_text", F.get("messages", F.lit(1))["content"])
     labels = F.coalesce("labels", F.from_json(F.get("messages", F.lit(2))["content"], LABELS))
     rows = rows.where("document_text is not null or labels is not null or messages is not null").select(text.alias("document_text"), labels.alias("labels"))
