@@ -15,7 +15,7 @@ so a larger benchmark costs more scans but no more memory.
 Repetitive texts: alignments of a text and an item are at most as many as their
 words together, and are found without listing the pairs of places that meet.
 
-Words are lower-cased (A-Z) and cut at white space and ASCII punctuation.
+Words are equal when their 64-bit hashes are (``text``), lower-cased (A-Z) and cut at white space and ASCII punctuation.
 
 Defined cases: null or empty texts and items match nothing; an item with fewer
 words than the overlap matches as a whole, word for word, if it has at least

@@ -1,7 +1,7 @@
 """Language-model scores from a weighted backoff automaton.
 
 Counting: words, bigrams and trigrams of all training texts are counted by
-64-bit keys, whatever their number and however rare they are; none is left out.
+64-bit keys (words are equal when their hashes are, see ``text``), whatever their number and however rare they are; none is left out.
 Nothing of the model is gathered in one place: documents are packed into blocks
 of bounded size, and blocks ask (``blocks.Exchange``) for the counts of their
 own n-grams: first of words and bigrams, then of the trigrams both of whose

@@ -3,7 +3,8 @@
 Each document has ``BANDS`` band keys and an Odd sketch: its MinHash samples
 folded into a parity bitmap.  The population count of the XOR of two Odd
 sketches estimates their similarity before a pair leaves the join.  Classes,
-rounds and the confirmation on full sets are those of ``linked_sets``.
+rounds and the confirmation on full sets are those of ``linked_sets``, where
+shingles are equal when their 64-bit hashes are.
 
 Defined cases: a null or word-less text has an empty set, links with nothing
 and is its own component.  A text with fewer words than a shingle has its whole

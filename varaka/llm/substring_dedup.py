@@ -16,6 +16,8 @@ of whose high-level symbols are shared (and those that hold the words of none, s
 inside of a long run: a run is never swallowed).  Their 128-bit hashes are
 verified in one more exchange: a window repeats if a smaller doc_id has it.
 
+Equality of words is that of two independent 64-bit hashes of their bytes (``text``).
+
 Texts equal word for word need no windows: one exchange of text digests finds
 those with a smaller doc_id, which lose all their words.  However many documents
 share a symbol or window, a block sends it once.
