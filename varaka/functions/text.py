@@ -18,6 +18,8 @@ DATIVES = [("Müdürlüğüne", "Müdürlüğü"), ("MÜDÜRLÜĞÜNE", "MÜDÜR
 COUNCIL = ["dns", "danıstay", "danıştay", "danistay"]
 COURT_DEFAULTS = {"case_no": "2021/1042", "decision_no": "2022/4510", "date": "15.03.2022"}
 PERSON_LIKE = ["person", "ad", "soyad", "isim", "basvuran", "kisi", "location", "address", "adres", "mahalle", "konum"]
+#: the characters that the pattern (?U)\s matches
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[0-9]+(?:/[0-9A-Za-zÇĞİÖŞÜçğıöşü]+)?|[a-zçğıöşü]+"
 ARTICLE_REFERENCE = (
     r"(?iuU)(?:\bmadde(?:si|sinin|de|den)?\s*\d+(?:\s*/\s*[a-zçğıöşü0-9]+)?\b|"
@@ -90,34 +92,54 @@ def record_uid(file: Column, index: Column, content: Column) -> Column:
 
 
 def stripped(s: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")
+    """Without white space of any kind at both ends; only these are looked at."""
+    return F.btrim(s, F.lit(WHITE))
+
+
+def rstripped(s: Column) -> Column:
+    return F.rtrim(s, F.lit(WHITE))
 
 
 def unfenced(s: Column) -> Column:
     return stripped(F.regexp_replace(stripped(F.regexp_replace(stripped(s), r"^```(json)?", "")), r"```\z", ""))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once.
+
+    Bodies of lambdas are interpreted, and there what an expression names twice
+    is computed twice.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _object(s: Column) -> Column:
     """The text, where it is a JSON object."""
-    return F.when(F.try_parse_json(s).isNotNull() & F.schema_of_variant(F.try_parse_json(s)).startswith("OBJECT"), s)
+    return let(s, lambda x: let(F.try_parse_json(x), lambda v: F.when(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), x)))
+
+
+def _braced(t: Column) -> Column:
+    return F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def json_text(s: Column) -> Column:
     """The JSON object in a model's answer: fences dropped, else the outermost braces; null without one."""
-    t = unfenced(s)
-    return F.coalesce(_object(t), _object(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))))
+    return let(unfenced(s), lambda t: F.when(t.contains("{"), F.coalesce(_object(t), _object(_braced(t)))))
 
 
 def repaired_json(s: Column) -> Column:
     """``json_text``, and for cut-off answers the open string, arrays and objects are closed."""
-    t = stripped(F.regexp_replace(stripped(s), r"(?m)^```(json)?|```$", ""))
-    c = F.when(t.contains("{"), F.substr(t, F.instr(t, "{"))).otherwise(t)
     count = lambda x, ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
-    c = F.when(count(c, '"') % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
-    curly, square = count(c, "{") - count(c, "}"), count(c, "[") - count(c, "]")
-    c = F.concat(F.regexp_replace(F.rtrim(c), r",+$", ""), F.repeat(F.lit("]"), F.greatest(square, F.lit(0))), F.repeat(F.lit("}"), F.greatest(curly, F.lit(0))))
-    return F.coalesce(_object(t), _object(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))), _object(c))
+    quoted = lambda c: F.when(count(c, '"') % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
+
+    def closed(c: Column) -> Column:
+        curly, square = count(c, "{") - count(c, "}"), count(c, "[") - count(c, "]")
+        return F.concat(F.regexp_replace(F.rtrim(c), r",+$", ""), F.repeat(F.lit("]"), F.greatest(square, F.lit(0))), F.repeat(F.lit("}"), F.greatest(curly, F.lit(0))))
+
+    cut = lambda t: let(let(F.substr(t, F.instr(t, "{")), quoted), closed)
+    bare = lambda x: stripped(F.regexp_replace(stripped(x), r"(?m)^```(json)?|```$", ""))
+    read = lambda t: F.coalesce(_object(t), _object(_braced(t)), _object(cut(t)))
+    return let(s, lambda x: F.when(x.contains("{"), let(bare(x), read)))
 
 
 def closing(sender: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varaka.functions.text import stripped
+from varaka.functions.text import let, rstripped, stripped
 from varaka.operators.ranks import ranked
 
 
@@ -58,18 +58,21 @@ ATTACHMENT_HEAD = r"(?iuU)^ek(?:ler| listesi)?\s*:?\s*(.*)$"
 BULLET = r"^[-•*–]"
 CLOSING_STARTS = ["saygılarımla", "saygılar", "saygilar", "bilgilerinize", "gereğini", "geregini"]
 CLOSING_PARTS = ["rica ederim", "arz ederim"]
+RARE_BREAK = r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
-def is_attachment_line(line: Column) -> Column:
-    """A bullet that names an attachment, or a heading of attachments that stands alone or names one."""
-    t = stripped(line)
-    rest = F.regexp_extract(t, ATTACHMENT_HEAD, 1)
-    return (t.rlike(BULLET) & t.rlike(ATTACHMENT_WORDS)) | (t.rlike(ATTACHMENT_HEAD) & ((stripped(rest) == "") | rest.rlike(ATTACHMENT_WORDS)))
+def lines_of(text: Column) -> Column:
+    """The lines of a text; only one with other breaks than line feeds needs the pattern of all."""
+    return let(text, lambda s: F.when(s.rlike(RARE_BREAK), F.split(s, LINE_BREAK)).otherwise(F.split(s, "\n")))
 
 
-def is_closing_line(line: Column) -> Column:
-    low = F.lower(stripped(line))
+def _names_attachment(t: Column) -> Column:
+    rest = lambda r: (stripped(r) == "") | r.rlike(ATTACHMENT_WORDS)
+    return (t.rlike(BULLET) & t.rlike(ATTACHMENT_WORDS)) | (t.rlike(ATTACHMENT_HEAD) & let(F.regexp_extract(t, ATTACHMENT_HEAD, 1), rest))
+
+
+def _closes(low: Column) -> Column:
     tests = [low.startswith(x) for x in CLOSING_STARTS] + [low.contains(x) for x in CLOSING_PARTS]
     found = tests[0]
     for t in tests[1:]:
@@ -77,9 +80,29 @@ def is_closing_line(line: Column) -> Column:
     return found
 
 
+def is_attachment_line(line: Column) -> Column:
+    """A bullet that names an attachment, or a heading of attachments that stands alone or names one."""
+    return let(stripped(line), _names_attachment)
+
+
+def is_closing_line(line: Column) -> Column:
+    return let(F.lower(stripped(line)), _closes)
+
+
 def last_index(lines: Column, test) -> Column:
-    """0-based place of the last line that ``test`` holds for; -1 without one."""
-    return F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(test(x), i))), F.lit(-1))
+    """0-based place of the last line that ``test`` holds for; -1 without one.
+
+    Lines are tested from the end until one holds: the state counts down and is negative from there on.
+    """
+    step = lambda s, x: F.when(s < 0, s).when(test(x), -s).otherwise(s - 1)
+    found = let(lines, lambda rows: F.aggregate(F.reverse(rows), F.size(rows), step, lambda s: F.when(s < 0, -s - 1).otherwise(F.lit(-1))))
+    return F.coalesce(found, F.lit(-1))
+
+
+def without_runs(lines: Column, kinds: Column, pattern: str) -> Column:
+    """``lines`` without those whose letter in ``kinds``, a letter for each, ``pattern`` finds; ``\\G`` goes on where the letter before was found."""
+    found = F.split(F.regexp_replace(F.array_join(kinds, ""), pattern, "-"), "")
+    return let(found, lambda f: F.filter(lines, lambda _, i: F.get(f, i) != "-"))
 
 
 def strip_attachments(letter: Column) -> Column:
@@ -88,19 +111,17 @@ def strip_attachments(letter: Column) -> Column:
     After the closing an attachment line starts a list: blank lines and bullets go
     with it until another line ends it.  Null becomes empty.
     """
-    blank = lambda x: stripped(x) == ""
-    every = F.split(F.regexp_replace(F.coalesce(letter, F.lit("")), r"(?U)\s+\z", ""), LINE_BREAK)
-    lines = F.slice(every, F.lit(1), last_index(every, lambda x: ~blank(x) & ~is_attachment_line(x)) + 1)
-    close = last_index(lines, is_closing_line)
-    marked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), ((close >= 0) & (i > close)).alias("after")))
-    start = F.expr("named_struct('skipping', false, 'kept', cast(array() as array<string>))")
+    every = lines_of(rstripped(F.coalesce(letter, F.lit(""))))
+    kind = lambda t: F.when(_names_attachment(t), "A").when(t == "", "B").when(t.rlike(BULLET), "L").otherwise("O")
+    judged = F.transform(every, lambda x: let(stripped(x), lambda t: F.struct(x.alias("x"), kind(t).alias("kind"), _closes(F.lower(t)).alias("closes"))))
+    cut = lambda rows: F.slice(rows, F.lit(1), last_index(rows, lambda r: ~r["kind"].isin("A", "B")) + 1)
 
-    def step(s: Column, line: Column) -> Column:
-        x = line["x"]
-        drop = line["after"] & (is_attachment_line(x) | (s["skipping"] & (blank(x) | stripped(x).rlike(BULLET))))
-        return F.struct(drop.alias("skipping"), F.when(drop, s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
+    def stripped_rows(rows: Column, close: Column) -> Column:
+        kinds = F.transform(rows, lambda r, i: F.when((close >= 0) & (i > close), r["kind"]).otherwise("O"))
+        return without_runs(rows, kinds, r"A|(?!\A)\G[BL]")
 
-    return F.regexp_replace(F.array_join(F.aggregate(marked, start, step, lambda s: s["kept"]), "\n"), r"(?U)\s+\z", "")
+    kept = let(let(judged, cut), lambda rows: let(last_index(rows, lambda r: r["closes"]), lambda close: stripped_rows(rows, close)))
+    return rstripped(F.array_join(F.transform(kept, lambda r: r["x"]), "\n"))
 
 
 def worst_k(df: DataFrame, score: str, k: int = 5, tie: str = "record_id") -> DataFrame:
