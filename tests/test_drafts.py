@@ -134,3 +134,41 @@ def test_refreshed_messages(spark):
     final = [json.loads(got[k]["messages"][2]["content"]) for k in range(4)]
     assert final == [{"z": 1, "target_unit": "A", "draft": "3194"}, {"responsible_unit": "A", "target_unit": "B"}, {"target_unit": "B", "draft": 'yeni "2"'}, {"x": None, "draft": "eski"}]
     assert got[2]["problems"] == ["p"] and "too_short(1w)" in got[0]["problems"] and got[3]["problems"] == []
+
+
+def test_long_letters_take_time_in_proportion(spark):
+    """A letter of twice the lines takes about twice the time: what its lines share is computed once, not for each."""
+    import time
+
+    from varaka.operators import letters as L
+
+    def seconds(n: int) -> float:
+        text = "\n".join(["Sayın Ali Veli,", *(f"Satır {i} metin burada" for i in range(n)), "Bilgilerinizi rica ederim.", "- dilekçe", "Ek: 2 sayfa", "son"])
+        rows = spark.createDataFrame([(text,)], "t string").coalesce(1).cache()
+        rows.count()
+        laws, info = F.expr("array(named_struct('law', '3194 sayılı Kanun', 'article', 'Madde 8', 'title', 'Plan'))"), F.expr("array(named_struct('type', 'PERSON', 'value', 'Ali Veli'))")
+        began = time.time()
+        out = rows.select(D.finish_letters(F.col("t"), info, laws, F.lit("Fen İşleri"), F.lit("Park"), F.lit(None).cast("string"), True), L.strip_attachments(F.col("t"))).first()
+        took = time.time() - began
+        assert "Ek: 2" not in out[1] and out[1].endswith("son") and "3194" in out[0]
+        return took
+
+    seconds(50)
+    assert seconds(1500) < 10
+
+
+def test_white_space_and_line_breaks_as_the_patterns_have_them(spark):
+    from varaka.functions import text as T
+    from varaka.operators import letters as L
+
+    rows = spark.createDataFrame([(f"{chr(c)}a{chr(c)}{chr(c)}b{chr(c)}",) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000], "s string")
+    s = F.col("s")
+    wrong = (T.stripped(s) != F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")) | (T.rstripped(s) != F.regexp_replace(s, r"(?U)\s+\z", "")) | (L.lines_of(s) != F.split(s, L.LINE_BREAK))
+    assert rows.where(wrong).count() == 0
+
+
+def test_last_index_counts_from_the_end(spark):
+    from varaka.operators import letters as L
+
+    last = lambda items: L.last_index(F.array(*map(F.lit, items)) if items else F.expr("cast(array() as array<string>)"), lambda x: x == "a")
+    assert tuple(spark.range(1).select(last(["a", "b", "a", "b"]), last(["a"]), last(["b"]), last([])).first()) == (2, 0, -1, -1)

@@ -46,24 +46,11 @@ def _text(c: Column) -> Column:
     return T.stripped(F.coalesce(c, F.lit("")))
 
 
-def _rstripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+\z", "")
-
-
-def _lines(c: Column) -> Column:
-    return F.split(c, L.LINE_BREAK)
-
-
 def _sentence(template: str, value: Column) -> Column:
     before, after = template.split("{}")
     return F.concat(F.lit(before), value, F.lit(after))
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _filled(c: Column) -> Column:
     """Null for blank text."""
     return F.nullif(_text(c), F.lit(""))
@@ -72,16 +59,12 @@ def _filled(c: Column) -> Column:
 def extract_letter(raw: Column) -> Column:
     """The letter of a model's answer: the draft of its JSON, nested ones too; identity numbers go with all that follows to the next blank line."""
     inner = lambda json: F.coalesce(_filled(F.get_json_object(json, "$.draft.draft")), _filled(F.get_json_object(json, "$.draft")))
-    draft = lambda s: F.coalesce(_let(T.repaired_json(s), inner), s)
-    text = _let(_let(_text(raw), draft), lambda s: F.when(s.startswith("{") & s.contains("response_type"), draft(s)).otherwise(s))
-    start = F.expr("named_struct('skip', false, 'kept', cast(array() as array<string>))")
-
-    def step(s: Column, line: Column) -> Column:
-        marked = _any([F.lower(line).contains(m) for m in ID_MARKS])
-        drop = marked | s["skip"]
-        return F.struct((drop & (marked | (T.stripped(line) != ""))).alias("skip"), F.when(drop, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
-
-    return T.stripped(F.array_join(F.aggregate(_lines(text), start, step, lambda s: s["kept"]), "\n"))
+    draft = lambda s: F.coalesce(T.let(T.repaired_json(s), inner), s)
+    text = T.let(T.let(_text(raw), draft), lambda s: F.when(s.startswith("{") & s.contains("response_type"), draft(s)).otherwise(s))
+    marked = lambda line: T.let(F.lower(line), lambda low: _any([low.contains(m) for m in ID_MARKS]))
+    kinds = lambda lines: F.transform(lines, lambda line: F.when(marked(line), "M").when(T.stripped(line) == "", "B").otherwise("O"))
+    kept = T.let(L.lines_of(text), lambda lines: L.without_runs(lines, kinds(lines), r"M|(?!\A)(?<!B)\G[OB]"))
+    return T.stripped(F.array_join(kept, "\n"))
 
 
 def polish_letter(letter: Column, pairs: Column, sender_unit: Column, target_unit: Column, status: Column) -> Column:
@@ -89,68 +72,86 @@ def polish_letter(letter: Column, pairs: Column, sender_unit: Column, target_uni
     target = T.strip_dative(target_unit)
     sender = F.coalesce(_filled(T.strip_dative(sender_unit)), target)
     tokens = F.transform(F.filter(F.coalesce(T.citizen_tokens(pairs), F.expr("cast(array() as array<string>)")), lambda t: F.length(t) > 2), F.lower)
+    given = F.struct(target.alias("target"), sender.alias("sender"), tokens.alias("tokens"))
+    return T.let(given, lambda g: _polished(_text(letter), g["target"], g["sender"], g["tokens"], status))
+
 
+def _polished(letter: Column, target: Column, sender: Column, tokens: Column, status: Column) -> Column:
     def heading(x: Column) -> Column:
-        up = F.upper(T.stripped(x))
-        return up.isin("", "T.C.", "TC") | up.endswith("BAŞKANLIĞINA") | up.endswith("MÜDÜRLÜĞÜNE")
+        return T.let(F.upper(T.stripped(x)), lambda up: up.isin("", "T.C.", "TC") | up.endswith("BAŞKANLIĞINA") | up.endswith("MÜDÜRLÜĞÜNE"))
 
     def headed(text: Column) -> Column:
-        lines = _lines(text)
-        head = F.coalesce(F.array_min(F.transform(F.slice(lines, 1, 8), lambda x, k: F.when(~heading(x), k))), F.least(F.size(lines), F.lit(8)))
-        body = F.regexp_replace(F.array_join(F.slice(lines, head + 1, F.size(lines)), "\n"), r"(?U)^\s+", "")
+        return T.let(L.lines_of(text), lambda lines: T.let(F.coalesce(F.array_min(F.transform(F.slice(lines, 1, 8), lambda x, k: F.when(~heading(x), k))), F.least(F.size(lines), F.lit(8))), lambda head: with_head(text, lines, head)))
+
+    def with_head(text: Column, lines: Column, head: Column) -> Column:
+        body = F.ltrim(F.array_join(F.slice(lines, head + 1, F.size(lines)), "\n"), F.lit(T.WHITE))
         wrong = F.array_join(F.slice(lines, F.lit(1), head), "\n").rlike("(?iu)" + ADDRESSEE) | ~text.rlike(r"(?i)^T\.C\.")
         return F.when(wrong, T.stripped(F.concat(F.lit("T.C.\n"), F.when(sender != "", F.concat(sender, F.lit("\n"))).otherwise(F.lit("")), F.lit("\n"), body))).otherwise(text)
 
     def in_brackets(x: Column) -> Column:
-        t = T.stripped(x)
-        return t.rlike(r"(?s)^\(.*\)\z") & (F.lower(T.stripped(F.regexp_replace(t, r"^\(+|\)+\z", ""))) == F.lower(sender))
+        inner = lambda t: F.lower(T.stripped(F.regexp_replace(t, r"^\(+|\)+\z", "")))
+        return T.let(T.stripped(x), lambda t: t.rlike(r"(?s)^\(.*\)\z") & (inner(t) == F.lower(sender)))
 
     def stays(x: Column) -> Column:
-        low = F.lower(T.stripped(x))
-        signature = F.exists(tokens, lambda t: F.contains(low, t)) | x.rlike(PHONE) | x.rlike(ADDRESS)
-        return (low != "") & (_any([low.startswith(s) for s in SALUTATIONS]) | ~signature)
+        signature = lambda low: F.exists(tokens, lambda t: F.contains(low, t)) | x.rlike(PHONE) | x.rlike(ADDRESS)
+        return T.let(F.lower(T.stripped(x)), lambda low: (low != "") & (_any([low.startswith(s) for s in SALUTATIONS]) | ~signature(low)))
 
     unsigned = lambda lines: F.array_join(F.slice(lines, F.lit(1), L.last_index(lines, stays) + 1), "\n")
-    cut = lambda text: _let(L.drop_adjacent_duplicates(F.filter(_lines(text), lambda x: ~in_brackets(x))), unsigned)
+    cut = lambda text: T.let(L.drop_adjacent_duplicates(F.filter(L.lines_of(text), lambda x: ~in_brackets(x))), unsigned)
 
     def redirected(text: Column) -> Column:
         told = (F.coalesce(status, F.lit("")) == "YONLENDIRILDI") & (target != "") & ~F.contains(F.lower(text), F.lower(target))
         return F.when(told, F.concat(text, F.lit("\n\n"), _sentence(REDIRECTED, target), F.lit("\n"))).otherwise(text)
 
-    text = _text(letter)
+    text = letter
     for step in (headed, cut, L.strip_attachments, redirected):
-        text = _let(text, step)
+        text = T.let(text, step)
     return text
 
 
+def _citable(chosen: Column) -> Column:
+    """Labels of the first two of ``chosen`` that have one."""
+    return F.filter(F.transform(F.slice(chosen, 1, 2), lambda x: T.cite_label(x["law"], x["article"], x["title"])), lambda s: s != "")
+
+
+def _body(text: Column, use) -> Column:
+    """``use`` of (lines, at, close) of a text: the place of the last filled line before its first closing line, and of that; each computed once."""
+    filled = lambda x: T.stripped(x) != ""
+
+    def placed(lines: Column) -> Column:
+        close = F.array_min(F.transform(lines, lambda x, i: F.when(L.is_closing_line(x), i)))
+        at = lambda c: L.last_index(F.slice(lines, F.lit(1), F.coalesce(c, F.size(lines))), filled)
+        return T.let(close, lambda c: T.let(at(c), lambda a: use(lines, a, c)))
+
+    return T.let(L.lines_of(text), placed)
+
+
 def ensure_citation(letter: Column, chosen: Column) -> Column:
     """The letter, citing the first two of ``chosen`` (array<struct<law, article, title>>) at the end of its body unless it cites one already."""
-    return _let(F.coalesce(letter, F.lit("")), lambda s: _with_citation(s, chosen))
-
+    return T.let(F.coalesce(letter, F.lit("")), lambda s: T.let(_citable(chosen), lambda labels: _with_citation(s, chosen, labels)))
 
-def _with_citation(letter: Column, chosen: Column) -> Column:
-    low = F.lower(letter)
 
-    def cited(x: Column) -> Column:
+def _with_citation(letter: Column, chosen: Column, labels: Column) -> Column:
+    def cited(low: Column, x: Column) -> Column:
         number, law = F.regexp_extract(F.coalesce(x["article"], F.lit("")), r"\d+", 0), F.lower(F.coalesce(x["law"], F.lit("")))
         named = [(law != "") & F.contains(low, F.substring(law, 1, 16)), *(law.contains(w) & low.contains(w) for w in ("yönetmelik", "kanun"))]
         return (number != "") & F.contains(low, number) & _any(named)
 
-    labels = F.filter(F.transform(F.slice(chosen, 1, 2), lambda x: T.cite_label(x["law"], x["article"], x["title"])), lambda s: s != "")
     sentence = _sentence(CITED, F.array_join(labels, ", "))
-    text = _rstripped(letter)
-    lines = _lines(text)
-    close = F.array_min(F.transform(lines, lambda x, i: F.when(L.is_closing_line(x), i)))
-    at = L.last_index(F.slice(lines, F.lit(1), F.coalesce(close, F.size(lines))), lambda x: T.stripped(x) != "")
-    last = _rstripped(F.get(lines, at))
-    above, below = F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), F.slice(lines, F.greatest(at, F.lit(0)) + 2, F.size(lines))
-    lead = F.lower(last)
-    apart = _any([lead.startswith(h) for h in HEADINGS]) | (lead == "tc")
-    grown = F.concat(F.when(last.rlike(r"[.!?]\z"), last).otherwise(F.concat(last, F.lit("."))), F.lit(" "), sentence)
-    joined = F.array_join(F.concat(above, F.when(apart, F.array(F.get(lines, at), F.lit(""), sentence)).otherwise(F.array(grown)), below), "\n")
-    added = F.when(text == "", sentence).when(at < 0, F.concat(text, F.lit("\n\n"), sentence)).otherwise(_rstripped(joined))
-    keep = (F.coalesce(F.size(labels), F.lit(0)) <= 0) | F.coalesce(F.exists(chosen, cited), F.lit(False))
-    return F.when(keep, letter).otherwise(F.concat(added, F.lit("\n")))
+
+    def joined(lines: Column, at: Column, last: Column) -> Column:
+        above, below = F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), F.slice(lines, F.greatest(at, F.lit(0)) + 2, F.size(lines))
+        apart = T.let(F.lower(last), lambda lead: _any([lead.startswith(h) for h in HEADINGS]) | (lead == "tc"))
+        grown = F.concat(F.when(last.rlike(r"[.!?]\z"), last).otherwise(F.concat(last, F.lit("."))), F.lit(" "), sentence)
+        return F.array_join(F.concat(above, F.when(apart, F.array(F.get(lines, at), F.lit(""), sentence)).otherwise(F.array(grown)), below), "\n")
+
+    def added(text: Column) -> Column:
+        grown = lambda lines, at, _: F.when(at < 0, F.concat(text, F.lit("\n\n"), sentence)).otherwise(T.rstripped(T.let(T.rstripped(F.get(lines, at)), lambda last: joined(lines, at, last))))
+        return F.when(text == "", sentence).otherwise(_body(text, grown))
+
+    known = T.let(F.lower(letter), lambda low: F.exists(chosen, lambda x: cited(low, x)))
+    keep = (F.coalesce(F.size(labels), F.lit(0)) <= 0) | F.coalesce(known, F.lit(False))
+    return F.when(keep, letter).otherwise(F.concat(T.let(T.rstripped(letter), added), F.lit("\n")))
 
 
 def ensure_citation_paragraph(letter: Column, chosen: Column) -> Column:
@@ -159,31 +160,33 @@ def ensure_citation_paragraph(letter: Column, chosen: Column) -> Column:
     A dangling clause of that kind at the end of the body goes; without a closing
     the paragraph stands last.  Null counts as an empty letter.
     """
-    return _let(F.coalesce(letter, F.lit("")), lambda s: _with_paragraph(s, chosen))
+    return T.let(F.coalesce(letter, F.lit("")), lambda s: T.let(_citable(chosen), lambda labels: _with_paragraph(s, labels)))
 
 
-def _with_paragraph(letter: Column, chosen: Column) -> Column:
-    labels = F.filter(F.transform(F.slice(chosen, 1, 2), lambda x: T.cite_label(x["law"], x["article"], x["title"])), lambda s: s != "")
+def _with_paragraph(letter: Column, labels: Column) -> Column:
     paragraph = _sentence(CITED, F.array_join(labels, ", "))
-    text = _rstripped(letter)
-    lines = _lines(text)
-    cites = lambda x: (F.lower(x).contains("uyarınca") | F.lower(x).contains("gereğince")) & F.lower(x).contains("madde") & ~L.is_closing_line(x)
-    close = F.array_min(F.transform(lines, lambda x, i: F.when(L.is_closing_line(x), i)))
-    end = F.coalesce(close, F.size(lines))
-    at = L.last_index(F.slice(lines, F.lit(1), end), lambda x: T.stripped(x) != "")
-    last = _rstripped(F.regexp_replace(_rstripped(F.get(lines, at)), DANGLING, ""))
-    body = F.concat(F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), F.when(at >= 0, F.array(last)).otherwise(F.expr("cast(array() as array<string>)")))
-    # blank lines before the closing stay between it and the paragraph
-    rest = F.slice(lines, F.size(body) + 1, F.size(lines))
-    before = F.array_join(F.concat(body, F.array(F.lit(""), paragraph, F.lit("")), rest), "\n")
-    whole = _rstripped(F.array_join(F.concat(body, rest), "\n"))
-    added = F.when(text == "", paragraph).when(F.exists(lines, cites), text).when(close.isNull(), F.concat(whole, F.lit("\n\n"), paragraph)).otherwise(_rstripped(before))
-    return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, letter).otherwise(F.concat(added, F.lit("\n")))
+    named = lambda low: (low.contains("uyarınca") | low.contains("gereğince")) & low.contains("madde")
+    cites = lambda x: T.let(F.lower(x), named) & ~L.is_closing_line(x)
+
+    def placed(lines: Column, close: Column, body: Column) -> Column:
+        # blank lines before the closing stay between it and the paragraph
+        rest = F.slice(lines, F.size(body) + 1, F.size(lines))
+        before = F.array_join(F.concat(body, F.array(F.lit(""), paragraph, F.lit("")), rest), "\n")
+        whole = T.rstripped(F.array_join(F.concat(body, rest), "\n"))
+        return F.when(close.isNull(), F.concat(whole, F.lit("\n\n"), paragraph)).otherwise(T.rstripped(before))
+
+    def grown(text: Column, lines: Column, at: Column, close: Column) -> Column:
+        last = T.rstripped(F.regexp_replace(T.rstripped(F.get(lines, at)), DANGLING, ""))
+        body = F.concat(F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), F.when(at >= 0, F.array(last)).otherwise(F.expr("cast(array() as array<string>)")))
+        return F.when(F.exists(lines, cites), text).otherwise(T.let(body, lambda b: placed(lines, close, b)))
+
+    added = lambda text: F.when(text == "", paragraph).otherwise(_body(text, lambda lines, at, close: grown(text, lines, at, close)))
+    return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, letter).otherwise(F.concat(T.let(T.rstripped(letter), added), F.lit("\n")))
 
 
 def finish_letters(raw: Column, pairs: Column, chosen: Column, sender_unit: Column, target_unit: Column, status: Column, paragraph: bool = False) -> Column:
     """A model's answer as a finished letter: extracted, polished, cited; in a ``paragraph`` of its own or at the end of the body."""
-    polished = _let(extract_letter(raw), lambda s: polish_letter(s, pairs, sender_unit, target_unit, status))
+    polished = T.let(extract_letter(raw), lambda s: polish_letter(s, pairs, sender_unit, target_unit, status))
     return (ensure_citation_paragraph if paragraph else ensure_citation)(polished, chosen)
 
 
