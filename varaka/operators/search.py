@@ -202,8 +202,10 @@ def run_grid(
     rows = rows.withColumn("__blend", F.row_number().over(per.orderBy(F.desc(blended), "__re")))
     factor = F.when(F.col("__factor"), R.article_factor(F.col("query"), F.col("article_label"), F.col("article_kind"), F.col("article_title"))).otherwise(1.0)
     place = F.row_number().over(per.orderBy(F.desc(F.round(F.col("score") * factor, 9)), "__blend"))
-    placed = rows.select("run", "query_id", "pos", place.alias("rank"))
-    first = placed.join(relevant.select("query_id", "pos").distinct(), ["query_id", "pos"]).groupBy("run", "query_id").agg(F.min("rank").alias("first"))
+    placed = stored(rows.select("run", "query_id", "pos", place.alias("rank")), "grid")
+    # of what is relevant only pairs that are placed are shuffled
+    hit = relevant.select("query_id", "pos").join(R.small(placed.select("query_id", "pos").distinct()), ["query_id", "pos"], "left_semi").distinct()
+    first = placed.join(hit, ["query_id", "pos"]).groupBy("run", "query_id").agg(F.min("rank").alias("first"))
     asked = relevant.select("query_id").distinct().withColumn("run", F.explode(F.array(*(F.lit(o[0]) for o in options)))).join(first, ["run", "query_id"], "left")
     hits = [F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))).alias(f"hit_{k}") for k in ks]
     return asked.groupBy("run").agg(F.count("*").alias("n_queries"), *hits, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.sum(F.col("first").isNull().cast("int")).alias("misses"))
