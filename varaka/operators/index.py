@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varaka.functions.text import tokenize
-from varaka.operators.retrieve import B, EPSILON, K1, POOL, small
+from varaka.operators.retrieve import B, EPSILON, K1, POOL, best_chunks, small
 from varaka.sources.io import stored
 
 #: postings of a block
@@ -99,6 +99,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield blocks(pa.Table.from_batches(held).combine_chunks(), True)[0]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of chunks (pos, tokens, dl): a chunk holds all its tokens, so they are counted where they lie."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        lists = b.column("tokens")
+        words = lists.flatten().dictionary_encode()
+        width = max(1, len(words.dictionary))
+        of = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        key, tf = np.unique(of * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        at, term = pa.array(key // width), words.dictionary.take(pa.array(key % width))
+        yield pa.RecordBatch.from_arrays([term, b.column("pos").take(at), pa.array(tf.astype(np.int32)), b.column("dl").take(at)], names=["term", "pos", "tf", "dl"])
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, first, tf, dl = (b.column(c).to_numpy() for c in ("n", "first", "max_tf", "min_dl"))
@@ -148,7 +162,7 @@ class StoredIndex:
         known = lengths.groupBy("pos").count().where("count > 1").select("pos")
         if not (known if seen is None else known.union(lengths.join(seen, "pos", "left_semi").select("pos"))).isEmpty():
             raise ValueError("a position is in the index already")
-        postings = tokens.select("pos", "dl", F.explode("tokens").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").cast("int").alias("tf"))
+        postings = tokens.mapInArrow(_counted, POSTINGS)
         pieces = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         blocks = postings.select("term", "pos", "tf", "dl").repartitionByRange(pieces, "term", "pos").sortWithinPartitions("term", "pos").mapInArrow(_pack, BLOCKS)
         blocks.withColumn("piece", F.spark_partition_id()).write.partitionBy("piece").parquet(f"{at}/{name}/postings")
@@ -198,30 +212,37 @@ class StoredIndex:
 
     def topk(self, queries: DataFrame, pool: int = POOL) -> DataFrame:
         """(query_id, pos, score, rank) as of ``retrieve.Bm25Index.topk``: every chunk is ranked, those without a term by position."""
-        asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        weights = stored(asked.join(small(self.frequencies(asked)), "term").select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w")), "index")
-        near = self.blocks(weights.select("term").distinct())
+        asked = queries.select("query_id", F.explode_outer(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        known = small(self.frequencies(asked.where("term is not null")))
+        weights = stored(asked.join(known, "term", "left").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")), "index")
+        met = weights.where("w is not null")
+        near = self.blocks(met.select("term").distinct()).drop("piece")
         bound = F.greatest(F.col("w") * _ratio(F.col("max_tf"), F.col("min_dl"), self.avgdl), F.lit(0.0))
-        rated = stored(near.drop("piece").join(small(weights), "term").withColumn("bound", bound), "index")
+        # bounds of blocks for queries; the postings stay where they are
+        rated = stored(near.drop("data").join(small(met), "term").withColumn("bound", bound), "index")
 
         # what a query's best term gives to its chunks is a score that the last of the pool has at least
         most = rated.groupBy("query_id", "term").agg(F.max("bound").alias("most"), F.first("w").alias("w"))
         per = Window.partitionBy("query_id")
         most = most.withColumn("others", F.sum("most").over(per) - F.col("most")).withColumn("lead", F.row_number().over(per.orderBy(F.desc("most"), "term")) == 1)
         most = stored(most.withColumn("safe", F.min("w").over(per) >= 0), "index")
-        lead = self._scores(rated.join(small(most.where("lead and safe").select("query_id", "term")), ["query_id", "term"], "left_semi"))
-        least = lead.withColumn("r", F.row_number().over(per.orderBy(F.desc("score")))).where(F.col("r") == pool).select("query_id", F.col("score").alias("least"))
+        lead = rated.join(small(most.where("lead and safe").select("query_id", "term")), ["query_id", "term"], "left_semi")
+        hits = self._postings(near, lead).join(small(lead.select("query_id", "term", "w").distinct()), "term")
+        scores = hits.select("query_id", (F.col("w") * _ratio(F.col("tf"), F.col("dl"), self.avgdl)).alias("score"))
+        least = scores.withColumn("r", F.row_number().over(per.orderBy(F.desc("score")))).where(F.col("r") == pool).select("query_id", F.col("score").alias("least"))
         kept = rated.join(small(most.select("query_id", "term", "others")), ["query_id", "term"]).join(small(least), "query_id", "left")
         kept = kept.where(F.col("least").isNull() | (F.col("bound") + F.col("others") >= F.col("least") - 1e-6))
 
-        early = [r[0] for r in self._read("lengths").select("pos").orderBy("pos").limit(2 * pool).collect()]
-        fill = queries.select("query_id", F.explode(F.array(*map(F.lit, early)).cast("array<bigint>")).alias("pos"), F.lit(0.0).alias("score"))
-        scored = self._scores(kept).unionByName(fill).groupBy("query_id", "pos").agg(F.round(F.sum("score"), 9).alias("score"))
-        best = per.orderBy(F.desc("score"), "pos")
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool)
-
-    def _scores(self, rated: DataFrame) -> DataFrame:
-        """(query_id, pos, score) of the postings of blocks; a block is decoded once for all queries that ask for its term."""
-        blocks = rated.select("term", "n", "first", "max_tf", "min_dl", "data").dropDuplicates(["term", "first"])
-        hits = blocks.mapInArrow(_unpack, POSTINGS).join(small(rated.select("query_id", "term", "w").distinct()), "term")
-        return hits.groupBy("query_id", "pos").agg(F.sum(F.col("w") * _ratio(F.col("tf"), F.col("dl"), self.avgdl)).alias("score"))
+        # chunks with those of their tokens that are asked for, and the first chunks without any
+        early = self._read("lengths").orderBy("pos").limit(2 * pool).select(F.lit(None).cast("string").alias("term"), "pos", F.lit(0).alias("tf"), "dl")
+        rows = self._postings(near, kept).unionByName(early)
+        chunks = rows.groupBy("pos", "dl").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("tokens"))
+        avgdl = self.avgdl
+        gain = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        return best_chunks(chunks, self.n_docs, sum(r["n_tokens"] for r in self.log), weights, gain, None, pool)
+
+    @staticmethod
+    def _postings(blocks: DataFrame, rated: DataFrame) -> DataFrame:
+        """(term, pos, tf, dl) of the blocks that ``rated`` (term, first, ...) names; each is decoded once for all queries."""
+        wanted = blocks.join(small(rated.select("term", "first").distinct()), ["term", "first"], "left_semi")
+        return wanted.select("term", "n", "first", "max_tf", "min_dl", "data").mapInArrow(_unpack, POSTINGS)
