@@ -151,3 +151,17 @@ def test_article_windows_cover_every_word(spark):
     rows = P.chunk_articles(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("article", "part").collect()
     assert [(r["article"], r["part"], r["n_words"]) for r in rows] == [(1, 0, 1), (2, 0, 380), (2, 1, 380), (2, 2, 370), (3, 0, 3)]
     assert {w for r in rows for w in r["text"].split()} == set(text.split())
+
+
+def test_repeated_pairs_are_aligned_once(spark, monkeypatch):
+    """The function itself, of 500 rows with two pairs: as many alignments as pairs."""
+    import pandas as pd
+
+    from varaka.operators import evaluate as E
+
+    seen, real = [], E.aligned_equal
+    monkeypatch.setattr(E, "aligned_equal", lambda a, b: seen.append(1) or real(a, b))
+    monkeypatch.setattr(E.F, "pandas_udf", lambda schema: lambda f: f)
+    refs, hyps = pd.Series(["ışık", "güç", None, "abd"] * 125), pd.Series(["isik", "güç", "x", "abd"] * 125)
+    out = E.turkish_char_errors(refs, hyps)
+    assert len(seen) == 2 and list(map(tuple, out.values.tolist()))[:4] == [(3, 3), (3, 0), (0, 0), (0, 0)]

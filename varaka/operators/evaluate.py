@@ -140,12 +140,13 @@ def turkish_char_errors(reference: Column, found: Column) -> Column:
 
     @F.pandas_udf("total int, errors int")
     def align(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, h in zip(refs.fillna(""), hyps.fillna(""), strict=True):
+        pairs, counted = list(zip(refs.fillna(""), hyps.fillna(""), strict=True)), {}
+        for r, h in set(pairs):  # rows that repeat a pair are aligned once
             a, b = np.array([*r], dtype="U1"), np.array([*h], dtype="U1")
             wanted = np.isin(a, [*TURKISH])
             right = aligned_equal(a, b) if wanted.any() else wanted
-            out.append((int(wanted.sum()), int((wanted & ~right).sum())))
+            counted[r, h] = int(wanted.sum()), int((wanted & ~right).sum())
+        out = [counted[p] for p in pairs]
         return pd.DataFrame(out, columns=["total", "errors"])
 
     return align(reference, found)
