@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from varaka.llm import decontaminate, lm_score, minhash_dedup, parity_join, queries
+from varaka.llm import decontaminate, linked_sets, lm_score, minhash_dedup, parity_join, queries
 from varaka.llm.text import words
 
 from test_operators import ODD, SF, brute_windows, docs, empty, found_windows, odd, true_components
@@ -53,6 +53,27 @@ def test_linked_sets_always_share_a_key():
                     assert len(np.intersect1d(parity_join.part_keys(a, 4, 5), parity_join.part_keys(b, 4, 5)))
 
 
+def test_sets_keep_their_rarest_parts(spark):
+    # all share a half with 59 others, which is no link; 4 pairs differ in little
+    rng = np.random.default_rng(12)
+    new = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    common, sets = new(600), []
+    for k in range(60):
+        sets.append(np.unique(np.concatenate([common, new(600)])))
+        if k < 4:
+            sets.append(np.unique(np.append(rng.permutation(sets[-1])[(30, 60, 90, 120)[k] :], new((30, 60, 90, 10)[k]))))
+    linked = {(i, j) for i in range(64) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(linked) == 4
+    rows = [(k, b"", [g.tolist() for g in parity_join.part_groups(s, 4, 5)]) for k, s in enumerate(sets)]
+    having = {}
+    for r in linked_sets._rarest(spark.createDataFrame(rows, linked_sets.SETS)).collect():
+        having.setdefault(r["key"], []).append(r["doc_id"])
+    met = {(i, j) for nodes in having.values() for i in nodes for j in nodes if j < i}
+    assert linked <= met
+    every = [set(parity_join.part_keys(s, 4, 5)) for s in sets]
+    assert sum(bool(every[i] & every[j]) for i in range(64) for j in range(i)) > 1000 and len(met) < 100
+
+
 def test_crowded_sets_meet():
     # 5 shingles of one part: fewer parts that are not zero than the bound, so the common key is sent
     one = np.arange(5, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(7)

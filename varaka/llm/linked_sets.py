@@ -11,7 +11,7 @@ join (``Candidates``).  The rest is common.
    doc_id that stands for several (rows that repeat it with other texts) names
    the first, the others get a number out of their set.
 3. Where an operator says which part of its shingles a linked set must share with
-   others (``probe``), keys are made only for the sets that do.  Classes that share a key meet in buckets, of which those with the same
+   others (``probe``), keys are made only for the sets that do, and each leaves out as many of its most frequent keys as it may.  Classes that share a key meet in buckets, of which those with the same
    members are one.  No bucket is expanded into
    all its pairs: each round picks a few pivots per bucket and compares the
    other members with them.  Pairs that sizes and sketches do not dismiss are
@@ -41,7 +41,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varaka.llm.blocks import spread, squeezed
@@ -52,13 +52,17 @@ from varaka.llm.text import grams, mix, words
 UNNAMED = 1 << 62
 #: pivots per bucket in the first, second, ... round
 PIVOTS = (16, 128, 1024)
+SETS = "node long, shingles binary, keys array<array<long>>"
 
 
 @dataclass
 class Candidates:
-    """How pairs are proposed: ``keys`` gives for a list of sets the keys of each and a row of numbers for each, named ``columns``, on which ``promising`` judges a pair."""
+    """How pairs are proposed: ``keys`` gives for a list of sets the keys of each and a row of numbers for each, named ``columns``, on which ``promising`` judges a pair.
 
-    keys: Callable[[list[np.ndarray]], tuple[list[np.ndarray], np.ndarray]]
+    With ``probe``, keys come in groups, before each group the number of its keys that may be left out if these are the most frequent ones.
+    """
+
+    keys: Callable[[list[np.ndarray]], tuple[list, np.ndarray]]
     columns: list[str]
     promising: Callable[[], Column] | None = None
     #: 64-bit words of the parity bitmap of a set, and whether sets that have more shingles than its bits get another that grows with them
@@ -173,8 +177,8 @@ def _sets(n: int, how: Candidates):
         for batch in batches:
             sets = [s for s, _ in shingle_sets(batch.column(1), n)]
             packed = [squeezed(np.diff(s.view(np.int64), prepend=0)) for s in sets]
-            keys = [k.view(np.int64) for k in how.keys(sets)[0]] if how.probe and sets else [None] * len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "shingles", "keys"])
+            keys = _nested(how.keys(sets)[0]) if how.probe and sets else pa.nulls(len(sets), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), keys], names=["node", "shingles", "keys"])
 
     return run
 
@@ -236,20 +240,20 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
         wanted = t.keep(texts_of.join(nodes, "node"))
         if not wanted.isEmpty():
             found = marked_rows(texts, wanted.select("doc_id", "text_key")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
-            sets.append(t.keep(found.select("node", "text").mapInArrow(_sets(shingle, how), "node long, shingles binary, keys array<long>")))
+            sets.append(t.keep(found.select("node", "text").mapInArrow(_sets(shingle, how), SETS)))
 
     def all_sets() -> DataFrame:
-        return reduce(DataFrame.unionByName, sets) if sets else t.spark.createDataFrame([], "node long, shingles binary, keys array<long>")
+        return reduce(DataFrame.unionByName, sets) if sets else t.spark.createDataFrame([], SETS)
 
     if how.probe is None:
         rows = heads.select("doc_id", F.explode("keys").alias("key"))
     else:
         held(_probed(heads).withColumnRenamed("doc_id", "node"))
-        rows = all_sets().select(F.col("node").alias("doc_id"), F.explode("keys").alias("key"))
+        rows = t.keep(_rarest(all_sets()))
     busy = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     busy = busy.where("pivot < last").groupBy("pivot", "last", "n", "members").agg(F.min("key").alias("key")).select("key", "pivot")
     shared = t.keep(rows.join(busy, "key").where("doc_id <> pivot"))
-    t.drop(heads)
+    t.drop(heads, rows)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Components of the links among (a, b, ca, cb)."""
@@ -322,6 +326,18 @@ def _probed(heads: DataFrame) -> DataFrame:
     return met.where("n >= need").select("doc_id").union(open_).distinct()
 
 
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(doc_id, key) of the keys that several sets have, without those of each group that it may leave out.
+
+    All groups leave out the most frequent of their keys, ties by key, so their orders agree.
+    """
+    groups = sets.select(F.col("node").alias("doc_id"), F.posexplode("keys").alias("place", "g"))
+    rows = groups.select("doc_id", "place", F.col("g")[0].alias("spare"), F.explode(F.slice("g", F.lit(2), F.size("g"))).alias("key"))
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("doc_id", "place").orderBy(F.desc("n"), F.desc("key")))
+    return rows.join(several, "key").withColumn("nth", place).where("nth > spare").select("doc_id", "key")
+
+
 def _composed(roots: DataFrame, step: DataFrame) -> DataFrame:
     """One map (node, root) for two, of which the second goes on from the roots of the first."""
     further = step.select(F.col("node").alias("root"), F.col("root").alias("further"))

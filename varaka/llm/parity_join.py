@@ -6,10 +6,12 @@ distance bounds the symmetric difference from below).  A sketch is cut into
 parts of 64 bits.  Two sets of a and b shingles with Jaccard >= p / q differ in
 at most d = (a + b)(q - p) / (q + p) shingles, hence in at most d parts, and at
 least one part that is not zero is equal in both as soon as one of them has
-more than d of these.  Parts are in a common order, so it is enough that each
-document sends its first d + 1 parts that are not zero: of two sets with c
-common parts, the first n - c + 1 of either meet.  A set with no more than d
-such parts (many shingles in few parts, which only tiny sets have) sends all
+more than d of these.  In any order that is common to all sets it is enough that each
+document keeps its first d + 1 parts that are not zero: of two sets with c
+common parts, the first n - c + 1 of either meet.  The order is by the number of sets
+that have a part, rarest first, so sets that share passages with many others, but
+no link, mostly keep parts that no other set has.  A set with no more than d
+such parts (many shingles in few parts, which only tiny sets have) keeps all
 of them and a key common to all such sets.  Among the sets that have keys no link is left to chance.
 
 Most sets are linked with nothing and need no keys: a linked set of n shingles
@@ -23,9 +25,9 @@ consist of such passages.
 
 Sizes are banded: the number of parts belongs to a band of sizes, bounds of which
 double.  A pair meets in the band of its larger set, so a document
-sends parts for its own band and, if a partner may lie there, for the
-next.  A document of n shingles sends about 0.3 n
-keys.
+has parts for its own band and, if a partner may lie there, for the
+next.  A document of n shingles has about 0.3 n to 0.5 n
+keys, which are counted, and keeps fewer.
 
 Classes, rounds and the confirmation on full sets are those of ``linked_sets``.
 
@@ -73,8 +75,8 @@ def parts_of(size: int, p: int, q: int) -> int:
     return 9 * (2 * size * (q - p) // (q + p) + 1) // 8 + 6
 
 
-def part_keys(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Keys of the parts that a set sends."""
+def part_groups(shingles: np.ndarray, p: int, q: int) -> list[np.ndarray]:
+    """For each band in which a set may meet others: how many of its keys it may leave out, the most frequent ones, and the keys of its parts."""
     out = []
     high = shingles >> np.uint64(32)  # in the order of the shingles, so parts are too
     bit = np.uint64(1) << (shingles * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(58))
@@ -82,12 +84,17 @@ def part_keys(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
         part = high * np.uint64(parts) >> np.uint64(32)
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         bits = np.bitwise_xor.reduceat(bit, begin)
-        held = np.flatnonzero(bits)
-        at = held[: d + 1]
-        out.append(mix(bits[at] ^ mix(part[begin[at]] + np.uint64((band + 1) << 32))))
-        if len(held) <= d:
-            out.append(mix(CROWDED + np.array([band], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        at = np.flatnonzero(bits)
+        keys = mix(bits[at] ^ mix(part[begin[at]] + np.uint64((band + 1) << 32)))
+        if len(at) <= d:
+            keys = np.append(keys, mix(CROWDED + np.array([band], np.uint64)))
+        out.append(np.append(max(len(at) - d - 1, 0), keys.view(np.int64)))
+    return out
+
+
+def part_keys(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Keys of the parts of a set, in all bands."""
+    return np.concatenate([np.zeros(0, np.int64), *(g[1:] for g in part_groups(shingles, p, q))]).view(np.uint64)
 
 
 def probes(shingles: np.ndarray, p: int, q: int) -> list[np.ndarray]:
@@ -105,7 +112,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: tuple[int, int
     """(doc_id, n_shingles, component_id, text_key) for documents linked at Jaccard >= similar[0] / similar[1]."""
     p, q = similar
 
-    def keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        return [part_keys(s, p, q) for s in sets], np.zeros((len(sets), 0), np.int64)
+    def keys(sets: list[np.ndarray]) -> tuple[list[list[np.ndarray]], np.ndarray]:
+        return [part_groups(s, p, q) for s in sets], np.zeros((len(sets), 0), np.int64)
 
     return linked_sets(docs, shingle, similar, Candidates(keys, [], longs=8, wide=True, probe=lambda sets: [probes(s, p, q) for s in sets])).select("doc_id", "n_shingles", "component_id", "text_key")
