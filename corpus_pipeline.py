@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from varaka.llm import bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
 from varaka.llm.queries import table
-from varaka.llm.stage import Tables, marked_rows, without
+from varaka.llm.stage import Tables, marked_rows, small_batches, without
 
 KEY = ["id", "none", "text_key"]
 
@@ -46,6 +46,7 @@ def dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold of their language (0.5 where it has none)."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, calibrated=True)
     rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"))
@@ -58,6 +59,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, compared after white space is normalised: that with the smallest doc_id."""
+    small_batches(spark)
     several = Tables(spark, "copies").keep(exact_dedup.exact_duplicates(docs).where("group_size > 1").drop("keep_id", "group_size"))
     key = key_of(F.col("doc_id"), F.col("text_key"))
     lost = several.where("not kept").select(*key, F.lit(False).alias("stays"))
@@ -76,6 +78,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows equal in id and text are one document.
     """
+    small_batches(spark)
     found = minhash_dedup.near_duplicates(docs, shingle=5, similar=(4, 5)).where("doc_id is not null and n_shingles > 0")
     found = Tables(spark, "copies").keep(found.select("doc_id", "text_key", "kept", "component_key"))
     leads = found.where("kept").groupBy("component_key").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last")
@@ -85,6 +88,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
     return dropped(docs, Tables(spark, "leaks").keep(found.select("doc_id", "text_key").distinct()))
 

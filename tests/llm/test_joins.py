@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from varaka.llm import decontaminate, linked_sets, lm_score, minhash_dedup, parity_join, queries
+from varaka.llm import bpe, decontaminate, linked_sets, lm_score, minhash_dedup, parity_join, queries, stage
 from varaka.llm.text import words
 
 from test_operators import ODD, SF, brute_windows, docs, empty, found_windows, odd, true_components
@@ -113,3 +113,25 @@ def test_operators_tell_structured_words_apart(spark):
         item = spark.createDataFrame([(9, " ".join([x] * 3 + [f"w{k}" for k in range(10)]))], "item_id long, text string")
         clean = docs(spark, [(1, " ".join([y] * 3 + [f"w{k}" for k in range(10)]))])
         assert decontaminate.overlaps(clean, item).count() == 0
+
+
+def test_bpe_takes_bounded_parts(spark, monkeypatch):
+    v, learned = bpe.Vocabulary(bpe.default_path()), []
+    learn = v.learn
+    monkeypatch.setattr(v, "learn", lambda chunks: learned.append(len(chunks)) or learn(chunks))
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(100)]
+    ids, decoded = v.run(texts)
+    assert sum(learned) == 30_000 and max(learned) <= 10_000
+    assert (ids[7], decoded[7]) == tuple(x[0] for x in bpe.Vocabulary(bpe.default_path()).run(texts[7:8]))
+    sizes = [3, 400_000, 200_000, 0, 1_000_000, 5, *[1] * 1200]
+    batch = pa.record_batch({"doc_id": range(len(sizes) + 1), "text": [*("a" * n for n in sizes), None]})
+    cut = list(bpe.parts(batch))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in cut] == [3, 2, 500, 500, 202]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        stage.small_batches(spark)
+        rows = spark.range(5000, numPartitions=1).mapInArrow(lambda b: (pa.record_batch({"n": [x.num_rows]}) for x in b), "n long").collect()
+        assert max(r["n"] for r in rows) <= 1000 and sum(r["n"] for r in rows) == 5000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -23,14 +23,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varaka.llm.stage import small_batches
+
 #: white space of the pattern's \s, as it differs from str.split's
 BLANKS = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: longest chunk between blanks, and number of chunks, that a task keeps results for
 KEPT_LENGTH, KEPT_CHUNKS = 48, 100_000
+#: texts and bytes of text that are taken at once, and chunks that are merged at once
+TEXTS, TEXT_BYTES, NEW_CHUNKS = 500, 500_000, 10_000
 NO_RANK = np.iinfo(np.int64).max
 
 OUTPUT = "doc_id long, ids binary, n_tokens long, decoded string"
@@ -156,8 +161,10 @@ class Vocabulary:
         wanted = set().union(*cut)
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {c: self.kept[c] for c in wanted | self.special.keys() if c in self.kept}
-        missing = wanted.difference(self.kept)
-        new = self.learn(list(missing)) if missing else {}
+        missing = list(wanted.difference(self.kept))
+        new: dict[str, tuple[bytes, str]] = {}
+        for i in range(0, len(missing), NEW_CHUNKS):
+            new |= self.learn(missing[i : i + NEW_CHUNKS])
         long = {c: r for c, r in new.items() if len(c) > KEPT_LENGTH}
         for c in long:
             del new[c]
@@ -181,20 +188,31 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``TEXTS`` rows, whose texts begin within ``TEXT_BYTES``."""
+    begins = np.append(0, np.asarray(pa.compute.binary_length(batch.column(1)).fill_null(0)).astype(np.int64).cumsum())
+    at = 0
+    while at < batch.num_rows:
+        stop = min(int(np.searchsorted(begins[:-1], begins[at] + TEXT_BYTES)), at + TEXTS)
+        stop = max(stop, at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded): ids packed as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path or default_path())
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in parts(batch):
                 ids, decoded = v.run([t or "" for t in part.column(1).to_pylist()])
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), counts, pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
         v.forget()  # a worker lives on, and serves other steps
         pa.default_memory_pool().release_unused()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUTPUT)
 
 

@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/varaka"
 
 
+#: rows of whole texts that go to Python at once
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on a batch for Python has at most ``BATCH_ROWS`` rows; an executor and its workers hold several batches for each core."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Tables:
     """Parquet tables of one run in the shared folder; they cut the lineage and survive lost executors."""
 
