@@ -135,3 +135,33 @@ def test_bpe_takes_bounded_parts(spark, monkeypatch):
         assert max(r["n"] for r in rows) <= 1000 and sum(r["n"] for r in rows) == 5000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def exploded_below_a_broadcast(plan):
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.split("== Initial Plan ==")[0].split("\n")]
+    for i, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((k for k in range(i + 1, len(lines)) if lines[k][0] <= depth), len(lines))
+            if any("Generate explode" in x or "Generate posexplode" in x for _, x in lines[i + 1 : below]):
+                return True
+    return False
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    # Spark takes an array for one element, so keys of 200,000 sets seem to fit a broadcast
+    plans, keep = [], stage.Tables.keep
+
+    def watched(self, df, *partition_by):
+        if "Generate" in df._jdf.queryExecution().optimizedPlan().toString():
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, *partition_by)
+
+    monkeypatch.setattr(stage.Tables, "keep", watched)
+    rng = np.random.default_rng(17)
+    base = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(60)]
+    table = docs(spark, list(enumerate(base + [t + " more" for t in base[:20]])))
+    for found in (minhash_dedup.near_duplicates(table), parity_join.similar_documents(table)):
+        assert found.where("component_id < doc_id").count() == 20
+    assert len(plans) >= 3
+    assert not any(map(exploded_below_a_broadcast, plans))

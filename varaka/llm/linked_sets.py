@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varaka.llm.blocks import spread, squeezed
-from varaka.llm.stage import Tables, components, marked_rows
+from varaka.llm.stage import Tables, components, dealt_join, marked_rows
 from varaka.llm.text import grams, mix, words
 
 #: nodes that no doc_id names begin here
@@ -252,7 +252,7 @@ def linked_sets(docs: DataFrame, shingle: int, similar: tuple[int, int], how: Ca
         rows = t.keep(_rarest(all_sets()))
     busy = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     busy = busy.where("pivot < last").groupBy("pivot", "last", "n", "members").agg(F.min("key").alias("key")).select("key", "pivot")
-    shared = t.keep(rows.join(busy, "key").where("doc_id <> pivot"))
+    shared = t.keep(dealt_join(rows, busy, "key").where("doc_id <> pivot"))
     t.drop(heads, rows)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def _probed(heads: DataFrame) -> DataFrame:
     """(doc_id) of the sets that share enough of a group of their probes with other sets."""
     groups = heads.select("doc_id", F.posexplode("probe").alias("place", "p")).select("doc_id", "place", F.col("p")[0].alias("need"), F.explode(F.slice("p", F.lit(2), F.size("p"))).alias("key"))
     several = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = groups.join(several, "key", "left_semi").groupBy("doc_id", "place").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    met = dealt_join(groups, several, "key", "left_semi").groupBy("doc_id", "place").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     open_ = heads.where(F.exists("probe", lambda g: g[0] <= 0)).select("doc_id")  # too few were sampled to tell
     return met.where("n >= need").select("doc_id").union(open_).distinct()
 
@@ -335,7 +335,7 @@ def _rarest(sets: DataFrame) -> DataFrame:
     rows = groups.select("doc_id", "place", F.col("g")[0].alias("spare"), F.explode(F.slice("g", F.lit(2), F.size("g"))).alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     place = F.row_number().over(Window.partitionBy("doc_id", "place").orderBy(F.desc("n"), F.desc("key")))
-    return rows.join(several, "key").withColumn("nth", place).where("nth > spare").select("doc_id", "key")
+    return dealt_join(rows, several, "key").withColumn("nth", place).where("nth > spare").select("doc_id", "key")
 
 
 def _composed(roots: DataFrame, step: DataFrame) -> DataFrame:

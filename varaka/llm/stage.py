@@ -92,6 +92,16 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return marked_rows(rows, gone, False).unionByName(marked_rows(rows, gone).join(gone, gone.columns, "left_anti"))
 
 
+def dealt_join(rows: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that deals both sides by their keys and broadcasts neither.
+
+    For ``rows`` out of an explode: Spark takes their size from the table they
+    come from, of which an array counts as one element, so it would broadcast
+    millions of them; a broadcast once planned stays whatever the side turns out to hold.
+    """
+    return rows.hint("merge").join(other, on, how)
+
+
 def sampled(rows: DataFrame, label: str, limit: int, key: str) -> DataFrame:
     """At most ``limit`` rows with ``label`` 1 and as many with 0, smallest hash of ``key`` first.
 
