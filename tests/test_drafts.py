@@ -172,3 +172,25 @@ def test_last_index_counts_from_the_end(spark):
 
     last = lambda items: L.last_index(F.array(*map(F.lit, items)) if items else F.expr("cast(array() as array<string>)"), lambda x: x == "a")
     assert tuple(spark.range(1).select(last(["a", "b", "a", "b"]), last(["a"]), last(["b"]), last([])).first()) == (2, 0, -1, -1)
+
+
+def same_as_sql(spark, tmp_path, name, texts):
+    import duckdb
+
+    from varaka.plans import registry
+
+    rows = [(i * len(texts) + k, t) for i in range(3) for k, t in enumerate(texts)] + [(i * len(texts) + k + 3001, t) for i in range(3) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["letter"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert found == dict(c.execute(registry.ORACLE_SQL[name]).fetchall())
+
+
+#: blank ones, ones with other line breaks or white space at their ends, none
+ODD_LETTERS = ["", " ", "\n", " \n \n", "a", "a\r\nb", "a\r\n\r\nb\r\n", "a\fb", "a\x0bb c", "a\u2028b", "a\rb\r", "a\n\n \r\n\n", "\r\n a \t\n", "a\x85b", None]
+
+
+def test_extracted_letters_keep_their_breaks(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "L1_extract_letter", ODD_LETTERS)
+    assert one(spark, D.extract_letter(F.col("s")), s="a\u2028kimlik no 5\r\nb\x85\x85c") == "a\u2028c"

@@ -57,14 +57,18 @@ def _filled(c: Column) -> Column:
 
 
 def extract_letter(raw: Column) -> Column:
-    """The letter of a model's answer: the draft of its JSON, nested ones too; identity numbers go with all that follows to the next blank line."""
-    inner = lambda json: F.coalesce(_filled(F.get_json_object(json, "$.draft.draft")), _filled(F.get_json_object(json, "$.draft")))
-    draft = lambda s: F.coalesce(T.let(T.repaired_json(s), inner), s)
-    text = T.let(T.let(_text(raw), draft), lambda s: F.when(s.startswith("{") & s.contains("response_type"), draft(s)).otherwise(s))
+    """The letter of a model's answer: the draft of its JSON, nested ones too; identity numbers go with all that follows to the next blank line.
+
+    A blank draft is an empty letter where the answer has a response type.  Lines keep their breaks.
+    """
+    inner = lambda told: lambda json: F.coalesce(told(F.get_json_object(json, "$.draft.draft")), told(F.get_json_object(json, "$.draft")))
+    draft = lambda s, told: F.coalesce(T.let(T.repaired_json(s), inner(told)), s)
+    answer = lambda s: F.when(s.startswith("{") & s.contains("response_type"), draft(s, T.stripped)).otherwise(s)
+    text = T.let(T.let(_text(raw), lambda s: draft(s, _filled)), answer)
     marked = lambda line: T.let(F.lower(line), lambda low: _any([low.contains(m) for m in ID_MARKS]))
     kinds = lambda lines: F.transform(lines, lambda line: F.when(marked(line), "M").when(T.stripped(line) == "", "B").otherwise("O"))
-    kept = T.let(L.lines_of(text), lambda lines: L.without_runs(lines, kinds(lines), r"M|(?!\A)(?<!B)\G[OB]"))
-    return T.stripped(F.array_join(kept, "\n"))
+    kept = T.let(L.ended_lines(text), lambda lines: L.without_runs(lines, kinds(lines), r"M|(?!\A)(?<!B)\G[OB]"))
+    return T.stripped(F.array_join(kept, ""))
 
 
 def polish_letter(letter: Column, pairs: Column, sender_unit: Column, target_unit: Column, status: Column) -> Column:

@@ -60,6 +60,7 @@ CLOSING_STARTS = ["saygılarımla", "saygılar", "saygilar", "bilgilerinize", "g
 CLOSING_PARTS = ["rica ederim", "arz ederim"]
 RARE_BREAK = r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+LINE_END = r"(?<=[\n\x0B\f\x1C-\x1E\x85\u2028\u2029])|(?<=\r)(?!\n)"
 
 
 def lines_of(text: Column) -> Column:
@@ -67,6 +68,11 @@ def lines_of(text: Column) -> Column:
     return let(text, lambda s: F.when(s.rlike(RARE_BREAK), F.split(s, LINE_BREAK)).otherwise(F.split(s, "\n")))
 
 
+def ended_lines(text: Column) -> Column:
+    """``lines_of`` with the break that ends each, so that they make up the text again."""
+    return let(text, lambda s: F.when(s.rlike(RARE_BREAK), F.split(s, LINE_END)).otherwise(F.split(s, r"(?<=\n)")))
+
+
 def _names_attachment(t: Column) -> Column:
     rest = lambda r: (stripped(r) == "") | r.rlike(ATTACHMENT_WORDS)
     return (t.rlike(BULLET) & t.rlike(ATTACHMENT_WORDS)) | (t.rlike(ATTACHMENT_HEAD) & let(F.regexp_extract(t, ATTACHMENT_HEAD, 1), rest))
