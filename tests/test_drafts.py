@@ -194,3 +194,7 @@ ODD_LETTERS = ["", " ", "\n", " \n \n", "a", "a\r\nb", "a\r\n\r\nb\r\n", "a\fb",
 def test_extracted_letters_keep_their_breaks(spark, tmp_path):
     same_as_sql(spark, tmp_path, "L1_extract_letter", ODD_LETTERS)
     assert one(spark, D.extract_letter(F.col("s")), s="a\u2028kimlik no 5\r\nb\x85\x85c") == "a\u2028c"
+
+
+def test_citation_paragraphs_keep_the_breaks_of_a_letter(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "L4b_citation_paragraph", ODD_LETTERS)

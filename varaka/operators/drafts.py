@@ -17,6 +17,8 @@ HEADINGS = ["sayın", "ilgi", "konu:", "t.c"]
 REDIRECTED = "Başvurunuz {} birimine yönlendirilmiştir."
 CITED = "İşlemler {} uyarınca yürütülmüştür."
 DANGLING = r"(?iuUs)\s*İşlemler\s+.+?uyarınca(?:\s+yürütülmüştür)?\.?\s*\z"
+#: the end of the line at which a text begins, up to its line feed if only white space comes before that
+FIRST_END = rf"(?U)\A(?:[^\S\n]*\n|{L.LINE_BREAK})"
 WAITING, COMPLETION = "EKSIK_BILGI_BEKLENIYOR", "EKSIK_BILGI_BELGE_TAMAMLAMA_YAZISI"
 MISSING = "Yapılan inceleme neticesinde başvurunuza ilişkin bazı bilgi/belgelerin eksik olduğu tespit edilmiştir: {}. Söz konusu eksikliklerin tarafımıza iletilmesi, başvurunuzun sağlıklı bir şekilde sonuçlandırılabilmesi için önem arz etmektedir."
 LAWS = "Konuya ilişkin mevzuat hükümleri incelenmiş olup; {} Bu hükümler çerçevesinde başvurunuz değerlendirmeye alınmıştır."
@@ -118,7 +120,7 @@ def _citable(chosen: Column) -> Column:
     return F.filter(F.transform(F.slice(chosen, 1, 2), lambda x: T.cite_label(x["law"], x["article"], x["title"])), lambda s: s != "")
 
 
-def _body(text: Column, use) -> Column:
+def _body(text: Column, use, lines_of=L.lines_of) -> Column:
     """``use`` of (lines, at, close) of a text: the place of the last filled line before its first closing line, and of that; each computed once."""
     filled = lambda x: T.stripped(x) != ""
 
@@ -127,7 +129,7 @@ def _body(text: Column, use) -> Column:
         at = lambda c: L.last_index(F.slice(lines, F.lit(1), F.coalesce(c, F.size(lines))), filled)
         return T.let(close, lambda c: T.let(at(c), lambda a: use(lines, a, c)))
 
-    return T.let(L.lines_of(text), placed)
+    return T.let(lines_of(text), placed)
 
 
 def ensure_citation(letter: Column, chosen: Column) -> Column:
@@ -162,7 +164,9 @@ def ensure_citation_paragraph(letter: Column, chosen: Column) -> Column:
     """The letter with a paragraph before its closing that cites the first two of ``chosen``, unless its body cites an article already.
 
     A dangling clause of that kind at the end of the body goes; without a closing
-    the paragraph stands last.  Null counts as an empty letter.
+    the paragraph stands last, and alone if nothing is left of the body.  Blank lines before the
+    closing stay between it and the paragraph; without a body the paragraph follows the first of them.
+    Lines keep their breaks.  Null counts as an empty letter.
     """
     return T.let(F.coalesce(letter, F.lit("")), lambda s: T.let(_citable(chosen), lambda labels: _with_paragraph(s, labels)))
 
@@ -171,20 +175,23 @@ def _with_paragraph(letter: Column, labels: Column) -> Column:
     paragraph = _sentence(CITED, F.array_join(labels, ", "))
     named = lambda low: (low.contains("uyarınca") | low.contains("gereğince")) & low.contains("madde")
     cites = lambda x: T.let(F.lower(x), named) & ~L.is_closing_line(x)
+    joined = lambda lines: F.array_join(lines, "")
 
-    def placed(lines: Column, close: Column, body: Column) -> Column:
-        # blank lines before the closing stay between it and the paragraph
-        rest = F.slice(lines, F.size(body) + 1, F.size(lines))
-        before = F.array_join(F.concat(body, F.array(F.lit(""), paragraph, F.lit("")), rest), "\n")
-        whole = T.rstripped(F.array_join(F.concat(body, rest), "\n"))
-        return F.when(close.isNull(), F.concat(whole, F.lit("\n\n"), paragraph)).otherwise(T.rstripped(before))
+    def placed(body: Column, rest: Column, at: Column, close: Column) -> Column:
+        alone = lambda whole: F.when(whole == "", paragraph).otherwise(F.concat(whole, F.lit("\n\n"), paragraph))
+        below = F.regexp_replace(rest, FIRST_END, "")
+        before = F.concat(body, F.when(at < 0, "\n").otherwise("\n\n"), paragraph, F.lit("\n\n"), below)
+        return F.when(close.isNull(), T.let(T.rstripped(body), alone)).otherwise(T.rstripped(before))
 
     def grown(text: Column, lines: Column, at: Column, close: Column) -> Column:
-        last = T.rstripped(F.regexp_replace(T.rstripped(F.get(lines, at)), DANGLING, ""))
-        body = F.concat(F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), F.when(at >= 0, F.array(last)).otherwise(F.expr("cast(array() as array<string>)")))
-        return F.when(F.exists(lines, cites), text).otherwise(T.let(body, lambda b: placed(lines, close, b)))
-
-    added = lambda text: F.when(text == "", paragraph).otherwise(_body(text, lambda lines, at, close: grown(text, lines, at, close)))
+        above = joined(F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))))
+        last = T.rstripped(F.coalesce(F.get(lines, at), F.lit("")))
+        body = F.concat(above, T.rstripped(F.regexp_replace(last, DANGLING, "")))
+        rest = F.substr(joined(F.slice(lines, F.greatest(at, F.lit(0)) + 1, F.size(lines))), F.length(last) + 1)
+        parts = F.struct(body.alias("body"), rest.alias("rest"))
+        return F.when(F.exists(lines, cites), text).otherwise(T.let(parts, lambda x: placed(x["body"], x["rest"], at, close)))
+
+    added = lambda text: F.when(text == "", paragraph).otherwise(_body(text, lambda lines, at, close: grown(text, lines, at, close), L.ended_lines))
     return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, letter).otherwise(F.concat(T.let(T.rstripped(letter), added), F.lit("\n")))
 
 
